@@ -42,6 +42,7 @@ class SlicePlan:
     heavy_buckets: list[int] = field(default_factory=list)
     rows_per_slice: int = 4_000_000
     n_rows: int = 0
+    tie_kind: str = "dense"  # "dense": unique row index; "hash": 64-bit hash of the row
 
     @property
     def n_buckets(self) -> int:
@@ -49,7 +50,8 @@ class SlicePlan:
 
 
 def plan_slices(df: DataFrame, key: str, tie: str, rows_per_slice: int = 4_000_000,
-                oversample: int = 8, seed: int = 17, n_rows: int | None = None) -> SlicePlan:
+                oversample: int = 8, seed: int = 17, n_rows: int | None = None,
+                tie_kind: str = "dense") -> SlicePlan:
     """Build a slice plan for ``df`` ordered by (key, tie).
 
     Two small actions: a count, and a hash sample of about
@@ -63,27 +65,28 @@ def plan_slices(df: DataFrame, key: str, tie: str, rows_per_slice: int = 4_000_0
     if k > MAX_SLICES:
         raise ValueError(f"{k} slices needed; raise rows_per_slice")
     if k == 1:
-        return SlicePlan([-math.inf, math.inf], [], rows_per_slice, n)
+        return SlicePlan([-math.inf, math.inf], [], rows_per_slice, n, tie_kind)
     rate = min(1.0, oversample * k / n)
     u = (F.xxhash64(F.col(tie), F.lit(seed)).bitwiseAND(F.lit(_MASK53)).cast("double")
          / float(1 << 53))
-    sample = sorted(r[0] for r in df.filter(u < rate).select(F.col(key).cast("long")).collect())
+    sample = sorted(r[0] for r in df.filter(u < rate).select(F.col(key).cast("double")).collect())
     m = len(sample)
     if m == 0:
-        return SlicePlan([-math.inf, math.inf], [], rows_per_slice, n)
+        return SlicePlan([-math.inf, math.inf], [], rows_per_slice, n, tie_kind)
     cands = [sample[min(m - 1, (i * m) // k)] for i in range(1, k)]
     counts: dict[int, int] = {}
     for c in cands:
         counts[c] = counts.get(c, 0) + 1
     heavy_vals = {v for v, c in counts.items() if c >= 2}
-    pts = set(cands)
-    for v in heavy_vals:  # isolate [v, v+1): a one-value bucket
+    pts = {float(c) for c in cands}
+    hv = {float(v) for v in heavy_vals}
+    for v in hv:  # isolate [v, next double): a bucket holding the one value v
         pts.add(v)
-        pts.add(v + 1)
-    splits = [-math.inf] + sorted(float(p) for p in pts) + [math.inf]
+        pts.add(math.nextafter(v, math.inf))
+    splits = [-math.inf] + sorted(pts) + [math.inf]
     heavy = [i for i in range(len(splits) - 1)
-             if splits[i] in heavy_vals and splits[i + 1] == splits[i] + 1]
-    return SlicePlan(splits, heavy, rows_per_slice, n)
+             if splits[i] in hv and splits[i + 1] == math.nextafter(splits[i], math.inf)]
+    return SlicePlan(splits, heavy, rows_per_slice, n, tie_kind)
 
 
 def with_slices(df: DataFrame, plan: SlicePlan, key: str, tie: str) -> DataFrame:
@@ -95,8 +98,12 @@ def with_slices(df: DataFrame, plan: SlicePlan, key: str, tie: str) -> DataFrame
     out = bk.transform(df.withColumn(tmp, F.col(key).cast("double"))).drop(tmp)
     out = out.withColumn(B, F.col(B).cast("int"))
     if plan.heavy_buckets:
-        sub = F.when(F.col(B).isin(plan.heavy_buckets),
-                     F.floor(F.col(tie) / F.lit(plan.rows_per_slice))).otherwise(F.lit(0))
+        if plan.tie_kind == "dense":  # unique row index: at most rows_per_slice per sub-slice
+            piece = F.floor(F.col(tie) / F.lit(plan.rows_per_slice))
+        else:  # 64-bit hash spread over as many sub-slices as the data has slices
+            k = max(1, math.ceil(plan.n_rows / plan.rows_per_slice))
+            piece = F.floor((F.col(tie).cast("double") / F.lit(2.0 ** 64) + F.lit(0.5)) * F.lit(k))
+        sub = F.when(F.col(B).isin(plan.heavy_buckets), piece).otherwise(F.lit(0))
     else:
         sub = F.lit(0)
     return out.withColumn(S, sub.cast("long"))
@@ -140,3 +147,62 @@ def dense_ids(df: DataFrame, key: str, id_col: str = "id",
     (W4: numbering of non-empty windows), without a single-task window."""
     distinct = df.select(key).distinct().persist(StorageLevel.MEMORY_AND_DISK)
     return global_position(distinct, key, key, id_col, rows_per_slice=rows_per_slice)
+
+
+def running_sum(df: DataFrame, key: str, tie: str, value_col: str, out_col: str = "cum",
+                rows_per_slice: int = 4_000_000) -> DataFrame:
+    """Inclusive running sum of ``value_col`` in (key, tie) order, without a
+    single-task window: per-slice totals (tiny) give each slice's base, the
+    window runs inside slices only."""
+    plan = plan_slices(df, key, tie, rows_per_slice)
+    sliced = with_slices(df, plan, key, tie)
+    rows = sliced.groupBy(B, S).agg(F.sum(value_col).alias("_t")).collect()
+    acc, out = 0, []
+    for r in sorted(rows, key=lambda r: (r[B], r[S])):
+        out.append((r[B], r[S], float(acc)))
+        acc += r["_t"] or 0
+    base = sliced.sparkSession.createDataFrame(out, f"{B} int, {S} long, _base double")
+    w = (Window.partitionBy(B, S).orderBy(F.col(key), F.col(tie))
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return (sliced.withColumn("_in", F.sum(value_col).over(w))
+            .join(F.broadcast(base), [B, S])
+            .withColumn(out_col, F.col("_base") + F.col("_in"))
+            .drop("_in", "_base", B, S))
+
+
+def quantile_exact(df: DataFrame, col: str, q: float,
+                   rows_per_slice: int = 4_000_000) -> float | None:
+    """Exact ``q`` quantile with linear interpolation (numpy's default).
+
+    Slices of the value give exact counts; a rank that falls in a one-value
+    bucket is that value, otherwise only the slice holding it is sorted.  No
+    single aggregate buffer holds all values."""
+    vals = (df.select(F.col(col).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+            .withColumn("_tie", F.xxhash64("_v")).persist(StorageLevel.MEMORY_AND_DISK))
+    try:
+        plan = plan_slices(vals, "_v", "_tie", rows_per_slice, tie_kind="hash")
+        plan.heavy_buckets = []  # equal values need no order among themselves
+        n = plan.n_rows
+        if n == 0:
+            return None
+        r = q * (n - 1)
+        lo, hi = int(math.floor(r)), int(math.ceil(r))
+        sliced = with_slices(vals, plan, "_v", "_tie")
+        counts = sorted(sliced.groupBy(B).agg(F.count(F.lit(1)).alias("_n"),
+                                              F.min("_v").alias("_a"), F.max("_v").alias("_z"))
+                        .collect(), key=lambda x: x[B])
+        got, acc = {}, 0
+        for row in counts:
+            for rank in (lo, hi):
+                if acc <= rank < acc + row["_n"]:
+                    if row["_a"] == row["_z"]:
+                        got[rank] = row["_a"]
+                    else:
+                        w = Window.partitionBy(B).orderBy("_v")
+                        got[rank] = (sliced.filter(F.col(B) == row[B])
+                                     .withColumn("_rn", F.row_number().over(w))
+                                     .filter(F.col("_rn") == rank - acc + 1).first()["_v"])
+            acc += row["_n"]
+        return got[lo] + (r - lo) * (got[hi] - got[lo])
+    finally:
+        vals.unpersist()

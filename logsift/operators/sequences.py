@@ -254,3 +254,17 @@ def sequence_stats(sequences: DataFrame) -> DataFrame:
 def example_sequences(sequences: DataFrame, n: int = 5) -> DataFrame:
     """A7 examples: the first ``n`` sequence ids (a top-n report)."""
     return sequences.select("seq_id", "type", "length").orderBy("seq_id").limit(n)
+
+
+def block_pieces(ordered: OrderedLogs) -> DataFrame:
+    """Pieces of block sequences keyed by ``seq_id`` (``block_<id>``)."""
+    logs = (ordered.df.filter(F.col("block_id").isNotNull())
+            .withColumn("seq_id", F.concat(F.lit("block_"), F.col("block_id"))))
+    return sequence_pieces(logs, ["seq_id"])
+
+
+def window_pieces(windows: DataFrame, key: str = "window_id") -> DataFrame:
+    """Count windows are bounded, so each window is a single piece."""
+    return windows.select(key, F.lit(0).alias(O.B), F.lit(0).cast("long").alias(O.S),
+                          F.col("template_sequence").alias("ids"),
+                          F.size("template_sequence").alias("n"))

@@ -8,8 +8,8 @@ slice / piece machinery).
 
 from __future__ import annotations
 
-from logsift.plans.queries import (COUNT_WINDOW, COUNT_WINDOW_OVERLAP, TIME_WINDOW,
-                                   TIME_WINDOW_OVERLAP)
+from logsift.plans.queries import (COUNT_WINDOW, COUNT_WINDOW_OVERLAP, RULE_CUT, RULE_TEMPLATE,
+                                   TIME_WINDOW, TIME_WINDOW_OVERLAP, VOCAB_TOPK, WINDOW_VOCAB)
 from logsift.sources.fixtures import TEMPLATE_RULE_SQL, oracle_labels_cte, oracle_lines_cte
 
 _PAT = r"^([0-9]{6}) ([0-9]{6}) ([0-9]+) ([A-Za-z0-9_]+) ([^:]+): (.+)"
@@ -103,6 +103,77 @@ mem AS (SELECT line_no, unnest(generate_series(klo, khi)) AS k FROM r WHERE klo
 ids AS (SELECT k, row_number() OVER (ORDER BY k) - 1 AS wid FROM (SELECT DISTINCT k FROM mem))"""
 
 
+BLOCK_TERMS = f"""{BLOCKS},
+ev AS (SELECT 'block_' || block_id AS seq_id, template_id,
+        lead(template_id) OVER (PARTITION BY block_id ORDER BY ts_us, line_no) AS nxt
+      FROM valid WHERE block_id IS NOT NULL),
+terms AS (SELECT seq_id, CAST(template_id AS VARCHAR) AS term FROM ev
+          UNION ALL SELECT seq_id, CAST(template_id AS VARCHAR) || ' ' || CAST(nxt AS VARCHAR) FROM ev
+          WHERE nxt IS NOT NULL),
+tf AS (SELECT seq_id, term, count(*) AS tf FROM terms GROUP BY seq_id, term),
+nd AS (SELECT count(DISTINCT seq_id) AS n FROM ev),
+st AS (SELECT term, sum(tf) AS cf, count(*) AS doc_freq FROM tf GROUP BY term)"""
+
+
+def _tfidf_sql(key: str, k: int) -> str:
+    return f"""vocab AS (SELECT term, ln((1 + n) / (1 + doc_freq)) + 1 AS idf
+        FROM (SELECT * FROM st ORDER BY cf DESC, term ASC LIMIT {k}) s, nd),
+tw AS (SELECT tf.{key}, tf.term, tf.tf * v.idf AS w FROM tf JOIN vocab v USING (term))
+SELECT {key}, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY {key})), 6) AS tfidf FROM tw"""
+
+
+WINDOW_TERMS = f"""{_windows_mem_sql(*COUNT_WINDOW)},
+kept AS (SELECT mem.j, mem.pos, mem.template_id FROM mem JOIN w USING (j)),
+ev AS (SELECT 'window_' || CAST(j AS VARCHAR) AS window_id, template_id,
+        lead(template_id) OVER (PARTITION BY j ORDER BY pos) AS nxt FROM kept),
+terms AS (SELECT window_id, CAST(template_id AS VARCHAR) AS term FROM ev
+          UNION ALL SELECT window_id, CAST(template_id AS VARCHAR) || ' ' || CAST(nxt AS VARCHAR) FROM ev
+          WHERE nxt IS NOT NULL),
+tf AS (SELECT window_id, term, count(*) AS tf FROM terms GROUP BY window_id, term),
+nd AS (SELECT count(*) AS n FROM w),
+st AS (SELECT term, sum(tf) AS cf, count(*) AS doc_freq FROM tf GROUP BY term)"""
+
+
+def _scaled(cols: list[str], key: str, src: str) -> str:
+    parts = ", ".join(
+        f"round(coalesce((CAST({c} AS DOUBLE) - avg({c}) OVER ()) / nullif(stddev_pop({c}) OVER (), 0), 0), 6)"
+        f" AS {c}_scaled" for c in cols)
+    return f"SELECT {key}, {parts} FROM {src}"
+
+
+WINDOWS_TABLE = f"""{_windows_mem_sql(*COUNT_WINDOW)},
+wt AS (SELECT 'window_' || CAST(j AS VARCHAR) AS window_id, log_count, (e_us - s_us) / 1e6 AS time_span,
+        unique_templates FROM w)"""
+
+SCORED = f"""{BLOCKS},
+scored AS (SELECT t.block_id, t.anomaly_binary_val AS label, s.score,
+        CAST(s.score > {RULE_CUT} AS INTEGER) AS prediction
+      FROM training t JOIN (SELECT 'block_' || block_id AS block_id,
+        avg(CASE WHEN template_id = {RULE_TEMPLATE} THEN 1.0 ELSE 0.0 END) AS score
+        FROM valid WHERE block_id IS NOT NULL GROUP BY block_id) s USING (block_id)
+      WHERE t.anomaly_binary_val IN (0, 1)),
+cells AS (SELECT count(*) FILTER (WHERE label = 1 AND prediction = 1) AS tp,
+        count(*) FILTER (WHERE label = 0 AND prediction = 1) AS fp,
+        count(*) FILTER (WHERE label = 1 AND prediction = 0) AS fn,
+        count(*) FILTER (WHERE label = 0 AND prediction = 0) AS tn FROM scored)"""
+
+
+def _d(a: str, b: str) -> str:
+    return f"(CASE WHEN ({b}) = 0 THEN 0.0 ELSE ({a}) / ({b}) END)"
+
+
+_P1, _R1 = _d("tp", "tp + fp"), _d("tp", "tp + fn")
+_P0, _R0 = _d("tn", "tn + fn"), _d("tn", "tn + fp")
+
+CLASS_REPORT = f"""{SCORED},
+pr AS (SELECT {_P0} AS p0, {_R0} AS r0, {_P1} AS p1, {_R1} AS r1, tn + fp AS s0, tp + fn AS s1 FROM cells),
+fr AS (SELECT *, {_d("2 * p0 * r0", "p0 + r0")} AS f0, {_d("2 * p1 * r1", "p1 + r1")} AS f1 FROM pr)
+SELECT '0' AS class, round(p0, 6) AS precision, round(r0, 6) AS recall, round(f0, 6) AS f1, s0 AS support FROM fr
+UNION ALL SELECT '1', round(p1, 6), round(r1, 6), round(f1, 6), s1 FROM fr
+UNION ALL SELECT 'macro avg', round((p0 + p1) / 2, 6), round((r0 + r1) / 2, 6), round((f0 + f1) / 2, 6), s0 + s1 FROM fr
+UNION ALL SELECT 'weighted avg', round({_d("p0 * s0 + p1 * s1", "s0 + s1")}, 6),
+    round({_d("r0 * s0 + r1 * s1", "s0 + s1")}, 6), round({_d("f0 * s0 + f1 * s1", "s0 + s1")}, 6), s0 + s1 FROM fr"""
+
 ORACLE = {
     "parse_logs": f"""{BASE}
 SELECT line_no, epoch_us(ts) AS ts_us, level, component, message, block_id, raw_line, template_id FROM parsed""",
@@ -141,4 +212,38 @@ SELECT 'time_span' AS "column", count(time_span) AS count, round(avg(time_span),
        round(stddev_samp(time_span), 6) AS std, round(min(time_span), 6) AS min,
        round(quantile_cont(time_span, 0.25), 6) AS p25, round(quantile_cont(time_span, 0.5), 6) AS p50,
        round(quantile_cont(time_span, 0.75), 6) AS p75, round(max(time_span), 6) AS max FROM training""",
+    "ngram_counts": f"""{BLOCK_TERMS}
+SELECT seq_id, term, tf FROM tf""",
+    "vocab_topk": f"""{BLOCK_TERMS}
+SELECT term, cf, doc_freq, round(ln((1 + n) / (1 + doc_freq)) + 1, 6) AS idf
+FROM (SELECT * FROM st ORDER BY cf DESC, term ASC LIMIT {VOCAB_TOPK}) s, nd""",
+    "tfidf": f"""{BLOCK_TERMS},
+{_tfidf_sql("seq_id", 1000)}""",
+    "tfidf_windows": f"""{WINDOW_TERMS},
+{_tfidf_sql("window_id", WINDOW_VOCAB)}""",
+    "scaled_metadata": f"""{BLOCKS}
+{_scaled(["length", "time_span"], "seq_id AS block_id", "blocks").replace("length_scaled", "sequence_length_scaled")}""",
+    "scaled_window_metadata": f"""{WINDOWS_TABLE}
+{_scaled(["log_count", "time_span", "unique_templates"], "window_id", "wt")}""",
+    "stratified_split": f"""{BLOCKS},
+sp AS (SELECT block_id, anomaly_binary_val AS y,
+        ('0x' || substr(md5('42|' || block_id), 1, 13))::BIGINT / 4503599627370496.0 AS u
+      FROM training WHERE anomaly_binary_val IN (0, 1)),
+r AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY u, block_id) - 1 AS rk,
+        count(*) OVER (PARTITION BY y) AS nc FROM sp)
+SELECT block_id, y AS anomaly_binary_val,
+       CASE WHEN rk < ceil(nc * 0.2) THEN 'test'
+            WHEN rk < ceil(nc * 0.2) + ceil((nc - ceil(nc * 0.2)) * 0.1) THEN 'validation'
+            ELSE 'train' END AS split FROM r
+UNION ALL SELECT block_id, anomaly_binary_val, NULL FROM training
+WHERE anomaly_binary_val IS NULL OR anomaly_binary_val NOT IN (0, 1)""",
+    "confusion": f"""{SCORED}
+SELECT 0 AS label, 0 AS prediction, tn AS n FROM cells UNION ALL SELECT 0, 1, fp FROM cells
+UNION ALL SELECT 1, 0, fn FROM cells UNION ALL SELECT 1, 1, tp FROM cells""",
+    "class_report": CLASS_REPORT,
+    "roc_auc": f"""{SCORED},
+s AS (SELECT score, sum(label) AS pos, sum(1 - label) AS neg FROM scored GROUP BY score),
+c AS (SELECT *, sum(neg) OVER (ORDER BY score ROWS UNBOUNDED PRECEDING) - neg AS below FROM s)
+SELECT round(sum(pos * (below + 0.5 * neg)) / (sum(pos) * sum(neg)), 6) AS auc,
+       CAST(sum(pos) AS BIGINT) AS positives, CAST(sum(neg) AS BIGINT) AS negatives FROM c""",
 }

@@ -13,7 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logsift.functions import parse as P
+from logsift.operators import features as FT
 from logsift.operators import labels as L
+from logsift.operators import metrics as M
+from logsift.operators import split as SP
 from logsift.operators import sequences as Q
 from logsift.sources import fixtures as X
 from logsift.sources import logs as G
@@ -151,6 +154,105 @@ def q_column_summary(spark, sf_dir):
                                          ["mean", "std", "min", "p25", "p50", "p75", "max"]])
 
 
+# -- features -----------------------------------------------------------------
+
+NGRAMS = (1, 2)
+VOCAB_TOPK = 10
+WINDOW_VOCAB = 20
+
+
+def _block_terms(spark, sf_dir):
+    o = ordered_fixture(spark, sf_dir)
+    return o, FT.ngram_terms(Q.block_pieces(o), ["seq_id"], NGRAMS)
+
+
+def q_ngram_counts(spark, sf_dir):
+    _, t = _block_terms(spark, sf_dir)
+    return t.select("seq_id", "term", F.col("tf").cast("long").alias("tf"))
+
+
+def q_vocab_topk(spark, sf_dir):
+    o, t = _block_terms(spark, sf_dir)
+    n_docs = Q.block_pieces(o).select("seq_id").distinct().count()
+    top = FT.top_terms(t, VOCAB_TOPK)
+    return top.select("term", F.col("cf").cast("long").alias("cf"),
+                      F.col("doc_freq").cast("long").alias("doc_freq"),
+                      r6(F.log((F.lit(1 + n_docs)) / (F.col("doc_freq") + 1)) + 1).alias("idf"))
+
+
+def q_tfidf(spark, sf_dir):
+    o, t = _block_terms(spark, sf_dir)
+    n_docs = Q.block_pieces(o).select("seq_id").distinct().count()
+    model = FT.fit_tfidf(t, n_docs, 1000)
+    return FT.tfidf(t, model, ["seq_id"]).select("seq_id", "term", r6(F.col("tfidf")).alias("tfidf"))
+
+
+def _count_windows(spark, sf_dir):
+    return Q.count_windows(ordered_fixture(spark, sf_dir), *COUNT_WINDOW)
+
+
+def q_tfidf_windows(spark, sf_dir):
+    w = _count_windows(spark, sf_dir)
+    t = FT.ngram_terms(Q.window_pieces(w), ["window_id"], NGRAMS)
+    model = FT.fit_tfidf(t, w.count(), WINDOW_VOCAB)
+    return FT.tfidf(t, model, ["window_id"]).select("window_id", "term",
+                                                   r6(F.col("tfidf")).alias("tfidf"))
+
+
+def q_scaled_metadata(spark, sf_dir):
+    b = Q.block_sequences(ordered_fixture(spark, sf_dir)).withColumnRenamed("length", "sequence_length")
+    sc = FT.scale(b, FT.BLOCK_META)
+    return sc.select(F.col("seq_id").alias("block_id"),
+                     *[r6(F.col(c + "_scaled")).alias(c + "_scaled") for c in FT.BLOCK_META])
+
+
+def q_scaled_window_metadata(spark, sf_dir):
+    sc = FT.scale(_count_windows(spark, sf_dir), FT.WINDOW_META)
+    return sc.select("window_id", *[r6(F.col(c + "_scaled")).alias(c + "_scaled")
+                                    for c in FT.WINDOW_META])
+
+
+# -- split / metrics ------------------------------------------------------------
+
+RULE_TEMPLATE, RULE_CUT = 3, 0.2
+
+
+def _rule_scored(spark, sf_dir):
+    """Blocks scored by a frequency rule (share of one template) -- a stand-in
+    classifier whose outputs SQL can reproduce, so the metric operators have
+    an oracle."""
+    t = _training(spark, sf_dir).filter(F.col("anomaly_binary_val").isin(0, 1))
+    share = (F.size(F.filter("template_sequence", lambda x: x == RULE_TEMPLATE))
+             / F.col("sequence_length"))
+    return t.select("block_id", F.col("anomaly_binary_val").alias("label"),
+                    share.alias("score"), (share > RULE_CUT).cast("int").alias("prediction"))
+
+
+def q_stratified_split(spark, sf_dir):
+    s = SP.stratified_split(_training(spark, sf_dir), "block_id", "anomaly_binary_val")
+    return s.select("block_id", F.col("anomaly_binary_val").cast("long").alias("anomaly_binary_val"),
+                    "split")
+
+
+def q_confusion(spark, sf_dir):
+    c = M.confusion(_rule_scored(spark, sf_dir))
+    return c.select(F.col("label").cast("long").alias("label"),
+                    F.col("prediction").cast("long").alias("prediction"),
+                    F.col("n").cast("long").alias("n"))
+
+
+def q_class_report(spark, sf_dir):
+    r = M.class_report(_rule_scored(spark, sf_dir))
+    return r.select("class", r6(F.col("precision")).alias("precision"),
+                    r6(F.col("recall")).alias("recall"), r6(F.col("f1")).alias("f1"),
+                    F.col("support").cast("long").alias("support"))
+
+
+def q_roc_auc(spark, sf_dir):
+    a = M.roc_auc(_rule_scored(spark, sf_dir), "label", "score")
+    return a.select(r6(F.col("auc")).alias("auc"), "positives", "negatives")
+
+
 QUERIES = {
     "parse_logs": q_parse_logs,
     "parse_stats": q_parse_stats,
@@ -167,4 +269,14 @@ QUERIES = {
     "block_training": q_block_training,
     "label_distribution": q_label_distribution,
     "column_summary": q_column_summary,
+    "ngram_counts": q_ngram_counts,
+    "vocab_topk": q_vocab_topk,
+    "tfidf": q_tfidf,
+    "tfidf_windows": q_tfidf_windows,
+    "scaled_metadata": q_scaled_metadata,
+    "scaled_window_metadata": q_scaled_window_metadata,
+    "stratified_split": q_stratified_split,
+    "confusion": q_confusion,
+    "class_report": q_class_report,
+    "roc_auc": q_roc_auc,
 }
