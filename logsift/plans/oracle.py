@@ -8,8 +8,9 @@ slice / piece machinery).
 
 from __future__ import annotations
 
-from logsift.plans.queries import (COUNT_WINDOW, COUNT_WINDOW_OVERLAP, RULE_CUT, RULE_TEMPLATE,
-                                   TIME_WINDOW, TIME_WINDOW_OVERLAP, VOCAB_TOPK, WINDOW_VOCAB)
+from logsift.plans.queries import (CONTAMINATION, COUNT_WINDOW, COUNT_WINDOW_OVERLAP, RULE_CUT,
+                                   RULE_TEMPLATE, TIME_WINDOW, TIME_WINDOW_OVERLAP, TOP_N,
+                                   VOCAB_TOPK, WINDOW_VOCAB)
 from logsift.sources.fixtures import TEMPLATE_RULE_SQL, oracle_labels_cte, oracle_lines_cte
 
 _PAT = r"^([0-9]{6}) ([0-9]{6}) ([0-9]+) ([A-Za-z0-9_]+) ([^:]+): (.+)"
@@ -57,7 +58,7 @@ FROM w"""
 def _windows_mem_sql(size: int, overlap: int) -> str:
     step = size - overlap
     return f"""{BASE},
-o AS (SELECT line_no, ts_us, template_id, row_number() OVER (ORDER BY ts_us, line_no) - 1 AS pos,
+o AS (SELECT line_no, ts_us, template_id, block_id, row_number() OVER (ORDER BY ts_us, line_no) - 1 AS pos,
         count(*) OVER () AS n FROM valid),
 r AS (SELECT *, CASE WHEN pos - {size} + 1 <= 0 THEN 0 ELSE (pos - {size} + {step}) // {step} END AS jlo,
         least(pos // {step}, (n - 1) // {step}) AS jhi FROM o),
@@ -65,7 +66,8 @@ mem AS (SELECT *, unnest(generate_series(jlo, jhi)) AS j FROM r WHERE jlo <= jhi
 w AS (SELECT j, any_value(n) AS n, count(*) AS log_count,
         arg_min(ts_us, pos) AS s_us, arg_max(ts_us, pos) AS e_us,
         string_agg(CAST(template_id AS VARCHAR), ',' ORDER BY pos) AS template_sequence_str,
-        count(DISTINCT template_id) AS unique_templates
+        count(DISTINCT template_id) AS unique_templates,
+        -avg(CASE WHEN template_id = {RULE_TEMPLATE} THEN 1.0 ELSE 0.0 END) AS rule_score
       FROM mem GROUP BY j HAVING count(*) >= {size // 2})"""
 
 
@@ -246,4 +248,24 @@ s AS (SELECT score, sum(label) AS pos, sum(1 - label) AS neg FROM scored GROUP B
 c AS (SELECT *, sum(neg) OVER (ORDER BY score ROWS UNBOUNDED PRECEDING) - neg AS below FROM s)
 SELECT round(sum(pos * (below + 0.5 * neg)) / (sum(pos) * sum(neg)), 6) AS auc,
        CAST(sum(pos) AS BIGINT) AS positives, CAST(sum(neg) AS BIGINT) AS negatives FROM c""",
+    "contamination_threshold": f"""{_windows_mem_sql(*COUNT_WINDOW)}
+SELECT round(quantile_cont(rule_score, {CONTAMINATION}), 6) AS threshold FROM w""",
+    "top_windows": f"""{_windows_mem_sql(*COUNT_WINDOW)}
+SELECT window_id, round(rule_score, 6) AS anomaly_score, CAST(log_count AS BIGINT) AS log_count
+FROM (SELECT 'window_' || CAST(j AS VARCHAR) AS window_id, rule_score, log_count FROM w)
+ORDER BY rule_score, window_id LIMIT {TOP_N}""",
+    "evaluate_windows": f"""{_windows_mem_sql(*COUNT_WINDOW)},
+thr AS (SELECT quantile_cont(rule_score, {CONTAMINATION}) AS t FROM w),
+pred AS (SELECT j, CASE WHEN rule_score >= t THEN 0 ELSE 1 END AS is_anomaly FROM w, thr),
+bad AS (SELECT block_key FROM labels_n WHERE label = 'Anomaly'),
+hits AS (SELECT DISTINCT j FROM mem JOIN bad ON 'block_' || mem.block_id = bad.block_key),
+ev AS (SELECT p.is_anomaly, CASE WHEN h.j IS NULL THEN 0 ELSE 1 END AS truth FROM pred p LEFT JOIN hits h USING (j)),
+c AS (SELECT count(*) FILTER (WHERE truth = 1 AND is_anomaly = 1) AS tp,
+        count(*) FILTER (WHERE truth = 0 AND is_anomaly = 1) AS fp,
+        count(*) FILTER (WHERE truth = 1 AND is_anomaly = 0) AS fn,
+        count(*) FILTER (WHERE truth = 0 AND is_anomaly = 0) AS tn FROM ev),
+pr AS (SELECT *, {_d("tp", "tp + fp")} AS p, {_d("tp", "tp + fn")} AS r FROM c)
+SELECT round(p, 6) AS precision, round(r, 6) AS recall, round({_d("2 * p * r", "p + r")}, 6) AS f1_score,
+       tp AS true_positives, fp AS false_positives, tn AS true_negatives, fn AS false_negatives,
+       tp + fp + tn + fn AS total, tp + fn AS actual_positives, tp + fp AS predicted_positives FROM pr""",
 }

@@ -16,6 +16,7 @@ from logsift.functions import parse as P
 from logsift.operators import features as FT
 from logsift.operators import labels as L
 from logsift.operators import metrics as M
+from logsift.operators import outliers as OL
 from logsift.operators import split as SP
 from logsift.operators import sequences as Q
 from logsift.sources import fixtures as X
@@ -253,6 +254,70 @@ def q_roc_auc(spark, sf_dir):
     return a.select(r6(F.col("auc")).alias("auc"), "positives", "negatives")
 
 
+# -- outlier reports -------------------------------------------------------------
+
+CONTAMINATION, TOP_N = 0.1, 10
+
+
+def _window_rule(spark, sf_dir):
+    """Count windows scored by a frequency rule (minus the share of one
+    template; lower = more anomalous) so threshold, top-N and evaluation have
+    a SQL oracle."""
+    o = ordered_fixture(spark, sf_dir)
+    pos = Q.log_positions(o)
+    w = Q.count_windows(o, *COUNT_WINDOW, positions=pos)
+    share = F.size(F.filter("template_sequence", lambda x: x == RULE_TEMPLATE)) / F.col("log_count")
+    return o, pos, w.select("window_id", "log_count", (-share).alias("anomaly_score"))
+
+
+def q_contamination_threshold(spark, sf_dir):
+    _, _, scored = _window_rule(spark, sf_dir)
+    t = OL.contamination_threshold(scored, CONTAMINATION)
+    return spark.createDataFrame([(None if t is None else round(t, 6),)], "threshold double")
+
+
+def q_top_windows(spark, sf_dir):
+    _, _, scored = _window_rule(spark, sf_dir)
+    top = OL.top_anomalous(scored, TOP_N)
+    return top.select("window_id", r6(F.col("anomaly_score")).alias("anomaly_score"),
+                      F.col("log_count").cast("long").alias("log_count"))
+
+
+def q_evaluate_windows(spark, sf_dir):
+    o, pos, scored = _window_rule(spark, sf_dir)
+    t = OL.contamination_threshold(scored, CONTAMINATION)
+    pred = OL.flag(scored, t)
+    mem = Q.count_window_membership(pos, o.n_rows, *COUNT_WINDOW)
+    truth = OL.window_truth(mem, labels_fixture(spark, sf_dir)).select(
+        F.concat(F.lit("window_"), F.col("_j").cast("string")).alias("window_id"), "truth")
+    ev = OL.evaluate_windows(pred, truth)
+    return ev.select(*[r6(F.col(c)).alias(c) for c in ("precision", "recall", "f1_score")],
+                     *[F.col(c).cast("long").alias(c) for c in
+                       ("true_positives", "false_positives", "true_negatives", "false_negatives",
+                        "total", "actual_positives", "predicted_positives")])
+
+
+# -- models (rows-only checks: library-grade randomness has no SQL twin) -----------
+
+def q_isolation_forest(spark, sf_dir):
+    from logsift.plans.runs import run_windows
+    run = run_windows(ordered_fixture(spark, sf_dir), labels_fixture(spark, sf_dir))
+    return run.scored.select("window_id", "anomaly_score", "is_anomaly")
+
+
+def _block_run(spark, sf_dir, models):
+    from logsift.plans.runs import run_blocks
+    return run_blocks(ordered_fixture(spark, sf_dir), labels_fixture(spark, sf_dir), models=models)
+
+
+def q_logreg(spark, sf_dir):
+    return _block_run(spark, sf_dir, ("logistic_regression",)).report
+
+
+def q_boosted(spark, sf_dir):
+    return _block_run(spark, sf_dir, ("boosted_trees",)).report
+
+
 QUERIES = {
     "parse_logs": q_parse_logs,
     "parse_stats": q_parse_stats,
@@ -279,4 +344,10 @@ QUERIES = {
     "confusion": q_confusion,
     "class_report": q_class_report,
     "roc_auc": q_roc_auc,
+    "contamination_threshold": q_contamination_threshold,
+    "top_windows": q_top_windows,
+    "evaluate_windows": q_evaluate_windows,
+    "isolation_forest": q_isolation_forest,
+    "logreg": q_logreg,
+    "boosted": q_boosted,
 }
