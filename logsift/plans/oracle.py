@@ -268,4 +268,11 @@ pr AS (SELECT *, {_d("tp", "tp + fp")} AS p, {_d("tp", "tp + fn")} AS r FROM c)
 SELECT round(p, 6) AS precision, round(r, 6) AS recall, round({_d("2 * p * r", "p + r")}, 6) AS f1_score,
        tp AS true_positives, fp AS false_positives, tn AS true_negatives, fn AS false_negatives,
        tp + fp + tn + fn AS total, tp + fn AS actual_positives, tp + fp AS predicted_positives FROM pr""",
+    "token_patterns": f"""{BASE},
+tk AS (SELECT line_no, list_transform(string_split_regex(trim(message), '\\s+'),
+        lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS toks FROM parsed)
+SELECT array_to_string(toks, ' ') AS pattern, CAST(any_value(len(toks)) AS BIGINT) AS token_count,
+       any_value(array_to_string(list_slice(toks, 1, 2), ' ')) AS leaf_prefix,
+       CAST(count(*) AS BIGINT) AS lines, min(line_no) AS first_line
+FROM tk GROUP BY array_to_string(toks, ' ')""",
 }

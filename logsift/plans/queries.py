@@ -318,6 +318,21 @@ def q_boosted(spark, sf_dir):
     return _block_run(spark, sf_dir, ("boosted_trees",)).report
 
 
+# -- templates --------------------------------------------------------------------
+
+def q_token_patterns(spark, sf_dir):
+    from logsift.operators.templates import token_patterns
+    t = token_patterns(G.parse_logs(X.log_lines(spark, sf_dir), templates=None))
+    return t.select("pattern", F.col("token_count").cast("long").alias("token_count"), "leaf_prefix",
+                    F.col("lines").cast("long").alias("lines"), "first_line")
+
+
+def q_templates(spark, sf_dir):
+    p = G.parse_logs(X.log_lines(spark, sf_dir), templates="mine")
+    return p.groupBy("template_id", "template_str").agg(F.count(F.lit(1)).alias("lines"),
+                                                        F.min("line_no").alias("first_line"))
+
+
 QUERIES = {
     "parse_logs": q_parse_logs,
     "parse_stats": q_parse_stats,
@@ -350,4 +365,6 @@ QUERIES = {
     "isolation_forest": q_isolation_forest,
     "logreg": q_logreg,
     "boosted": q_boosted,
+    "token_patterns": q_token_patterns,
+    "templates": q_templates,
 }
