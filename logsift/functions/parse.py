@@ -30,8 +30,30 @@ EPOCH_NTZ = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
 
 def clean_line(value: Column) -> Column:
-    """Drop undecodable-byte markers and strip surrounding white space."""
-    return F.regexp_replace(F.regexp_replace(value, REPLACEMENT_CHAR, ""), STRIP_PATTERN, "")
+    """Drop undecodable-byte markers and strip surrounding white space.
+
+    The strip regex only runs when the first or last character is white
+    space; most lines pay two one-character checks."""
+    v = F.replace(value, F.lit(REPLACEMENT_CHAR), F.lit(""))
+    ends = F.concat(F.substring(v, 1, 1), F.substring(v, -1, 1))
+    return F.when(ends.rlike(_WS), F.regexp_replace(v, STRIP_PATTERN, "")).otherwise(v)
+
+
+def header_fields(line: Column) -> dict:
+    """Fields of a line already known to match ``LINE_PATTERN``.
+
+    The first four fields hold no spaces and are single-space separated, so
+    ``split(line, ' ', 5)`` returns them plus the rest; the component is the
+    rest up to its first ``:`` (``[^:]+``) and the message starts two
+    characters later (after ``: ``).  Equal to the regex groups, at a fraction
+    of the cost of six regex extractions."""
+    parts = F.split(line, " ", 5)
+    item = lambda i: F.get(parts, i)  # noqa: E731  (NULL, not an error, on short lines)
+    rest = item(4)
+    component = F.substring_index(rest, ":", 1)
+    message = rest.substr(F.length(component) + 3, F.length(rest))
+    return {"date": item(0), "time": item(1), "third": item(2),
+            "level": item(3), "component": component, "message": message}
 
 
 def line_matches(line: Column) -> Column:

@@ -25,15 +25,20 @@ PRIORITY_COLUMNS = ["timestamp", "level", "component", "message", "block_id", "s
                     "raw_line"]
 
 
+ORDER_COLUMNS = ["line_no", "timestamp", TS_US, "block_id", "template_id"]
+
+
 @dataclass
 class OrderedLogs:
-    """Parsed logs with a valid timestamp, their key column and a slice plan."""
-    df: DataFrame          # valid logs + _ts_us + _sb/_ss
+    """Logs with a valid timestamp: a narrow persisted copy with the key column
+    and order slices (``df``), the full rows (``full``) and a slice plan."""
+    df: DataFrame          # ORDER_COLUMNS + _sb/_ss (persisted, ~30 bytes a row)
     plan: O.SlicePlan
     n_rows: int
     min_us: int | None
     max_us: int | None
     cached: DataFrame | None = None
+    full: DataFrame | None = None  # every parsed column + _ts_us (not persisted here)
 
     def release(self) -> None:
         """Drop the persisted copy of the valid logs."""
@@ -48,14 +53,14 @@ def order_logs(parsed: DataFrame, rows_per_slice: int = 4_000_000) -> OrderedLog
     should be persisted (or written) by the caller since several operators and
     the planning actions read it.
     """
-    valid = (parsed.filter(F.col("timestamp").isNotNull())
-             .withColumn(TS_US, P.epoch_micros(F.col("timestamp")))
-             .persist(StorageLevel.MEMORY_AND_DISK))
+    full = (parsed.filter(F.col("timestamp").isNotNull())
+            .withColumn(TS_US, P.epoch_micros(F.col("timestamp"))))
+    valid = full.select(*ORDER_COLUMNS).persist(StorageLevel.MEMORY_AND_DISK)
     st = valid.agg(F.count(F.lit(1)).alias("n"), F.min(TS_US).alias("lo"),
                    F.max(TS_US).alias("hi")).first()
     plan = O.plan_slices(valid, TS_US, "line_no", rows_per_slice, n_rows=st["n"])
     sliced = O.with_slices(valid, plan, TS_US, "line_no")
-    return OrderedLogs(sliced, plan, st["n"], st["lo"], st["hi"], valid)
+    return OrderedLogs(sliced, plan, st["n"], st["lo"], st["hi"], valid, full)
 
 
 def _pieces(df: DataFrame, seq_cols: list[str], value_col: str = "template_id") -> DataFrame:
@@ -112,15 +117,16 @@ def _check_step(size, overlap) -> int:
 
 
 def time_window_membership(ordered: OrderedLogs, window_size_seconds: int = 60,
-                           overlap_seconds: int = 0) -> DataFrame:
+                           overlap_seconds: int = 0, rows: DataFrame | None = None) -> DataFrame:
     """(log row, window index k) for every window that holds the log.
 
     Windows start at min_ts + k*step while the start is before max_ts and are
     half-open [start, start + size).  Index range per row by arithmetic, then
     ``explode(sequence(lo, hi))``: rows grow by size/step at most, no join."""
     step = _check_step(window_size_seconds, overlap_seconds)
+    src = ordered.df if rows is None else rows
     if ordered.n_rows == 0:
-        return ordered.df.withColumn("_k", F.lit(None).cast("long")).limit(0)
+        return src.withColumn("_k", F.lit(None).cast("long")).limit(0)
     Z, S = int(window_size_seconds * 1_000_000), int(step * 1_000_000)
     lo_us, span = ordered.min_us, ordered.max_us - ordered.min_us
     o = F.col(TS_US) - F.lit(lo_us)
@@ -129,7 +135,7 @@ def time_window_membership(ordered: OrderedLogs, window_size_seconds: int = 60,
     # last usable index: k*S < span
     kmax = (span - 1) // S if span > 0 else -1
     hi = F.least(hi, F.lit(kmax))
-    return (ordered.df.withColumn("_klo", lo.cast("long")).withColumn("_khi", hi.cast("long"))
+    return (src.withColumn("_klo", lo.cast("long")).withColumn("_khi", hi.cast("long"))
             .filter(F.col("_klo") <= F.col("_khi"))
             .withColumn("_k", F.explode(F.sequence("_klo", "_khi")))
             .drop("_klo", "_khi"))
@@ -220,7 +226,7 @@ def _order_columns(df: DataFrame) -> DataFrame:
 
 def block_logs(ordered: OrderedLogs) -> DataFrame:
     """J5/PF10 for blocks: every block log tagged with its sequence (1:1)."""
-    logs = ordered.df.filter(F.col("block_id").isNotNull()).drop(O.B, O.S, TS_US)
+    logs = ordered.full.filter(F.col("block_id").isNotNull()).drop(TS_US)
     return _order_columns(logs.withColumn("sequence_id", F.concat(F.lit("block_"), F.col("block_id")))
                           .withColumn("sequence_type", F.lit("block")))
 
@@ -229,8 +235,8 @@ def window_logs(ordered: OrderedLogs, window_size_seconds: int = 60, overlap_sec
                 membership: DataFrame | None = None) -> DataFrame:
     """J5/PF10 for time windows: one row per (log, window) -- overlap duplicates logs."""
     mem = membership if membership is not None else time_window_membership(
-        ordered, window_size_seconds, overlap_seconds)
-    ids = O.dense_ids(mem, "_k", "_wid")
+        ordered, window_size_seconds, overlap_seconds, rows=ordered.full)
+    ids = O.dense_ids(mem.select("_k"), "_k", "_wid")
     return _order_columns(
         mem.join(ids, "_k")
         .withColumn("sequence_id", F.concat(F.lit("time_"), F.col("_wid").cast("string")))

@@ -8,6 +8,7 @@ one line; nothing is sampled.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,9 +47,14 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
-def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """DataFrame[line_no bigint, value string]: one derived log line per event."""
-    return spark.sql(LOG_LINES_SQL, events=events(spark, sf_dir))
+def log_lines(spark: SparkSession, sf_dir: str, persist: bool = True) -> DataFrame:
+    """DataFrame[line_no bigint, value string]: one derived log line per event.
+
+    Persisted by default: the line text is the input of every log query, and
+    materialising it keeps the fixture expression out of the parse stage's
+    generated code (which would otherwise exceed the JVM method size limit)."""
+    df = spark.sql(LOG_LINES_SQL, events=events(spark, sf_dir))
+    return df.persist(StorageLevel.MEMORY_AND_DISK) if persist else df
 
 
 def label_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

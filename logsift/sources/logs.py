@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,12 +54,13 @@ def _fields(lines: DataFrame, line_col: str, date_layout: str) -> DataFrame:
     """All lines with parsed fields; ``_ok`` tells whether the line parsed."""
     clean = lines.select("line_no", P.clean_line(F.col(line_col)).alias("raw_line"))
     line = F.col("raw_line")
+    h = P.header_fields(line)
+    ok = (F.length(line) > 0) & P.line_matches(line)
     return (clean
-            .select("line_no", "raw_line",
-                    ((F.length(line) > 0) & P.line_matches(line)).alias("_ok"),
-                    P.field(line, 1).alias("_d"), P.field(line, 2).alias("_t"),
-                    P.field(line, 3).alias("_f3"), P.field(line, 4).alias("level"),
-                    P.field(line, 5).alias("component"), P.field(line, 6).alias("message"))
+            .select("line_no", "raw_line", ok.alias("_ok"),
+                    h["date"].alias("_d"), h["time"].alias("_t"), h["third"].alias("_f3"),
+                    h["level"].alias("level"), h["component"].alias("component"),
+                    h["message"].alias("message"))
             .withColumn("timestamp", P.timestamp_from_fields(F.col("_d"), F.col("_t"),
                                                              F.col("_f3"), date_layout)))
 
@@ -91,8 +93,14 @@ def parse_logs(lines: DataFrame, templates: str | None = "mine", date_layout: st
 
     ``templates``: ``"mine"`` (template mining job), ``"fixture"`` (fixed rule on
     the message, used by oracle checks) or ``None`` (no template columns).
+
+    The parsed table feeds every later operator, so it is persisted here
+    (memory, spilling to disk); this also stops later filters from being
+    pushed into -- and duplicating -- the parse expressions.  Call
+    ``unpersist()`` on the result when done.
     """
     parsed = parse_lines(lines, date_layout=date_layout, all_blocks=all_blocks)
+    parsed = parsed.persist(StorageLevel.MEMORY_AND_DISK)
     if templates is None:
         return parsed
     if templates == "fixture":
