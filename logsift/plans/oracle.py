@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from logsift.plans.queries import (CONTAMINATION, COUNT_WINDOW, COUNT_WINDOW_OVERLAP, RULE_CUT,
                                    RULE_TEMPLATE, TIME_WINDOW, TIME_WINDOW_OVERLAP, TOP_N,
-                                   VOCAB_TOPK, WINDOW_VOCAB)
+                                   STREAM_GAP_SECONDS, VOCAB_TOPK, WINDOW_VOCAB)
 from logsift.sources.fixtures import TEMPLATE_RULE_SQL, oracle_labels_cte, oracle_lines_cte
 
 _PAT = r"^([0-9]{6}) ([0-9]{6}) ([0-9]+) ([A-Za-z0-9_]+) ([^:]+): (.+)"
@@ -275,4 +275,24 @@ SELECT array_to_string(toks, ' ') AS pattern, CAST(any_value(len(toks)) AS BIGIN
        any_value(array_to_string(list_slice(toks, 1, 2), ' ')) AS leaf_prefix,
        CAST(count(*) AS BIGINT) AS lines, min(line_no) AS first_line
 FROM tk GROUP BY array_to_string(toks, ' ')""",
+    "stream_time_windows": f"""{BASE},
+mx AS (SELECT max(ts_us) AS m FROM valid),
+sw AS (SELECT (ts_us // 3600000000) * 3600000000 AS start_us,
+        string_agg(CAST(template_id AS VARCHAR), ',' ORDER BY ts_us, line_no) AS template_sequence_str,
+        CAST(count(*) AS BIGINT) AS length FROM valid GROUP BY 1)
+SELECT start_us, start_us + 3600000000 AS end_us, template_sequence_str, length
+FROM sw, mx WHERE start_us + 3600000000 <= mx.m""",
+    "stream_block_sessions": f"""{BASE},
+mx AS (SELECT max(ts_us) AS m FROM valid),
+bk AS (SELECT block_id, ts_us, line_no, template_id,
+        CASE WHEN ts_us - lag(ts_us) OVER (PARTITION BY block_id ORDER BY ts_us, line_no)
+                  >= {STREAM_GAP_SECONDS * 1_000_000} THEN 1 ELSE 0 END AS brk
+      FROM valid WHERE block_id IS NOT NULL),
+ss AS (SELECT *, sum(brk) OVER (PARTITION BY block_id ORDER BY ts_us, line_no ROWS UNBOUNDED PRECEDING) AS sid FROM bk),
+g AS (SELECT block_id, sid, min(ts_us) AS start_us, max(ts_us) AS end_us,
+        string_agg(CAST(template_id AS VARCHAR), ',' ORDER BY ts_us, line_no) AS template_sequence_str,
+        CAST(count(*) AS BIGINT) AS length FROM ss GROUP BY block_id, sid)
+SELECT 'block_' || block_id AS seq_id, start_us, end_us, template_sequence_str, length,
+       round((end_us - start_us) / 1e6, 6) AS time_span
+FROM g, mx WHERE end_us + {STREAM_GAP_SECONDS * 1_000_000} <= mx.m""",
 }

@@ -333,6 +333,64 @@ def q_templates(spark, sf_dir):
                                                         F.min("line_no").alias("first_line"))
 
 
+# -- streaming -------------------------------------------------------------------
+
+STREAM_WINDOW = "3600 seconds"
+
+
+def _stream_lines(spark, sf_dir):
+    """The log fixture as a stream: a file stream over the ``events`` parquet
+    files, the fixture SQL applied to the streaming DataFrame."""
+    ev = X.events(spark, sf_dir)
+    stream = (spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1)
+              .option("pathGlobFilter", "events.parquet").parquet(sf_dir))
+    return spark.sql(X.LOG_LINES_SQL, events=stream)
+
+
+def q_stream_time_windows(spark, sf_dir):
+    """ST1 + ST2 run to completion (available-now trigger) into parquet under
+    the shared checkpoint folder; returns the sink's rows."""
+    import uuid
+
+    from logsift.sources.fixtures import fixture_template_id
+    from logsift.streaming import stream as ST
+
+    parsed = ST.parse_stream(_stream_lines(spark, sf_dir)).withColumn(
+        "template_id", fixture_template_id())
+    wins = ST.window_stream(parsed, STREAM_WINDOW)
+    tag = uuid.uuid4().hex
+    out = ST.checkpoint_location(spark, f"stw-out-{tag}")
+    ST.run_to_parquet(wins, out, ST.checkpoint_location(spark, f"stw-ckpt-{tag}"))
+    res = spark.read.parquet(out)
+    return res.select(us(F.col("start_time").cast("timestamp_ntz")).alias("start_us"),
+                      us(F.col("end_time").cast("timestamp_ntz")).alias("end_us"),
+                      P.ids_to_string(F.col("template_sequence")).alias("template_sequence_str"),
+                      F.col("length").cast("long").alias("length"))
+
+
+STREAM_GAP_SECONDS = 1800
+
+
+def q_stream_block_sessions(spark, sf_dir):
+    """ST3: block sequences closed after 30 minutes without a log of the block."""
+    import uuid
+
+    from logsift.sources.fixtures import fixture_template_id
+    from logsift.streaming import stream as ST
+
+    parsed = ST.parse_stream(_stream_lines(spark, sf_dir)).withColumn(
+        "template_id", fixture_template_id())
+    sess = ST.block_session_stream(parsed, f"{STREAM_GAP_SECONDS} seconds")
+    tag = uuid.uuid4().hex
+    out = ST.checkpoint_location(spark, f"sbs-out-{tag}")
+    ST.run_to_parquet(sess, out, ST.checkpoint_location(spark, f"sbs-ckpt-{tag}"))
+    res = spark.read.parquet(out)
+    return res.select("seq_id", us(F.col("start_time")).alias("start_us"),
+                      us(F.col("end_time")).alias("end_us"),
+                      P.ids_to_string(F.col("template_sequence")).alias("template_sequence_str"),
+                      F.col("length").cast("long").alias("length"), r6(F.col("time_span")).alias("time_span"))
+
+
 QUERIES = {
     "parse_logs": q_parse_logs,
     "parse_stats": q_parse_stats,
@@ -367,4 +425,6 @@ QUERIES = {
     "boosted": q_boosted,
     "token_patterns": q_token_patterns,
     "templates": q_templates,
+    "stream_time_windows": q_stream_time_windows,
+    "stream_block_sessions": q_stream_block_sessions,
 }
