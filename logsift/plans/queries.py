@@ -391,6 +391,15 @@ def q_stream_block_sessions(spark, sf_dir):
                       F.col("length").cast("long").alias("length"), r6(F.col("time_span")).alias("time_span"))
 
 
+def q_robust_cov(spark, sf_dir):
+    """OD5 on the scaled window metadata (log count, span, distinct templates)."""
+    from logsift.operators.robust_cov import fit_robust_covariance
+    w = FT.scale(_count_windows(spark, sf_dir), FT.WINDOW_META)
+    cols = [c + "_scaled" for c in FT.WINDOW_META]
+    m = fit_robust_covariance(w, cols, contamination=CONTAMINATION, key="window_id")
+    return m.predict(m.score(w)).select("window_id", "anomaly_score", "is_anomaly")
+
+
 QUERIES = {
     "parse_logs": q_parse_logs,
     "parse_stats": q_parse_stats,
@@ -421,6 +430,7 @@ QUERIES = {
     "top_windows": q_top_windows,
     "evaluate_windows": q_evaluate_windows,
     "isolation_forest": q_isolation_forest,
+    "robust_cov": q_robust_cov,
     "logreg": q_logreg,
     "boosted": q_boosted,
     "token_patterns": q_token_patterns,

@@ -51,13 +51,17 @@ def parse_stream(lines: DataFrame, date_layout: str = "reference") -> DataFrame:
 
 
 def read_text_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None):
-    """Text files arriving in ``path`` as DataFrame[line_no, value]; ``line_no``
-    orders lines of one file by (file, position in the file's micro-batch)."""
+    """Text files arriving in ``path`` as DataFrame[line_no, value].
+
+    Streams have no row index for text, so ``line_no`` is a hash of (file,
+    line text): a deterministic tie-break for equal timestamps, not file
+    order (a stated difference from the batch reader)."""
     r = spark.readStream.format("text")
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     df = r.load(path)
-    return df.select(F.monotonically_increasing_id().alias("line_no"), "value")
+    return df.select(F.xxhash64(F.col("_metadata.file_path"), F.col("value")).alias("line_no"),
+                     "value")
 
 
 # -- ST2 / ST3 ---------------------------------------------------------------------
