@@ -34,7 +34,11 @@ def clean_line(value: Column) -> Column:
 
     The strip regex only runs when the first or last character is white
     space; most lines pay two one-character checks."""
-    v = F.replace(value, F.lit(REPLACEMENT_CHAR), F.lit(""))
+    # Spark keeps undecodable bytes raw inside its strings: make them U+FFFD
+    # (only for invalid rows), then drop every U+FFFD, as a reader ignoring
+    # decode errors would.
+    v = F.when(F.is_valid_utf8(value), value).otherwise(F.make_valid_utf8(value))
+    v = F.replace(v, F.lit(REPLACEMENT_CHAR), F.lit(""))
     ends = F.concat(F.substring(v, 1, 1), F.substring(v, -1, 1))
     return F.when(ends.rlike(_WS), F.regexp_replace(v, STRIP_PATTERN, "")).otherwise(v)
 
