@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from logsift.plans.queries import (CONTAMINATION, COUNT_WINDOW, COUNT_WINDOW_OVERLAP, RULE_CUT,
                                    RULE_TEMPLATE, TIME_WINDOW, TIME_WINDOW_OVERLAP, TOP_N,
-                                   STREAM_GAP_SECONDS, VOCAB_TOPK, WINDOW_VOCAB)
+                                   LOF_NEIGHBORS, STREAM_GAP_SECONDS, VOCAB_TOPK, WINDOW_VOCAB)
 from logsift.sources.fixtures import TEMPLATE_RULE_SQL, oracle_labels_cte, oracle_lines_cte
 
 _PAT = r"^([0-9]{6}) ([0-9]{6}) ([0-9]+) ([A-Za-z0-9_]+) ([^:]+): (.+)"
@@ -295,4 +295,21 @@ g AS (SELECT block_id, sid, min(ts_us) AS start_us, max(ts_us) AS end_us,
 SELECT 'block_' || block_id AS seq_id, start_us, end_us, template_sequence_str, length,
        round((end_us - start_us) / 1e6, 6) AS time_span
 FROM g, mx WHERE end_us + {STREAM_GAP_SECONDS * 1_000_000} <= mx.m""",
+    "lof": f"""{WINDOWS_TABLE},
+sc AS (SELECT window_id,
+        coalesce((CAST(log_count AS DOUBLE) - avg(log_count) OVER ()) / nullif(stddev_pop(log_count) OVER (), 0), 0) AS x0,
+        coalesce((time_span - avg(time_span) OVER ()) / nullif(stddev_pop(time_span) OVER (), 0), 0) AS x1,
+        coalesce((CAST(unique_templates AS DOUBLE) - avg(unique_templates) OVER ())
+                 / nullif(stddev_pop(unique_templates) OVER (), 0), 0) AS x2 FROM wt),
+kk AS (SELECT least({LOF_NEIGHBORS}, count(*) - 1) AS k FROM sc),
+pairs AS (SELECT a.window_id AS p, b.window_id AS o,
+        sqrt((a.x0 - b.x0) ^ 2 + (a.x1 - b.x1) ^ 2 + (a.x2 - b.x2) ^ 2) AS d
+      FROM sc a JOIN sc b ON a.window_id <> b.window_id),
+nb AS (SELECT p, o, d FROM (SELECT *, row_number() OVER (PARTITION BY p ORDER BY d, o) AS rn FROM pairs), kk
+      WHERE rn <= kk.k),
+kd AS (SELECT p, max(d) AS kd FROM nb GROUP BY p),
+lrd AS (SELECT nb.p, 1.0 / (avg(greatest(kd.kd, nb.d)) + 1e-10) AS lrd FROM nb JOIN kd ON nb.o = kd.p GROUP BY nb.p),
+lf AS (SELECT nb.p, avg(l2.lrd) / any_value(l1.lrd) AS lof FROM nb JOIN lrd l2 ON nb.o = l2.p
+      JOIN lrd l1 ON nb.p = l1.p GROUP BY nb.p)
+SELECT p AS window_id, round(-lof, 6) AS anomaly_score FROM lf""",
 }

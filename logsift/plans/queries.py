@@ -400,6 +400,19 @@ def q_robust_cov(spark, sf_dir):
     return m.predict(m.score(w)).select("window_id", "anomaly_score", "is_anomaly")
 
 
+LOF_NEIGHBORS = 20
+
+
+def q_lof(spark, sf_dir):
+    """OD4 on the scaled window metadata; exact kNN without all pairs."""
+    from logsift.operators.lof import local_outlier_factor
+    w = FT.scale(_count_windows(spark, sf_dir), FT.WINDOW_META)
+    cols = [c + "_scaled" for c in FT.WINDOW_META]
+    out, _ = local_outlier_factor(w.select("window_id", *cols), "window_id", cols, LOF_NEIGHBORS,
+                                  contamination=None)
+    return out.select("window_id", r6(F.col("anomaly_score")).alias("anomaly_score"))
+
+
 QUERIES = {
     "parse_logs": q_parse_logs,
     "parse_stats": q_parse_stats,
@@ -431,6 +444,7 @@ QUERIES = {
     "evaluate_windows": q_evaluate_windows,
     "isolation_forest": q_isolation_forest,
     "robust_cov": q_robust_cov,
+    "lof": q_lof,
     "logreg": q_logreg,
     "boosted": q_boosted,
     "token_patterns": q_token_patterns,
