@@ -42,24 +42,22 @@ def class_report(df: DataFrame, label: str = "label", pred: str = "prediction",
     f = lambda p, r: _div(2 * F.col(p) * F.col(r), F.col(p) + F.col(r))
     c = c.withColumn("f1_1", f("p1", "r1")).withColumn("f1_0", f("p0", "r0"))
     tot = F.col("s0") + F.col("s1")
-    rows = [
-        c.select(*g, F.lit("0").alias("class"), F.col("p0").alias("precision"),
-                 F.col("r0").alias("recall"), F.col("f1_0").alias("f1"), F.col("s0").alias("support")),
-        c.select(*g, F.lit("1").alias("class"), F.col("p1").alias("precision"),
-                 F.col("r1").alias("recall"), F.col("f1_1").alias("f1"), F.col("s1").alias("support")),
-        c.select(*g, F.lit("macro avg").alias("class"), ((F.col("p0") + F.col("p1")) / 2).alias("precision"),
-                 ((F.col("r0") + F.col("r1")) / 2).alias("recall"),
-                 ((F.col("f1_0") + F.col("f1_1")) / 2).alias("f1"), tot.alias("support")),
-        c.select(*g, F.lit("weighted avg").alias("class"),
-                 _div(F.col("p0") * F.col("s0") + F.col("p1") * F.col("s1"), tot).alias("precision"),
-                 _div(F.col("r0") * F.col("s0") + F.col("r1") * F.col("s1"), tot).alias("recall"),
-                 _div(F.col("f1_0") * F.col("s0") + F.col("f1_1") * F.col("s1"), tot).alias("f1"),
-                 tot.alias("support")),
-    ]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+    p0, p1, r0, r1 = F.col("p0"), F.col("p1"), F.col("r0"), F.col("r1")
+    f0, f1, s0, s1 = F.col("f1_0"), F.col("f1_1"), F.col("s0"), F.col("s1")
+
+    def row(name, prec, rec, f, sup):
+        return F.struct(F.lit(name).alias("class"), prec.cast("double").alias("precision"),
+                        rec.cast("double").alias("recall"), f.cast("double").alias("f1"),
+                        sup.cast("long").alias("support"))
+
+    rows = F.array(
+        row("0", p0, r0, f0, s0),
+        row("1", p1, r1, f1, s1),
+        row("macro avg", (p0 + p1) / 2, (r0 + r1) / 2, (f0 + f1) / 2, tot),
+        row("weighted avg", _div(p0 * s0 + p1 * s1, tot), _div(r0 * s0 + r1 * s1, tot),
+            _div(f0 * s0 + f1 * s1, tot), tot))
+    # one aggregate, four rows: no union re-running the input per row
+    return c.select(*g, F.inline(rows))
 
 
 def binary_metrics(df: DataFrame, label: str = "label", pred: str = "prediction",

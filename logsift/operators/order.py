@@ -132,7 +132,10 @@ def global_position(df: DataFrame, key: str, tie: str, pos_col: str = "pos",
     planning actions and by the final job.
     """
     plan = plan or plan_slices(df, key, tie, rows_per_slice)
-    sliced = with_slices(df, plan, key, tie)
+    if plan.n_buckets == 1:  # at most rows_per_slice rows: one bounded window, no offsets
+        w = Window.partitionBy(F.lit(0)).orderBy(F.col(key), F.col(tie))
+        return (df.drop(B, S).withColumn(pos_col, F.row_number().over(w) - F.lit(1)))
+    sliced = with_slices(df.drop(B, S), plan, key, tie)
     off = slice_offsets(sliced)
     w = Window.partitionBy(B, S).orderBy(F.col(key), F.col(tie))
     return (sliced.withColumn("_rn", F.row_number().over(w))
@@ -155,6 +158,10 @@ def running_sum(df: DataFrame, key: str, tie: str, value_col: str, out_col: str
     single-task window: per-slice totals (tiny) give each slice's base, the
     window runs inside slices only."""
     plan = plan_slices(df, key, tie, rows_per_slice)
+    if plan.n_buckets == 1:  # bounded: one window, no per-slice bases
+        w1 = (Window.partitionBy(F.lit(0)).orderBy(F.col(key), F.col(tie))
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        return df.withColumn(out_col, F.sum(value_col).over(w1).cast("double"))
     sliced = with_slices(df, plan, key, tie)
     rows = sliced.groupBy(B, S).agg(F.sum(value_col).alias("_t")).collect()
     acc, out = 0, []
