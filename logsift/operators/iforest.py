@@ -5,7 +5,8 @@ Fit
     (all rows if fewer) -- the work does not grow with the table.
   * Each tree takes the ``psi`` pool rows with the lowest
     ``xxhash64(key, tree, seed)``: a uniform sample without replacement.
-    Pool rows are replicated per tree with ``explode`` (no join).
+    Only (key, tree, hash) is replicated per tree (``explode``); the chosen
+    <= trees x psi rows get their features back by a join on the key.
   * ``groupBy(tree).applyInPandas`` grows one tree per group (psi <= 256 rows):
     random non-constant feature, uniform threshold between its min and max,
     stop at one row, identical rows, or depth ceil(log2 psi).
@@ -28,6 +29,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from logsift.session import ship_package
+
 EULER = 0.5772156649
 NODE_SCHEMA = ("tree int, node int, feature int, threshold double, left int, right int, "
                "size long, depth int")
@@ -99,6 +102,7 @@ class IsolationForestModel:
     def score(self, features: DataFrame, key: str, idx_col: str = "feat_idx",
               val_col: str = "feat_val", out_col: str = "anomaly_score") -> DataFrame:
         """OD2: (key, anomaly_score) for every row; narrow ``mapInPandas``."""
+        ship_package(features.sparkSession)
         trees = [g.sort_values("node") for _, g in self.nodes.groupby("tree")]
         packed = [(t["feature"].to_numpy(), t["threshold"].to_numpy(), t["left"].to_numpy(),
                    t["right"].to_numpy(), t["size"].to_numpy(), t["depth"].to_numpy()) for t in trees]
@@ -143,6 +147,7 @@ def fit_isolation_forest(features: DataFrame, key: str, dim: int, n_trees: int =
     """OD1 (+ OD3 threshold when ``contamination`` is given)."""
     from logsift.operators.order import quantile_exact
 
+    ship_package(features.sparkSession)
     n = features.count() if n_rows is None else n_rows
     if n == 0:
         raise ValueError("no rows to fit")
@@ -152,10 +157,14 @@ def fit_isolation_forest(features: DataFrame, key: str, dim: int, n_trees: int =
     u = (F.xxhash64(F.col(key).cast("string"), F.lit(seed)).bitwiseAND(F.lit((1 << 53) - 1))
          .cast("double") / float(1 << 53))
     pool = features.filter(u < rate).select(key, idx_col, val_col)
-    per_tree = (pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
+    # replicate only (key, tree, hash) per tree; features join back for the
+    # <= trees x psi chosen rows
+    per_tree = (pool.select(key)
+                .withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
                 .withColumn("_h", F.xxhash64(F.col(key).cast("string"), F.col("tree"), F.lit(seed))))
     w = Window.partitionBy("tree").orderBy("_h", key)
-    sample = per_tree.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= psi)
+    chosen = per_tree.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= psi)
+    sample = chosen.join(pool, key)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         t = int(pdf["tree"].iloc[0])

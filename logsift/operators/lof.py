@@ -31,6 +31,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from logsift.session import ship_package
+
 EPS = 1e-10
 
 
@@ -143,6 +145,7 @@ def local_outlier_factor(df: DataFrame, key: str, cols: list[str], n_neighbors:
     from logsift.operators.order import quantile_exact
 
     spark = df.sparkSession
+    ship_package(spark)
     d = len(cols)
     pts = (df.select(*[F.col(c).cast("double").alias(c) for c in cols])
            .groupBy(*cols).agg(F.count(F.lit(1)).alias("_m")))

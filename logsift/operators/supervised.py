@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logsift.operators import metrics as M
+from logsift.session import ship_package
 
 MODEL_NAMES = ("logistic_regression", "boosted_trees")
 
@@ -19,6 +20,12 @@ def to_vector(dim: int, idx_col: str = "feat_idx", val_col: str = "feat_val") ->
     Spark SQL has no built-in that makes a sparse ML vector, and a dense
     array would cost ``dim`` doubles per row."""
 
+    from pyspark.sql import SparkSession
+
+    active = SparkSession.getActiveSession()
+    if active is not None:
+        ship_package(active)
+
     @F.udf(returnType=VectorUDT())
     def _vec(idx, val):
         return SparseVector(dim, list(idx or []), list(val or []))

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logsift.operators import order as O
+from logsift.session import ship_package
 
 WILDCARD = "<*>"
 
@@ -77,6 +78,7 @@ def _cluster(items: list[tuple], sim_threshold: float):
 def mine_templates(parsed: DataFrame, text_col: str = "message", sim_threshold: float = 0.4,
                    prefix_tokens: int = 2, patterns_per_group: int = 20_000) -> DataFrame:
     """Adds ``template_id`` (int) and ``template_str`` to every parsed line."""
+    ship_package(parsed.sparkSession)
     lines = parsed.withColumn("_tok", masked_tokens(F.col(text_col)))
     lines = lines.withColumn("_pat", F.array_join("_tok", " "))
     pats = (lines.groupBy("_pat")

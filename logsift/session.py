@@ -52,3 +52,36 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), name)
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``logsift`` importable in Python workers (pandas UDF stages).
+
+    Zips the package once per SparkContext into the shared checkpoint folder
+    and registers it with ``addPyFile``; a cluster deployment may instead
+    pass the same zip with ``--py-files``."""
+    import hashlib
+    import zipfile
+
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    files = sorted(os.path.join(r, f) for r, _, fs in os.walk(pkg) for f in fs if f.endswith(".py"))
+    digest = hashlib.sha1()
+    for f in files:
+        with open(f, "rb") as fh:
+            digest.update(f.encode() + fh.read())
+    target = os.path.join(checkpoint_dir(spark), f"logsift-{digest.hexdigest()[:12]}.zip")
+    if not os.path.exists(target):
+        tmp = target + f".{os.getpid()}.part"
+        with zipfile.ZipFile(tmp, "w") as z:
+            for f in files:
+                z.write(f, os.path.join("logsift", os.path.relpath(f, pkg)))
+        os.replace(tmp, target)
+    sc.addPyFile(target)
+    _SHIPPED.add(key)

@@ -34,7 +34,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from logsift.functions import parse as P
 from logsift.operators.templates import _merge, _similarity, masked_tokens
-from logsift.session import checkpoint_dir
+from logsift.session import checkpoint_dir, ship_package
 from logsift.sources.logs import parse_lines
 
 
@@ -113,6 +113,7 @@ TEMPLATE_STATE = "templates string"
 def template_stream(parsed: DataFrame, text_col: str = "message", sim_threshold: float = 0.4,
                     prefix_tokens: int = 2) -> DataFrame:
     """Online template ids per line; state = the leaf's templates (JSON list)."""
+    ship_package(parsed.sparkSession)
     toks = parsed.withColumn("_tok", masked_tokens(F.col(text_col)))
     leaf = F.concat_ws("\u0001", F.size("_tok").cast("string"),
                        F.array_join(F.slice("_tok", 1, prefix_tokens), "\u0001"))
@@ -160,6 +161,8 @@ def score_closed_windows(windows: DataFrame, feature_model, forest, sink_path: s
     from logsift.operators import features as FT
     from logsift.operators import sequences as Q
 
+    ship_package(windows.sparkSession)
+
     def batch(df: DataFrame, epoch: int) -> None:
         w = (df.withColumn("window_id", F.concat(F.lit("stream_"), F.col("start_time").cast("string")))
              .withColumn("log_count", F.col("length"))
