@@ -312,4 +312,16 @@ lrd AS (SELECT nb.p, 1.0 / (avg(greatest(kd.kd, nb.d)) + 1e-10) AS lrd FROM nb J
 lf AS (SELECT nb.p, avg(l2.lrd) / any_value(l1.lrd) AS lof FROM nb JOIN lrd l2 ON nb.o = l2.p
       JOIN lrd l1 ON nb.p = l1.p GROUP BY nb.p)
 SELECT p AS window_id, round(-lof, 6) AS anomaly_score FROM lf""",
+    "sequence_examples": f"""{BLOCKS},
+{_tw_mem_only(*TIME_WINDOW)},
+allseq AS (SELECT seq_id, 'block' AS type, length FROM blocks
+           UNION ALL SELECT 'time_' || CAST(ids.wid AS VARCHAR), 'time_window', CAST(count(*) AS BIGINT)
+           FROM mem JOIN ids USING (k) GROUP BY ids.wid)
+SELECT seq_id, type, length FROM allseq ORDER BY seq_id LIMIT 5""",
+    "score_range": f"""{_windows_mem_sql(*COUNT_WINDOW)}
+SELECT round(min(rule_score), 6) AS min_score, round(max(rule_score), 6) AS max_score FROM w""",
+    "label_csv": f"""{BASE}
+SELECT block_key, label FROM labels_n""",
+    "block_dataset_roundtrip": f"""{BLOCKS}
+SELECT * FROM training""",
 }

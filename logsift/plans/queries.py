@@ -413,6 +413,51 @@ def q_lof(spark, sf_dir):
     return out.select("window_id", r6(F.col("anomaly_score")).alias("anomaly_score"))
 
 
+# -- reports and I/O round trips ---------------------------------------------------
+
+def q_sequence_examples(spark, sf_dir):
+    """A7 examples: the first five sequence ids over block and time sequences."""
+    o = ordered_fixture(spark, sf_dir)
+    seqs = Q.block_sequences(o).select("seq_id", "type", "length").unionByName(
+        Q.time_windows(o, *TIME_WINDOW).select("seq_id", "type", "length"))
+    return Q.example_sequences(seqs).select("seq_id", "type", F.col("length").cast("long").alias("length"))
+
+
+def q_score_range(spark, sf_dir):
+    """A12 over the rule-scored count windows."""
+    _, _, scored = _window_rule(spark, sf_dir)
+    return M.score_range(scored).select(r6(F.col("min_score")).alias("min_score"),
+                                        r6(F.col("max_score")).alias("max_score"))
+
+
+def _scratch(spark, name):
+    import uuid
+
+    from logsift.session import scratch_path
+    return scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+
+
+def q_label_csv(spark, sf_dir):
+    """SC4 + J2/J3: label rows written as a CSV file, read back with the label reader."""
+    from logsift.sources.labels import read_labels
+    path = _scratch(spark, "labels") + ".csv"
+    X.label_rows(spark, sf_dir).write.option("header", True).csv(path)
+    return read_labels(spark, path)
+
+
+def q_block_dataset_roundtrip(spark, sf_dir):
+    """SK1 + SC5: block training set written as CSV, loaded and validated."""
+    from logsift.sources.io import load_block_data, save_dataset
+    path = _scratch(spark, "blocks") + ".csv"
+    save_dataset(_training(spark, sf_dir), path, "csv")
+    t = load_block_data(spark, path)
+    return t.select("block_id", F.col("sequence_length").cast("long").alias("sequence_length"),
+                    "template_sequence_str", us(F.col("start_time")).alias("start_us"),
+                    us(F.col("end_time")).alias("end_us"), r6(F.col("time_span")).alias("time_span"),
+                    F.col("anomaly_binary_val").cast("long").alias("anomaly_binary_val"),
+                    "anomaly_labels", F.col("anomaly_label").cast("long").alias("anomaly_label"))
+
+
 QUERIES = {
     "parse_logs": q_parse_logs,
     "parse_stats": q_parse_stats,
@@ -451,4 +496,8 @@ QUERIES = {
     "templates": q_templates,
     "stream_time_windows": q_stream_time_windows,
     "stream_block_sessions": q_stream_block_sessions,
+    "sequence_examples": q_sequence_examples,
+    "score_range": q_score_range,
+    "label_csv": q_label_csv,
+    "block_dataset_roundtrip": q_block_dataset_roundtrip,
 }
