@@ -70,10 +70,33 @@ def run_blocks(ordered: Q.OrderedLogs, labels: DataFrame, max_features: int = 10
                ngram_range=(1, 2), models=SV.MODEL_NAMES, fit_scope: str = "all",
                gbt_iters: int = 100) -> BlockRun:
     ds, ft, fm = block_features(ordered, labels, max_features, ngram_range, fit_scope)
+    counts = {(r["split"], r["label"]): r["n"] for r in
+              ft.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    total = ds.count()
+    usable = sum(counts.values())
+    per_split = {sp: sum(n for (s, _), n in counts.items() if s == sp)
+                 for sp in ("train", "validation", "test")}
+    stats = {"total_samples": total, "unlabelled_dropped": total - usable,
+             "train_samples": per_split["train"], "val_samples": per_split["validation"],
+             "test_samples": per_split["test"],
+             "anomaly_rate": (sum(n for (_, y), n in counts.items() if y == 1) / usable) if usable else None,
+             "feature_count": fm.size, "tfidf_features": fm.tfidf.size}
+    train_classes = {y for (s, y), n in counts.items() if s == "train" and n > 0}
+    if train_classes != {0, 1}:
+        # Nothing to learn from (no blocks, or one class only) -> empty results, no exception
+        stats["skipped"] = "training split needs both classes"
+        return BlockRun(ds, ft, fm, {}, None, None, None, stats)
     train = ft.filter(F.col("split") == "train")
     fitted = SV.train_block_models(train, "label", "features", models, gbt_iters=gbt_iters)
     report, auc, conf = SV.evaluate(fitted, ft, "label")
-    return BlockRun(ds, ft, fm, fitted, report, auc, conf)
+    return BlockRun(ds, ft, fm, fitted, report, auc, conf, stats)
+
+
+def training_stats(run: BlockRun | WindowRun, spark) -> DataFrame:
+    """A11 as a one-row DataFrame."""
+    keys = sorted(run.stats)
+    return spark.createDataFrame([tuple(str(run.stats[k]) for k in keys)],
+                                 ", ".join(f"`{k}` string" for k in keys))
 
 
 def window_features(ordered: Q.OrderedLogs, window_size: int = 100, overlap: int = 0,

@@ -28,3 +28,16 @@ def test_run_all_writes_layout(spark):
     assert windows.evaluation.first()["total"] == back.count()
     models = api.load_models(spark, os.path.join(out, "window_models"))
     assert models["forest"].offset == windows.forest.offset
+
+
+def test_empty_logs_give_empty_results(spark):
+    from logsift.operators import sequences as Q
+    from logsift.sources.logs import parse_logs
+    lines = spark.createDataFrame([(0, "not a log line")], "line_no long, value string")
+    ordered = Q.order_logs(parse_logs(lines, templates="fixture"))
+    assert Q.block_sequences(ordered).count() == 0
+    assert Q.time_windows(ordered, 60, 0).count() == 0
+    assert Q.count_windows(ordered, 100, 0).count() == 0
+    labels = spark.createDataFrame([], "block_key string, label string")
+    run = api.run_blocks(ordered, labels)
+    assert run.models == {} and run.stats["total_samples"] == 0
