@@ -70,13 +70,21 @@ def ship_package(spark: SparkSession) -> None:
     key = sc.applicationId
     if key in _SHIPPED:
         return
+    if spark.conf.get("spark.logsift.shipPackage", "true").lower() == "false":
+        return
+    folder = checkpoint_dir(spark)
+    if "://" in folder and not folder.startswith("file:"):
+        # cluster file system: deploy the package with --py-files instead
+        _SHIPPED.add(key)
+        return
+    folder = folder[len("file:"):] if folder.startswith("file:") else folder
     pkg = os.path.dirname(os.path.abspath(__file__))
     files = sorted(os.path.join(r, f) for r, _, fs in os.walk(pkg) for f in fs if f.endswith(".py"))
     digest = hashlib.sha1()
     for f in files:
         with open(f, "rb") as fh:
             digest.update(f.encode() + fh.read())
-    target = os.path.join(checkpoint_dir(spark), f"logsift-{digest.hexdigest()[:12]}.zip")
+    target = os.path.join(folder, f"logsift-{digest.hexdigest()[:12]}.zip")
     if not os.path.exists(target):
         tmp = target + f".{os.getpid()}.part"
         with zipfile.ZipFile(tmp, "w") as z:

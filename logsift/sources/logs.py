@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from logsift.functions import parse as P
 
+MAX_BROADCAST_SPLITS = 100_000
 PARSED_COLUMNS = ["line_no", "timestamp", "level", "component", "message", "block_id", "raw_line"]
 
 
@@ -43,7 +44,10 @@ def read_log_text(spark: SparkSession, paths, max_lines: int | None = None) -> D
     if not offsets:
         return spark.createDataFrame([], "line_no bigint, value string")
     off = spark.createDataFrame(offsets, "_fp string, _fb bigint, _off bigint, _first bigint")
-    lines = (raw.join(F.broadcast(off), ["_fp", "_fb"])
+    # one row per file split grows with the input (~800k rows at 100 TB):
+    # broadcast only below a fixed bound, otherwise an ordinary join
+    off = F.broadcast(off) if len(offsets) <= MAX_BROADCAST_SPLITS else off
+    lines = (raw.join(off, ["_fp", "_fb"])
              .select((F.col("_off") + F.col("_mid") - F.col("_first")).alias("line_no"), "value"))
     if max_lines:
         lines = lines.filter(F.col("line_no") < F.lit(int(max_lines)))
@@ -88,7 +92,7 @@ def parse_lines(lines: DataFrame, date_layout: str = "reference", all_blocks: bo
 
 
 def parse_logs(lines: DataFrame, templates: str | None = "mine", date_layout: str = "reference",
-               all_blocks: bool = False, **mine_options) -> DataFrame:
+               all_blocks: bool = False, persist: bool = True, **mine_options) -> DataFrame:
     """Lines -> parsed logs with ``template_id`` / ``template_str``.
 
     ``templates``: ``"mine"`` (template mining job), ``"fixture"`` (fixed rule on
@@ -100,7 +104,8 @@ def parse_logs(lines: DataFrame, templates: str | None = "mine", date_layout: st
     ``unpersist()`` on the result when done.
     """
     parsed = parse_lines(lines, date_layout=date_layout, all_blocks=all_blocks)
-    parsed = parsed.persist(StorageLevel.MEMORY_AND_DISK)
+    if persist:
+        parsed = parsed.persist(StorageLevel.MEMORY_AND_DISK)
     if templates is None:
         return parsed
     if templates == "fixture":
