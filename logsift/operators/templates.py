@@ -75,12 +75,17 @@ def _cluster(items: list[tuple], sim_threshold: float):
     return assign, templates, firsts
 
 
-def mine_templates(parsed: DataFrame, text_col: str = "message", sim_threshold: float = 0.4,
+def _with_patterns(parsed: DataFrame, text_col: str) -> DataFrame:
+    lines = parsed.withColumn("_tok", masked_tokens(F.col(text_col)))
+    return lines.withColumn("_pat", F.array_join("_tok", " "))
+
+
+def template_table(parsed: DataFrame, text_col: str = "message", sim_threshold: float = 0.4,
                    prefix_tokens: int = 2, patterns_per_group: int = 20_000) -> DataFrame:
-    """Adds ``template_id`` (int) and ``template_str`` to every parsed line."""
+    """One row per distinct masked pattern: (pattern, template_id, template_str,
+    lines, first_line).  Small (distinct patterns, not lines)."""
     ship_package(parsed.sparkSession)
-    lines = parsed.withColumn("_tok", masked_tokens(F.col(text_col)))
-    lines = lines.withColumn("_pat", F.array_join("_tok", " "))
+    lines = _with_patterns(parsed, text_col)
     pats = (lines.groupBy("_pat")
             .agg(F.first("_tok").alias("tokens"), F.min("line_no").alias("first_line"),
                  F.count(F.lit(1)).alias("n"))
@@ -125,10 +130,30 @@ def mine_templates(parsed: DataFrame, text_col: str = "message", sim_threshold:
     ).persist(StorageLevel.MEMORY_AND_DISK)
     clusters = b.select("cluster_first").distinct()
     ids = O.dense_ids(clusters, "cluster_first", "_cid")
-    mapping = (a.join(b, ["leaf", "grp", "local"]).join(ids, "cluster_first")
-               .select(F.col("pattern").alias("_pat"), (F.col("_cid") + 1).cast("int").alias("template_id"),
-                       "template_str"))
-    return lines.join(mapping, "_pat").drop("_tok", "_pat")
+    counts = pats.select("pattern", "n", "first_line")
+    return (a.join(b, ["leaf", "grp", "local"]).join(ids, "cluster_first")
+            .join(counts, "pattern")
+            .select("pattern", (F.col("_cid") + 1).cast("int").alias("template_id"), "template_str",
+                    F.col("n").alias("lines"), "first_line"))
+
+
+def mine_templates(parsed: DataFrame, text_col: str = "message", sim_threshold: float = 0.4,
+                   prefix_tokens: int = 2, patterns_per_group: int = 20_000) -> DataFrame:
+    """Adds ``template_id`` (int) and ``template_str`` to every parsed line
+    (lines join the pattern table; AQE broadcasts it when small and splits a
+    hot pattern's partition otherwise)."""
+    table = template_table(parsed, text_col, sim_threshold, prefix_tokens, patterns_per_group)
+    mapping = table.select(F.col("pattern").alias("_pat"), "template_id", "template_str")
+    return _with_patterns(parsed, text_col).join(mapping, "_pat").drop("_tok", "_pat")
+
+
+def template_summary(parsed: DataFrame, **options) -> DataFrame:
+    """Per template: lines and first line, aggregated from the pattern table."""
+    t = template_table(parsed, **options)
+    return t.groupBy("template_id", "template_str").agg(F.sum("lines").alias("lines"),
+                                                       F.min("first_line").alias("first_line"))
+
+
 
 
 def token_patterns(parsed: DataFrame, text_col: str = "message", prefix_tokens: int = 2) -> DataFrame:

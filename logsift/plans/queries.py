@@ -328,9 +328,8 @@ def q_token_patterns(spark, sf_dir):
 
 
 def q_templates(spark, sf_dir):
-    p = G.parse_logs(X.log_lines(spark, sf_dir), templates="mine")
-    return p.groupBy("template_id", "template_str").agg(F.count(F.lit(1)).alias("lines"),
-                                                        F.min("line_no").alias("first_line"))
+    from logsift.operators.templates import template_summary
+    return template_summary(G.parse_logs(X.log_lines(spark, sf_dir), templates=None))
 
 
 # -- streaming -------------------------------------------------------------------

@@ -109,3 +109,24 @@ def test_single_log_block_span_zero(spark):
     o = Q.order_logs(_logs_df(spark, [7]))
     r = Q.block_sequences(o).first()
     assert r["length"] == 1 and r["time_span"] == 0.0
+
+
+def test_hot_block_is_split_into_bounded_pieces(spark):
+    """One block holds a third of all rows: pieces stay bounded, results equal."""
+    base = dt.datetime(2008, 1, 1)
+    rnd = random.Random(9)
+    rows = []
+    for i in range(900):
+        blk = "hot" if i % 3 == 0 else f"b{i % 40}"
+        rows.append((i, base + dt.timedelta(seconds=rnd.randrange(0, 5000)), blk, rnd.randrange(1, 6)))
+    df = spark.createDataFrame(rows, "line_no long, timestamp timestamp_ntz, block_id string, template_id int")
+    small = Q.order_logs(df, rows_per_slice=50)
+    pieces = Q.block_pieces(small)
+    biggest = pieces.agg(F.max("n")).first()[0]
+    assert biggest <= 3 * 50
+    assert pieces.filter(F.col("seq_id") == "block_hot").count() > 3
+    cols = ["seq_id", "template_sequence", "length", "start_time", "end_time"]
+    assert _rows(Q.block_sequences(small), cols) == _rows(Q.block_sequences(Q.order_logs(df)), cols)
+    want = [t for _, _, b, t in sorted((r for r in rows if r[2] == "hot"), key=lambda r: (r[1], r[0]))]
+    got = Q.block_sequences(small).filter(F.col("seq_id") == "block_hot").first()["template_sequence"]
+    assert got == want
