@@ -35,15 +35,13 @@ EPOCH_NTZ = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 def clean_line(value: Column) -> Column:
     """Drop undecodable bytes and strip surrounding white space.
 
-    Cheap on the common path: a UTF-8 validity scan, then O(1) checks of the
-    first and last characters against the fixed white-space set; the repair
-    and the strip regex run only on the rows that need them."""
+    Cheap on the common path: a UTF-8 validity scan, then set lookups of the
+    first and last characters in the fixed white-space set; the repair and
+    the strip regex run only on the rows that need them."""
     v = F.when(F.is_valid_utf8(value), value).otherwise(
         F.replace(F.make_valid_utf8(value), F.lit(REPLACEMENT_CHAR), F.lit("")))
-    edge = None
-    for ch in WHITESPACE_CHARS:
-        c = v.startswith(ch) | v.endswith(ch)
-        edge = c if edge is None else edge | c
+    ws = list(WHITESPACE_CHARS)
+    edge = F.substring(v, 1, 1).isin(ws) | F.substring(v, -1, 1).isin(ws)
     return F.when(edge, F.regexp_replace(v, STRIP_PATTERN, "")).otherwise(v)
 
 
