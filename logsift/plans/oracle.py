@@ -324,4 +324,15 @@ SELECT round(min(rule_score), 6) AS min_score, round(max(rule_score), 6) AS max_
 SELECT block_key, label FROM labels_n""",
     "block_dataset_roundtrip": f"""{BLOCKS}
 SELECT * FROM training""",
+    "lof_embeddings": f"""WITH em AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+kk AS (SELECT least({LOF_NEIGHBORS}, count(*) - 1) AS k FROM em),
+pairs AS (SELECT a.vec_id AS p, b.vec_id AS o, list_distance(a.v, b.v) AS d
+      FROM em a JOIN em b ON a.vec_id <> b.vec_id),
+nb AS (SELECT p, o, d FROM (SELECT *, row_number() OVER (PARTITION BY p ORDER BY d, o) AS rn FROM pairs), kk
+      WHERE rn <= kk.k),
+kd AS (SELECT p, max(d) AS kd FROM nb GROUP BY p),
+lrd AS (SELECT nb.p, 1.0 / (avg(greatest(kd.kd, nb.d)) + 1e-10) AS lrd FROM nb JOIN kd ON nb.o = kd.p GROUP BY nb.p),
+lf AS (SELECT nb.p, avg(l2.lrd) / any_value(l1.lrd) AS lof FROM nb JOIN lrd l2 ON nb.o = l2.p
+      JOIN lrd l1 ON nb.p = l1.p GROUP BY nb.p)
+SELECT p AS vec_id, round(-lof, 6) AS anomaly_score FROM lf""",
 }

@@ -457,6 +457,36 @@ def q_block_dataset_roundtrip(spark, sf_dir):
                     "anomaly_labels", F.col("anomaly_label").cast("long").alias("anomaly_label"))
 
 
+# -- outlier operators on the embeddings table ------------------------------------
+
+EMB_DIM = 64
+
+
+def _embeddings(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return e.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}")
+                                for i in range(EMB_DIM)])
+
+
+def q_lof_embeddings(spark, sf_dir):
+    """OD4 on the 64-dimensional embedding vectors."""
+    from logsift.operators.lof import local_outlier_factor
+    cols = [f"e{i}" for i in range(EMB_DIM)]
+    out, _ = local_outlier_factor(_embeddings(spark, sf_dir), "vec_id", cols, LOF_NEIGHBORS,
+                                  contamination=None)
+    return out.select("vec_id", r6(F.col("anomaly_score")).alias("anomaly_score"))
+
+
+def q_isolation_forest_embeddings(spark, sf_dir):
+    """OD1-OD3 on the embedding vectors (dense rows as sparse arrays)."""
+    from logsift.operators.iforest import fit_isolation_forest
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    feats = e.select("vec_id", F.sequence(F.lit(0), F.lit(EMB_DIM - 1)).alias("feat_idx"),
+                     F.col("embedding").cast("array<double>").alias("feat_val"))
+    m = fit_isolation_forest(feats, "vec_id", EMB_DIM, contamination=CONTAMINATION)
+    return m.predict(m.score(feats, "vec_id")).select("vec_id", "anomaly_score", "is_anomaly")
+
+
 QUERIES = {
     "parse_logs": q_parse_logs,
     "parse_stats": q_parse_stats,
@@ -489,6 +519,8 @@ QUERIES = {
     "isolation_forest": q_isolation_forest,
     "robust_cov": q_robust_cov,
     "lof": q_lof,
+    "lof_embeddings": q_lof_embeddings,
+    "isolation_forest_embeddings": q_isolation_forest_embeddings,
     "logreg": q_logreg,
     "boosted": q_boosted,
     "token_patterns": q_token_patterns,
