@@ -310,12 +310,24 @@ def _block_run(spark, sf_dir, models):
     return run_blocks(ordered_fixture(spark, sf_dir), labels_fixture(spark, sf_dir), models=models)
 
 
+REPORT_SCHEMA = ("model string, split string, class string, precision double, recall double, "
+                 "f1 double, support long")
+
+
+def _report_or_empty(spark, run):
+    """The class report per (model, split); empty with the same schema when
+    there was nothing to train on (one class only, D11)."""
+    if run.report is None:
+        return spark.createDataFrame([], REPORT_SCHEMA)
+    return run.report.select("model", "split", "class", "precision", "recall", "f1", "support")
+
+
 def q_logreg(spark, sf_dir):
-    return _block_run(spark, sf_dir, ("logistic_regression",)).report
+    return _report_or_empty(spark, _block_run(spark, sf_dir, ("logistic_regression",)))
 
 
 def q_boosted(spark, sf_dir):
-    return _block_run(spark, sf_dir, ("boosted_trees",)).report
+    return _report_or_empty(spark, _block_run(spark, sf_dir, ("boosted_trees",)))
 
 
 # -- templates --------------------------------------------------------------------

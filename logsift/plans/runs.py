@@ -32,6 +32,7 @@ class BlockRun:
     auc: DataFrame | None = None
     confusion: DataFrame | None = None
     stats: dict = field(default_factory=dict)
+    predictions: DataFrame | None = None  # ML8: model, block, true, predicted, probability
 
 
 @dataclass
@@ -89,7 +90,15 @@ def run_blocks(ordered: Q.OrderedLogs, labels: DataFrame, max_features: int = 10
     train = ft.filter(F.col("split") == "train")
     fitted = SV.train_block_models(train, "label", "features", models, gbt_iters=gbt_iters)
     report, auc, conf = SV.evaluate(fitted, ft, "label")
-    return BlockRun(ds, ft, fm, fitted, report, auc, conf, stats)
+    test = ft.filter(F.col("split") == "test")
+    preds = None
+    for name in fitted:
+        p = (SV.predict(fitted, test, name)
+             .select(F.lit(name).alias("model"), F.col("seq_id").alias("block_id"),
+                     F.col("label").alias("y_true"), F.col("prediction").alias("y_pred"),
+                     F.col("probability").alias("y_proba")))
+        preds = p if preds is None else preds.unionByName(p)
+    return BlockRun(ds, ft, fm, fitted, report, auc, conf, stats, preds)
 
 
 def training_stats(run: BlockRun | WindowRun, spark) -> DataFrame:
