@@ -41,3 +41,22 @@ def test_empty_logs_give_empty_results(spark):
     labels = spark.createDataFrame([], "block_key string, label string")
     run = api.run_blocks(ordered, labels)
     assert run.models == {} and run.stats["total_samples"] == 0
+
+
+def test_train_and_score_window_models(spark):
+    import pytest
+    from pyspark.sql import functions as F
+    from logsift.operators import features as FT
+
+    o = R.ordered_fixture(spark, SF01)
+    pos, windows, ft, fm, n = api.window_features(o, 100, 0, 50)
+    ft = FT.scale(ft, FT.WINDOW_META)
+    meta = [c + "_scaled" for c in FT.WINDOW_META]
+    models = api.train_window_models(ft, "window_id", fm.size, meta)
+    for name in api.WINDOW_MODELS:
+        s = api.score_windows(models, ft, "window_id", name)
+        assert s.count() == n
+        share = s.agg(F.avg("is_anomaly")).first()[0]
+        assert 0.0 < share <= 0.25, (name, share)
+    with pytest.raises(ValueError):
+        api.score_windows(models, ft, "window_id", "one_class_svm")

@@ -60,6 +60,8 @@ def test_supervised_and_io_round_trip(spark):
     run = run_blocks(o, R.labels_fixture(spark, SF01), models=("logistic_regression",))
     auc = {r["split"]: r["auc"] for r in run.auc.collect()}
     assert auc["test"] > 0.8                                   # planted frequency signal
+    n_test = run.features.filter("split = 'test'").count()
+    assert run.predictions.count() == n_test                   # ML8: one row per test block
     d = tempfile.mkdtemp(prefix="logsift-models-")
     IO.save_models(spark, d, run.feature_model, run.models, stats={"rows": 1})
     back = IO.load_models(spark, d)
