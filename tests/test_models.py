@@ -113,3 +113,18 @@ def test_lof_multi_leaf_matches_brute_force(spark):
     assert len(got) == 300
     assert max(abs(got[i] - want[i]) for i in range(300)) < 1e-6
     assert model.offset is not None
+
+
+def test_robust_covariance_properties(spark):
+    from logsift.operators.robust_cov import fit_robust_covariance
+    rng = np.random.default_rng(0)
+    x = rng.multivariate_normal([1, 2, 3], [[1, .5, 0], [.5, 2, .3], [0, .3, 1]], size=1500)
+    x[:60] += 8.0
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)],
+                               "id long, a double, b double, c double")
+    m = fit_robust_covariance(df, ["a", "b", "c"], contamination=0.1, key="id")
+    assert np.allclose(m.location, [1, 2, 3], atol=0.2)          # outliers do not pull the fit
+    pred = m.predict(m.score(df))
+    assert pred.filter("id < 60").agg(F.min("is_anomaly")).first()[0] == 1
+    share = pred.agg(F.avg("is_anomaly")).first()[0]
+    assert abs(share - 0.1) < 0.01
