@@ -8,7 +8,7 @@ slice / piece machinery).
 
 from __future__ import annotations
 
-from logsift.plans.queries import (CONTAMINATION, COUNT_WINDOW, COUNT_WINDOW_OVERLAP, RULE_CUT,
+from logsift.plans.queries import (TIME_WINDOW_DEFAULT, CONTAMINATION, COUNT_WINDOW, COUNT_WINDOW_OVERLAP, RULE_CUT,
                                    RULE_TEMPLATE, TIME_WINDOW, TIME_WINDOW_OVERLAP, TOP_N,
                                    LOF_NEIGHBORS, STREAM_GAP_SECONDS, VOCAB_TOPK, WINDOW_VOCAB)
 from logsift.sources.fixtures import TEMPLATE_RULE_SQL, oracle_labels_cte, oracle_lines_cte
@@ -188,6 +188,7 @@ SELECT level, component, count(*) AS n FROM parsed GROUP BY level, component""",
 SELECT seq_id, id, template_sequence_str, length, start_us, end_us, time_span FROM blocks""",
     "time_windows": _time_windows_sql(*TIME_WINDOW),
     "time_windows_overlap": _time_windows_sql(*TIME_WINDOW_OVERLAP),
+    "time_windows_default": _time_windows_sql(*TIME_WINDOW_DEFAULT),
     "count_windows": _count_windows_sql(*COUNT_WINDOW),
     "count_windows_overlap": _count_windows_sql(*COUNT_WINDOW_OVERLAP),
     "window_means": f"""{_windows_mem_sql(*COUNT_WINDOW)}

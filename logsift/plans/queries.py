@@ -24,6 +24,7 @@ from logsift.sources import logs as G
 from logsift.sources.labels import normalise_labels
 
 TIME_WINDOW = (3600, 0)
+TIME_WINDOW_DEFAULT = (60, 0)  # the original configuration's window
 TIME_WINDOW_OVERLAP = (3600, 1800)
 COUNT_WINDOW = (100, 0)
 COUNT_WINDOW_OVERLAP = (100, 30)
@@ -87,6 +88,10 @@ def q_time_windows(spark, sf_dir):
     return _seq_out(Q.time_windows(ordered_fixture(spark, sf_dir), *TIME_WINDOW))
 
 
+def q_time_windows_default(spark, sf_dir):
+    return _seq_out(Q.time_windows(ordered_fixture(spark, sf_dir), *TIME_WINDOW_DEFAULT))
+
+
 def q_time_windows_overlap(spark, sf_dir):
     return _seq_out(Q.time_windows(ordered_fixture(spark, sf_dir), *TIME_WINDOW_OVERLAP))
 
@@ -506,6 +511,7 @@ QUERIES = {
     "block_sequences": q_block_sequences,
     "time_windows": q_time_windows,
     "time_windows_overlap": q_time_windows_overlap,
+    "time_windows_default": q_time_windows_default,
     "count_windows": q_count_windows,
     "count_windows_overlap": q_count_windows_overlap,
     "window_means": q_window_means,
