@@ -218,7 +218,7 @@ SELECT 'time_span' AS "column", count(time_span) AS count, round(avg(time_span),
     "ngram_counts": f"""{BLOCK_TERMS}
 SELECT seq_id, term, tf FROM tf""",
     "vocab_topk": f"""{BLOCK_TERMS}
-SELECT term, cf, doc_freq, round(ln((1 + n) / (1 + doc_freq)) + 1, 6) AS idf
+SELECT term, CAST(cf AS BIGINT) AS cf, doc_freq, round(ln((1 + n) / (1 + doc_freq)) + 1, 6) AS idf
 FROM (SELECT * FROM st ORDER BY cf DESC, term ASC LIMIT {VOCAB_TOPK}) s, nd""",
     "tfidf": f"""{BLOCK_TERMS},
 {_tfidf_sql("seq_id", 1000)}""",
@@ -241,8 +241,8 @@ SELECT block_id, y AS anomaly_binary_val,
 UNION ALL SELECT block_id, anomaly_binary_val, NULL FROM training
 WHERE anomaly_binary_val IS NULL OR anomaly_binary_val NOT IN (0, 1)""",
     "confusion": f"""{SCORED}
-SELECT 0 AS label, 0 AS prediction, tn AS n FROM cells UNION ALL SELECT 0, 1, fp FROM cells
-UNION ALL SELECT 1, 0, fn FROM cells UNION ALL SELECT 1, 1, tp FROM cells""",
+SELECT CAST(0 AS BIGINT) AS label, CAST(0 AS BIGINT) AS prediction, tn AS n FROM cells
+UNION ALL SELECT 0, 1, fp FROM cells UNION ALL SELECT 1, 0, fn FROM cells UNION ALL SELECT 1, 1, tp FROM cells""",
     "class_report": CLASS_REPORT,
     "roc_auc": f"""{SCORED},
 s AS (SELECT score, sum(label) AS pos, sum(1 - label) AS neg FROM scored GROUP BY score),
