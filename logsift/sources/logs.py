@@ -118,18 +118,19 @@ def parse_logs(lines: DataFrame, templates: str | None = "mine", date_layout: st
     raise ValueError(f"unknown templates mode {templates!r}")
 
 
-def parse_stats(lines: DataFrame, parsed: DataFrame, date_layout: str = "reference",
-                line_col: str = "value") -> DataFrame:
+def parse_stats(lines: DataFrame, parsed: DataFrame) -> DataFrame:
     """A6 (one row): total lines, parsed lines, valid timestamps, lines with a
-    block id, distinct template ids.  Two partial aggregates, merged by a
-    union + max (no join)."""
-    f = _fields(lines, line_col, date_layout)
-    ok = F.col("_ok")
-    a = f.agg(F.count(F.lit(1)).alias("total_lines"),
-              F.count_if(ok).alias("parsed_lines"),
-              F.count_if(ok & F.col("timestamp").isNotNull()).alias("valid_timestamps"),
-              F.count_if(ok & P.block_id(F.col("message")).isNotNull()).alias("with_block_id"))
-    b = parsed.agg(F.count_distinct("template_id").alias("unique_templates"))
+    block id, distinct template ids.
+
+    ``parsed`` holds one row per parsed line (the default parse; with
+    ``all_blocks`` it has one row per block id).  Counts come from the
+    persisted parsed table, so lines are not parsed a second time; the two
+    one-row partial aggregates merge by a union + max (no join)."""
+    a = lines.agg(F.count(F.lit(1)).alias("total_lines"))
+    b = parsed.agg(F.count(F.lit(1)).alias("parsed_lines"),
+                   F.count("timestamp").alias("valid_timestamps"),
+                   F.count("block_id").alias("with_block_id"),
+                   F.count_distinct("template_id").alias("unique_templates"))
     u = a.unionByName(b, allowMissingColumns=True)
     return u.agg(*[F.max(c).alias(c) for c in
                    ["total_lines", "parsed_lines", "valid_timestamps", "with_block_id",
