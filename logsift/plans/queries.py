@@ -167,6 +167,11 @@ VOCAB_TOPK = 10
 WINDOW_VOCAB = 20
 
 
+def _n_blocks(o) -> int:
+    """Documents = blocks with a valid-time log (from the cached narrow table)."""
+    return o.df.filter(F.col("block_id").isNotNull()).select("block_id").distinct().count()
+
+
 def _block_terms(spark, sf_dir):
     o = ordered_fixture(spark, sf_dir)
     return o, FT.ngram_terms(Q.block_pieces(o), ["seq_id"], NGRAMS)
@@ -179,7 +184,7 @@ def q_ngram_counts(spark, sf_dir):
 
 def q_vocab_topk(spark, sf_dir):
     o, t = _block_terms(spark, sf_dir)
-    n_docs = Q.block_pieces(o).select("seq_id").distinct().count()
+    n_docs = _n_blocks(o)
     top = FT.top_terms(t, VOCAB_TOPK)
     return top.select("term", F.col("cf").cast("long").alias("cf"),
                       F.col("doc_freq").cast("long").alias("doc_freq"),
@@ -188,7 +193,7 @@ def q_vocab_topk(spark, sf_dir):
 
 def q_tfidf(spark, sf_dir):
     o, t = _block_terms(spark, sf_dir)
-    n_docs = Q.block_pieces(o).select("seq_id").distinct().count()
+    n_docs = _n_blocks(o)
     model = FT.fit_tfidf(t, n_docs, 1000)
     return FT.tfidf(t, model, ["seq_id"]).select("seq_id", "term", r6(F.col("tfidf")).alias("tfidf"))
 
