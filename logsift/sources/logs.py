@@ -77,6 +77,10 @@ def parse_lines(lines: DataFrame, date_layout: str = "reference", all_blocks: bo
     date/time digits are invalid; ``block_id`` is the first ``blk_`` id of the
     message (all ids, one row each, with ``all_blocks``).  In ``yymmdd`` layout
     the third header field is kept as ``field3``.
+
+    ``all_blocks`` (D13) is meant for block sequences: a line naming two
+    blocks becomes two rows, so parse windows from the default form, where
+    every line is one row.
     """
     out = _fields(lines, line_col, date_layout).filter(F.col("_ok"))
     if all_blocks:
