@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,12 +75,24 @@ def range_points(df: DataFrame, key: str, parts: int) -> list[int]:
     return sorted(set(got or []))
 
 
-def bucket_of(key: str | Column, points: list[int]) -> Column:
-    """Number of split points at or below ``key``; a narrow expression on a literal array."""
-    key = F.col(key) if isinstance(key, str) else key
-    if not points:
-        return F.lit(0)
-    return F.size(F.filter(F.lit(points), lambda p: p <= key))
+def bucket_of(points: list[int]):
+    """A function of a long column: the number of split points at or below it (binary search, by Arrow batch)."""
+    at = np.array(points, np.int64)
+
+    @F.pandas_udf("int")
+    def bucket(key: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(at, key.to_numpy(np.int64), "right").astype(np.int32))
+
+    return bucket
+
+
+def even_keys(spark: SparkSession, parts: int) -> list[int]:
+    """For each of ``parts`` buckets a long whose hash partition is the bucket's own, so that
+    ``repartition(parts, key)`` puts one bucket into each partition."""
+    got = (spark.range(parts * (20 + parts.bit_length() * 2)).select("id", F.pmod(F.hash("id"), F.lit(parts)).alias("p"))
+           .groupBy("p").agg(F.min("id").alias("id")).collect())  # one number per partition
+    key = {r["p"]: r["id"] for r in got}
+    return [key.get(p, p) for p in range(parts)]
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -119,7 +133,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 def slices(batch, column: str, max_bytes: int = 8 << 20):
     """Cut an Arrow batch into runs of rows whose ``column`` holds about ``max_bytes`` (one row at least)."""
-    import numpy as np
     import pyarrow.compute as pc
 
     n = batch.num_rows

@@ -7,12 +7,13 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chosen_path, curriculum, language_fusion, radix_dedup, sentencepiece_viterbi
+from . import cdc, chat_render, chosen_path, curriculum, huffman, language_fusion, license_join, radix_dedup, sentencepiece_viterbi, url_words
 from .common import table
 
 #: Folder of the public tokenizer files; a parameter, see ``tokenizer_file``.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "")
 PIECES = "piece_bpe_32k.model"
+WORD_BPE = "word_bpe_49k.json"
 
 
 def tokenizer_file(name: str, folder: str = "") -> str:
@@ -28,10 +29,44 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_viterbi.coded(table(spark, sf_dir, "documents"), model)
 
 
+def op2_chunk_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cdc.compare_neighbours(table(spark, sf_dir, "documents"))
+
+
+def op3_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(tokenizer_file(WORD_BPE), encoding="utf-8") as f:  # a file of the driver's Python installation
+        spec = f.read()
+    return huffman.round_trip(table(spark, sf_dir, "documents"), spec, end_id=1)
+
+
 def op4_radix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return radix_dedup.classify(table(spark, sf_dir, "documents")).drop("row")
 
 
+def op5_url_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url", F.col("html").alias("text"))
+    got = url_words.judge(pages)
+    return got.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict", F.round("score", 6).alias("score"), "host_words")
+
+
+def op6_chat_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return chat_render.read_back(chat_render.format_conversations(rows))
+
+
+def op7_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = license_join.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("places", lambda p: p["kind"] == "base")
+    labels = lambda places: F.array_join(F.array_sort(F.array_distinct(F.transform(places, lambda p: p["label"]))), ",")
+    return got.select("doc_id", "n_words", F.size(base).cast("long").alias("n_base"),
+                      F.array_min(F.transform(base, lambda p: p["start"])).alias("first_word"),
+                      F.array_max(F.transform(base, lambda p: p["start"])).alias("last_word"),
+                      labels(base).alias("base_labels"), labels(F.col("places")).alias("labels"),
+                      F.coalesce(F.array_max(F.transform("places", lambda p: p["score"])), F.lit(0.0)).alias("score"))
+
+
 def op8_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = chosen_path.classes(table(spark, sf_dir, "documents"))
     return got.select("doc_id", "n_shingles", "component_id", "kept")
@@ -58,7 +93,12 @@ def page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_chunk_fingerprints": op2_chunk_fingerprints,
+    "op3_huffman_ids": op3_huffman_ids,
     "op4_radix_dedup": op4_radix_dedup,
+    "op5_url_words": op5_url_words,
+    "op6_chat_rendering": op6_chat_rendering,
+    "op7_license_join": op7_license_join,
     "op8_chosen_path": op8_chosen_path,
     "op9_curriculum": op9_curriculum,
     "op10_language_fusion": op10_language_fusion,
@@ -97,4 +137,18 @@ SELECT doc_id, size, CAST(ssize AS BIGINT) AS source_size, CAST(target AS DOUBLE
 FROM p JOIN tgt USING (none, s)
 """
 
-ORACLE = {"op4_radix_dedup": _OP4, "op9_curriculum": _OP9}
+_OP6 = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, len(text) + len(regexp_extract_all(text, '\[\\*INST\]|\[\\*/INST\]|<\\*/s>|<\\*<ROLE>>|<\\*</ROLE>>')) AS n,
+             len(role) + len(regexp_extract_all(role, '\[\\*INST\]|\[\\*/INST\]|<\\*/s>|<\\*<ROLE>>|<\\*</ROLE>>')) AS rn FROM c)
+SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(len(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(n + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 5 ELSE 21 + rn END) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+ORACLE = {"op4_radix_dedup": _OP4, "op6_chat_rendering": _OP6, "op9_curriculum": _OP9}
