@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import slices, stage
 
 #: Words that mark a host as unwanted when no labelled urls are given.
-SEEDS = ("adult", "bet", "betting", "bonus", "casino", "cheap", "clickbait", "escort", "farm", "gambling", "jackpot", "loan", "lottery",
-         "malware", "phishing", "pharmacy", "pills", "poker", "porn", "replica", "scam", "sex", "slots", "spam", "viagra", "warez", "win", "xxx")
+SEEDS = ("ads", "adserver", "adult", "bet", "bets", "betting", "bonus", "casino", "cheap", "clickbait", "escort", "farm", "gambling", "jackpot", "loan", "lottery",
+         "malware", "phishing", "pharmacy", "pills", "poker", "porn", "replica", "scam", "sex", "slots", "spam", "track", "tracker", "viagra", "warez", "win", "xxx")
 #: (rule, verdict): host and path; the host and its subdomains match if the path starts as the rule's.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 MAX_RULES = 1000
