@@ -56,7 +56,7 @@ def score_windows(models: dict, features: DataFrame, key: str,
                   model_name: str = "isolation_forest") -> DataFrame:
     """OD6: (key, anomaly_score, prediction, is_anomaly) with a named model."""
     if model_name not in models:
-        raise ValueError(f"Model '{model_name}' not trained. Available models: {list(models)}")
+        raise ValueError(f"no fitted model named {model_name!r}; fitted: {sorted(models)}")
     m = models[model_name]
     if model_name == "isolation_forest":
         return m.predict(m.score(features, key))

@@ -4,9 +4,9 @@ metadata scaling (FE4), feature table (FE5/FE6) and fitted models (FE7).
 Everything is computed in long form -- (sequence, term, value) rows -- with
 built-in aggregates:
 
-* n-grams come from the sequence *pieces* (bounded arrays), each piece carrying
-  the last ``n-1`` ids of the pieces before it, so no operator ever needs a
-  whole sequence in one row;
+* n-grams come from the sequence *pieces* (bounded arrays); the last ``n-1`` ids
+  of the pieces before a piece are joined back to it, so no operator ever needs a
+  whole sequence in one row or task;
 * term counts aggregate map-side first; only the top ``max_features`` terms
   (with their document frequency) reach the driver;
 * idf is the smoothed form ``ln((1+n)/(1+df)) + 1``; rows are L2-normalised
@@ -38,9 +38,14 @@ def ngram_terms(pieces: DataFrame, seq_cols: list[str], ngram_range=(1, 2),
     if hi_n > 1:
         keep = hi_n - 1
         tail = F.slice(ids, F.greatest(F.lit(1), F.size(ids) - F.lit(keep) + 1), keep)
-        w = (Window.partitionBy(*seq_cols).orderBy(O.B, O.S)
-             .rowsBetween(-keep, -1))
-        p = pieces.withColumn("_tail", tail).withColumn("_prev", F.flatten(F.collect_list("_tail").over(w)))
+        # only the pieces' last ids go through the per-sequence window; the arrays stay where they
+        # are and get their context back by (sequence, slice)
+        w = Window.partitionBy(*seq_cols).orderBy(O.B, O.S).rowsBetween(-keep, -1)
+        tails = (pieces.select(*seq_cols, O.B, O.S, tail.alias("_tail"))
+                 .withColumn("_prev", F.flatten(F.collect_list("_tail").over(w)))
+                 .filter(F.size("_prev") > 0).drop("_tail"))
+        p = (pieces.join(tails, [*seq_cols, O.B, O.S], "left")
+             .withColumn("_prev", F.coalesce("_prev", F.array().cast("array<int>"))))
         prev = F.col("_prev")
         ctx = F.slice(prev, F.greatest(F.lit(1), F.size(prev) - F.lit(keep) + 1), keep)
         p = p.withColumn("_ext", F.concat(ctx, ids)).withColumn("_c", F.size(ctx))

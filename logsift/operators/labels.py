@@ -39,9 +39,12 @@ def label_distribution(training: DataFrame) -> DataFrame:
 
 def column_summary(df: DataFrame, column: str) -> DataFrame:
     """A10: count, mean, sample std, min, quartiles (exact, interpolated), max."""
+    from logsift.operators.order import quantiles_exact
+
     c = F.col(column).cast("double")
+    p25, p50, p75 = (F.lit(q).cast("double") for q in quantiles_exact(df, column, [0.25, 0.5, 0.75]))
     return df.agg(F.lit(column).alias("column"),
                   F.count(c).alias("count"), F.avg(c).alias("mean"),
                   F.stddev_samp(c).alias("std"), F.min(c).alias("min"),
-                  F.percentile(c, 0.25).alias("p25"), F.percentile(c, 0.5).alias("p50"),
-                  F.percentile(c, 0.75).alias("p75"), F.max(c).alias("max"))
+                  F.first(p25).alias("p25"), F.first(p50).alias("p50"),
+                  F.first(p75).alias("p75"), F.max(c).alias("max"))

@@ -31,7 +31,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 B, S = "_sb", "_ss"  # slice columns: bucket, sub-slice
-MAX_SLICES = 200_000  # offsets table is broadcast: <= ~5 MB
+MAX_SLICES = 200_000  # offsets table is broadcast: <= ~5 MB; beyond, slices grow instead
+MIN_SLICES = 8  # small inputs are sliced too: one code path at every size
+ROWS_PER_SLICE = 500_000
 _MASK53 = (1 << 53) - 1
 
 
@@ -40,7 +42,7 @@ class SlicePlan:
     """Pinned split points of the key (as floats, exact below 2**53)."""
     splits: list[float]
     heavy_buckets: list[int] = field(default_factory=list)
-    rows_per_slice: int = 4_000_000
+    rows_per_slice: int = ROWS_PER_SLICE
     n_rows: int = 0
     tie_kind: str = "dense"  # "dense": unique row index; "hash": 64-bit hash of the row
 
@@ -49,7 +51,7 @@ class SlicePlan:
         return len(self.splits) - 1
 
 
-def plan_slices(df: DataFrame, key: str, tie: str, rows_per_slice: int = 4_000_000,
+def plan_slices(df: DataFrame, key: str, tie: str, rows_per_slice: int = ROWS_PER_SLICE,
                 oversample: int = 8, seed: int = 17, n_rows: int | None = None,
                 tie_kind: str = "dense") -> SlicePlan:
     """Build a slice plan for ``df`` ordered by (key, tie).
@@ -61,10 +63,9 @@ def plan_slices(df: DataFrame, key: str, tie: str, rows_per_slice: int = 4_000_0
     if rows_per_slice < 1:
         raise ValueError("rows_per_slice must be >= 1")
     n = df.count() if n_rows is None else n_rows
-    k = max(1, math.ceil(n / rows_per_slice))
-    if k > MAX_SLICES:
-        raise ValueError(f"{k} slices needed; raise rows_per_slice")
-    if k == 1:
+    rows_per_slice = max(rows_per_slice, math.ceil(n / MAX_SLICES))
+    k = max(math.ceil(n / rows_per_slice), min(MIN_SLICES, n))
+    if k <= 1:  # no row or one
         return SlicePlan([-math.inf, math.inf], [], rows_per_slice, n, tie_kind)
     rate = min(1.0, oversample * k / n)
     u = (F.xxhash64(F.col(tie), F.lit(seed)).bitwiseAND(F.lit(_MASK53)).cast("double")
@@ -112,8 +113,6 @@ def with_slices(df: DataFrame, plan: SlicePlan, key: str, tie: str) -> DataFrame
 def slice_offsets(sliced: DataFrame) -> DataFrame:
     """Exact row count and starting offset of every slice (tiny, one row per slice)."""
     rows = sliced.groupBy(B, S).agg(F.count(F.lit(1)).alias("_n")).collect()
-    if len(rows) > MAX_SLICES:
-        raise ValueError("too many slices")
     acc, out = 0, []
     for r in sorted(rows, key=lambda r: (r[B], r[S])):
         out.append((r[B], r[S], acc))
@@ -123,7 +122,7 @@ def slice_offsets(sliced: DataFrame) -> DataFrame:
 
 
 def global_position(df: DataFrame, key: str, tie: str, pos_col: str = "pos",
-                    plan: SlicePlan | None = None, rows_per_slice: int = 4_000_000) -> DataFrame:
+                    plan: SlicePlan | None = None, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """0-based position of every row in (key, tie) order.
 
     One shuffle (rows hashed by slice for ``row_number`` inside the slice) plus
@@ -132,9 +131,6 @@ def global_position(df: DataFrame, key: str, tie: str, pos_col: str = "pos",
     planning actions and by the final job.
     """
     plan = plan or plan_slices(df, key, tie, rows_per_slice)
-    if plan.n_buckets == 1:  # at most rows_per_slice rows: one bounded window, no offsets
-        w = Window.partitionBy(F.lit(0)).orderBy(F.col(key), F.col(tie))
-        return (df.drop(B, S).withColumn(pos_col, F.row_number().over(w) - F.lit(1)))
     sliced = with_slices(df.drop(B, S), plan, key, tie)
     off = slice_offsets(sliced)
     w = Window.partitionBy(B, S).orderBy(F.col(key), F.col(tie))
@@ -145,23 +141,18 @@ def global_position(df: DataFrame, key: str, tie: str, pos_col: str = "pos",
 
 
 def dense_ids(df: DataFrame, key: str, id_col: str = "id",
-              rows_per_slice: int = 4_000_000) -> DataFrame:
+              rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """Consecutive 0-based ids over the distinct values of a numeric ``key``
     (W4: numbering of non-empty windows), without a single-task window."""
-    distinct = df.select(key).distinct().persist(StorageLevel.MEMORY_AND_DISK)
-    return global_position(distinct, key, key, id_col, rows_per_slice=rows_per_slice)
+    return global_position(df.select(key).distinct(), key, key, id_col, rows_per_slice=rows_per_slice)
 
 
 def running_sum(df: DataFrame, key: str, tie: str, value_col: str, out_col: str = "cum",
-                rows_per_slice: int = 4_000_000) -> DataFrame:
+                rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """Inclusive running sum of ``value_col`` in (key, tie) order, without a
     single-task window: per-slice totals (tiny) give each slice's base, the
     window runs inside slices only."""
     plan = plan_slices(df, key, tie, rows_per_slice)
-    if plan.n_buckets == 1:  # bounded: one window, no per-slice bases
-        w1 = (Window.partitionBy(F.lit(0)).orderBy(F.col(key), F.col(tie))
-              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        return df.withColumn(out_col, F.sum(value_col).over(w1).cast("double"))
     sliced = with_slices(df, plan, key, tie)
     rows = sliced.groupBy(B, S).agg(F.sum(value_col).alias("_t")).collect()
     acc, out = 0, []
@@ -177,9 +168,10 @@ def running_sum(df: DataFrame, key: str, tie: str, value_col: str, out_col: str
             .drop("_in", "_base", B, S))
 
 
-def quantile_exact(df: DataFrame, col: str, q: float,
-                   rows_per_slice: int = 4_000_000) -> float | None:
-    """Exact ``q`` quantile with linear interpolation (numpy's default).
+def order_statistics(df: DataFrame, col: str, ranks,
+                     rows_per_slice: int = ROWS_PER_SLICE) -> tuple[int, dict[int, float]]:
+    """(number of non-null values n, {rank: value}) for 0-based ``ranks``: a list, or a function
+    of n that gives one.
 
     Slices of the value give exact counts; a rank that falls in a one-value
     bucket is that value, otherwise only the slice holding it is sorted.  No
@@ -190,26 +182,46 @@ def quantile_exact(df: DataFrame, col: str, q: float,
         plan = plan_slices(vals, "_v", "_tie", rows_per_slice, tie_kind="hash")
         plan.heavy_buckets = []  # equal values need no order among themselves
         n = plan.n_rows
-        if n == 0:
-            return None
-        r = q * (n - 1)
-        lo, hi = int(math.floor(r)), int(math.ceil(r))
+        wanted = sorted({r for r in (ranks(n) if callable(ranks) else ranks) if 0 <= r < n})
+        if not wanted:
+            return n, {}
         sliced = with_slices(vals, plan, "_v", "_tie")
         counts = sorted(sliced.groupBy(B).agg(F.count(F.lit(1)).alias("_n"),
                                               F.min("_v").alias("_a"), F.max("_v").alias("_z"))
                         .collect(), key=lambda x: x[B])
         got, acc = {}, 0
         for row in counts:
-            for rank in (lo, hi):
-                if acc <= rank < acc + row["_n"]:
-                    if row["_a"] == row["_z"]:
-                        got[rank] = row["_a"]
-                    else:
-                        w = Window.partitionBy(B).orderBy("_v")
-                        got[rank] = (sliced.filter(F.col(B) == row[B])
-                                     .withColumn("_rn", F.row_number().over(w))
-                                     .filter(F.col("_rn") == rank - acc + 1).first()["_v"])
+            here = [r for r in wanted if acc <= r < acc + row["_n"]]
+            if here and row["_a"] == row["_z"]:
+                got.update({r: row["_a"] for r in here})
+            elif here:
+                w = Window.partitionBy(B).orderBy("_v")
+                found = (sliced.filter(F.col(B) == row[B]).withColumn("_rn", F.row_number().over(w))
+                         .filter(F.col("_rn").isin([r - acc + 1 for r in here])).collect())
+                got.update({acc + f["_rn"] - 1: f["_v"] for f in found})
             acc += row["_n"]
-        return got[lo] + (r - lo) * (got[hi] - got[lo])
+        return n, got
     finally:
         vals.unpersist()
+
+
+def quantiles_exact(df: DataFrame, col: str, qs: list[float],
+                    rows_per_slice: int = ROWS_PER_SLICE) -> list[float | None]:
+    """Exact quantiles with linear interpolation (numpy's default); None without values."""
+    def ranks(n):
+        return [f(q * (n - 1)) for q in qs for f in (math.floor, math.ceil)] if n else []
+
+    n, got = order_statistics(df, col, ranks, rows_per_slice)
+    if not n:
+        return [None] * len(qs)
+    out = []
+    for q in qs:
+        r = q * (n - 1)
+        lo, hi = got[math.floor(r)], got[math.ceil(r)]
+        out.append(lo + (r - math.floor(r)) * (hi - lo))
+    return out
+
+
+def quantile_exact(df: DataFrame, col: str, q: float,
+                   rows_per_slice: int = ROWS_PER_SLICE) -> float | None:
+    return quantiles_exact(df, col, [q], rows_per_slice)[0]

@@ -21,6 +21,7 @@ from logsift.functions import parse as P
 from logsift.operators import order as O
 
 TS_US = "_ts_us"
+# The leading columns of the log tables, in order.
 PRIORITY_COLUMNS = ["timestamp", "level", "component", "message", "block_id", "sequence_id",
                     "raw_line"]
 
@@ -46,7 +47,7 @@ class OrderedLogs:
             self.cached.unpersist()
 
 
-def order_logs(parsed: DataFrame, rows_per_slice: int = 4_000_000) -> OrderedLogs:
+def order_logs(parsed: DataFrame, rows_per_slice: int = O.ROWS_PER_SLICE) -> OrderedLogs:
     """Keep logs with a timestamp (PF5), add the epoch-µs key and order slices.
 
     Actions: one aggregate (count, min, max) and the slice sample.  ``parsed``
@@ -85,7 +86,7 @@ def _assemble(pieces: DataFrame, seq_cols: list[str], value_col: str = "template
                     F.sort_array(F.collect_list(F.struct(O.B, O.S, F.col(f"_items.{value_col}")
                                                          .alias("v")))),
                     lambda s: s["v"])).alias("template_sequence"),
-                 F.sum("_n").cast("int").alias("length"),
+                 F.sum("_n").alias("length"),
                  F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi")))
 
 
@@ -150,8 +151,9 @@ def time_windows(ordered: OrderedLogs, window_size_seconds: int = 60,
     step = _check_step(window_size_seconds, overlap_seconds)
     mem = membership if membership is not None else time_window_membership(
         ordered, window_size_seconds, overlap_seconds)
-    seqs = _assemble(_pieces(mem, ["_k"]), ["_k"])
-    ids = O.dense_ids(mem, "_k", "id")
+    pieces = _pieces(mem, ["_k"]).persist(StorageLevel.MEMORY_AND_DISK)
+    seqs = _assemble(pieces, ["_k"])
+    ids = O.dense_ids(pieces, "_k", "id")
     Z, S = int(window_size_seconds * 1_000_000), int(step * 1_000_000)
     start = F.lit(ordered.min_us if ordered.min_us is not None else 0) + F.col("_k") * F.lit(S)
     return (seqs.join(ids, "_k")

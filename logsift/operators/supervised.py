@@ -77,7 +77,7 @@ def predict(models: dict, df: DataFrame, model_name: str = "logistic_regression"
             features: str = "features") -> DataFrame:
     """ML4: adds ``prediction`` (0/1) and ``probability`` of class 1."""
     if model_name not in models:
-        raise ValueError(f"Model '{model_name}' not trained. Available models: {list(models)}")
+        raise ValueError(f"no fitted model named {model_name!r}; fitted: {sorted(models)}")
     m = models[model_name]
     out = m.transform(df)
     return (out.withColumn("probability", vector_to_array("probability")[1])

@@ -8,7 +8,7 @@ slice / piece machinery).
 
 from __future__ import annotations
 
-from logsift.plans.queries import (TIME_WINDOW_DEFAULT, CONTAMINATION, COUNT_WINDOW, COUNT_WINDOW_OVERLAP, RULE_CUT,
+from logsift.plans.queries import (TIME_WINDOW_DEFAULT, CONTAMINATION, COUNT_WINDOW, COUNT_WINDOW_OVERLAP, MAX_LINES, RULE_CUT,
                                    RULE_TEMPLATE, TIME_WINDOW, TIME_WINDOW_OVERLAP, TOP_N,
                                    LOF_NEIGHBORS, STREAM_GAP_SECONDS, VOCAB_TOPK, WINDOW_VOCAB)
 from logsift.sources.fixtures import TEMPLATE_RULE_SQL, oracle_labels_cte, oracle_lines_cte
@@ -176,7 +176,51 @@ UNION ALL SELECT 'macro avg', round((p0 + p1) / 2, 6), round((r0 + r1) / 2, 6),
 UNION ALL SELECT 'weighted avg', round({_d("p0 * s0 + p1 * s1", "s0 + s1")}, 6),
     round({_d("r0 * s0 + r1 * s1", "s0 + s1")}, 6), round({_d("f0 * s0 + f1 * s1", "s0 + s1")}, 6), s0 + s1 FROM fr"""
 
+# sp(k, y, u) -> parted(k, y, split): one total per part, shared by largest remainder
+_SPLIT = """cn AS (SELECT y, count(*) AS nc FROM sp GROUP BY y),
+tt AS (SELECT CAST((2 * sum(nc) + 9) // 10 AS BIGINT) AS t, sum(nc) AS n FROM cn),
+t1 AS (SELECT y, nc, t * nc // n AS base, t * nc % n AS rem, t FROM cn, tt),
+t2 AS (SELECT y, nc, base + CAST(row_number() OVER (ORDER BY rem DESC, nc DESC, y) <= t - sum(base) OVER () AS BIGINT) AS test FROM t1),
+vv AS (SELECT CAST((sum(nc - test) + 9) // 10 AS BIGINT) AS v, sum(nc - test) AS n FROM t2),
+v1 AS (SELECT y, nc, test, v * (nc - test) // n AS base, v * (nc - test) % n AS rem, v FROM t2, vv),
+v2 AS (SELECT y, test, base + CAST(row_number() OVER (ORDER BY rem DESC, nc - test DESC, y) <= v - sum(base) OVER () AS BIGINT) AS val FROM v1),
+parted AS (SELECT k, y, CASE WHEN rk < test THEN 'test' WHEN rk < test + val THEN 'validation' ELSE 'train' END AS split
+      FROM (SELECT *, row_number() OVER (PARTITION BY y ORDER BY u, k) - 1 AS rk FROM sp) r JOIN v2 USING (y))"""
+
+
+def _text_sql(where: str = "", blocks: str = "block_id", ts: str = "ts", message: str = "message", raw: str = "raw_line", source: str = "parsed") -> str:
+    return f"""{BASE}
+SELECT line_no, epoch_us({ts}) AS ts_us, level, component, {message} AS message, {blocks} AS block_id, {raw} AS raw_line
+FROM {source} {where}"""
+
+
 ORACLE = {
+    "block_sequences_sliced": f"""{BLOCKS}
+SELECT seq_id, id, template_sequence_str, length, start_us, end_us, time_span FROM blocks""",
+    "count_windows_sliced": _count_windows_sql(*COUNT_WINDOW),
+    "ngram_counts_sliced": f"""{BLOCK_TERMS}
+SELECT seq_id, term, tf FROM tf""",
+    "text_parse": _text_sql(),
+    "text_max_lines": _text_sql(f"WHERE line_no < {MAX_LINES}"),
+    "text_yymmdd": _text_sql(ts="try_cast('20' || substr(d,1,2) || '-' || substr(d,3,2) || '-' || substr(d,5,2) || ' ' || substr(t,1,2)"
+                                " || ':' || substr(t,3,2) || ':' || substr(t,5,2) AS TIMESTAMP)", source="m_parsed").replace(
+        "valid AS (", "m_parsed AS (SELECT p.*, m.d, m.t FROM parsed p JOIN m USING (line_no)),\nvalid AS (", 1),
+    "text_all_blocks": f"""{BASE},
+x AS (SELECT *, CASE WHEN line_no % 2 = 0 THEN message || ' blk_' || line_no ELSE message END AS msg,
+        CASE WHEN line_no % 2 = 0 THEN raw_line || ' blk_' || line_no ELSE raw_line END AS raw FROM parsed),
+y AS (SELECT *, regexp_extract_all(msg, 'blk_(-?[0-9]+)', 1) AS ids FROM x)
+SELECT line_no, epoch_us(ts) AS ts_us, level, component, msg AS message,
+       unnest(CASE WHEN len(ids) = 0 THEN [NULL] ELSE ids END) AS block_id, raw AS raw_line FROM y""",
+    "labels_last_wins": f"""{BASE}
+SELECT regexp_replace(BlockId, '^blk_', 'block_') AS block_key,
+       CASE WHEN length(BlockId) % 3 = 0 THEN 'Anomaly' ELSE Label END AS label FROM label_rows""",
+    "window_dataset_roundtrip": f"""{_windows_mem_sql(*COUNT_WINDOW)}
+SELECT 'window_' || CAST(j AS VARCHAR) AS window_id, CAST(log_count AS BIGINT) AS log_count,
+       round((e_us - s_us) / 1e6, 6) AS time_span, template_sequence_str, CAST(unique_templates AS BIGINT) AS unique_templates,
+       list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(template_sequence_str, ','), lambda v: CAST(v AS BIGINT))),
+                   lambda a, v: a * 31 % 1000003 + v) AS ids_hash,
+       CAST(len(string_split(template_sequence_str, ',')) AS BIGINT) AS ids
+FROM w""",
     "parse_logs": f"""{BASE}
 SELECT line_no, epoch_us(ts) AS ts_us, level, component, message, block_id, raw_line, template_id FROM parsed""",
     "parse_stats": f"""{BASE}
@@ -229,17 +273,17 @@ FROM (SELECT * FROM st ORDER BY cf DESC, term ASC LIMIT {VOCAB_TOPK}) s, nd""",
     "scaled_window_metadata": f"""{WINDOWS_TABLE}
 {_scaled(["log_count", "time_span", "unique_templates"], "window_id", "wt")}""",
     "stratified_split": f"""{BLOCKS},
-sp AS (SELECT block_id, anomaly_binary_val AS y,
-        ('0x' || substr(md5('42|' || block_id), 1, 13))::BIGINT / 4503599627370496.0 AS u
+sp AS (SELECT block_id AS k, anomaly_binary_val AS y, ('0x' || substr(md5('42|' || block_id), 1, 13))::BIGINT AS u
       FROM training WHERE anomaly_binary_val IN (0, 1)),
-r AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY u, block_id) - 1 AS rk,
-        count(*) OVER (PARTITION BY y) AS nc FROM sp)
-SELECT block_id, y AS anomaly_binary_val,
-       CASE WHEN rk < ceil(nc * 0.2) THEN 'test'
-            WHEN rk < ceil(nc * 0.2) + ceil((nc - ceil(nc * 0.2)) * 0.1) THEN 'validation'
-            ELSE 'train' END AS split FROM r
+{_SPLIT}
+SELECT k AS block_id, y AS anomaly_binary_val, split FROM parted
 UNION ALL SELECT block_id, anomaly_binary_val, NULL FROM training
 WHERE anomaly_binary_val IS NULL OR anomaly_binary_val NOT IN (0, 1)""",
+    "stratified_split_rare": f"""WITH er AS (SELECT event_id, row_number() OVER (ORDER BY event_id) <= 2 AS rare
+      FROM events WHERE event_type = 'error'),
+sp AS (SELECT event_id AS k, CAST(rare AS BIGINT) AS y, ('0x' || substr(md5('42|' || event_id), 1, 13))::BIGINT AS u FROM er),
+{_SPLIT}
+SELECT k AS event_id, y AS label, split FROM parted""",
     "confusion": f"""{SCORED}
 SELECT CAST(0 AS BIGINT) AS label, CAST(0 AS BIGINT) AS prediction, tn AS n FROM cells
 UNION ALL SELECT 0, 1, fp FROM cells UNION ALL SELECT 1, 0, fn FROM cells UNION ALL SELECT 1, 1, tp FROM cells""",

@@ -16,6 +16,7 @@ from logsift.functions import parse as P
 from logsift.operators import features as FT
 from logsift.operators import labels as L
 from logsift.operators import metrics as M
+from logsift.operators import order as O
 from logsift.operators import outliers as OL
 from logsift.operators import split as SP
 from logsift.operators import sequences as Q
@@ -42,7 +43,10 @@ def parsed_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.parse_logs(X.log_lines(spark, sf_dir), templates="fixture")
 
 
-def ordered_fixture(spark: SparkSession, sf_dir: str, rows_per_slice: int = 4_000_000):
+SMALL_SLICE = 500  # many slices even on the test tables
+
+
+def ordered_fixture(spark: SparkSession, sf_dir: str, rows_per_slice: int = O.ROWS_PER_SLICE):
     return Q.order_logs(parsed_fixture(spark, sf_dir), rows_per_slice=rows_per_slice)
 
 
@@ -69,6 +73,55 @@ def q_parse_levels(spark, sf_dir):
             .agg(F.count(F.lit(1)).alias("n")))
 
 
+# -- text files: reader, line limit, date layout, several ids a line -------------------
+
+def text_files(spark, sf_dir, parts: int = 4):
+    """The fixture lines as text files whose path order is the line order."""
+    path = _scratch(spark, "lines")
+    lines = X.log_lines(spark, sf_dir, persist=False)
+    lines.repartitionByRange(parts, "line_no").sortWithinPartitions("line_no").select("value").write.text(path)
+    return path
+
+
+def _text_lines(spark, sf_dir, max_lines=None):
+    """SC1-SC3: several files, read in splits of 64 KB."""
+    path, old = text_files(spark, sf_dir), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(64 << 10))
+    try:
+        lines = G.read_log_text(spark, path, max_lines).persist()
+        lines.count()  # the plan must run under the setting it was numbered under
+        return lines
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def _parsed_out(p: DataFrame) -> DataFrame:
+    return p.select("line_no", us(F.col("timestamp")).alias("ts_us"), "level", "component", "message", "block_id", "raw_line")
+
+
+def q_text_parse(spark, sf_dir):
+    return _parsed_out(G.parse_logs(_text_lines(spark, sf_dir), templates=None))
+
+
+MAX_LINES = 700
+
+
+def q_text_max_lines(spark, sf_dir):
+    """SC2: the reader's own line limit."""
+    return _parsed_out(G.parse_logs(_text_lines(spark, sf_dir, MAX_LINES), templates=None))
+
+
+def q_text_yymmdd(spark, sf_dir):
+    return _parsed_out(G.parse_logs(_text_lines(spark, sf_dir), templates=None, date_layout="yymmdd"))
+
+
+def q_text_all_blocks(spark, sf_dir):
+    """Every second line names a further block after its message; each id gives a row."""
+    lines = _text_lines(spark, sf_dir)
+    more = F.when(F.col("line_no") % 2 == 0, F.concat("value", F.lit(" blk_"), F.col("line_no").cast("string"))).otherwise(F.col("value"))
+    return _parsed_out(G.parse_logs(lines.withColumn("value", more), templates=None, all_blocks=True))
+
+
 # -- sequences ----------------------------------------------------------------
 
 def _seq_out(df: DataFrame) -> DataFrame:
@@ -84,6 +137,10 @@ def q_block_sequences(spark, sf_dir):
     return _seq_out(Q.block_sequences(ordered_fixture(spark, sf_dir)))
 
 
+def q_block_sequences_sliced(spark, sf_dir):
+    return _seq_out(Q.block_sequences(ordered_fixture(spark, sf_dir, SMALL_SLICE)))
+
+
 def q_time_windows(spark, sf_dir):
     return _seq_out(Q.time_windows(ordered_fixture(spark, sf_dir), *TIME_WINDOW))
 
@@ -107,6 +164,10 @@ def q_count_windows(spark, sf_dir):
     return _cw_out(Q.count_windows(ordered_fixture(spark, sf_dir), *COUNT_WINDOW))
 
 
+def q_count_windows_sliced(spark, sf_dir):
+    return _cw_out(Q.count_windows(ordered_fixture(spark, sf_dir, SMALL_SLICE), *COUNT_WINDOW))
+
+
 def q_count_windows_overlap(spark, sf_dir):
     return _cw_out(Q.count_windows(ordered_fixture(spark, sf_dir), *COUNT_WINDOW_OVERLAP))
 
@@ -182,6 +243,12 @@ def q_ngram_counts(spark, sf_dir):
     return t.select("seq_id", "term", F.col("tf").cast("long").alias("tf"))
 
 
+def q_ngram_counts_sliced(spark, sf_dir):
+    o = ordered_fixture(spark, sf_dir, SMALL_SLICE)
+    t = FT.ngram_terms(Q.block_pieces(o), ["seq_id"], NGRAMS)
+    return t.select("seq_id", "term", F.col("tf").cast("long").alias("tf"))
+
+
 def q_vocab_topk(spark, sf_dir):
     o, t = _block_terms(spark, sf_dir)
     n_docs = _n_blocks(o)
@@ -245,6 +312,14 @@ def q_stratified_split(spark, sf_dir):
                     "split")
 
 
+def q_stratified_split_rare(spark, sf_dir):
+    """ML1 with a class of two members: the two smallest event ids of errors against all other errors."""
+    e = X.events(spark, sf_dir).filter(F.col("event_type") == "error").select("event_id")
+    first = [r["event_id"] for r in e.orderBy("event_id").limit(2).collect()]
+    e = e.withColumn("label", F.col("event_id").isin(first).cast("int"))
+    return SP.stratified_split(e, "event_id", "label").select("event_id", F.col("label").cast("long").alias("label"), "split")
+
+
 def q_confusion(spark, sf_dir):
     c = M.confusion(_rule_scored(spark, sf_dir))
     return c.select(F.col("label").cast("long").alias("label"),
@@ -466,6 +541,29 @@ def q_label_csv(spark, sf_dir):
     return read_labels(spark, path)
 
 
+def q_labels_last_wins(spark, sf_dir):
+    """Every key twice in the file, the second time with the other label for a third of them."""
+    from logsift.sources.labels import read_labels
+    path = _scratch(spark, "labels") + ".csv"
+    rows = X.label_rows(spark, sf_dir)
+    other = F.when(F.length("BlockId") % 3 == 0, F.lit("Anomaly")).otherwise(F.col("Label"))
+    twice = rows.withColumn("_o", F.lit(0)).unionByName(rows.withColumn("Label", other).withColumn("_o", F.lit(1)))
+    twice.repartitionByRange(3, "_o", "BlockId").sortWithinPartitions("_o", "BlockId").select("BlockId", "Label").write.option("header", True).csv(path)
+    return read_labels(spark, path)
+
+
+def q_window_dataset_roundtrip(spark, sf_dir):
+    """SK1 + SC6 + F7: count windows written as CSV, loaded, the id string parsed back to an array."""
+    from logsift.sources.io import load_window_data, save_dataset
+    path = _scratch(spark, "windows") + ".csv"
+    save_dataset(_count_windows(spark, sf_dir).drop("unique_templates"), path, "csv")
+    t = load_window_data(spark, path)
+    return t.select("window_id", F.col("log_count").cast("long").alias("log_count"), r6(F.col("time_span")).alias("time_span"),
+                    "template_sequence_str", F.col("unique_templates").cast("long").alias("unique_templates"),
+                    F.aggregate("template_sequence", F.lit(0).cast("long"), lambda a, x: a * 31 % 1000003 + x).alias("ids_hash"),
+                    F.size("template_sequence").cast("long").alias("ids"))
+
+
 def q_block_dataset_roundtrip(spark, sf_dir):
     """SK1 + SC5: block training set written as CSV, loaded and validated."""
     from logsift.sources.io import load_block_data, save_dataset
@@ -554,4 +652,14 @@ QUERIES = {
     "score_range": q_score_range,
     "label_csv": q_label_csv,
     "block_dataset_roundtrip": q_block_dataset_roundtrip,
+    "block_sequences_sliced": q_block_sequences_sliced,
+    "count_windows_sliced": q_count_windows_sliced,
+    "ngram_counts_sliced": q_ngram_counts_sliced,
+    "stratified_split_rare": q_stratified_split_rare,
+    "text_parse": q_text_parse,
+    "text_max_lines": q_text_max_lines,
+    "text_yymmdd": q_text_yymmdd,
+    "text_all_blocks": q_text_all_blocks,
+    "labels_last_wins": q_labels_last_wins,
+    "window_dataset_roundtrip": q_window_dataset_roundtrip,
 }

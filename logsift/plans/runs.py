@@ -77,6 +77,7 @@ def run_blocks(ordered: Q.OrderedLogs, labels: DataFrame, max_features: int = 10
     usable = sum(counts.values())
     per_split = {sp: sum(n for (s, _), n in counts.items() if s == sp)
                  for sp in ("train", "validation", "test")}
+    # fixed values: the names of the training statistics
     stats = {"total_samples": total, "unlabelled_dropped": total - usable,
              "train_samples": per_split["train"], "val_samples": per_split["validation"],
              "test_samples": per_split["test"],

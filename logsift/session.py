@@ -39,10 +39,13 @@ def get_spark(master: str = "local[8]", shuffle_partitions: int = 8,
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and written intermediate tables.
 
-    Reads ``spark.checkpoint.dir`` from the session; sets a private temporary
-    folder only when the setting is absent (local tests)."""
+    Reads ``spark.checkpoint.dir`` from the session.  Where it is unset, a local
+    master gets a private temporary folder; on a cluster that folder would be on one
+    machine's disk only, so a missing setting is an error there."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="logsift-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -72,12 +75,15 @@ def ship_package(spark: SparkSession) -> None:
         return
     if spark.conf.get("spark.logsift.shipPackage", "true").lower() == "false":
         return
-    folder = checkpoint_dir(spark)
-    if "://" in folder and not folder.startswith("file:"):
+    # a path without a scheme belongs to the default file system, which Hadoop names
+    full = spark._jvm.org.apache.hadoop.fs.Path(checkpoint_dir(spark)).getFileSystem(
+        sc._jsc.hadoopConfiguration()).makeQualified(spark._jvm.org.apache.hadoop.fs.Path(checkpoint_dir(spark)))
+    if full.toUri().getScheme() != "file":
         # cluster file system: deploy the package with --py-files instead
         _SHIPPED.add(key)
         return
-    folder = folder[len("file:"):] if folder.startswith("file:") else folder
+    folder = full.toUri().getPath()
+    os.makedirs(folder, exist_ok=True)
     pkg = os.path.dirname(os.path.abspath(__file__))
     files = sorted(os.path.join(r, f) for r, _, fs in os.walk(pkg) for f in fs if f.endswith(".py"))
     digest = hashlib.sha1()

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from logsift.functions import parse as P
 
 FORMATS = ("csv", "json", "parquet")
+# The columns that the data set files must have.
 BLOCK_REQUIRED = ["block_id", "sequence_length", "template_sequence_str", "time_span",
                   "anomaly_binary_val"]
 WINDOW_REQUIRED = ["window_id", "template_sequence_str", "log_count", "time_span"]
@@ -24,7 +25,7 @@ WINDOW_REQUIRED = ["window_id", "template_sequence_str", "log_count", "time_span
 def require_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     missing = [c for c in columns if c not in df.columns]
     if missing:
-        raise ValueError(f"Missing required columns: {missing}")
+        raise ValueError(f"the data set lacks the columns {missing}")
     return df
 
 
@@ -182,7 +183,7 @@ def load_models(spark: SparkSession, save_dir: str) -> dict:
                                              None if pd.isna(off) else float(off))
     names, stats = read("feature_names"), read("training_stats")
     if names is None or stats is None:
-        print("Warning: Feature names or training stats not found")
+        print(f"{save_dir}: saved without feature names or training statistics")
     out["feature_names"] = [] if names is None else list(names.sort_values("position")["name"])
     out["stats"] = {} if stats is None else dict(zip(stats["key"], stats["value"]))
     return out

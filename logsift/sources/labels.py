@@ -28,7 +28,7 @@ def read_label_csv(spark: SparkSession, path: str | None) -> DataFrame:
         return df
     except Exception as exc:  # AnalysisException: path does not exist
         if "PATH_NOT_FOUND" in str(exc) or "does not exist" in str(exc):
-            print(f"Warning: anomaly labels file not found: {path}")
+            print(f"no label file at {path}; all blocks count as unlabelled")
             return empty
         raise
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from logsift.functions import parse as P
 
-MAX_BROADCAST_SPLITS = 100_000
+#: Offsets (40 bytes a split) are broadcast up to here: 80 MB, or 256 TB in splits of 128 MB.
+MAX_BROADCAST_SPLITS = 2_000_000
 PARSED_COLUMNS = ["line_no", "timestamp", "level", "component", "message", "block_id", "raw_line"]
 
 
@@ -23,32 +24,38 @@ def read_log_text(spark: SparkSession, paths, max_lines: int | None = None) -> D
     from one small aggregate (one row per split, broadcast back); no window
     over the whole input and no single-task ordering.
 
+    The numbering holds for the split settings in force now: run or persist the result
+    before changing them.  A split that wasn't numbered raises an error.
+
     ``max_lines`` keeps physical lines ``line_no < max_lines`` (unparsed lines
     count), never ``limit()`` which has no order guarantee.
     """
     if isinstance(paths, str):
         paths = [paths]
     raw = (spark.read.text(paths)
-           .select(F.col("value"),
-                   F.col("_metadata.file_path").alias("_fp"),
+           .select(F.col("value"), F.col("_metadata.file_path").alias("_path"),
+                   F.xxhash64("_metadata.file_path").alias("_fp"),
                    F.col("_metadata.file_block_start").alias("_fb"),
                    F.monotonically_increasing_id().alias("_mid")))
     splits = (raw.groupBy("_fp", "_fb")
-              .agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
+              .agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"), F.first("_path").alias("_path"))
               .collect())
     # One row per file split: bounded by input size / split size, small.
+    if len({r["_path"] for r in splits}) != len({r["_fp"] for r in splits}):
+        raise ValueError("two file paths share a hash; rename one")
     offsets, acc = [], 0
-    for r in sorted(splits, key=lambda r: (r["_fp"], r["_fb"])):
+    for r in sorted(splits, key=lambda r: (r["_path"], r["_fb"])):
         offsets.append((r["_fp"], r["_fb"], acc, r["_first"]))
         acc += r["_n"]
     if not offsets:
         return spark.createDataFrame([], "line_no bigint, value string")
-    off = spark.createDataFrame(offsets, "_fp string, _fb bigint, _off bigint, _first bigint")
-    # one row per file split grows with the input (~800k rows at 100 TB):
-    # broadcast only below a fixed bound, otherwise an ordinary join
+    off = spark.createDataFrame(offsets, "_fp bigint, _fb bigint, _off bigint, _first bigint")
+    # one row per file split grows with the input (~800k rows, 32 MB, at 100 TB):
+    # broadcast below a fixed bound (the lines aren't shuffled), otherwise an ordinary join
     off = F.broadcast(off) if len(offsets) <= MAX_BROADCAST_SPLITS else off
-    lines = (raw.join(off, ["_fp", "_fb"])
-             .select((F.col("_off") + F.col("_mid") - F.col("_first")).alias("line_no"), "value"))
+    known = F.coalesce(F.col("_off") + F.col("_mid") - F.col("_first"),
+                       F.raise_error(F.lit("the input was split differently when it was numbered")).cast("long"))
+    lines = raw.drop("_path").join(off, ["_fp", "_fb"], "left").select(known.alias("line_no"), "value")
     if max_lines:
         lines = lines.filter(F.col("line_no") < F.lit(int(max_lines)))
     return lines
