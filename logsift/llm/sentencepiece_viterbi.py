@@ -28,7 +28,8 @@ SCALE = 1 << 20
 ZIPF_SHIFT = 2.7
 UNKNOWN_PENALTY = 10.0
 MARK = "▁"
-REMEMBER, REMEMBER_LENGTH = 400_000, 64
+#: Segments remembered (twice as many at most), and their largest length; portions of long ones.
+REMEMBER, REMEMBER_LENGTH, PORTION = 250_000, 64, 4096
 
 
 class Model:
@@ -37,6 +38,7 @@ class Model:
     def __init__(self, pieces: list[tuple[str, float, int]], byte_ids: list[int], dummy_prefix: bool = True):
         """``pieces``: (text with plain spaces, score, id); ``byte_ids``: id of each byte's piece."""
         self.texts = {i: t for t, _, i in pieces}
+        self._root = self._encoder = None
         self.byte_ids, self.dummy_prefix = byte_ids, dummy_prefix
         low = min((s for _, s, _ in pieces), default=0.0)
         self.unknown = round((low - UNKNOWN_PENALTY) * SCALE)
@@ -74,6 +76,25 @@ class Model:
         return cls([(sp.id_to_piece(i).replace(MARK, " "), scores[i], i) for i in plain], byte_ids,
                    sp.normalize("a") != "a")
 
+    def root(self) -> dict:
+        """The pieces as nested tables: character -> (next table, score, id or -1)."""
+        if self._root is None:
+            tables: dict[str, dict] = {"": {}}
+            for prefix, hit in sorted(self.trie.items()):  # a prefix sorts before what it starts
+                tables[prefix] = {}
+                tables[prefix[:-1]][prefix[-1]] = (tables[prefix], *(hit or (0, -1)))
+            self._root = tables[""]
+        return self._root
+
+    def __getstate__(self):
+        return self.__dict__ | {"_root": None, "_encoder": None}
+
+    def encoder(self) -> Encoder:
+        """The worker's encoder: a broadcast model lives as long as the worker, and so does what it remembers."""
+        if self._encoder is None:
+            self._encoder = Encoder(self)
+        return self._encoder
+
     def table(self) -> list[bytes]:
         """Bytes of each id."""
         size = max([*self.texts, *self.byte_ids], default=-1) + 1
@@ -88,80 +109,89 @@ class Model:
 class Stream:
     """Streaming search: ``feed`` text in any portions, ``finish``; both return committed ids.
 
-    ``width`` is the number of positions that hold state just now, ``widest`` its maximum."""
+    Between calls only the positions after the last committed boundary are kept; ``widest`` is
+    the most positions that held state at once, a portion's own included."""
 
     def __init__(self, model: Model):
         self.m, self.text, self.widest = model, "", 0
         self.score: list[int | None] = [0]  # of positions from the last committed boundary on
         self.back: list[int] = [0]
         self.ids: list[int] = [0]
-        self.at = 0  # next position to extend, in self.text, which starts at that boundary
+        self.at = self.reach = 0  # next position to extend, furthest position that a piece reaches
 
     def feed(self, more: str) -> list[int]:
         self.text += more
-        return self._run(len(self.text) - self.m.longest + 1)
+        return self._run(len(self.text) - self.m.longest + 1, False)
 
     def finish(self) -> list[int]:
-        out = self._run(len(self.text))
-        out += self._commit(len(self.text))
-        return out
-
-    def _run(self, end: int) -> list[int]:
-        get, unknown, out = self.m.trie.get, self.m.unknown, []
-        text, score, back, ids, i = self.text, self.score, self.back, self.ids, self.at
-        n, longest = len(text), self.m.longest
+        return self._run(len(self.text), True)
+
+    def _run(self, end: int, last: bool) -> list[int]:
+        root, unknown, longest, out, lo = self.m.root(), self.m.unknown, self.m.longest, [], 0
+        text, score, back, ids, i, reach = self.text, self.score, self.back, self.ids, self.at, self.reach
+        n = len(text)
+        if n >= len(score):
+            more = n + 1 - len(score)
+            score += [None] * more
+            back += [0] * more
+            ids += [0] * more
         while i < end:
-            if i and len(score) == i + 1:  # no piece passes this boundary
-                self.at = i
-                out += self._commit(i)
-                text, score, back, ids, end, n, i = self.text, self.score, self.back, self.ids, end - i, n - i, 0
-            elif i >= 4 * longest and i % longest == 0 and (c := self._meet(i)):
-                self.at = i
-                out += self._commit(c)
-                text, score, back, ids, end, n, i = self.text, self.score, self.back, self.ids, end - c, n - c, i - c
-            base, single, k = score[i], False, i + 1
+            if i == reach:  # no piece passes this boundary
+                if i > lo:
+                    self._path(i, lo, out)
+                    lo = i
+            elif i - lo >= 4 * longest and (i - lo) % longest == 0 and (c := self._meet(i, reach)) > lo:
+                self._path(c, lo, out)
+                lo = c
+            base = score[i]
             if base is not None:
-                while k <= n:
-                    hit = get(text[i:k], 0)
-                    if hit == 0:
+                node, k, single = root, i, False
+                while k < n:
+                    hit = node.get(text[k])
+                    if hit is None:
                         break
-                    if hit is not None:
-                        single = single or k == i + 1
-                        while len(score) <= k:
-                            score.append(None)
-                            back.append(0)
-                            ids.append(0)
-                        s = base + hit[0]
-                        if score[k] is None or s > score[k]:
-                            score[k], back[k], ids[k] = s, i, hit[1]
+                    node, s, piece = hit
                     k += 1
+                    if piece >= 0:
+                        if k == i + 1:
+                            single = True
+                        s += base
+                        was = score[k]
+                        if was is None or s > was:
+                            score[k], back[k], ids[k] = s, i, piece
+                            if k > reach:
+                                reach = k
                 if not single:
-                    k = i + 1
-                    if len(score) <= k:
-                        score.append(None)
-                        back.append(0)
-                        ids.append(0)
-                    s = base + unknown
-                    if score[k] is None or s > score[k]:
+                    k, s = i + 1, base + unknown
+                    was = score[k]
+                    if was is None or s > was:
                         score[k], back[k], ids[k] = s, i, -1
+                        if k > reach:
+                            reach = k
             i += 1
         self.widest = max(self.widest, len(score))
-        self.at = i
+        if last:
+            self._path(n, lo, out)
+        else:  # forget what is committed
+            zero = score[lo]
+            self.score = [None if s is None else s - zero for s in score[lo:]]
+            self.back, self.ids, self.text = [b - lo for b in back[lo:]], ids[lo:], text[lo:]
+            self.at, self.reach = i - lo, reach - lo
         return out
 
-    def _meet(self, i: int) -> int:
+    def _meet(self, i: int, reach: int) -> int:
         """The last boundary that the best paths of all live positions share."""
-        live = {k for k in range(i, len(self.score)) if self.score[k] is not None}
+        live = {k for k in range(i, reach + 1) if self.score[k] is not None}
         while len(live) > 1:
             k = max(live)
             live.discard(k)
             live.add(self.back[k])
         return live.pop()
 
-    def _commit(self, c: int) -> list[int]:
-        """Emit the best path up to boundary ``c`` and start the state there."""
+    def _path(self, c: int, lo: int, out: list[int]) -> None:
+        """Append the best path from boundary ``lo`` to boundary ``c``."""
         got, k = [], c
-        while k > 0:
+        while k > lo:
             j = self.back[k]
             if self.ids[k] < 0:
                 got.extend(self.m.byte_ids[b] for b in reversed(self.text[j:k].encode("utf-8", "surrogatepass")))
@@ -169,13 +199,7 @@ class Stream:
                 got.append(self.ids[k])
             k = j
         got.reverse()
-        if c:
-            zero = self.score[c]
-            self.score = [0] + [None if s is None else s - zero for s in self.score[c + 1:]]
-            self.back = [0] + [b - c for b in self.back[c + 1:]]
-            self.ids = [0] + self.ids[c + 1:]
-            self.text, self.at = self.text[c:], self.at - c
-        return got
+        out += got
 
 
 class Encoder(dict):
@@ -183,27 +207,31 @@ class Encoder(dict):
 
     def __init__(self, model: Model):
         super().__init__()
-        self.model = model
+        self.model, self.old = model, {}
 
     def __missing__(self, segment: str) -> bytes:
-        pairs = self.model.pairs
-        cuts = [k for k in range(1, len(segment)) if segment[k - 1:k + 1] not in pairs]
-        if cuts:
-            return self._keep(segment, b"".join([self[segment[a:b]] for a, b in zip([0, *cuts], [*cuts, len(segment)], strict=True)]))
-        stream = Stream(self.model)
-        ids = array("i", [])
-        for at in range(0, len(segment), 4096):
-            ids.extend(stream.feed(segment[at:at + 4096]))
-        ids.extend(stream.finish())
-        return self._keep(segment, ids.tobytes())
-
-    def _keep(self, segment: str, got: bytes) -> bytes:
+        got = self.old.get(segment)
+        if got is None:
+            got = self._search(segment)
         if len(segment) <= REMEMBER_LENGTH:
-            if len(self) >= REMEMBER:
+            if len(self) >= REMEMBER:  # what was not used since the last turn is forgotten
+                self.old = dict(self)
                 self.clear()
             self[segment] = got
         return got
 
+    def _search(self, segment: str) -> bytes:
+        pairs = self.model.pairs
+        if len(segment) > 1:
+            cuts = [k for k in range(1, len(segment)) if segment[k - 1:k + 1] not in pairs]
+            if cuts:
+                return b"".join([self[segment[a:b]] for a, b in zip([0, *cuts], [*cuts, len(segment)], strict=True)])
+        stream, ids = Stream(self.model), []
+        for at in range(0, len(segment) - PORTION, PORTION):
+            ids += stream.feed(segment[at:at + PORTION])
+        stream.text += segment[(len(segment) - 1) // PORTION * PORTION:]
+        return array("i", ids + stream.finish()).tobytes()
+
     def segments(self, text: str) -> Iterable[str]:
         """Cut where every path has a boundary: before a word's space, around a line end."""
         import re
@@ -247,7 +275,7 @@ def encode_decode(docs: DataFrame, model: Model) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        encoder, pieces = Encoder(send.value), send.value.table()
+        encoder, pieces = send.value.encoder(), send.value.table()
         prefix = send.value.dummy_prefix
         for whole in batches:
             for batch in slices(whole, "text"):
