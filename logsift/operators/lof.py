@@ -100,9 +100,8 @@ def _box_dist(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 def _knn_rows(pid, x, m, qid, qx, qm, k, radius=None):
     """Candidate neighbours of queries among points: rows (q, o, d, w).
 
-    Own copies (same point) count m-1 at distance 0.  Without ``radius``
-    each query keeps its k nearest samples (with multiplicity); with it,
-    every point within the radius."""
+    Own copies (same point) count m-1 at distance 0.  Each query keeps its k nearest
+    samples (with multiplicity), those within ``radius`` if that is given."""
     out_q, out_o, out_d, out_w = [], [], [], []
     for s in range(0, len(qid), 512):
         dq = np.sqrt(((qx[s:s + 512, None, :] - x[None, :, :]) ** 2).sum(axis=2))
@@ -119,10 +118,9 @@ def _knn_rows(pid, x, m, qid, qx, qm, k, radius=None):
             if idx.size == 0:
                 continue
             order = idx[np.lexsort((pid[idx], dist[idx]))]
-            if radius is None:
-                cum = np.cumsum(w[order])
-                cut = np.searchsorted(cum, k) + 1
-                order = order[:cut]
+            # k samples are enough, within a radius too: no neighbour can lie beyond them
+            cum = np.cumsum(w[order])
+            order = order[:np.searchsorted(cum, k) + 1]
             out_q += [q] * len(order)
             out_o += list(pid[order])
             out_d += list(dist[order])
@@ -141,12 +139,18 @@ def local_outlier_factor(df: DataFrame, key: str, cols: list[str], n_neighbors:
                          sample_size: int = 200_000, seed: int = 42):
     """Returns (rows with ``lof`` and ``anomaly_score`` = -lof, LofModel).
 
-    ``df``: one row per item with numeric ``cols`` (low dimension)."""
+    ``df``: one row per item with numeric ``cols`` (low dimension); a null or NaN
+    feature is an error."""
     from logsift.operators.order import quantile_exact
 
     spark = df.sparkSession
     ship_package(spark)
     d = len(cols)
+    bad = F.lit(False)
+    for c in cols:
+        bad = bad | F.col(c).isNull() | F.isnan(F.col(c).cast("double"))
+    if df.filter(bad).limit(1).count():
+        raise ValueError("features hold null or NaN")
     pts = (df.select(*[F.col(c).cast("double").alias(c) for c in cols])
            .groupBy(*cols).agg(F.count(F.lit(1)).alias("_m")))
     pts = pts.withColumn("_pid", F.xxhash64(*cols, F.lit(seed))).persist()

@@ -5,32 +5,26 @@ from __future__ import annotations
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logsift.operators import metrics as M
-from logsift.session import ship_package
 
 MODEL_NAMES = ("logistic_regression", "boosted_trees")
 
 
 def to_vector(dim: int, idx_col: str = "feat_idx", val_col: str = "feat_val") -> F.Column:
-    """Sparse ``Vector`` from (indices, values) arrays.  A small per-row helper:
-    Spark SQL has no built-in that makes a sparse ML vector, and a dense
-    array would cost ``dim`` doubles per row."""
-
-    from pyspark.sql import SparkSession
-
-    active = SparkSession.getActiveSession()
-    if active is not None:
-        ship_package(active)
-
-    @F.udf(returnType=VectorUDT())
-    def _vec(idx, val):
-        return SparseVector(dim, list(idx or []), list(val or []))
-
-    return _vec(F.col(idx_col), F.col(val_col))
+    """Sparse ``Vector`` from (indices, values) arrays, without Python.
+
+    SQL has no function for it, but its JSON reader makes any column type from
+    the type's stored form, here (0 for sparse, size, indices, values).  Doubles keep
+    every bit on the way: JSON holds their shortest exact form."""
+    form = T.StructType([T.StructField("v", VectorUDT())])
+    stored = F.struct(F.lit(0).cast("byte").alias("type"), F.lit(dim).alias("size"),
+                      F.col(idx_col).alias("indices"), F.col(val_col).alias("values"))
+    return F.from_json(F.to_json(F.struct(stored.alias("v"))), form)["v"]
 
 
 def with_weights(train: DataFrame, label: str, scheme: str) -> DataFrame:

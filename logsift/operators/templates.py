@@ -1,4 +1,4 @@
-"""Template mining (OD8) as a batch Spark job.
+"""Template mining (OD8) as a batch Spark job, without row order and without Python.
 
 The original tool fed every line to an online prefix-tree miner (similarity
 0.4, depth 4).  Here:
@@ -8,29 +8,25 @@ The original tool fed every line to an online prefix-tree miner (similarity
 2. ``groupBy(tokens)`` collapses lines to distinct patterns (map-side combine:
    millions of lines -> few patterns), keeping count and first line;
 3. leaf = (token count, first two tokens) -- what a depth-4 tree routes on;
-4. a leaf with many distinct patterns is cut into hash sub-groups of at most
-   ``patterns_per_group``; ``applyInPandas`` clusters each sub-group greedily
-   in first-seen order (join the most similar cluster if the share of equal
-   non-wildcard positions is >= ``sim_threshold``, differing positions become
-   ``<*>``; else open a cluster);
-5. a second pass per leaf merges the sub-group clusters the same way (its
-   input is the number of distinct templates, not lines);
-6. ``template_id`` = 1 + rank of the cluster's first line; ids are joined back
-   to lines on the pattern (the pattern table is small, AQE broadcasts it).
-
-By design: one final template text per id, mining on ``message`` by default
-(``text_col='raw_line'`` mines whole lines as the original did).
+4. per (leaf, position, token) the lines are counted; a token that fewer than
+   ``sim_threshold`` of the leaf's lines have at its position is a parameter
+   and becomes ``<*>``, any other stays;
+5. patterns with the same resulting text are one template; ``template_id`` = 1 +
+   rank of the template's first line; ids are joined back to lines on the pattern.
+
+All decisions come from grouped counts of patterns, so the result depends neither on
+arrival order nor on partitioning or group sizes, and a leaf that holds most lines is spread over
+tasks like any aggregate.  By design: one final template text per id, mining on
+``message`` by default (``text_col='raw_line'`` mines whole lines as the original did).
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logsift.operators import order as O
-from logsift.session import ship_package
 
 WILDCARD = "<*>"
 
@@ -40,109 +36,44 @@ def masked_tokens(text: F.Column) -> F.Column:
     return F.transform(toks, lambda t: F.when(t.rlike("[0-9]"), F.lit(WILDCARD)).otherwise(t))
 
 
-def _similarity(template: list[str], tokens: list[str]) -> tuple[float, int]:
-    sim = params = 0
-    for a, b in zip(template, tokens):
-        if a == WILDCARD:
-            params += 1
-        elif a == b:
-            sim += 1
-    return sim / max(1, len(template)), params
-
-
-def _merge(template: list[str], tokens: list[str]) -> list[str]:
-    return [a if a == b else WILDCARD for a, b in zip(template, tokens)]
-
-
-def _cluster(items: list[tuple], sim_threshold: float):
-    """items: (first_line, tokens, ref) in first-seen order -> (ref, cluster_no), templates."""
-    templates: list[list[str]] = []
-    firsts: list[int] = []
-    assign = []
-    for first, toks, ref in items:
-        best, best_key = -1, None
-        for ci, tpl in enumerate(templates):
-            s, p = _similarity(tpl, toks)
-            if s >= sim_threshold and (best_key is None or (s, p) > best_key):
-                best, best_key = ci, (s, p)
-        if best < 0:
-            templates.append(list(toks))
-            firsts.append(first)
-            best = len(templates) - 1
-        else:
-            templates[best] = _merge(templates[best], toks)
-        assign.append((ref, best))
-    return assign, templates, firsts
-
-
 def _with_patterns(parsed: DataFrame, text_col: str) -> DataFrame:
     lines = parsed.withColumn("_tok", masked_tokens(F.col(text_col)))
     return lines.withColumn("_pat", F.array_join("_tok", " "))
 
 
 def template_table(parsed: DataFrame, text_col: str = "message", sim_threshold: float = 0.4,
-                   prefix_tokens: int = 2, patterns_per_group: int = 20_000) -> DataFrame:
+                   prefix_tokens: int = 2) -> DataFrame:
     """One row per distinct masked pattern: (pattern, template_id, template_str,
     lines, first_line).  Small (distinct patterns, not lines)."""
-    ship_package(parsed.sparkSession)
     lines = _with_patterns(parsed, text_col)
-    pats = (lines.groupBy("_pat")
-            .agg(F.first("_tok").alias("tokens"), F.min("line_no").alias("first_line"),
-                 F.count(F.lit(1)).alias("n"))
-            .withColumnRenamed("_pat", "pattern"))
+    pats = (lines.groupBy(F.col("_pat").alias("pattern"))
+            .agg(F.min("line_no").alias("first_line"), F.count(F.lit(1)).alias("n"))
+            .withColumn("tokens", F.split("pattern", " ")))
     leaf = F.concat_ws("\u0001", F.size("tokens").cast("string"),
                        F.array_join(F.slice("tokens", 1, prefix_tokens), "\u0001"))
-    pats = pats.withColumn("leaf", leaf)
-    per_leaf = pats.groupBy("leaf").agg(F.count(F.lit(1)).alias("_np"))
-    pats = (pats.join(per_leaf, "leaf")
-            .withColumn("grp", F.pmod(F.xxhash64("pattern"),
-                                      F.ceil(F.col("_np") / F.lit(patterns_per_group)).cast("long")))
-            .drop("_np"))
-
-    def stage_a(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["first_line", "pattern"])
-        items = [(int(f), list(t), p) for f, t, p in zip(pdf["first_line"], pdf["tokens"], pdf["pattern"])]
-        assign, templates, firsts = _cluster(items, sim_threshold)
-        leaf_v, grp = pdf["leaf"].iloc[0], int(pdf["grp"].iloc[0])
-        return pd.DataFrame({"pattern": [a[0] for a in assign],
-                             "leaf": leaf_v, "grp": grp,
-                             "local": [a[1] for a in assign],
-                             "local_tokens": [templates[a[1]] for a in assign],
-                             "local_first": [firsts[a[1]] for a in assign]})
-
-    a = pats.groupBy("leaf", "grp").applyInPandas(
-        stage_a, "pattern string, leaf string, grp long, local long, "
-                 "local_tokens array<string>, local_first long").persist(StorageLevel.MEMORY_AND_DISK)
-    local = a.select("leaf", "grp", "local", "local_tokens", "local_first").distinct()
-
-    def stage_b(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["local_first", "grp", "local"])
-        items = [(int(f), list(t), (int(g), int(c))) for f, t, g, c in
-                 zip(pdf["local_first"], pdf["local_tokens"], pdf["grp"], pdf["local"])]
-        assign, templates, firsts = _cluster(items, sim_threshold)
-        return pd.DataFrame({"leaf": pdf["leaf"].iloc[0],
-                             "grp": [r[0][0] for r in assign], "local": [r[0][1] for r in assign],
-                             "template_str": [" ".join(templates[r[1]]) for r in assign],
-                             "cluster_first": [firsts[r[1]] for r in assign]})
-
-    b = local.groupBy("leaf").applyInPandas(
-        stage_b, "leaf string, grp long, local long, template_str string, cluster_first long"
-    ).persist(StorageLevel.MEMORY_AND_DISK)
-    clusters = b.select("cluster_first").distinct()
-    ids = O.dense_ids(clusters, "cluster_first", "_cid")
-    counts = pats.select("pattern", "n", "first_line")
-    return (a.join(b, ["leaf", "grp", "local"]).join(ids, "cluster_first")
-            .join(counts, "pattern")
+    pats = pats.withColumn("leaf", leaf).persist(StorageLevel.MEMORY_AND_DISK)
+    placed = pats.select("pattern", "leaf", "n", F.posexplode("tokens").alias("pos", "token"))
+    per_leaf = pats.groupBy("leaf").agg(F.sum("n").alias("leaf_n"))
+    counts = (placed.groupBy("leaf", "pos", "token").agg(F.sum("n").alias("m")).join(per_leaf, "leaf")
+              .select("leaf", "pos", "token", (F.col("m") >= F.lit(sim_threshold) * F.col("leaf_n")).alias("fixed")))
+    kept = F.when(F.col("fixed"), F.col("token")).otherwise(F.lit(WILDCARD))
+    # one row per token of a pattern: a pattern is one line's worth of tokens
+    texts = (placed.join(counts, ["leaf", "pos", "token"]).groupBy("pattern")
+             .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", kept.alias("t")))), lambda x: x["t"]), " ").alias("template_str")))
+    out = pats.select("pattern", "leaf", "n", "first_line").join(texts, "pattern")
+    first = out.groupBy("leaf", "template_str").agg(F.min("first_line").alias("cluster_first"))
+    ids = O.dense_ids(first, "cluster_first", "_cid")
+    return (out.join(first, ["leaf", "template_str"]).join(ids, "cluster_first")
             .select("pattern", (F.col("_cid") + 1).cast("int").alias("template_id"), "template_str",
                     F.col("n").alias("lines"), "first_line"))
 
 
 def mine_templates(parsed: DataFrame, text_col: str = "message", sim_threshold: float = 0.4,
-                   prefix_tokens: int = 2, patterns_per_group: int = 20_000) -> DataFrame:
+                   prefix_tokens: int = 2) -> DataFrame:
     """Adds ``template_id`` (int) and ``template_str`` to every parsed line
     (lines join the pattern table; AQE broadcasts it when small and splits a
     hot pattern's partition otherwise)."""
-    table = template_table(parsed, text_col, sim_threshold, prefix_tokens, patterns_per_group)
+    table = template_table(parsed, text_col, sim_threshold, prefix_tokens)
     mapping = table.select(F.col("pattern").alias("_pat"), "template_id", "template_str")
     return _with_patterns(parsed, text_col).join(mapping, "_pat").drop("_tok", "_pat")
 
@@ -154,8 +85,6 @@ def template_summary(parsed: DataFrame, **options) -> DataFrame:
                                                        F.min("first_line").alias("first_line"))
 
 
-
-
 def token_patterns(parsed: DataFrame, text_col: str = "message", prefix_tokens: int = 2) -> DataFrame:
     """OD8 steps 1-3 as a table: pattern, token count, leaf prefix, lines, first line."""
     lines = parsed.withColumn("_tok", masked_tokens(F.col(text_col)))
@@ -163,4 +92,3 @@ def token_patterns(parsed: DataFrame, text_col: str = "message", prefix_tokens:
             .agg(F.first(F.size("_tok")).alias("token_count"),
                  F.first(F.array_join(F.slice("_tok", 1, prefix_tokens), " ")).alias("leaf_prefix"),
                  F.count(F.lit(1)).alias("lines"), F.min("line_no").alias("first_line")))
-

@@ -194,6 +194,24 @@ SELECT line_no, epoch_us({ts}) AS ts_us, level, component, {message} AS message,
 FROM {source} {where}"""
 
 
+_LOF_WINDOWS = f"""{WINDOWS_TABLE},
+sc AS (SELECT window_id,
+        coalesce((CAST(log_count AS DOUBLE) - avg(log_count) OVER ()) / nullif(stddev_pop(log_count) OVER (), 0), 0) AS x0,
+        coalesce((time_span - avg(time_span) OVER ()) / nullif(stddev_pop(time_span) OVER (), 0), 0) AS x1,
+        coalesce((CAST(unique_templates AS DOUBLE) - avg(unique_templates) OVER ())
+                 / nullif(stddev_pop(unique_templates) OVER (), 0), 0) AS x2 FROM wt),
+kk AS (SELECT least({LOF_NEIGHBORS}, count(*) - 1) AS k FROM sc),
+pairs AS (SELECT a.window_id AS p, b.window_id AS o,
+        sqrt((a.x0 - b.x0) ^ 2 + (a.x1 - b.x1) ^ 2 + (a.x2 - b.x2) ^ 2) AS d
+      FROM sc a JOIN sc b ON a.window_id <> b.window_id),
+nb AS (SELECT p, o, d FROM (SELECT *, row_number() OVER (PARTITION BY p ORDER BY d, o) AS rn FROM pairs), kk
+      WHERE rn <= kk.k),
+kd AS (SELECT p, max(d) AS kd FROM nb GROUP BY p),
+lrd AS (SELECT nb.p, 1.0 / (avg(greatest(kd.kd, nb.d)) + 1e-10) AS lrd FROM nb JOIN kd ON nb.o = kd.p GROUP BY nb.p),
+lf AS (SELECT nb.p, avg(l2.lrd) / any_value(l1.lrd) AS lof FROM nb JOIN lrd l2 ON nb.o = l2.p
+      JOIN lrd l1 ON nb.p = l1.p GROUP BY nb.p)
+SELECT p AS window_id, round(-lof, 6) AS anomaly_score FROM lf"""
+
 ORACLE = {
     "block_sequences_sliced": f"""{BLOCKS}
 SELECT seq_id, id, template_sequence_str, length, start_us, end_us, time_span FROM blocks""",
@@ -320,43 +338,42 @@ SELECT array_to_string(toks, ' ') AS pattern, CAST(any_value(len(toks)) AS BIGIN
        any_value(array_to_string(list_slice(toks, 1, 2), ' ')) AS leaf_prefix,
        CAST(count(*) AS BIGINT) AS lines, min(line_no) AS first_line
 FROM tk GROUP BY array_to_string(toks, ' ')""",
+    "templates": f"""{BASE},
+tk AS (SELECT line_no, list_transform(string_split_regex(trim(message), '\\s+'),
+        lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS toks FROM parsed),
+lf AS (SELECT line_no, toks, len(toks) || '|' || array_to_string(list_slice(toks, 1, 2), '|') AS leaf FROM tk),
+ex AS (SELECT line_no, leaf, unnest(toks) AS token, generate_subscripts(toks, 1) AS pos FROM lf),
+ln AS (SELECT leaf, count(*) AS n FROM lf GROUP BY leaf),
+cn AS (SELECT leaf, pos, token, count(*) AS m FROM ex GROUP BY ALL),
+tx AS (SELECT ex.line_no, ex.leaf, string_agg(CASE WHEN cn.m >= 0.4 * ln.n THEN ex.token ELSE '<*>' END, ' ' ORDER BY ex.pos) AS template_str
+      FROM ex JOIN cn USING (leaf, pos, token) JOIN ln USING (leaf) GROUP BY ex.line_no, ex.leaf),
+g AS (SELECT leaf, template_str, count(*) AS lines, min(line_no) AS first_line FROM tx GROUP BY leaf, template_str)
+SELECT row_number() OVER (ORDER BY first_line) AS template_id, template_str, CAST(lines AS BIGINT) AS lines, first_line FROM g""",
+    "stream_templates": f"""{BASE},
+tk AS (SELECT ('0x' || substr(md5(raw_line), 1, 15))::BIGINT AS k, list_transform(string_split_regex(trim(message), '\\s+'),
+        lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS toks FROM parsed)
+SELECT array_to_string(toks, ' ') AS template_str, count(*) AS lines, min(k) AS first_key, CAST(1 AS BIGINT) AS ids FROM tk GROUP BY 1""",
     "stream_time_windows": f"""{BASE},
-mx AS (SELECT max(ts_us) AS m FROM valid),
 sw AS (SELECT (ts_us // 3600000000) * 3600000000 AS start_us,
-        string_agg(CAST(template_id AS VARCHAR), ',' ORDER BY ts_us, line_no) AS template_sequence_str,
+        string_agg(CAST(template_id AS VARCHAR), ',' ORDER BY ts_us, ('0x' || substr(md5(raw_line), 1, 15))::BIGINT) AS template_sequence_str,
         CAST(count(*) AS BIGINT) AS length FROM valid GROUP BY 1)
-SELECT start_us, start_us + 3600000000 AS end_us, template_sequence_str, length
-FROM sw, mx WHERE start_us + 3600000000 <= mx.m""",
+SELECT start_us, start_us + 3600000000 AS end_us, template_sequence_str, length FROM sw""",
     "stream_block_sessions": f"""{BASE},
-mx AS (SELECT max(ts_us) AS m FROM valid),
-bk AS (SELECT block_id, ts_us, line_no, template_id,
-        CASE WHEN ts_us - lag(ts_us) OVER (PARTITION BY block_id ORDER BY ts_us, line_no)
-                  >= {STREAM_GAP_SECONDS * 1_000_000} THEN 1 ELSE 0 END AS brk
-      FROM valid WHERE block_id IS NOT NULL),
-ss AS (SELECT *, sum(brk) OVER (PARTITION BY block_id ORDER BY ts_us, line_no ROWS UNBOUNDED PRECEDING) AS sid FROM bk),
+k AS (SELECT *, ('0x' || substr(md5(raw_line), 1, 15))::BIGINT AS tie FROM valid WHERE block_id IS NOT NULL),
+bk AS (SELECT block_id, ts_us, tie, template_id,
+        CASE WHEN ts_us - lag(ts_us) OVER (PARTITION BY block_id ORDER BY ts_us, tie)
+                  >= {STREAM_GAP_SECONDS * 1_000_000} THEN 1 ELSE 0 END AS brk FROM k),
+ss AS (SELECT *, sum(brk) OVER (PARTITION BY block_id ORDER BY ts_us, tie ROWS UNBOUNDED PRECEDING) AS sid FROM bk),
 g AS (SELECT block_id, sid, min(ts_us) AS start_us, max(ts_us) AS end_us,
-        string_agg(CAST(template_id AS VARCHAR), ',' ORDER BY ts_us, line_no) AS template_sequence_str,
+        string_agg(CAST(template_id AS VARCHAR), ',' ORDER BY ts_us, tie) AS template_sequence_str,
         CAST(count(*) AS BIGINT) AS length FROM ss GROUP BY block_id, sid)
 SELECT 'block_' || block_id AS seq_id, start_us, end_us, template_sequence_str, length,
-       round((end_us - start_us) / 1e6, 6) AS time_span
-FROM g, mx WHERE end_us + {STREAM_GAP_SECONDS * 1_000_000} <= mx.m""",
-    "lof": f"""{WINDOWS_TABLE},
-sc AS (SELECT window_id,
-        coalesce((CAST(log_count AS DOUBLE) - avg(log_count) OVER ()) / nullif(stddev_pop(log_count) OVER (), 0), 0) AS x0,
-        coalesce((time_span - avg(time_span) OVER ()) / nullif(stddev_pop(time_span) OVER (), 0), 0) AS x1,
-        coalesce((CAST(unique_templates AS DOUBLE) - avg(unique_templates) OVER ())
-                 / nullif(stddev_pop(unique_templates) OVER (), 0), 0) AS x2 FROM wt),
-kk AS (SELECT least({LOF_NEIGHBORS}, count(*) - 1) AS k FROM sc),
-pairs AS (SELECT a.window_id AS p, b.window_id AS o,
-        sqrt((a.x0 - b.x0) ^ 2 + (a.x1 - b.x1) ^ 2 + (a.x2 - b.x2) ^ 2) AS d
-      FROM sc a JOIN sc b ON a.window_id <> b.window_id),
-nb AS (SELECT p, o, d FROM (SELECT *, row_number() OVER (PARTITION BY p ORDER BY d, o) AS rn FROM pairs), kk
-      WHERE rn <= kk.k),
-kd AS (SELECT p, max(d) AS kd FROM nb GROUP BY p),
-lrd AS (SELECT nb.p, 1.0 / (avg(greatest(kd.kd, nb.d)) + 1e-10) AS lrd FROM nb JOIN kd ON nb.o = kd.p GROUP BY nb.p),
-lf AS (SELECT nb.p, avg(l2.lrd) / any_value(l1.lrd) AS lof FROM nb JOIN lrd l2 ON nb.o = l2.p
-      JOIN lrd l1 ON nb.p = l1.p GROUP BY nb.p)
-SELECT p AS window_id, round(-lof, 6) AS anomaly_score FROM lf""",
+       round((end_us - start_us) / 1e6, 6) AS time_span FROM g""",
+    "mahalanobis_once": """WITH e AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings),
+m AS (SELECT avg(x) AS mx, avg(y) AS my, var_pop(x) AS a, covar_pop(x, y) AS b, var_pop(y) AS c FROM e)
+SELECT vec_id, round(-((x - mx) ** 2 * c - 2 * (x - mx) * (y - my) * b + (y - my) ** 2 * a) / (a * c - b * b), 6) AS anomaly_score FROM e, m""",
+    "lof": _LOF_WINDOWS,
+    "lof_leaves": _LOF_WINDOWS,
     "sequence_examples": f"""{BLOCKS},
 {_tw_mem_only(*TIME_WINDOW)},
 allseq AS (SELECT seq_id, 'block' AS type, length FROM blocks
@@ -377,6 +394,18 @@ nb AS (SELECT p, o, d FROM (SELECT *, row_number() OVER (PARTITION BY p ORDER BY
       WHERE rn <= kk.k),
 kd AS (SELECT p, max(d) AS kd FROM nb GROUP BY p),
 lrd AS (SELECT nb.p, 1.0 / (avg(greatest(kd.kd, nb.d)) + 1e-10) AS lrd FROM nb JOIN kd ON nb.o = kd.p GROUP BY nb.p),
+lf AS (SELECT nb.p, avg(l2.lrd) / any_value(l1.lrd) AS lof FROM nb JOIN lrd l2 ON nb.o = l2.p
+      JOIN lrd l1 ON nb.p = l1.p GROUP BY nb.p)
+SELECT p AS vec_id, round(-lof, 6) AS anomaly_score FROM lf""",
+    "lof_projected": f"""WITH em AS (SELECT vec_id, [sum(x) FILTER (i % 3 = 1), sum(x) FILTER (i % 3 = 2), sum(x) FILTER (i % 3 = 0)] AS v
+      FROM (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY vec_id),
+kk AS (SELECT least({LOF_NEIGHBORS}, count(*) - 1) AS k FROM em),
+pairs AS (SELECT a.vec_id AS p, b.vec_id AS o, list_distance(a.v, b.v) AS d
+      FROM em a JOIN em b ON a.vec_id <> b.vec_id),
+nb AS (SELECT p, o, d FROM (SELECT *, row_number() OVER (PARTITION BY p ORDER BY d, o) AS rn FROM pairs), kk
+      WHERE rn <= kk.k),
+kd AS (SELECT p, max(d) AS kd FROM nb GROUP BY p),
+lrd AS (SELECT nb.p, 1.0 / (avg(greatest(kd.kd, nb.d)) + 1e-10) AS lrd FROM nb JOIN kd ON nb.o = kd.p GROUP BY nb.p),
 lf AS (SELECT nb.p, avg(l2.lrd) / any_value(l1.lrd) AS lof FROM nb JOIN lrd l2 ON nb.o = l2.p
       JOIN lrd l1 ON nb.p = l1.p GROUP BY nb.p)
 SELECT p AS vec_id, round(-lof, 6) AS anomaly_score FROM lf""",

@@ -426,7 +426,8 @@ def q_token_patterns(spark, sf_dir):
 
 def q_templates(spark, sf_dir):
     from logsift.operators.templates import template_summary
-    return template_summary(G.parse_logs(X.log_lines(spark, sf_dir), templates=None))
+    t = template_summary(G.parse_logs(X.log_lines(spark, sf_dir), templates=None))
+    return t.select(F.col("template_id").cast("long").alias("template_id"), "template_str", "lines", "first_line")
 
 
 # -- streaming -------------------------------------------------------------------
@@ -434,59 +435,102 @@ def q_templates(spark, sf_dir):
 STREAM_WINDOW = "3600 seconds"
 
 
-def _stream_lines(spark, sf_dir):
-    """The log fixture as a stream: a file stream over the ``events`` parquet
-    files, the fixture SQL applied to the streaming DataFrame."""
-    ev = X.events(spark, sf_dir)
-    stream = (spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1)
-              .option("pathGlobFilter", "events.parquet").parquet(sf_dir))
-    return spark.sql(X.LOG_LINES_SQL, events=stream)
+#: Lag that the fixture's lines may have: its whole time range, so none is late.
+STREAM_WATERMARK = "40 days"
 
 
-def q_stream_time_windows(spark, sf_dir):
-    """ST1 + ST2 run to completion (available-now trigger) into parquet under
-    the shared checkpoint folder; returns the sink's rows."""
-    import uuid
-
+def _stream_parsed(spark, sf_dir):
+    """ST1 on text: the fixture as files that arrive one by one, then the end marker."""
     from logsift.sources.fixtures import fixture_template_id
     from logsift.streaming import stream as ST
+    path = text_files(spark, sf_dir)
+    ST.write_end_marker(spark, path)
+    return ST.parse_stream(ST.read_text_stream(spark, path, 1)).withColumn("template_id", fixture_template_id())
 
-    parsed = ST.parse_stream(_stream_lines(spark, sf_dir)).withColumn(
-        "template_id", fixture_template_id())
-    wins = ST.window_stream(parsed, STREAM_WINDOW)
+
+def _drain(spark, stream, name):
+    """Run a stream to its end into parquet under the shared checkpoint folder; its rows.  Late rows are an error."""
+    import uuid
+
+    from logsift.streaming import stream as ST
     tag = uuid.uuid4().hex
-    out = ST.checkpoint_location(spark, f"stw-out-{tag}")
-    ST.run_to_parquet(wins, out, ST.checkpoint_location(spark, f"stw-ckpt-{tag}"))
-    res = spark.read.parquet(out)
+    out = ST.checkpoint_location(spark, f"{name}-out-{tag}")
+    q = ST.run_to_parquet(stream, out, ST.checkpoint_location(spark, f"{name}-ckpt-{tag}"))
+    if ST.late_rows(q):
+        raise RuntimeError(f"{ST.late_rows(q)} lines came later than the watermark")
+    return spark.read.parquet(out)
+
+
+def q_stream_time_windows(spark, sf_dir):
+    """ST1 + ST2: every window of the input, the last ones included."""
+    from logsift.streaming import stream as ST
+    res = _drain(spark, ST.window_stream(_stream_parsed(spark, sf_dir), STREAM_WINDOW, watermark=STREAM_WATERMARK), "stw")
     return res.select(us(F.col("start_time").cast("timestamp_ntz")).alias("start_us"),
                       us(F.col("end_time").cast("timestamp_ntz")).alias("end_us"),
                       P.ids_to_string(F.col("template_sequence")).alias("template_sequence_str"),
                       F.col("length").cast("long").alias("length"))
 
 
+def q_stream_templates(spark, sf_dir):
+    """ST4: each line's template from the stateful miner (ids are hashes, so the text stands for them)."""
+    from logsift.streaming import stream as ST
+    parsed = _stream_parsed(spark, sf_dir).filter(F.col("component") != "end")
+    res = _drain(spark, ST.template_stream(parsed), "stt")
+    return res.groupBy("template_str").agg(F.count(F.lit(1)).alias("lines"), F.min("line_no").alias("first_key"),
+                                           F.count_distinct("template_id").alias("ids"))
+
+
 STREAM_GAP_SECONDS = 1800
 
 
 def q_stream_block_sessions(spark, sf_dir):
     """ST3: block sequences closed after 30 minutes without a log of the block."""
-    import uuid
-
-    from logsift.sources.fixtures import fixture_template_id
     from logsift.streaming import stream as ST
-
-    parsed = ST.parse_stream(_stream_lines(spark, sf_dir)).withColumn(
-        "template_id", fixture_template_id())
-    sess = ST.block_session_stream(parsed, f"{STREAM_GAP_SECONDS} seconds")
-    tag = uuid.uuid4().hex
-    out = ST.checkpoint_location(spark, f"sbs-out-{tag}")
-    ST.run_to_parquet(sess, out, ST.checkpoint_location(spark, f"sbs-ckpt-{tag}"))
-    res = spark.read.parquet(out)
+    sess = ST.block_session_stream(_stream_parsed(spark, sf_dir), f"{STREAM_GAP_SECONDS} seconds", watermark=STREAM_WATERMARK)
+    res = _drain(spark, sess, "sbs")
     return res.select("seq_id", us(F.col("start_time")).alias("start_us"),
                       us(F.col("end_time")).alias("end_us"),
                       P.ids_to_string(F.col("template_sequence")).alias("template_sequence_str"),
                       F.col("length").cast("long").alias("length"), r6(F.col("time_span")).alias("time_span"))
 
 
+def q_mahalanobis_once(spark, sf_dir):
+    """OD5's distance with the classical mean and covariance, on two embedding coordinates."""
+    from logsift.operators.robust_cov import classical_covariance
+    e = _embeddings(spark, sf_dir).select("vec_id", "e0", "e1")
+    return classical_covariance(e, ["e0", "e1"]).score(e).select("vec_id", r6(F.col("anomaly_score")).alias("anomaly_score"))
+
+
+def q_robust_cov_embeddings(spark, sf_dir):
+    """OD5 on data of full rank: five embedding coordinates."""
+    from logsift.operators.robust_cov import fit_robust_covariance
+    cols = [f"e{i}" for i in range(5)]
+    e = _embeddings(spark, sf_dir).select("vec_id", *cols)
+    m = fit_robust_covariance(e, cols, contamination=CONTAMINATION, key="vec_id")
+    return m.predict(m.score(e)).select("vec_id", "anomaly_score", "is_anomaly")
+
+
+def q_lof_leaves(spark, sf_dir):
+    """OD4 with leaves of 16 points, so that balls cross leaves."""
+    from logsift.operators.lof import local_outlier_factor
+    w = FT.scale(_count_windows(spark, sf_dir), FT.WINDOW_META)
+    cols = [c + "_scaled" for c in FT.WINDOW_META]
+    out, _ = local_outlier_factor(w.select("window_id", *cols), "window_id", cols, LOF_NEIGHBORS, contamination=None, leaf_size=16)
+    return out.select("window_id", r6(F.col("anomaly_score")).alias("anomaly_score"))
+
+
+def q_lof_projected(spark, sf_dir):
+    """OD4 on the embeddings projected to three dimensions (sums of every third coordinate), where
+    exact neighbours don't need all pairs."""
+    from logsift.operators.lof import local_outlier_factor
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    third = lambda k: F.aggregate(F.filter("embedding", lambda x, i: i % 3 == k), F.lit(0.0), lambda a, x: a + x.cast("double"))
+    cols = ["p0", "p1", "p2"]
+    out, _ = local_outlier_factor(e.select("vec_id", *[third(k).alias(c) for k, c in enumerate(cols)]), "vec_id", cols, LOF_NEIGHBORS,
+                                  contamination=None, leaf_size=64)
+    return out.select("vec_id", r6(F.col("anomaly_score")).alias("anomaly_score"))
+
+
 def q_robust_cov(spark, sf_dir):
     """OD5 on the scaled window metadata (log count, span, distinct templates)."""
     from logsift.operators.robust_cov import fit_robust_covariance
@@ -662,4 +706,9 @@ QUERIES = {
     "text_all_blocks": q_text_all_blocks,
     "labels_last_wins": q_labels_last_wins,
     "window_dataset_roundtrip": q_window_dataset_roundtrip,
+    "stream_templates": q_stream_templates,
+    "mahalanobis_once": q_mahalanobis_once,
+    "robust_cov_embeddings": q_robust_cov_embeddings,
+    "lof_leaves": q_lof_leaves,
+    "lof_projected": q_lof_projected,
 }

@@ -54,8 +54,9 @@ def block_features(ordered: Q.OrderedLogs, labels: DataFrame, max_features: int
     the train split only."""
     seqs = Q.block_sequences(ordered)
     ds = L.block_training(seqs, labels)
+    # the sequences themselves stay behind: keys, label and metadata are all that training needs
     usable = (ds.filter(F.col("anomaly_binary_val").isin(0, 1))
-              .withColumn("seq_id", F.col("block_id")).withColumn("label", F.col("anomaly_binary_val")))
+              .select(F.col("block_id").alias("seq_id"), F.col("anomaly_binary_val").alias("label"), *FT.BLOCK_META))
     usable = SP.stratified_split(usable, "seq_id", "label").persist(StorageLevel.MEMORY_AND_DISK)
     pieces = Q.block_pieces(ordered).join(usable.select("seq_id"), "seq_id", "left_semi")
     fit_rows = usable if fit_scope == "all" else usable.filter(F.col("split") == "train")
@@ -63,7 +64,8 @@ def block_features(ordered: Q.OrderedLogs, labels: DataFrame, max_features: int
         fit_rows.select("seq_id"), "seq_id", "left_semi")
     fm = FT.fit_features(fit_rows, fit_pieces, "seq_id", FT.BLOCK_META, max_features, ngram_range)
     ft = FT.feature_table(usable, pieces, "seq_id", fm)
-    ft = ft.withColumn("features", SV.to_vector(fm.size)).persist(StorageLevel.MEMORY_AND_DISK)
+    ft = ft.select("seq_id", "label", "split", SV.to_vector(fm.size).alias("features")).persist(StorageLevel.MEMORY_AND_DISK)
+    usable.unpersist()
     return ds, ft, fm
 
 

@@ -6,8 +6,9 @@ stream:
 * ST1 ``parse_stream``: the batch parse expressions applied to a streaming
   DataFrame of lines (stateless, shared code).
 * ST2 ``window_stream``: event-time tumbling / sliding windows with a
-  watermark (late rows dropped), ``collect_list`` per window, append mode.
-  Windows are anchored at the epoch -- a stream has no known minimum -- a
+  watermark, which the caller must choose: rows later than it are dropped, and
+  ``late_rows`` tells how many were.  ``collect_list`` per window, append mode; a
+  finished input closes its last windows with ``write_end_marker``.  Windows are anchored at the epoch -- a stream has no known minimum -- a
   stated difference from the batch operator, which anchors at the first log.
 * ST3 ``block_session_stream``: a block's sequence closes after ``gap`` of
   inactivity (``session_window`` per block id).
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from logsift.functions import parse as P
-from logsift.operators.templates import _merge, _similarity, masked_tokens
+from logsift.operators.templates import WILDCARD, masked_tokens
 from logsift.session import checkpoint_dir, ship_package
 from logsift.sources.logs import parse_lines
 
@@ -53,15 +54,37 @@ def parse_stream(lines: DataFrame, date_layout: str = "reference") -> DataFrame:
 def read_text_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None):
     """Text files arriving in ``path`` as DataFrame[line_no, value].
 
-    Streams have no row index for text, so ``line_no`` is a hash of (file,
-    line text): a deterministic tie-break for equal timestamps, not file
-    order (a stated difference from the batch reader)."""
+    Streams have no row index for text, so ``line_no`` is a hash of the line's
+    text: a deterministic tie-break for equal timestamps, not file order (a stated
+    difference from the batch reader).  Equal lines share it; they hold the same
+    time and message, so their order among themselves shows nowhere."""
     r = spark.readStream.format("text")
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     df = r.load(path)
-    return df.select(F.xxhash64(F.col("_metadata.file_path"), F.col("value")).alias("line_no"),
-                     "value")
+    return df.select(text_key(F.col("value")).alias("line_no"), "value")
+
+
+def text_key(value) -> F.Column:
+    """60 bits of the line's md5 as a long (the same in every engine)."""
+    return F.conv(F.substring(F.md5(value), 1, 15), 16, 10).cast("long")
+
+
+END_MARKER = "123124 235959 999 INFO end: of input blk_0"
+
+
+def write_end_marker(spark: SparkSession, path: str) -> None:
+    """Add a last file whose one line lies at the end of the layout's year.
+
+    It moves the watermark past every window and session of the input, so all of them close;
+    its own window stays open and is never emitted.  For finite inputs only: call it when no more
+    files will come, and use a watermark that covers the disorder of the input."""
+    spark.createDataFrame([(END_MARKER,)], "value string").coalesce(1).write.mode("append").text(path)
+
+
+def late_rows(query) -> int:
+    """Rows that a finished or running query has dropped as later than its watermark."""
+    return sum(s.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for s in (p["stateOperators"] if isinstance(p, dict) else json.loads(p.json)["stateOperators"]))
 
 
 # -- ST2 / ST3 ---------------------------------------------------------------------
@@ -75,9 +98,11 @@ def with_event_time(parsed: DataFrame) -> DataFrame:
     return (parsed.filter(F.col("timestamp").isNotNull())
             .withColumn(EVENT_TIME, F.col("timestamp").cast("timestamp")))
 
-def window_stream(parsed: DataFrame, window_size: str = "60 seconds", slide: str | None = None,
-                  watermark: str = "0 seconds", value_col: str = "template_id") -> DataFrame:
-    """Windowed template sequences, emitted once the watermark passes the window end."""
+def window_stream(parsed: DataFrame, window_size: str = "60 seconds", slide: str | None = None, *,
+                  watermark: str, value_col: str = "template_id") -> DataFrame:
+    """Windowed template sequences, emitted once the watermark passes the window end.
+
+    ``watermark``: how far a line may lag behind the latest one; later lines are lost."""
     w = F.window(EVENT_TIME, window_size, slide) if slide else F.window(EVENT_TIME, window_size)
     agg = (with_event_time(parsed)
            .withWatermark(EVENT_TIME, watermark)
@@ -89,7 +114,7 @@ def window_stream(parsed: DataFrame, window_size: str = "60 seconds", slide: str
                       F.col(f"_it.{value_col}").alias("template_sequence"), "length")
 
 
-def block_session_stream(parsed: DataFrame, gap: str = "5 minutes", watermark: str = "0 seconds",
+def block_session_stream(parsed: DataFrame, gap: str = "5 minutes", *, watermark: str,
                          value_col: str = "template_id") -> DataFrame:
     """Block sequences that close after ``gap`` without a new log of the block."""
     agg = (with_event_time(parsed.filter(F.col("block_id").isNotNull()))
@@ -106,50 +131,63 @@ def block_session_stream(parsed: DataFrame, gap: str = "5 minutes", watermark: s
 
 # -- ST4 ---------------------------------------------------------------------------
 
-TEMPLATE_OUT = "line_no long, template_id long, template_str string"
+TEMPLATE_OUT = "line_no long, leaf string, ordinal long, template_str string"
 TEMPLATE_STATE = "templates string"
 
 
+def _similarity(template: list[str], tokens: list[str]) -> tuple[float, int]:
+    sim = params = 0
+    for a, b in zip(template, tokens):
+        if a == WILDCARD:
+            params += 1
+        elif a == b:
+            sim += 1
+    return sim / max(1, len(template)), params
+
+
+def _merge(template: list[str], tokens: list[str]) -> list[str]:
+    return [a if a == b else WILDCARD for a, b in zip(template, tokens)]
+
+
 def template_stream(parsed: DataFrame, text_col: str = "message", sim_threshold: float = 0.4,
                     prefix_tokens: int = 2) -> DataFrame:
-    """Online template ids per line; state = the leaf's templates (JSON list)."""
+    """Online template ids per line; state = the leaf's templates (JSON list).
+
+    The lines of a micro-batch are taken in the order of ``line_no``, so ids don't depend on
+    arrival within it; equal patterns of a batch are matched once."""
     ship_package(parsed.sparkSession)
     toks = parsed.withColumn("_tok", masked_tokens(F.col(text_col)))
     leaf = F.concat_ws("\u0001", F.size("_tok").cast("string"),
                        F.array_join(F.slice("_tok", 1, prefix_tokens), "\u0001"))
-    keyed = toks.select(leaf.alias("leaf"), "line_no", "_tok")
+    keyed = toks.select(leaf.alias("leaf"), "line_no", F.array_join("_tok", " ").alias("_pat"))
 
     def step(key, batches, state):
-        (leaf_key,) = key
         templates = json.loads(state.get[0]) if state.exists else []
-        out_rows = []
-        for pdf in batches:
-            for ln, tk in zip(pdf["line_no"], pdf["_tok"]):
-                tk = list(tk)
-                best, best_key = -1, None
-                for ci, tpl in enumerate(templates):
-                    s, p = _similarity(tpl, tk)
-                    if s >= sim_threshold and (best_key is None or (s, p) > best_key):
-                        best, best_key = ci, (s, p)
-                if best < 0:
-                    templates.append(tk)
-                    best = len(templates) - 1
-                else:
-                    templates[best] = _merge(templates[best], tk)
-                out_rows.append((int(ln), best, " ".join(templates[best])))
+        pdf = pd.concat(list(batches), ignore_index=True)
+        firsts = pdf.groupby("_pat", sort=False)["line_no"].min().reset_index().sort_values(["line_no", "_pat"])
+        found = {}
+        for pattern in firsts["_pat"]:
+            tk = pattern.split(" ")
+            best, best_key = -1, None
+            for ci, tpl in enumerate(templates):
+                s, p = _similarity(tpl, tk)
+                if s >= sim_threshold and (best_key is None or (s, p) > best_key):
+                    best, best_key = ci, (s, p)
+            if best < 0:
+                templates.append(tk)
+                best = len(templates) - 1
+            else:
+                templates[best] = _merge(templates[best], tk)
+            found[pattern] = best
         state.update((json.dumps(templates),))
-        if out_rows:
-            df = pd.DataFrame(out_rows, columns=["line_no", "ordinal", "template_str"])
-            df["template_id"] = [_stable_id(leaf_key, o) for o in df["ordinal"]]
-            yield df[["line_no", "template_id", "template_str"]]
+        ordinal = pdf["_pat"].map(found)
+        yield pd.DataFrame({"line_no": pdf["line_no"], "leaf": key[0], "ordinal": ordinal,
+                            "template_str": [" ".join(templates[o]) for o in ordinal]})
 
-    return keyed.groupBy("leaf").applyInPandasWithState(
+    out = keyed.groupBy("leaf").applyInPandasWithState(
         step, TEMPLATE_OUT, TEMPLATE_STATE, "append", GroupStateTimeout.NoTimeout)
-
-
-def _stable_id(leaf: str, ordinal: int) -> int:
-    import xxhash
-    return xxhash.xxh64_intdigest(f"{leaf}\u0002{ordinal}") & ((1 << 62) - 1)
+    # a stable id: hash of the leaf and the template's place in it
+    return out.select("line_no", F.xxhash64("leaf", "ordinal").alias("template_id"), "template_str")
 
 
 # -- ST5 ---------------------------------------------------------------------------
