@@ -153,18 +153,18 @@ def fit_isolation_forest(features: DataFrame, key: str, dim: int, n_trees: int =
         raise ValueError("no rows to fit")
     psi = min(max_samples, n)
     limit = int(math.ceil(math.log2(max(psi, 2))))
-    rate = min(1.0, 2.0 * n_trees * psi / n)  # pool: ~2 x trees x psi rows, bounded
-    u = (F.xxhash64(F.col(key).cast("string"), F.lit(seed)).bitwiseAND(F.lit((1 << 53) - 1))
-         .cast("double") / float(1 << 53))
-    pool = features.filter(u < rate).select(key, idx_col, val_col)
-    # replicate only (key, tree, hash) per tree; features join back for the
-    # <= trees x psi chosen rows
-    per_tree = (pool.select(key)
-                .withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
-                .withColumn("_h", F.xxhash64(F.col(key).cast("string"), F.col("tree"), F.lit(seed))))
+    # every tree draws from all rows: a row stands for the trees where its hash lies under a bound
+    # that 2 psi rows are expected to meet, and the psi lowest of them are the sample
+    rate = min(1.0, 2.0 * psi / n)
+    draw = lambda t: F.xxhash64(F.col(key).cast("string"), t, F.lit(seed))
+    under = lambda t: draw(t).bitwiseAND(F.lit((1 << 53) - 1)).cast("double") / float(1 << 53) < rate
+    trees = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)), under)
+    per_tree = (features.select(key, F.explode(trees).alias("tree"))
+                .withColumn("_h", draw(F.col("tree")).bitwiseAND(F.lit((1 << 53) - 1))))
     w = Window.partitionBy("tree").orderBy("_h", key)
     chosen = per_tree.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= psi)
-    sample = chosen.join(pool, key)
+    # features join back for the <= trees x psi chosen rows only
+    sample = chosen.join(features.select(key, idx_col, val_col), key)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         t = int(pdf["tree"].iloc[0])

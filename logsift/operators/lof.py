@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logsift.session import ship_package
+from logsift.session import ship_package, staged
 
 EPS = 1e-10
 
@@ -153,109 +153,107 @@ def local_outlier_factor(df: DataFrame, key: str, cols: list[str], n_neighbors:
         raise ValueError("features hold null or NaN")
     pts = (df.select(*[F.col(c).cast("double").alias(c) for c in cols])
            .groupBy(*cols).agg(F.count(F.lit(1)).alias("_m")))
-    pts = pts.withColumn("_pid", F.xxhash64(*cols, F.lit(seed))).persist()
-    try:
-        stats = pts.agg(F.count(F.lit(1)).alias("nd"), F.sum("_m").alias("n")).first()
-        n_distinct, n = stats["nd"], stats["n"]
-        if not n:
-            raise ValueError("no rows")
-        k = min(n_neighbors, n - 1)
-        if k < 1:
-            raise ValueError("need at least two rows")
-        # pids must be unique per distinct point (checked, not assumed)
-        if pts.select("_pid").distinct().count() != n_distinct:
-            raise ValueError("point id collision; perturb the seed")
-        rate = min(1.0, sample_size / n_distinct)
-        u = F.pmod(F.xxhash64("_pid", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
-        sample = np.array(pts.filter(u < rate).select(*cols).collect(), dtype=float).reshape(-1, d)
-        leaf_sample = max(1, int(leaf_size * len(sample) / max(1, n_distinct)))
-        tree = build_kdtree(sample, leaf_sample)
-
-        def assign(batches):
-            for pdf in batches:
-                x = pdf[cols].to_numpy(dtype=float)
-                pdf = pdf.assign(_leaf=route(tree, x))
-                yield pdf
-
-        schema = ", ".join(f"`{c}` double" for c in cols) + ", _m long, _pid long, _leaf long"
-        placed = pts.mapInPandas(assign, schema).persist()
-
-        def local(pdf: pd.DataFrame) -> pd.DataFrame:
+    # written tables cut the lineage: each step reads the one before several times
+    pts = staged(pts.withColumn("_pid", F.xxhash64(*cols, F.lit(seed))), "lof-points")
+    stats = pts.agg(F.count(F.lit(1)).alias("nd"), F.sum("_m").alias("n")).first()
+    n_distinct, n = stats["nd"], stats["n"]
+    if not n:
+        raise ValueError("no rows")
+    k = min(n_neighbors, n - 1)
+    if k < 1:
+        raise ValueError("need at least two rows")
+    # pids must be unique per distinct point (checked, not assumed)
+    if pts.select("_pid").distinct().count() != n_distinct:
+        raise ValueError("point id collision; perturb the seed")
+    rate = min(1.0, sample_size / n_distinct)
+    u = F.pmod(F.xxhash64("_pid", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
+    sample = np.array(pts.filter(u < rate).select(*cols).collect(), dtype=float).reshape(-1, d)
+    leaf_sample = max(1, int(leaf_size * len(sample) / max(1, n_distinct)))
+    tree = build_kdtree(sample, leaf_sample)
+
+    def assign(batches):
+        for pdf in batches:
             x = pdf[cols].to_numpy(dtype=float)
-            pid, m = pdf["_pid"].to_numpy(), pdf["_m"].to_numpy()
-            q, o, dd, w = _knn_rows(pid, x, m, pid, x, m, k)
-            return pd.DataFrame({"_q": q, "_o": o, "_d": dd, "_w": w})
-
-        cand_schema = "_q long, _o long, _d double, _w long"
-        local_nb = placed.groupBy("_leaf").applyInPandas(local, cand_schema)
-        # tentative radius: distance at which k samples are reached inside the leaf
-        wr = Window.partitionBy("_q").orderBy("_d", "_o").rowsBetween(Window.unboundedPreceding, 0)
-        rad = (local_nb.withColumn("_cum", F.sum("_w").over(wr))
-               .groupBy("_q").agg(F.min(F.when(F.col("_cum") >= k, F.col("_d"))).alias("_r")))
-        probe = placed.join(rad.withColumnRenamed("_q", "_pid"), "_pid", "left")
-
-        lo, hi = tree.box_lo, tree.box_hi
-
-        def requests(batches):
-            for pdf in batches:
-                x = pdf[cols].to_numpy(dtype=float)
-                r = pdf["_r"].to_numpy(dtype=float)
-                r = np.where(np.isnan(r), np.inf, r)
-                own = pdf["_leaf"].to_numpy()
-                out_p, out_l, out_r = [], [], []
-                for s in range(0, len(x), 256):
-                    bd = _box_dist(x[s:s + 256], lo, hi)
-                    hit = bd <= r[s:s + 256, None]
-                    hit[np.arange(hit.shape[0]), own[s:s + 256]] = False
-                    rows, leaves = np.nonzero(hit)
-                    out_p += list(pdf["_pid"].to_numpy()[s + rows])
-                    out_l += list(leaves)
-                    out_r += list(r[s + rows])
-                if out_p:
-                    yield pd.DataFrame({"_q": out_p, "_leaf": out_l, "_r": out_r})
-
-        req = probe.mapInPandas(requests, "_q long, _leaf long, _r double")
-        qpts = req.join(placed.select(F.col("_pid").alias("_q"), *[F.col(c).alias(f"_q_{c}") for c in cols],
-                                      F.col("_m").alias("_qm")), "_q")
-        tagged = (placed.select("_leaf", "_pid", *cols, "_m", F.lit(None).cast("double").alias("_r"),
-                                F.lit(0).alias("_isq"))
-                  .unionByName(qpts.select("_leaf", F.col("_q").alias("_pid"),
-                                           *[F.col(f"_q_{c}").alias(c) for c in cols],
-                                           F.col("_qm").alias("_m"), "_r", F.lit(1).alias("_isq"))))
-
-        def remote(pdf: pd.DataFrame) -> pd.DataFrame:
-            base = pdf[pdf["_isq"] == 0]
-            qs = pdf[pdf["_isq"] == 1]
-            if qs.empty or base.empty:
-                return pd.DataFrame({"_q": [], "_o": [], "_d": [], "_w": []})
-            q, o, dd, w = _knn_rows(base["_pid"].to_numpy(), base[cols].to_numpy(dtype=float),
-                                    base["_m"].to_numpy(), qs["_pid"].to_numpy(),
-                                    qs[cols].to_numpy(dtype=float), qs["_m"].to_numpy(), k,
-                                    radius=qs["_r"].to_numpy(dtype=float))
-            return pd.DataFrame({"_q": q, "_o": o, "_d": dd, "_w": w})
-
-        remote_nb = tagged.groupBy("_leaf").applyInPandas(remote, cand_schema)
-        cands = local_nb.unionByName(remote_nb)
-        wk = Window.partitionBy("_q").orderBy("_d", "_o")
-        before = F.coalesce(F.sum("_w").over(wk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        nb = (cands.withColumn("_before", before)
-              .filter(F.col("_before") < k)
-              .withColumn("_w", F.least(F.col("_w"), F.lit(k) - F.col("_before")))
-              .drop("_before")).persist()
-        kdist = nb.groupBy("_q").agg(F.max("_d").alias("_kd"))
-        reach = (nb.join(kdist.withColumnRenamed("_q", "_o").withColumnRenamed("_kd", "_okd"), "_o")
-                 .withColumn("_reach", F.greatest(F.col("_okd"), F.col("_d"))))
-        lrd = reach.groupBy("_q").agg(
-            (1.0 / (F.sum(F.col("_w") * F.col("_reach")) / F.lit(k) + F.lit(EPS))).alias("_lrd"))
-        lof = (nb.join(lrd.withColumnRenamed("_q", "_o").withColumnRenamed("_lrd", "_olrd"), "_o")
-               .groupBy("_q").agg((F.sum(F.col("_w") * F.col("_olrd")) / F.lit(k)).alias("_sum"))
-               .join(lrd, "_q")
-               .select(F.col("_q").alias("_pid"), (F.col("_sum") / F.col("_lrd")).alias("lof")))
-        per_point = pts.join(lof, "_pid").select(*cols, "lof")
-        rows = df.select(*[c for c in df.columns if c not in cols],
-                         *[F.col(c).cast("double").alias(c) for c in cols])
-        out = rows.join(per_point, cols).withColumn("anomaly_score", -F.col("lof")).persist()
-        offset = quantile_exact(out, "anomaly_score", contamination) if contamination else None
-        return out, LofModel(offset, k)
-    finally:
-        pts.unpersist()
+            pdf = pdf.assign(_leaf=route(tree, x))
+            yield pdf
+
+    schema = ", ".join(f"`{c}` double" for c in cols) + ", _m long, _pid long, _leaf long"
+    placed = staged(pts.mapInPandas(assign, schema), "lof-leaves")
+
+    def local(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf[cols].to_numpy(dtype=float)
+        pid, m = pdf["_pid"].to_numpy(), pdf["_m"].to_numpy()
+        q, o, dd, w = _knn_rows(pid, x, m, pid, x, m, k)
+        return pd.DataFrame({"_q": q, "_o": o, "_d": dd, "_w": w})
+
+    cand_schema = "_q long, _o long, _d double, _w long"
+    local_nb = placed.groupBy("_leaf").applyInPandas(local, cand_schema)
+    # tentative radius: distance at which k samples are reached inside the leaf
+    wr = Window.partitionBy("_q").orderBy("_d", "_o").rowsBetween(Window.unboundedPreceding, 0)
+    rad = (local_nb.withColumn("_cum", F.sum("_w").over(wr))
+           .groupBy("_q").agg(F.min(F.when(F.col("_cum") >= k, F.col("_d"))).alias("_r")))
+    probe = placed.join(rad.withColumnRenamed("_q", "_pid"), "_pid", "left")
+
+    lo, hi = tree.box_lo, tree.box_hi
+
+    def requests(batches):
+        for pdf in batches:
+            x = pdf[cols].to_numpy(dtype=float)
+            r = pdf["_r"].to_numpy(dtype=float)
+            r = np.where(np.isnan(r), np.inf, r)
+            own = pdf["_leaf"].to_numpy()
+            out_p, out_l, out_r = [], [], []
+            for s in range(0, len(x), 256):
+                bd = _box_dist(x[s:s + 256], lo, hi)
+                hit = bd <= r[s:s + 256, None]
+                hit[np.arange(hit.shape[0]), own[s:s + 256]] = False
+                rows, leaves = np.nonzero(hit)
+                out_p += list(pdf["_pid"].to_numpy()[s + rows])
+                out_l += list(leaves)
+                out_r += list(r[s + rows])
+            if out_p:
+                yield pd.DataFrame({"_q": out_p, "_leaf": out_l, "_r": out_r})
+
+    req = probe.mapInPandas(requests, "_q long, _leaf long, _r double")
+    qpts = req.join(placed.select(F.col("_pid").alias("_q"), *[F.col(c).alias(f"_q_{c}") for c in cols],
+                                  F.col("_m").alias("_qm")), "_q")
+    tagged = (placed.select("_leaf", "_pid", *cols, "_m", F.lit(None).cast("double").alias("_r"),
+                            F.lit(0).alias("_isq"))
+              .unionByName(qpts.select("_leaf", F.col("_q").alias("_pid"),
+                                       *[F.col(f"_q_{c}").alias(c) for c in cols],
+                                       F.col("_qm").alias("_m"), "_r", F.lit(1).alias("_isq"))))
+
+    def remote(pdf: pd.DataFrame) -> pd.DataFrame:
+        base = pdf[pdf["_isq"] == 0]
+        qs = pdf[pdf["_isq"] == 1]
+        if qs.empty or base.empty:
+            return pd.DataFrame({"_q": [], "_o": [], "_d": [], "_w": []})
+        q, o, dd, w = _knn_rows(base["_pid"].to_numpy(), base[cols].to_numpy(dtype=float),
+                                base["_m"].to_numpy(), qs["_pid"].to_numpy(),
+                                qs[cols].to_numpy(dtype=float), qs["_m"].to_numpy(), k,
+                                radius=qs["_r"].to_numpy(dtype=float))
+        return pd.DataFrame({"_q": q, "_o": o, "_d": dd, "_w": w})
+
+    remote_nb = tagged.groupBy("_leaf").applyInPandas(remote, cand_schema)
+    cands = local_nb.unionByName(remote_nb)
+    wk = Window.partitionBy("_q").orderBy("_d", "_o")
+    before = F.coalesce(F.sum("_w").over(wk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    nb = staged(cands.withColumn("_before", before)
+                .filter(F.col("_before") < k)
+                .withColumn("_w", F.least(F.col("_w"), F.lit(k) - F.col("_before")))
+                .drop("_before"), "lof-neighbours")
+    kdist = nb.groupBy("_q").agg(F.max("_d").alias("_kd"))
+    reach = (nb.join(kdist.withColumnRenamed("_q", "_o").withColumnRenamed("_kd", "_okd"), "_o")
+             .withColumn("_reach", F.greatest(F.col("_okd"), F.col("_d"))))
+    lrd = reach.groupBy("_q").agg(
+        (1.0 / (F.sum(F.col("_w") * F.col("_reach")) / F.lit(k) + F.lit(EPS))).alias("_lrd"))
+    lof = (nb.join(lrd.withColumnRenamed("_q", "_o").withColumnRenamed("_lrd", "_olrd"), "_o")
+           .groupBy("_q").agg((F.sum(F.col("_w") * F.col("_olrd")) / F.lit(k)).alias("_sum"))
+           .join(lrd, "_q")
+           .select(F.col("_q").alias("_pid"), (F.col("_sum") / F.col("_lrd")).alias("lof")))
+    per_point = pts.join(lof, "_pid").select(*cols, "lof")
+    rows = df.select(*[c for c in df.columns if c not in cols],
+                     *[F.col(c).cast("double").alias(c) for c in cols])
+    out = staged(rows.join(per_point, cols).withColumn("anomaly_score", -F.col("lof")), "lof-scores")
+    offset = quantile_exact(out, "anomaly_score", contamination) if contamination else None
+    return out, LofModel(offset, k)

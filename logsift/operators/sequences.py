@@ -151,9 +151,8 @@ def time_windows(ordered: OrderedLogs, window_size_seconds: int = 60,
     step = _check_step(window_size_seconds, overlap_seconds)
     mem = membership if membership is not None else time_window_membership(
         ordered, window_size_seconds, overlap_seconds)
-    pieces = _pieces(mem, ["_k"]).persist(StorageLevel.MEMORY_AND_DISK)
-    seqs = _assemble(pieces, ["_k"])
-    ids = O.dense_ids(pieces, "_k", "id")
+    seqs = _assemble(_pieces(mem, ["_k"]), ["_k"])
+    ids = O.dense_ids(mem, "_k", "id")  # arithmetic on the cached time column, then distinct
     Z, S = int(window_size_seconds * 1_000_000), int(step * 1_000_000)
     start = F.lit(ordered.min_us if ordered.min_us is not None else 0) + F.col("_k") * F.lit(S)
     return (seqs.join(ids, "_k")

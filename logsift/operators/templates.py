@@ -22,11 +22,11 @@ tasks like any aggregate.  By design: one final template text per id, mining on
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logsift.operators import order as O
+from logsift.session import staged
 
 WILDCARD = "<*>"
 
@@ -51,7 +51,7 @@ def template_table(parsed: DataFrame, text_col: str = "message", sim_threshold:
             .withColumn("tokens", F.split("pattern", " ")))
     leaf = F.concat_ws("\u0001", F.size("tokens").cast("string"),
                        F.array_join(F.slice("tokens", 1, prefix_tokens), "\u0001"))
-    pats = pats.withColumn("leaf", leaf).persist(StorageLevel.MEMORY_AND_DISK)
+    pats = staged(pats.withColumn("leaf", leaf), "patterns")
     placed = pats.select("pattern", "leaf", "n", F.posexplode("tokens").alias("pos", "token"))
     per_leaf = pats.groupBy("leaf").agg(F.sum("n").alias("leaf_n"))
     counts = (placed.groupBy("leaf", "pos", "token").agg(F.sum("n").alias("m")).join(per_leaf, "leaf")

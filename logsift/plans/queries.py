@@ -386,7 +386,7 @@ def q_evaluate_windows(spark, sf_dir):
 
 def q_isolation_forest(spark, sf_dir):
     from logsift.plans.runs import run_windows
-    run = run_windows(ordered_fixture(spark, sf_dir), labels_fixture(spark, sf_dir))
+    run = run_windows(ordered_fixture(spark, sf_dir), labels_fixture(spark, sf_dir), models=("isolation_forest",))
     return run.scored.select("window_id", "anomaly_score", "is_anomaly")
 
 

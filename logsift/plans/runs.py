@@ -7,6 +7,7 @@ time window 60 s / 0, 1000 text features, n-grams 1-2, test 0.2, validation
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -20,6 +21,7 @@ from logsift.operators import outliers as OL
 from logsift.operators import sequences as Q
 from logsift.operators import split as SP
 from logsift.operators import supervised as SV
+from logsift.session import staged
 
 
 @dataclass
@@ -45,6 +47,14 @@ class WindowRun:
     top: DataFrame
     evaluation: DataFrame | None = None
     stats: dict = field(default_factory=dict)
+    #: every fitted detector by name, as ``api.train_window_models`` gives them
+    models: dict = field(default_factory=dict)
+    cached: list = field(default_factory=list)
+
+    def release(self) -> None:
+        """Drop the persisted tables of the run."""
+        for df in self.cached:
+            df.unpersist()
 
 
 def block_features(ordered: Q.OrderedLogs, labels: DataFrame, max_features: int = 1000,
@@ -64,7 +74,7 @@ def block_features(ordered: Q.OrderedLogs, labels: DataFrame, max_features: int
         fit_rows.select("seq_id"), "seq_id", "left_semi")
     fm = FT.fit_features(fit_rows, fit_pieces, "seq_id", FT.BLOCK_META, max_features, ngram_range)
     ft = FT.feature_table(usable, pieces, "seq_id", fm)
-    ft = ft.select("seq_id", "label", "split", SV.to_vector(fm.size).alias("features")).persist(StorageLevel.MEMORY_AND_DISK)
+    ft = staged(ft.select("seq_id", "label", "split", SV.to_vector(fm.size).alias("features")), "block-features")
     usable.unpersist()
     return ds, ft, fm
 
@@ -91,7 +101,9 @@ def run_blocks(ordered: Q.OrderedLogs, labels: DataFrame, max_features: int = 10
         stats["skipped"] = "training split needs both classes"
         return BlockRun(ds, ft, fm, {}, None, None, None, stats)
     train = ft.filter(F.col("split") == "train")
+    began = time.time()
     fitted = SV.train_block_models(train, "label", "features", models, gbt_iters=gbt_iters)
+    stats["training_time"], stats["models_trained"] = time.time() - began, ",".join(fitted)
     report, auc, conf = SV.evaluate(fitted, ft, "label")
     test = ft.filter(F.col("split") == "test")
     preds = None
@@ -115,23 +127,33 @@ def window_features(ordered: Q.OrderedLogs, window_size: int = 100, overlap: int
                     max_features: int = 1000, ngram_range=(1, 2)):
     pos = Q.log_positions(ordered).persist(StorageLevel.MEMORY_AND_DISK)
     windows = Q.count_windows(ordered, window_size, overlap, positions=pos)
-    windows = windows.persist(StorageLevel.MEMORY_AND_DISK)
+    windows = staged(windows, "windows")  # a written table cuts the lineage of all that follows
     pieces = Q.window_pieces(windows)
     n = windows.count()
     fm = FT.fit_features(windows, pieces, "window_id", FT.WINDOW_META, max_features, ngram_range,
                          n_docs=n)
-    ft = FT.feature_table(windows, pieces, "window_id", fm).persist(StorageLevel.MEMORY_AND_DISK)
+    ft = staged(FT.feature_table(windows, pieces, "window_id", fm), "window-features")
     return pos, windows, ft, fm, n
 
 
 def run_windows(ordered: Q.OrderedLogs, labels: DataFrame | None = None, window_size: int = 100,
                 overlap: int = 0, max_features: int = 1000, ngram_range=(1, 2), n_trees: int = 100,
-                contamination: float = 0.1, top_n: int = 10, seed: int = 42) -> WindowRun:
+                contamination: float = 0.1, top_n: int = 10, seed: int = 42,
+                models=("isolation_forest", "robust_covariance", "local_outlier_factor"),
+                pca: int | None = None) -> WindowRun:
+    """Windows, features, the named detectors (the isolation forest is always among them and
+    gives scores, top list and evaluation) and the reports.  One window alone has no
+    neighbours: the other two need two."""
+    from logsift.api import train_window_models
+    began = time.time()
     pos, windows, ft, fm, n = window_features(ordered, window_size, overlap, max_features,
                                               ngram_range)
     forest = IF.fit_isolation_forest(ft, "window_id", fm.size, n_trees=n_trees,
                                      contamination=contamination, seed=seed, n_rows=n)
-    scored = forest.predict(forest.score(ft, "window_id")).persist(StorageLevel.MEMORY_AND_DISK)
+    others = [m for m in models if m != "isolation_forest"] if n > 1 else []
+    fitted = {"isolation_forest": forest, **train_window_models(
+        ft, "window_id", fm.size, [c + "_scaled" for c in FT.WINDOW_META], others, contamination, seed, pca)}
+    scored = staged(forest.predict(forest.score(ft, "window_id")), "window-scores")
     meta = windows.select("window_id", "log_count", "time_span")
     top = OL.top_anomalous(scored.join(meta, "window_id"), top_n)
     evaluation = None
@@ -142,4 +164,6 @@ def run_windows(ordered: Q.OrderedLogs, labels: DataFrame | None = None, window_
         evaluation = OL.evaluate_windows(scored, truth)
     return WindowRun(windows, ft, fm, forest, scored, top, evaluation,
                      {"total_windows": n, "feature_count": fm.size,
-                      "tfidf_features": fm.tfidf.size, "threshold": forest.offset})
+                      "tfidf_features": fm.tfidf.size, "threshold": forest.offset,
+                      "models_trained": ",".join(fitted), "training_time": time.time() - began},
+                     fitted, [pos])

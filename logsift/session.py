@@ -27,6 +27,8 @@ def get_spark(master: str = "local[8]", shuffle_partitions: int = 8,
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "16g")
+        # a small broadcast table takes one page of the heap, 64 MB by default with such a heap
+        .config("spark.buffer.pageSize", "4m")
     )
     for k, v in (extra or {}).items():
         builder = builder.config(k, v)
@@ -57,6 +59,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), name)
 
 
+def staged(df, name: str):
+    """Write ``df`` under the shared folder and read it back: cuts the lineage without a cache to release."""
+    import uuid
+
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 _SHIPPED: set = set()
 
 

@@ -112,8 +112,8 @@ def load_window_data(spark: SparkSession, path: str) -> DataFrame:
 # -- models (SK4 / SK5) ------------------------------------------------------------
 
 def save_models(spark: SparkSession, save_dir: str, feature_model=None, models: dict | None = None,
-                forest=None, stats: dict | None = None) -> str:
-    """Vocabulary, scaler, Spark ML models, forest nodes, feature names, stats."""
+                forest=None, covariance=None, stats: dict | None = None) -> str:
+    """Vocabulary, scaler, Spark ML models, forest nodes, robust covariance, feature names, stats."""
     from logsift.operators.features import FeatureModel  # noqa: F401  (type of feature_model)
 
     def small(df_pd: pd.DataFrame, name: str, schema: str | None = None):
@@ -143,6 +143,14 @@ def save_models(spark: SparkSession, save_dir: str, feature_model=None, models:
                             "contamination": [float(forest.contamination)],
                             "offset": [forest.offset]}), "isolation_forest_params",
               "psi long, n_trees long, dim long, contamination double, offset double")
+    if covariance is not None:
+        m = covariance
+        small(pd.DataFrame({"column": m.columns, "location": m.location, "raw_location": m.raw_location,
+                            "covariance": m.covariance.tolist(), "raw_covariance": m.raw_covariance.tolist(),
+                            "precision": m.precision.tolist(), "position": range(len(m.columns)),
+                            "offset": [m.offset] * len(m.columns)}), "robust_covariance",
+              "column string, location double, raw_location double, covariance array<double>, "
+              "raw_covariance array<double>, precision array<double>, position long, offset double")
     if stats:
         small(pd.DataFrame({"key": list(stats), "value": [str(v) for v in stats.values()]}),
               "training_stats", "key string, value string")
@@ -181,6 +189,17 @@ def load_models(spark: SparkSession, save_dir: str) -> dict:
         out["forest"] = IsolationForestModel(nodes, int(fp["psi"][0]), int(fp["n_trees"][0]),
                                              int(fp["dim"][0]), float(fp["contamination"][0]),
                                              None if pd.isna(off) else float(off))
+    cov = read("robust_covariance")
+    if cov is not None:
+        import numpy as np
+
+        from logsift.operators.robust_cov import RobustCovModel
+        cov = cov.sort_values("position")
+        square = lambda c: np.array([list(x) for x in cov[c]])
+        off = cov["offset"].iloc[0]
+        out["covariance"] = RobustCovModel(list(cov["column"]), cov["location"].to_numpy(), square("covariance"),
+                                           cov["raw_location"].to_numpy(), square("raw_covariance"), [],
+                                           None if pd.isna(off) else float(off), square("precision"))
     names, stats = read("feature_names"), read("training_stats")
     if names is None or stats is None:
         print(f"{save_dir}: saved without feature names or training statistics")

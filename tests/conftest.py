@@ -21,6 +21,8 @@ def spark():
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.driver.memory", "6g")
+         # every small broadcast table takes a page of the heap; the default is 64 MB here
+         .config("spark.buffer.pageSize", "2m")
          .config("spark.checkpoint.dir", ckpt)
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")

@@ -74,3 +74,20 @@ def test_roc_auc_brute_force(spark):
     neg = [s for y, s in rows if y == 0]
     want = sum((p > q) + 0.5 * (p == q) for p in pos for q in neg) / (len(pos) * len(neg))
     assert abs(got - want) < 1e-12
+
+
+def test_order_statistics_and_quantiles(spark):
+    import numpy as np
+
+    from logsift.operators import order as O
+
+    rng = np.random.default_rng(5)
+    values = [float(v) for v in np.concatenate([rng.normal(size=900), np.full(700, 0.25)])]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+    qs = [0.0, 0.1, 0.25, 0.5, 0.5001, 0.9, 1.0]
+    for rows in (37, 10_000):
+        got = O.quantiles_exact(df, "v", qs, rows_per_slice=rows)
+        assert np.allclose(got, np.quantile(values, qs))
+        n, picked = O.order_statistics(df, "v", [0, 799, 1599, 5000], rows)
+        assert n == 1600 and picked == {r: sorted(values)[r] for r in (0, 799, 1599)}
+    assert O.quantiles_exact(df.filter("v is null"), "v", [0.5]) == [None]

@@ -46,7 +46,7 @@ def test_score_closed_windows(spark):
     d, _ = _write_lines(spark)
     parsed = ST.parse_stream(ST.read_text_stream(spark, d, 1)).withColumn(
         "template_id", R.X.fixture_template_id())
-    wins = ST.window_stream(parsed, "3600 seconds")
+    wins = ST.window_stream(parsed, "3600 seconds", watermark="40 days")
     tag = uuid.uuid4().hex
     sink = ST.checkpoint_location(spark, f"s-out-{tag}")
     q = ST.score_closed_windows(wins, fm, forest, sink, ST.checkpoint_location(spark, f"s-ck-{tag}"))
