@@ -3,20 +3,26 @@
 Each document is a set of word shingles, embedded as minwise coordinates: coordinate i is
 the least of the set's hashes under the i-th function, so two sets agree on one with
 probability equal to their Jaccard similarity.  A tree starts with all sets at its root.  A
-node picks one coordinate, and a second with probability 1/threshold - 1, and sends every member
+node picks one coordinate, and a second with probability ``SECOND``, and sends every member
 to the child that its token there names, so similar sets keep meeting while others part.
 Nodes of at most ``SMALL`` members compare all their members; the whole is repeated over
 ``TREES`` independent trees.  A pair at the threshold that reaches small nodes in one step
-is missed by all of them with probability (1 - threshold)^TREES, below 1e-9 at 0.8.
-
-A large node first links its members to one of them, its pivot (exact check on whole sets).  Members
-linked there share a label; only nodes with several labels branch further, and only pairs with
-different labels are ever compared.  A dense group of thousands of near copies thus costs
-one comparison each, while every member that isn't yet connected keeps being compared.
-A node that is still large at ``MAX_DEPTH`` compares all pairs of different labels.
-
-Before whole sets are fetched, two one-bit sketches of 64 coordinates must differ in at most
-``MAX_DIFFERENT`` bits.  Links are confirmed on whole sets of 64-bit shingle hashes.
+is missed by all of them with probability (1 - threshold)^TREES, below 1e-9 at 0.8.  With
+1 + SECOND children a step, a pair above 1 / (1 + SECOND) keeps meeting at any depth with a
+probability that doesn't fall (0.6 a tree at 0.85), so deep nodes are missed once in 1e6.
+
+A large node first links its members to one of them, its pivot (exact check on whole sets).
+Then members that links connect by now share a label, their component's; only nodes with
+several labels go on, and only pairs with different labels are ever compared, once.  A dense
+group of thousands of near copies thus costs a comparison each, while every member that isn't
+yet connected keeps being compared.  The second level goes ``STEPS`` steps at once.  What is still in
+large nodes with several labels are texts that are alike without being linked, such as many that
+share one passage: trees don't part those.  An exact join over these rows ends the search:
+rarest-first prefixes with a position filter, under which shared passages pair nobody.  It first
+links the rows of each prefix hash to one of them, then joins what that left unconnected.
+
+Before whole sets are fetched, the two one-bit sketches of 64 coordinates must differ in few
+bits (``max_different``: a pair at the threshold fails once in 1e9).  Links are confirmed on whole sets of 64-bit shingle hashes.
 
 Equal sets are first collapsed to the smallest row (128-bit digest), so exact copies cost nothing.
 """
@@ -36,7 +42,10 @@ from .common import components, free_name, slices, stage, with_row_key
 COORDINATES = 64
 TREES = 16
 SMALL = 32
-MAX_DEPTH = 24
+SECOND = 0.35
+LEVELS, STEPS = 2, 4
+#: Row ids (16 bytes each) that may be broadcast.
+MAX_BROADCAST = 1_000_000
 
 
 def max_different(num: int, den: int) -> int:
@@ -87,12 +96,12 @@ def features(rows: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(run, "row bigint, n bigint, digest binary, sketch bigint, coordinates binary")
 
 
-def _children(nodes: np.ndarray, low: np.ndarray, again: float) -> tuple[np.ndarray, np.ndarray]:
+def _children(nodes: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(member index, child node): a node's one or two coordinates follow from its number alone."""
     h = shingles.mix(nodes)
     first = (h % np.uint64(COORDINATES)).astype(np.int64)
     second = ((h >> np.uint64(8)) % np.uint64(COORDINATES)).astype(np.int64)
-    two = ((h >> np.uint64(20)) % np.uint64(1 << 20)).astype(np.float64) / (1 << 20) < again
+    two = ((h >> np.uint64(20)) % np.uint64(1 << 20)).astype(np.float64) / (1 << 20) < SECOND
     two &= second != first
     member = np.concatenate([np.arange(len(nodes)), np.flatnonzero(two)])
     c = np.concatenate([first, second[two]])
@@ -100,27 +109,29 @@ def _children(nodes: np.ndarray, low: np.ndarray, again: float) -> tuple[np.ndar
     return member, shingles.mix(h[member] * np.uint64(0x9E6C63D0876A9A47) + shingles.mix(token))
 
 
+MEMBERS = "node bigint, row bigint, sketch bigint, n bigint, label bigint"
+
+
 def roots(reps: DataFrame) -> DataFrame:
-    """Level 1 of all trees: (node, row, sketch, label); tree t's root picks coordinate t first."""
+    """Level 1 of all trees: (node, row, sketch, n, label); tree t's root picks coordinate t first."""
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
             k = batch.num_rows
             low = np.frombuffer(b"".join(batch.column("coordinates").to_pylist()), "<u4").reshape(k, COORDINATES)
-            row, sketch = batch.column("row").to_numpy(), batch.column("sketch").to_numpy()
+            row, sketch, n = (batch.column(c) for c in ("row", "sketch", "n"))
             for tree in range(TREES):
                 c = tree % COORDINATES
                 token = low[:, c].astype(np.uint64) + (np.uint64(c) << np.uint64(33))
                 node = shingles.mix(shingles.mix(token) + np.uint64((tree + 1) * 0x9E3779B1))
-                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(row), pa.array(sketch), pa.array(row)],
-                                                 ["node", "row", "sketch", "label"])
+                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), row, sketch, n, row], ["node", "row", "sketch", "n", "label"])
 
-    return reps.select("row", "sketch", "coordinates").mapInArrow(run, "node bigint, row bigint, sketch bigint, label bigint")
+    return reps.select("row", "sketch", "n", "coordinates").mapInArrow(run, MEMBERS)
 
 
-def branch(members: DataFrame, again: float) -> DataFrame:
-    """The next level of (node, row, sketch, label, coordinates)."""
+def branch(members: DataFrame) -> DataFrame:
+    """The next level of (node, row, sketch, n, label, coordinates), ``STEPS`` steps down."""
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -128,87 +139,146 @@ def branch(members: DataFrame, again: float) -> DataFrame:
             if not batch.num_rows:
                 continue
             low = np.frombuffer(b"".join(batch.column("coordinates").to_pylist()), "<u4").reshape(-1, COORDINATES)
-            member, child = _children(batch.column("node").to_numpy().view(np.uint64), low, again)
+            child, member = batch.column("node").to_numpy().view(np.uint64), np.arange(len(low))
+            for _ in range(STEPS):
+                at, child = _children(child, low[member])
+                member = member[at]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(child.view(np.int64)), *[batch.column(c).take(pa.array(member)) for c in ("row", "sketch", "label")]],
-                ["node", "row", "sketch", "label"])
+                [pa.array(child.view(np.int64)), *[batch.column(c).take(pa.array(member)) for c in ("row", "sketch", "n", "label")]],
+                ["node", "row", "sketch", "n", "label"])
 
-    return members.mapInArrow(run, "node bigint, row bigint, sketch bigint, label bigint")
+    return members.mapInArrow(run, MEMBERS)
 
 
 def whole_sets(rows: DataFrame, width: int) -> DataFrame:
-    """(row, n, hashes) of (row, text)."""
+    """(row, hashes) of (row, text)."""
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for whole in batches:
             for batch in slices(whole, "text", 1 << 20):
                 sets = shingles.shingle_sets(batch.column("text").to_pylist(), width)
+                ends = np.cumsum([0] + [len(s) for s in sets])
+                flat = np.concatenate(sets).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("row"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                    ["row", "n", "hashes"])
+                    [batch.column("row"), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))], ["row", "hashes"])
 
-    return rows.mapInArrow(run, "row bigint, n bigint, hashes binary")
+    return rows.mapInArrow(run, "row bigint, hashes array<bigint>")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (u, v) with den * intersection >= num * union on whole sets."""
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+    """The pairs (u, v) with den * intersection >= num * union on whole sets, which are intersected in the
+    JVM, a pair at a time.  Only sets that are asked for are shuffled, where their ids are few enough to broadcast."""
+    def asked(c: str, name: str) -> DataFrame:
+        ids = pairs.select(F.col(c).alias("row")).distinct()
+        some = sets.join(F.broadcast(ids), "row", "left_semi") if ids.count() <= MAX_BROADCAST else sets
+        return some.select(F.col("row").alias(c), F.col("hashes").alias(name))
+
+    both = pairs.join(asked("u", "ha"), "u").join(asked("v", "hb"), "v")
+    both = both.withColumn("same", F.size(F.array_intersect("ha", "hb")))
+    return both.filter(F.lit(den) * F.col("same") >= F.lit(num) * (F.size("ha") + F.size("hb") - F.col("same"))).select("u", "v")
 
-        for whole in batches:
-            for batch in slices(whole, "hb"):
-                keep = []
-                for a, b in zip(batch.column("ha").to_pylist(), batch.column("hb").to_pylist(), strict=True):
-                    a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                    both = np.sort(np.concatenate([a, b]), kind="stable")
-                    same = int((both[1:] == both[:-1]).sum())
-                    keep.append(den * same >= num * (len(a) + len(b) - same))
-                yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-    a = sets.select(F.col("row").alias("u"), F.col("n").alias("na"), F.col("hashes").alias("ha"))
-    b = sets.select(F.col("row").alias("v"), F.col("n").alias("nb"), F.col("hashes").alias("hb"))
-    sizes = pairs.join(a.select("u", "na"), "u").join(b.select("v", "nb"), "v")
-    sizes = sizes.filter(F.lit(den) * F.least("na", "nb") >= F.lit(num) * F.greatest("na", "nb")).select("u", "v")
-    return sizes.join(a.select("u", "ha"), "u").join(b.select("v", "hb"), "v").select("u", "v", "ha", "hb").mapInArrow(run, "u bigint, v bigint")
+
+def union_all(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for x in frames[1:]:
+        out = out.unionAll(x)
+    return out
+
+
+def prefixes(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(row, sketch, n, prefix, pos, token): the first hashes of the sets of (row, sketch), complete for the threshold.
+
+    A set's hashes go in the order of their frequency among these rows, rare ones first.  Two sets at the
+    threshold t share one of their first n - ceil(t n) + 1.  What many texts share stands late in that order."""
+    tokens = members.join(sets, "row").select("row", F.explode("hashes").alias("token"))
+    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c"))
+    by_row = tokens.join(often, "token").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("set"))
+    n = F.size("set")
+    first = (n - F.ceil(F.lit(num) * n / F.lit(den)) + 1).cast("int")
+    by_row = by_row.select("row", n.alias("n"), F.slice("set", 1, first).alias("head"))
+    shared = F.transform(F.filter("head", lambda e: e["c"] > 1), lambda e: e["token"])
+    return (by_row.select("row", "n", shared.alias("prefix"), F.posexplode("head").alias("pos", "e")).filter("e.c > 1")
+            .join(members, "row").select("row", "sketch", "n", "prefix", "pos", F.col("e.token").alias("token")))
+
+
+def prefix_pairs(pre: DataFrame, other: DataFrame, num: int, den: int, near: int, once: bool = False) -> DataFrame:
+    """Pairs (u, v) of rows with different labels that share a prefix hash at places that leave room for the
+    overlap that is needed, at the first hash that they share.  Both tables: (row, sketch, n, prefix, pos,
+    token, label)."""
+    other = other.select("token", *[F.col(c).alias(c + "2") for c in ("row", "n", "prefix", "pos", "sketch", "label")])
+    need = F.lit(num) * (F.col("n") + F.col("n2"))  # of (num + den) times the overlap
+    room = F.lit(num + den) * F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))
+    return (pre.join(other, "token")
+            .filter((F.col("row") < F.col("row2") if once else F.col("row") != F.col("row2")) & (F.col("label") != F.col("label2")) & (room >= need)
+                    & (F.lit(den) * F.least("n", "n2") >= F.lit(num) * F.greatest("n", "n2")) & (F.bit_count(F.col("sketch").bitwiseXOR(F.col("sketch2"))) <= near)
+                    & (F.element_at(F.array_intersect("prefix", "prefix2"), 1) == F.col("token")))
+            .select(F.least("row", "row2").alias("u"), F.greatest("row", "row2").alias("v")))
 
 
 def links(reps: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Confirmed links (u, v) between the representatives (row, n, sketch, coordinates)."""
-    again, near = den / num - 1, max_different(num, den)
-    close = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= near
-    level, sets, found = roots(reps), None, []
-    for depth in range(1, MAX_DEPTH + 1):
-        order = F.xxhash64("node", "row")
-        sizes = level.groupBy("node").agg(F.count(F.lit(1)).alias("members"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(order).alias("first"))
-        level = stage(level.join(sizes.filter("lo <> hi").select("node", "members", "first"), "node"), f"paths{depth}")
-        most = SMALL if depth < MAX_DEPTH else 1 << 62
-        large, small = level.filter(F.col("members") > most), level.filter(F.col("members") <= most)
-        pivots = large.filter(order == F.col("first")).select("node", F.col("row").alias("p_row"), F.col("sketch").alias("p_sketch"), F.col("label").alias("p_label"))
+    near = max_different(num, den)
+    # sizes alone rule out most pairs, sketches most of the rest
+    close = lambda s1, s2, n1, n2: ((F.lit(den) * F.least(n1, n2) >= F.lit(num) * F.greatest(n1, n2))
+                                    & (F.bit_count(F.col(s1).bitwiseXOR(F.col(s2))) <= near))
+    level, sets, found, compared = roots(reps), None, [], []
+    for depth in range(1, LEVELS + 1):
+        order = F.xxhash64("row", F.lit(depth))  # nodes that share members tend to share their pivot
+        sizes = level.groupBy("node").agg(F.count(F.lit(1)).alias("members"), F.min(order).alias("first"),
+                                          *([] if depth == 1 else [F.min("label").alias("lo"), F.max("label").alias("hi")]))
+        # at first every member has its own label
+        sizes = sizes.filter("members > 1" if depth == 1 else "lo <> hi").select("node", "members", "first")
+        level = stage(level.join(sizes, "node"), f"paths{depth}")
+        large, small = level.filter(F.col("members") > SMALL), level.filter(F.col("members") <= SMALL)
+        pivots = large.filter(order == F.col("first")).select("node", F.col("row").alias("p_row"), F.col("sketch").alias("p_sketch"), F.col("n").alias("p_n"), F.col("label").alias("p_label"))
         large = large.join(pivots.dropDuplicates(["node"]), "node")
-        a, b = small.select("node", "row", "sketch", "label"), small.select("node", F.col("row").alias("r2"), F.col("sketch").alias("s2"), F.col("label").alias("l2"))
-        pairs = a.join(b, "node").filter((F.col("row") < F.col("r2")) & (F.col("label") != F.col("l2")) & close("sketch", "s2")).select(F.col("row").alias("u"), F.col("r2").alias("v"))
-        stars = large.filter((F.col("label") != F.col("p_label")) & close("sketch", "p_sketch")).select(
+        a = small.select("node", "row", "sketch", "n", "label")
+        b = small.select("node", F.col("row").alias("r2"), F.col("sketch").alias("s2"), F.col("n").alias("n2"), F.col("label").alias("l2"))
+        pairs = a.join(b, "node").filter((F.col("row") < F.col("r2")) & (F.col("label") != F.col("l2")) & close("sketch", "s2", "n", "n2")).select(F.col("row").alias("u"), F.col("r2").alias("v"))
+        stars = large.filter((F.col("label") != F.col("p_label")) & close("sketch", "p_sketch", "n", "p_n")).select(
             F.least("row", "p_row").alias("u"), F.greatest("row", "p_row").alias("v"))
-        pairs = stage(pairs.unionAll(stars).distinct(), "pairs")
+        pairs = new_pairs(pairs.unionAll(stars), compared)
         if sets is None:  # whole sets only of rows in pairs or large nodes, once
-            rows = pairs.select(F.col("u").alias("row")).unionAll(pairs.select(F.col("v").alias("row"))).unionAll(large.select("row")).distinct()
+            rows = pairs.select(F.explode(F.array("u", "v")).alias("row")).unionAll(large.select("row")).distinct()
             sets = stage(whole_sets(texts.join(rows, "row"), width), "sets")
-        got = stage(confirm(pairs, sets, num, den), "links")
-        found.append(got)
-        if not large.limit(1).count():
-            break
-        linked = got.unionAll(got.select(F.col("v").alias("u"), F.col("u").alias("v"))).select(
-            F.col("u").alias("p_row"), F.col("v").alias("row"), F.lit(True).alias("linked"))
-        large = large.join(linked, ["p_row", "row"], "left").select(
-            "node", "row", "sketch", F.when(F.col("linked") | (F.col("row") == F.col("p_row")), F.col("p_label")).otherwise(F.col("label")).alias("label"))
-        several = large.groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("node")
-        large = large.join(several, "node", "left_semi").join(reps.select("row", "coordinates"), "row")
-        level = branch(large.select("node", "row", "sketch", "label", "coordinates"), again)
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionAll(x)
-    return out.distinct()
+        found.append(stage(confirm(pairs, sets, num, den), "links"))
+        large = open_members(large, found)
+        if depth < LEVELS:
+            level = branch(large.join(reps.select("row", "coordinates"), "row").select("node", "row", "sketch", "n", "label", "coordinates"))
+    # nodes that are still large: an exact join over their members
+    rest = stage(large.select("row", "sketch", "label").distinct(), "rest")
+    if rest.limit(1).count():
+        pre = stage(prefixes(rest.select("row", "sketch"), sets, num, den), "prefixes")
+        # first each hash links its rows to one of them, then what isn't connected yet meets in full
+        told = pre.join(rest.select("row", "label"), "row")
+        heads = told.groupBy("token").agg(F.min_by(F.struct("row", "n", "prefix", "pos", "sketch", "label"), F.xxhash64("token", "row")).alias("h")).select("token", "h.*")
+        found.append(stage(confirm(new_pairs(prefix_pairs(told, heads, num, den, near), compared), sets, num, den), "links"))
+        told = pre.join(labelled(rest, found).select("row", "label"), "row")
+        found.append(stage(confirm(new_pairs(prefix_pairs(told, told, num, den, near, once=True), compared), sets, num, den), "links"))
+    return union_all(found).distinct()
+
+
+def new_pairs(pairs: DataFrame, compared: list[DataFrame]) -> DataFrame:
+    """The distinct pairs that no earlier step compared, written and noted as compared."""
+    pairs = pairs.distinct()
+    if compared:
+        pairs = pairs.join(union_all(compared), ["u", "v"], "left_anti")
+    compared.append(stage(pairs, "pairs"))
+    return compared[-1]
+
+
+def labelled(rows: DataFrame, found: list[DataFrame]) -> DataFrame:
+    """``rows`` with the component that the links found so far give each row as its label."""
+    root = components(union_all(found)).select(F.col("node").alias("row"), "root")
+    return rows.drop("label").join(root, "row", "left").withColumn("label", F.coalesce("root", "row")).drop("root")
+
+
+def open_members(large: DataFrame, found: list[DataFrame]) -> DataFrame:
+    """(node, row, sketch, n, label) of the nodes whose members links don't all connect by now."""
+    large = labelled(large.select("node", "row", "sketch", "n"), found)
+    several = large.groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("node")
+    return large.join(several, "node", "left_semi")
 
 
 def classes(docs: DataFrame, width: int = 3, num: int = 85, den: int = 100) -> DataFrame:
