@@ -18,6 +18,7 @@ from __future__ import annotations
 import json
 import re
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -135,17 +136,19 @@ _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class WordIds(dict):
-    """Word -> ids as 32-bit bytes, from the tokenizers library; a bounded memory of words seen.
+    """Word -> ids as bytes of ``kind`` numbers, from the tokenizers library.
 
-    Only for a tokenizer that drops white space and never joins across it (``fits``)."""
+    Only for a tokenizer that drops white space and never joins across it (``fits``).  The memory of
+    words is bounded: when full, what was not used since it last was full is forgotten."""
 
-    REMEMBER = 300_000
+    REMEMBER = 400_000
 
-    def __init__(self, spec: str):
+    def __init__(self, spec: str, kind: str = "<u4"):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
         super().__init__({"": b""})
+        self.kind, self.old, self.code = kind, {}, "H" if kind == "<u2" else "I"  # little-endian machines
         self.tokenizer = Tokenizer.from_str(spec)
         self.model = self.tokenizer.model
         level = ByteLevel(add_prefix_space=False, use_regex=False)
@@ -162,62 +165,85 @@ class WordIds(dict):
                 and all(t["content"].startswith("<|") for t in d["added_tokens"]))
 
     def __missing__(self, word: str) -> bytes:
-        got = None
-        if "<|" not in word:  # no special token inside
-            core = word.rstrip(_PUNCTUATION)
-            if core and len(core) < len(word) and core[-1].isalnum():
-                got = self[core] + self[word[len(core):]]  # letters and digits never join punctuation after them
-            else:
-                low = word.lower()
-                if _LATIN.fullmatch(low) and len(low) == len(word):  # one word of the pattern, composed letters
-                    got = self[low] if low != word else np.array([t.id for t in self.model.tokenize(word.translate(self.bytes))], np.uint32).tobytes()
+        got = self.old.get(word)
         if got is None:
-            got = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, np.uint32).tobytes()
+            got = self._encode(word)
         if len(word) <= 64:
             if len(self) >= self.REMEMBER:
+                self.old = dict(self)
                 self.clear()
                 self[""] = b""
             self[word] = got
         return got
 
+    def _encode(self, word: str) -> bytes:
+        if word[-1] in ".,;:!?" and word[-2:-1].isalnum():  # letters and digits never join punctuation after them
+            return self[word[:-1]] + self[word[-1]] if "<|" not in word else self._whole(word)
+        if _LATIN.fullmatch(word):  # one word of the pattern, composed letters
+            return array(self.code, [t.id for t in self.model.tokenize(word.translate(self.bytes))]).tobytes()
+        if "<|" not in word:  # no special token inside
+            core = word.rstrip(_PUNCTUATION)
+            if core and len(core) < len(word) and core[-1].isalnum():
+                return self[core] + self[word[len(core):]]
+            low = word.lower()
+            if low != word and len(low) == len(word) and _LATIN.fullmatch(low):
+                return self[low]
+        return self._whole(word)
+
+    def _whole(self, word: str) -> bytes:
+        return array(self.code, self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
     def encode(self, text: str) -> bytes:
-        return b"".join([self[w] for w in text.replace("\n", " ").split(" ")])
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 class TextIds:
     """Any other tokenizer: whole texts."""
 
-    def __init__(self, spec: str):
+    def __init__(self, spec: str, kind: str = "<u4"):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(spec)
+        self.kind, self.tokenizer = kind, Tokenizer.from_str(spec)
 
     def encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+
+class Vocabulary:
+    """A tokenizer's JSON, as broadcast; the encoder made from it lives as long as the worker."""
+
+    def __init__(self, spec: str, end_id: int):
+        d = json.loads(spec)
+        self.spec, self.end_id, self._encoder = spec, end_id, None
+        self.size = max([0, end_id, *d["model"]["vocab"].values(), *[t["id"] for t in d["added_tokens"]]]) + 1
+        #: two bytes an id on the way to the writer, where they suffice
+        self.kind = "<u2" if self.size <= 1 << 16 else "<u4"
+
+    def __getstate__(self):
+        return self.__dict__ | {"_encoder": None}
+
+    def encoder(self):
+        if self._encoder is None:
+            self._encoder = (WordIds if WordIds.fits(self.spec) else TextIds)(self.spec, self.kind)
+        return self._encoder
 
 
 def token_rows(rows: DataFrame, spec: str, end_id: int) -> DataFrame:
     """(row, doc_id, n, ids) of (row, doc_id, text), and per task one row (null row) with its id counts."""
-    send = rows.sparkSession.sparkContext.broadcast(spec)  # the tokenizer file
-    size = max(json.loads(spec)["model"]["vocab"].values(), default=0)
-    size = max([size, end_id, *[t["id"] for t in json.loads(spec)["added_tokens"]]]) + 1
+    send = rows.sparkSession.sparkContext.broadcast(Vocabulary(spec, end_id))  # the tokenizer file
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        ids_of = (WordIds if WordIds.fits(send.value) else TextIds)(send.value)
-        end, total = np.array([end_id], np.uint32).tobytes(), np.zeros(size, np.int64)
-        names, small = ["row", "doc_id", "n", "ids", "counts"], size <= 1 << 16
-        doc_type = None
+        v = send.value
+        ids_of, end, width = v.encoder(), np.array([v.end_id], v.kind).tobytes(), int(v.kind[-1])
+        total, names, doc_type = np.zeros(v.size, np.int64), ["row", "doc_id", "n", "ids", "counts"], None
         for whole in batches:
             for batch in slices(whole, "text", 4 << 20):
                 doc_type = batch.column("doc_id").type
                 got = [ids_of.encode(t or "") + end for t in batch.column("text").to_pylist()]
-                flat = np.frombuffer(b"".join(got), np.uint32)
-                total += np.bincount(flat, minlength=size)
-                n = np.array([len(g) // 4 for g in got], np.int64)
-                if small:  # two bytes an id on the way to the writer
-                    got = [np.frombuffer(g, np.uint32).astype(np.uint16).tobytes() for g in got]
+                total += np.bincount(np.frombuffer(b"".join(got), v.kind), minlength=v.size)
+                n = np.array([len(g) // width for g in got], np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(n), pa.array(got, pa.binary()), pa.nulls(len(got), pa.binary())], names)
         if total.any():
             yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, doc_type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()),
