@@ -44,6 +44,7 @@ def test_score_closed_windows(spark):
     pos, windows, ft, fm, n = window_features(o, 20, 0, 50)
     forest = IF.fit_isolation_forest(ft, "window_id", fm.size, n_trees=10, n_rows=n)
     d, _ = _write_lines(spark)
+    ST.write_end_marker(spark, d)  # closes the last windows
     parsed = ST.parse_stream(ST.read_text_stream(spark, d, 1)).withColumn(
         "template_id", R.X.fixture_template_id())
     wins = ST.window_stream(parsed, "3600 seconds", watermark="40 days")
