@@ -8,27 +8,34 @@ The original tool fed every line to an online prefix-tree miner (similarity
 2. ``groupBy(tokens)`` collapses lines to distinct patterns (map-side combine:
    millions of lines -> few patterns), keeping count and first line;
 3. leaf = (token count, first two tokens) -- what a depth-4 tree routes on;
-4. per (leaf, position, token) the lines are counted; a token that fewer than
-   ``sim_threshold`` of the leaf's lines have at its position is a parameter
+4. a leaf's patterns are clustered: taken by falling line count (ties by text), a pattern
+   joins a leader if at least ``sim_threshold`` of its positions hold the leader's token
+   (``<*>`` doesn't count), else it leads a cluster of its own; with several
+   such leaders the one that most positions share takes it;
+5. per (cluster, position, token) the lines are counted; a token that fewer than
+   ``sim_threshold`` of the cluster's lines have at its position is a parameter
    and becomes ``<*>``, any other stays;
-5. patterns with the same resulting text are one template; ``template_id`` = 1 +
+6. patterns of a cluster with the same resulting text are one template; ``template_id`` = 1 +
    rank of the template's first line; ids are joined back to lines on the pattern.
 
 All decisions come from grouped counts of patterns, so the result depends neither on
-arrival order nor on partitioning or group sizes, and a leaf that holds most lines is spread over
-tasks like any aggregate.  By design: one final template text per id, mining on
+arrival order nor on partitioning, and a leaf that holds most lines is spread over
+tasks like any aggregate.  Step 4 takes one round per ``CANDIDATES`` patterns that are
+left, until none is: few, as a round's leaders take all patterns of their kinds.  By design: one final template text per id, mining on
 ``message`` by default (``text_col='raw_line'`` mines whole lines as the original did).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logsift.operators import order as O
 from logsift.session import staged
 
 WILDCARD = "<*>"
+#: Patterns of a leaf that a round looks at for new leaders; the rounds go on until every pattern has one.
+CANDIDATES = 256
 
 
 def masked_tokens(text: F.Column) -> F.Column:
@@ -41,6 +48,34 @@ def _with_patterns(parsed: DataFrame, text_col: str) -> DataFrame:
     return lines.withColumn("_pat", F.array_join("_tok", " "))
 
 
+def _clustered(pats: DataFrame, sim_threshold: float) -> DataFrame:
+    """(pattern, cluster): the text of the leader that each pattern follows."""
+    def shared(a, b):
+        same = F.zip_with(a, b, lambda x, y: (x == y) & (x != F.lit(WILDCARD)))
+        # a pattern always follows itself, even if it is all parameters
+        return F.when(a == b, F.lit(2.0)).otherwise(F.size(F.filter(same, lambda z: z)) / F.size(a))
+
+    def add(leaders, x):
+        known = F.exists(leaders, lambda a: shared(a, x["tokens"]) >= F.lit(sim_threshold))
+        return F.when(known, leaders).otherwise(F.concat(leaders, F.array(x["tokens"])))
+
+    rank = F.row_number().over(Window.partitionBy("leaf").orderBy(F.desc("n"), "pattern"))
+    left, out = pats.select("leaf", "pattern", "tokens", "n"), None
+    while True:
+        top = left.withColumn("r", rank).filter(F.col("r") <= CANDIDATES)
+        led = (top.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("r", "tokens"))).alias("c"))
+               .select("leaf", F.aggregate("c", F.array().cast("array<array<string>>"), add).alias("led")))
+        by = F.transform("led", lambda a, i: F.struct(shared(a, F.col("tokens")).alias("s"), (-i).alias("i"), a.alias("a")))
+        near = left.join(led, "leaf").withColumn("b", F.array_max(by))
+        follows = F.when(F.col("b.s") >= F.lit(sim_threshold), F.array_join("b.a", " "))
+        near = staged(near.select("leaf", "pattern", "tokens", "n", follows.alias("cluster")), "clusters")
+        done = near.filter("cluster is not null").select("pattern", "cluster")
+        out = done if out is None else out.unionAll(done)
+        left = near.filter("cluster is null").drop("cluster")
+        if left.isEmpty():
+            return out
+
+
 def template_table(parsed: DataFrame, text_col: str = "message", sim_threshold: float = 0.4,
                    prefix_tokens: int = 2) -> DataFrame:
     """One row per distinct masked pattern: (pattern, template_id, template_str,
@@ -52,6 +87,8 @@ def template_table(parsed: DataFrame, text_col: str = "message", sim_threshold:
     leaf = F.concat_ws("\u0001", F.size("tokens").cast("string"),
                        F.array_join(F.slice("tokens", 1, prefix_tokens), "\u0001"))
     pats = staged(pats.withColumn("leaf", leaf), "patterns")
+    # a leader's text names its cluster; from here on the clusters stand for the leaves
+    pats = pats.drop("leaf").join(_clustered(pats, sim_threshold).withColumnRenamed("cluster", "leaf"), "pattern")
     placed = pats.select("pattern", "leaf", "n", F.posexplode("tokens").alias("pos", "token"))
     per_leaf = pats.groupBy("leaf").agg(F.sum("n").alias("leaf_n"))
     counts = (placed.groupBy("leaf", "pos", "token").agg(F.sum("n").alias("m")).join(per_leaf, "leaf")

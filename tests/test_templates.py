@@ -33,3 +33,24 @@ def test_equals_brute_force_for_any_size_and_partitioning(spark):
             first = {t: i for i, t in reversed(list(enumerate(brute(texts))))}
             rank = {t: k + 1 for k, t in enumerate(sorted(first, key=first.get))}
             assert all(r["template_id"] == rank[r["template_str"]] for r in table)
+
+
+def test_rare_kinds_beside_a_hot_one_keep_their_words(spark):
+    kinds = (["Exception in receiveBlock for block x from peer"] * 900 + ["Exception in writeBlock while closing its output stream"] * 50
+             + ["Exception in diskCheck because volume has gone readonly"] * 50)
+    equal = [f"a b {k}c {k}d {k}e {k}f" for k in "xyz" for _ in range(20)]
+    users = [f"open door u{chr(97 + i % 26)}{chr(97 + i // 26)} by clerk w{chr(97 + i % 26)}" for i in range(300)]  # many patterns, one kind
+    masked = ["<*> 1 2 3", "<*> 4 5 6 7"]  # no fixed token at all
+    texts = kinds + equal + users + masked
+    want = {k: texts.count(k) for k in kinds + equal} | {"open door <*> by clerk <*>": 300, "<*> <*> <*> <*>": 1, "<*> <*> <*> <*> <*>": 1}
+    for parts in (1, 5):
+        df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "line_no bigint, message string").repartition(parts)
+        got = template_table(df).groupBy("template_str").agg({"lines": "sum"}).collect()
+        assert {r[0]: r[1] for r in got} == want
+
+
+def test_more_kinds_in_a_leaf_than_candidates_of_a_round(spark, monkeypatch):
+    monkeypatch.setattr("logsift.operators.templates.CANDIDATES", 3)
+    texts = [f"a b {k}c {k}d {k}e {k}f" for k in "hijklmnopq" for _ in range(3)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "line_no bigint, message string")
+    assert sorted((r["template_str"], r["lines"]) for r in template_table(df).collect()) == sorted((t, 3) for t in set(texts))
