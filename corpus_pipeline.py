@@ -18,11 +18,12 @@ from logsift.session import scratch_path
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents whose text has no letters or whose language stays below the posterior threshold."""
+    """Drop documents whose text has no letters or whose language stays below the posterior threshold.
+    Where no document declares a language there is none to judge by, and all that have letters stay."""
     row = free_name(docs, "lt_row")
     keyed = with_row_key(docs, row)
     found = language_fusion.identify(keyed.select(F.col(row).alias("id"), "text", F.col("lang").alias("declared"), F.col("source").alias("host")))
-    gone = found.filter("not accepted").select(F.col("id").alias(row))
+    gone = found.filter("not accepted and (language is not null or n_grams = 0)").select(F.col("id").alias(row))
     return keyed.join(gone, row, "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 

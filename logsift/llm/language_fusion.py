@@ -14,7 +14,6 @@ Scores are whole numbers, summed exactly, so a row's result doesn't depend on it
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,10 +27,6 @@ SCALE = 1000
 MAX_EVIDENCE = 100
 #: Rows per language that the trigram model is trained on, in expectation.
 SAMPLE_PER_LANGUAGE = 400
-#: A declared language needs so many rows to become one of the model's languages.
-MIN_ROWS, MAX_LANGUAGES = 20, 64
-#: Address suffixes with their own counts; rarer ones share one.
-MAX_SUFFIXES = 1024
 HOST_WEIGHT = 8.0
 MIN_POSTERIOR = 0.5
 
@@ -62,21 +57,27 @@ def train(labelled: DataFrame, languages: list[str]) -> np.ndarray:
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        total = np.zeros((len(languages), BUCKETS), np.int64)
+        total: dict[int, int] = {}  # as many as differ in the sample, however many languages there are
         for whole in batches:
             for batch in slices(whole, "text"):
                 bucket, starts = trigram_buckets(batch.column("text").to_pylist())
                 owner = np.repeat([place[l] for l in batch.column("label").to_pylist()], np.diff([*starts, len(bucket)]))
                 keep = bucket >= 0
-                total += np.bincount(owner[keep] * BUCKETS + bucket[keep], minlength=total.size).reshape(total.shape)
-        which, where = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), pa.array(where.astype(np.int32)), pa.array(total[which, where])], ["l", "b", "n"])
+                cell, n = np.unique(owner[keep].astype(np.int64) * BUCKETS + bucket[keep], return_counts=True)
+                for c, x in zip(cell.tolist(), n.tolist()):
+                    total[c] = total.get(c, 0) + x
+        cells = np.array(list(total), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array((cells // BUCKETS).astype(np.int32)), pa.array((cells % BUCKETS).astype(np.int32)),
+                                          pa.array(list(total.values()), pa.int64())], ["l", "b", "n"])
 
     got = (labelled.mapInArrow(count, "l int, b int, n bigint").groupBy("l", "b").agg(F.sum("n").alias("n")).toArrow())
-    counts = np.zeros((len(languages), BUCKETS))  # bounded by languages x buckets
-    counts[got["l"].to_numpy(), got["b"].to_numpy()] = got["n"].to_numpy()
-    smooth = counts + 0.5
-    return np.rint(np.log(smooth / smooth.sum(1, keepdims=True)) * SCALE).astype(np.int32)
+    l, b, n = (got[c].to_numpy() for c in ("l", "b", "n"))
+    out = np.empty((len(languages), BUCKETS), np.int32)  # a quarter of a MB per language
+    for i in range(len(languages)):
+        smooth = np.full(BUCKETS, 0.5)
+        smooth[b[l == i]] += n[l == i]
+        out[i] = np.rint(np.log(smooth / smooth.sum()) * SCALE)
+    return out
 
 
 def score(docs: DataFrame, model: np.ndarray) -> DataFrame:
@@ -124,20 +125,18 @@ def _array(size: int, prefix: str = "") -> Column:
     return F.array(*[F.coalesce(F.col(f"{prefix}s{i}"), F.lit(0.0)) for i in range(size)])
 
 
-def _evidence(rows: DataFrame, column: str, size: int, limit: int) -> tuple[Column, Column]:
-    """(log P(value | l) of a row, the value as counted): the ``limit`` most frequent values have
-    their own counts, all others one count together.  Null is no evidence.  The table is bounded."""
-    sums = rows.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"), *_sums(size))
-    named = [r[column] for r in sums.orderBy(F.desc("n"), column).limit(limit).select(column).collect()]
-    if not named:
-        return F.array(*[F.lit(0.0)] * size), F.col(column)
-    as_counted = F.when(F.col(column).isin(named), F.col(column)).otherwise(F.lit("\x00other"))
-    table = sums.withColumn(column, as_counted).groupBy(column).agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(size)]).collect()
-    total = [sum(r[f"s{i}"] for r in table) for i in range(size)]
-    value = F.when(F.col(column).isNull(), F.lit(None)).otherwise(as_counted)
-    logs = {r[column]: [math.log((r[f"s{i}"] + 1) / (total[i] + len(table) + 1)) for i in range(size)] for r in table}
-    chosen = F.element_at(F.create_map(*[x for k, v in logs.items() for x in (F.lit(k), F.array(*[F.lit(y) for y in v]))]), value)
-    return F.coalesce(chosen, F.array(*[F.lit(0.0)] * size)), value
+def _evidence(rows: DataFrame, told: DataFrame, column: str, size: int, out: str) -> DataFrame:
+    """``rows`` with log P(value | l) as array ``out``: each value that some told row has is counted, as
+    a grouped table that joins back.  Null, or a value no told row has, is no evidence."""
+    sums = told.filter(F.col(column).isNotNull()).groupBy(column).agg(*_sums(size))
+    sums = stage(sums.select(F.col(column).alias("value"), _array(size).alias("n")), "language-values")
+    r = sums.agg(F.count(F.lit(1)).alias("values"), *[F.sum(F.col("n")[i]).alias(f"s{i}") for i in range(size)]).first()
+    nothing = F.array(*[F.lit(0.0)] * size)
+    if not r["values"]:
+        return rows.withColumn(out, nothing)
+    total = F.array(*[F.lit((r[f"s{i}"] or 0.0) + r["values"] + 1) for i in range(size)])
+    logs = sums.select("value", F.zip_with("n", total, lambda n, t: F.log((n + 1) / t)).alias(out))
+    return rows.join(logs, F.col(column) == F.col("value"), "left").drop("value").withColumn(out, F.coalesce(out, nothing))
 
 
 def identify(docs: DataFrame, languages: list[str] | None = None, min_posterior: float = MIN_POSTERIOR,
@@ -147,42 +146,39 @@ def identify(docs: DataFrame, languages: list[str] | None = None, min_posterior:
     ``docs`` has columns id, text, declared, suffix, host, parent (strings, each may be null or
     missing but id and text); others are ignored.  ``labelled`` (text, label) trains the text
     model; by default a hash sample of the rows with a declared language does, about
-    ``SAMPLE_PER_LANGUAGE`` rows a language.  ``languages`` defaults to those declared on ``MIN_ROWS`` rows
-    or more (all that are declared, if none is).
+    ``SAMPLE_PER_LANGUAGE`` rows a language.  ``languages`` defaults to all that are declared.
 
     Returns id, language, posterior, text_language, n_grams, accepted, posteriors (by language
     in order), one row per input row, repeated rows included.  A row is accepted if its text has
     letters and its language's posterior reaches ``min_posterior``.  Null or letterless text has
     only its other evidence and isn't accepted.  Ties go to the first language by code point.  An empty
-    table, or one without any labelled row, gives language null, posterior 0, accepted false."""
+    table, or one without any labelled row, gives language null, posterior 0, accepted false; n_grams
+    still tells which texts have letters."""
     have = set(docs.columns)
     base = docs.select("id", "text", *[(F.col(c) if c in have else F.lit(None)).cast("string").alias(c) for c in ("declared", "suffix", "host", "parent")])
     if labelled is None:
-        counts = {r["declared"]: r["n"] for r in base.filter("declared is not null").groupBy("declared").agg(F.count(F.lit(1)).alias("n"))
-                  .orderBy(F.desc("n"), "declared").limit(MAX_LANGUAGES).collect()}
-        usual = {k: n for k, n in counts.items() if n >= MIN_ROWS} or counts
-        languages = sorted(k for k in usual if languages is None or k in languages)
-        # a row's hash is compared with its language's share: a narrow filter, the same on every run
+        counts = base.filter("declared is not null").groupBy("declared").agg(F.count(F.lit(1)).alias("n"))
+        if languages is not None:
+            counts = counts.filter(F.col("declared").isin(languages))
+        counts = stage(counts, "language-counts")
+        languages = sorted(r["declared"] for r in counts.select("declared").collect())  # the model has a row for each
+        # a row's hash is compared with its language's share: the same on every run
         at = F.pmod(F.xxhash64("id", "declared"), F.lit(1 << 20)) / float(1 << 20)
-        shares = [F.lit(x) for k in languages for x in (k, SAMPLE_PER_LANGUAGE / counts[k])]
-        picked = base.filter(F.col("declared").isin(languages))
-        if languages:
-            picked = picked.filter(at < F.element_at(F.create_map(*shares), F.col("declared")))
+        picked = base.join(counts, "declared").filter(at < F.lit(float(SAMPLE_PER_LANGUAGE)) / F.col("n"))
         labelled = picked.select(F.coalesce("text", F.lit("")).alias("text"), F.col("declared").alias("label"))
     else:
         labelled = labelled.select(F.coalesce("text", F.lit("")).alias("text"), "label").filter("label is not null")
-        languages = sorted(languages or [r["label"] for r in labelled.select("label").distinct().limit(MAX_LANGUAGES).collect()])
+        languages = sorted(languages or [r["label"] for r in labelled.select("label").distinct().collect()])
         labelled = labelled.filter(F.col("label").isin(languages))
     if not languages:
-        return base.select("id", F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("posterior"),
-                           F.lit(None).cast("string").alias("text_language"), F.lit(0).cast("long").alias("n_grams"),
+        plain = score(base, np.zeros((0, BUCKETS), np.int32))
+        return plain.select("id", F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("posterior"),
+                           F.lit(None).cast("string").alias("text_language"), "n_grams",
                            F.lit(False).alias("accepted"), F.array().cast("array<double>").alias("posteriors"))
     size = len(languages)
     rows = stage(score(base, train(labelled, languages)).withColumn("text_posterior", softmax(F.col("loglik"))), "language-scores")
 
     told = rows.filter("n_grams > 0")
-    declared, _ = _evidence(told, "declared", size, 2 * MAX_LANGUAGES)
-    suffix, _ = _evidence(told, "suffix", size, MAX_SUFFIXES)
     r = told.agg(*_sums(size)).first()
     total = [(r[f"s{i}"] or 0.0) + 1.0 for i in range(size)]
     world = F.array(*[F.lit(t / sum(total)) for t in total])
@@ -191,7 +187,8 @@ def identify(docs: DataFrame, languages: list[str] | None = None, min_posterior:
     hosts = (hosts.filter("host is not null").select(F.col("parent").alias("hp"), F.col("host").alias("hh"), _array(size).alias("host_sums"))
              .join(parents.select(F.col("parent").alias("pp"), _array(size).alias("parent_sums")), F.col("hp").eqNullSafe(F.col("pp"))))
     hosts = hosts.select("hp", "hh", "host_sums", F.when(F.col("hp").isNotNull(), F.col("parent_sums")).alias("parent_sums"))
-    keyed = rows.join(hosts, F.col("parent").eqNullSafe(F.col("hp")) & (F.col("host") == F.col("hh")), "left")
+    known = _evidence(_evidence(rows, told, "declared", size, "d"), told, "suffix", size, "u")
+    keyed = known.join(hosts, F.col("parent").eqNullSafe(F.col("hp")) & (F.col("host") == F.col("hh")), "left")
     nothing = F.array(*[F.lit(0.0)] * size)
     own = F.when(F.col("n_grams") > 0, F.col("text_posterior")).otherwise(nothing)
 
@@ -203,7 +200,7 @@ def identify(docs: DataFrame, languages: list[str] | None = None, min_posterior:
     prior = F.when(F.col("host_sums").isNull(), world).otherwise(
         smoothed(F.col("host_sums"), F.when(F.col("parent_sums").isNull(), world).otherwise(smoothed(F.col("parent_sums"), world))))
     text = F.when(F.col("n_grams") > 0, F.col("loglik")).otherwise(nothing)
-    keyed = keyed.withColumn("prior", prior).withColumn("d", declared).withColumn("u", suffix).withColumn("t", text)
+    keyed = keyed.withColumn("prior", prior).withColumn("t", text)
     logs = F.transform(F.arrays_zip("t", "prior", "d", "u"), lambda x: x["t"] + F.log(x["prior"]) + x["d"] + x["u"])
     names = F.lit(languages)
     best = lambda c: F.element_at(names, F.array_position(c, F.array_max(c)).cast("int"))

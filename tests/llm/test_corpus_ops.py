@@ -301,6 +301,34 @@ def test_language_odd_tables(spark):
     assert language_fusion.identify(df.filter("false")).count() == 0
 
 
+def test_every_declared_language_is_a_class(spark):
+    """More languages than 64, some with a handful of rows, beside one with many."""
+    rows, i = [], 0
+    for l in range(70):
+        own = words(12, 1000 + l)
+        for k in range(30 if l == 0 else 2 + l % 4):
+            rows.append((i, " ".join(own[(k + j) % 12] for j in range(10)), f"l{l:02d}", None))
+            i += 1
+    df = spark.createDataFrame(rows, "id bigint, text string, declared string, host string")
+    got = {r.id: r for r in language_fusion.identify(df).collect()}
+    assert len(got) == len(rows) and all(got[r[0]].language == r[2] and len(got[r[0]].posteriors) == 70 for r in rows)
+
+
+def test_every_suffix_has_its_own_counts(spark):
+    a, b = " ".join(words(40, 1)), " ".join("xyzw" + w for w in words(40, 2))
+    rows = [(2 * k + j, a, "aa", f"s{k:04d}") for k in range(1100) for j in (0, 1)] + [(5000, b, "bb", "rare"), (5001, None, None, "rare")]
+    df = spark.createDataFrame(rows, "id bigint, text string, declared string, suffix string")
+    got = language_fusion.identify(df).filter("id = 5001").first()
+    of = {"aa": (2200 + 1) * 1 / (2200 + 1101 + 1), "bb": (1 + 1) * 2 / (1 + 1101 + 1)}  # share of all told rows x share of the suffix
+    assert got.posteriors == pytest.approx([of["aa"] / sum(of.values()), of["bb"] / sum(of.values())], abs=1e-6)
+
+
+def test_language_stage_without_declared_languages(spark):
+    df = spark.createDataFrame([(1, "hello there", None, "a"), (2, "123", None, "a"), (3, None, None, None), (4, "\u0434\u0430", None, "b")], DOC)
+    kept = dict(corpus_pipeline.STAGES)["language_id"](spark, df, SF)
+    assert {r.doc_id for r in kept.collect()} == {1, 4}
+
+
 # --- 5 ---------------------------------------------------------------------------------------
 
 def slow_host_path(url):
