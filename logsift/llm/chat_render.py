@@ -7,8 +7,10 @@ doesn't start with the one before, the template has rewritten history; then span
 from the final output alone.  Inside its span a turn's text lies between what two probe texts leave
 unchanged on either side.
 
-A conversation of n turns takes O(n) renders of at most ``WINDOW`` turns: longer ones are
-rendered in windows that overlap, if the overlap renders alike in both (else from the start).
+A longer conversation than ``WINDOW`` turns is rendered in windows that overlap, if the overlap renders
+alike in both (else from the start): O(n) renders of at most ``WINDOW`` turns.  A template that depends on more
+turns than a window has is found by ``whole_prefixes``, which the operator sets: every prefix
+is rendered once as it is and must be what the windows gave, else all is done from the start.
 """
 
 from __future__ import annotations
@@ -109,8 +111,9 @@ def _grown(render: Callable, turns: list[Turn], done: int) -> Formatted | None:
     return out
 
 
-def format_turns(render: Callable[[list[Turn]], str], turns: list[Turn]) -> Formatted:
-    """Format one conversation; an empty one is what the template makes of no turns, without spans."""
+def format_turns(render: Callable[[list[Turn]], str], turns: list[Turn], whole_prefixes: bool = False) -> Formatted:
+    """Format one conversation; an empty one is what the template makes of no turns, without spans.
+    With ``whole_prefixes`` what windows gave is compared with the rendering of every longer prefix."""
     if not turns:
         return Formatted(render([]))
     first = _grown(render, turns[:WINDOW], 0)
@@ -129,6 +132,9 @@ def format_turns(render: Callable[[list[Turn]], str], turns: list[Turn]) -> Form
         whole.spans += [(s + shift, e + shift, a + shift, b + shift) for s, e, a, b in more.spans[OVERLAP - 1:]]
         whole.text += more.text[more.spans[OVERLAP - 2][1]:]
         at += WINDOW - OVERLAP
+    else:
+        if whole_prefixes and not whole.rewrites and any(render(turns[:k + 1]) != whole.text[:whole.spans[k][1]] for k in range(WINDOW, len(turns))):
+            whole = _grown(render, turns, 0)
     if not whole.rewrites:
         return whole
     # history changes: every turn's text is located in the final output, by exchanging it alone
@@ -181,7 +187,7 @@ def format_conversations(rows: DataFrame, template=None, loss_roles: tuple[str,
             kind = batch.column("conv_id").type
             for c, role, text in zip(*[batch.column(x).to_pylist() for x in ("conv_id", "role", "text")], strict=True):
                 if turns and c != held:
-                    ready.append((held, turns, format_turns(template.render, turns)))
+                    ready.append((held, turns, format_turns(template.render, turns, whole_prefixes=True)))
                     size, turns = size + len(ready[-1][2].text), []
                     if size > 4 << 20:
                         yield out(kind)
@@ -189,7 +195,7 @@ def format_conversations(rows: DataFrame, template=None, loss_roles: tuple[str,
                 held = c
                 turns.append((role, text))
         if turns:
-            ready.append((held, turns, format_turns(template.render, turns)))
+            ready.append((held, turns, format_turns(template.render, turns, whole_prefixes=True)))
         if ready:
             yield out(kind)
 

@@ -337,6 +337,25 @@ def test_history_that_depends_on_all_turns_falls_back():
     assert f.text == render(turns) and [f.text[a:b] for _, _, a, b in f.spans] == [t for _, t in turns]
 
 
+def test_dependence_on_more_turns_than_a_window_is_found(spark):
+    class KeepsLast:
+        def render(self, turns):
+            return "".join(f"[{r}]{t};" for r, t in turns[-100:])
+
+    turns = [("user", f"t{k}") for k in range(150)]
+    late = lambda turns: "".join(f"[{r}]{t};" for r, t in turns if r != "system" or len(turns) < 90)
+    blink = lambda turns: "".join(f"[{r}]{t};" for r, t in turns) + ("..." if len(turns) == 110 else "")
+    with_system = [("system", "rules"), *turns]
+    for render, said, rewrites in ((KeepsLast().render, turns, list(range(100, 150))), (late, with_system, [89]), (blink, turns, [110])):
+        f = chat_render.format_turns(render, said, whole_prefixes=True)
+        assert f.text == render(said) and f.rewrites == rewrites
+        assert all(s is None or f.text[s[2]:s[3]] == t for s, (_, t) in zip(f.spans, said, strict=True))
+    df = spark.createDataFrame([(1, k, r, t) for k, (r, t) in enumerate(turns)], "conv_id bigint, turn bigint, role string, text string")
+    got = chat_render.format_conversations(df, KeepsLast()).first()
+    assert got.formatted == KeepsLast().render(turns) and got.rewrites == list(range(100, 150))
+    assert [s is None for s in got.spans] == [True] * 50 + [False] * 100
+
+
 def test_rewritten_history_is_detected():
     """A template that shows an assistant's words only while they are the last."""
     render = lambda turns: "".join(f"[{r}]{t}" if r == "user" or k == len(turns) - 1 else f"[{r}]" for k, (r, t) in enumerate(turns))
