@@ -28,6 +28,8 @@ from logsift.sources.labels import read_labels  # noqa: F401
 from logsift.sources.logs import parse_logs, read_log_text  # noqa: F401
 
 WINDOW_MODELS = ("isolation_forest", "robust_covariance", "local_outlier_factor")
+#: Robust covariance and LOF see all text and metadata features by so many principal components.
+COMPONENTS = 10
 
 
 def principal_columns(features: DataFrame, key: str, dim: int, k: int) -> tuple[DataFrame, list[str]]:
@@ -45,11 +47,11 @@ def principal_columns(features: DataFrame, key: str, dim: int, k: int) -> tuple[
 
 def train_window_models(features: DataFrame, key: str, dim: int, meta_cols: list[str],
                         models=WINDOW_MODELS, contamination: float | None = 0.1, seed: int = 42,
-                        pca: int | None = None) -> dict:
+                        pca: int | None = COMPONENTS) -> dict:
     """Unsupervised window models: isolation forest on the full sparse features;
-    robust covariance and LOF on the scaled metadata columns or, with ``pca=k``, on
-    ``k`` principal components of all features (keep k low: exact neighbours in many
-    dimensions are all pairs).  Robust covariance and LOF come with the rows they score."""
+    robust covariance and LOF on ``pca`` principal components of all features (exact
+    neighbours in many dimensions are all pairs) or, with ``pca=None``, on the scaled
+    metadata columns alone.  Robust covariance and LOF come with the rows they score."""
     out = {}
     unknown = set(models) - set(WINDOW_MODELS)
     if unknown:

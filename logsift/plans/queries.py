@@ -553,6 +553,32 @@ def q_lof(spark, sf_dir):
     return out.select("window_id", r6(F.col("anomaly_score")).alias("anomaly_score"))
 
 
+def _window_components(spark, sf_dir):
+    """Count windows by principal components of all their text and metadata features."""
+    from logsift.api import COMPONENTS, principal_columns
+    from logsift.plans.runs import window_features
+    pos, _, ft, fm, _ = window_features(ordered_fixture(spark, sf_dir), *COUNT_WINDOW)
+    low, cols = principal_columns(ft, "window_id", fm.size, COMPONENTS)
+    pos.unpersist()
+    return low, cols
+
+
+def q_robust_cov_features(spark, sf_dir):
+    """OD5 on all window features, by their principal components."""
+    from logsift.operators.robust_cov import fit_robust_covariance
+    low, cols = _window_components(spark, sf_dir)
+    m = fit_robust_covariance(low, cols, contamination=CONTAMINATION, key="window_id")
+    return m.predict(m.score(low)).select("window_id", "anomaly_score", "is_anomaly")
+
+
+def q_lof_features(spark, sf_dir):
+    """OD4 on all window features, by their principal components."""
+    from logsift.operators.lof import local_outlier_factor
+    low, cols = _window_components(spark, sf_dir)
+    out, _ = local_outlier_factor(low, "window_id", cols, LOF_NEIGHBORS, contamination=None)
+    return out.select("window_id", r6(F.col("anomaly_score")).alias("anomaly_score"))
+
+
 # -- reports and I/O round trips ---------------------------------------------------
 
 def q_sequence_examples(spark, sf_dir):
@@ -684,6 +710,8 @@ QUERIES = {
     "isolation_forest": q_isolation_forest,
     "robust_cov": q_robust_cov,
     "lof": q_lof,
+    "robust_cov_features": q_robust_cov_features,
+    "lof_features": q_lof_features,
     "lof_embeddings": q_lof_embeddings,
     "isolation_forest_embeddings": q_isolation_forest_embeddings,
     "logreg": q_logreg,

@@ -140,9 +140,10 @@ def run_windows(ordered: Q.OrderedLogs, labels: DataFrame | None = None, window_
                 overlap: int = 0, max_features: int = 1000, ngram_range=(1, 2), n_trees: int = 100,
                 contamination: float = 0.1, top_n: int = 10, seed: int = 42,
                 models=("isolation_forest", "robust_covariance", "local_outlier_factor"),
-                pca: int | None = None) -> WindowRun:
+                pca: int | None = 10) -> WindowRun:
     """Windows, features, the named detectors (the isolation forest is always among them and
-    gives scores, top list and evaluation) and the reports.  One window alone has no
+    gives scores, top list and evaluation; the other two see ``pca`` principal components of all
+    features, or with None the metadata alone) and the reports.  One window alone has no
     neighbours: the other two need two."""
     from logsift.api import train_window_models
     began = time.time()

@@ -128,3 +128,20 @@ def test_robust_covariance_properties(spark):
     assert pred.filter("id < 60").agg(F.min("is_anomaly")).first()[0] == 1
     share = pred.agg(F.avg("is_anomaly")).first()[0]
     assert abs(share - 0.1) < 0.01
+
+
+def test_lof_and_robust_covariance_see_the_templates_of_a_window(spark):
+    """A window of ordinary size, span and number of templates, but of templates that no other has."""
+    from logsift.api import score_windows
+    from logsift.operators import sequences as Q
+    from logsift.plans.runs import run_windows
+    rng = np.random.default_rng(1)
+    ids = [t for w in range(40) for t in rng.permutation([*range(1, 6), *rng.integers(1, 6, 15)]) + (10 if w == 20 else 0)]
+    rows = [(i, i, "blk_1", int(t)) for i, t in enumerate(ids)]
+    df = spark.createDataFrame(rows, "line_no long, s long, block_id string, template_id int")
+    df = df.select("line_no", F.timestamp_seconds("s").cast("timestamp_ntz").alias("timestamp"), "block_id", "template_id")
+    run = run_windows(Q.order_logs(df), window_size=20, n_trees=5)
+    for name in ("robust_covariance", "local_outlier_factor"):
+        low = score_windows(run.models, run.features, "window_id", name).orderBy("anomaly_score").limit(2).collect()
+        assert low[0]["window_id"] == "window_20" and low[0]["anomaly_score"] < low[1]["anomaly_score"] - 0.1
+    run.release()
