@@ -7,7 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cdc, chat_render, chosen_path, curriculum, huffman, language_fusion, license_join, radix_dedup, sentencepiece_viterbi, url_words
+from . import best_position, cdc, chat_render, chosen_path, curriculum, hard_negatives, huffman, language_fusion, license_join, max_score
+from . import radix_dedup, sentencepiece_viterbi, url_words
 from .common import table
 
 #: Folder of the public tokenizer files; a parameter, see ``tokenizer_file``.
@@ -85,6 +86,19 @@ def op10_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "n_grams", F.col("accepted").alias("kept"))
 
 
+def op11_strassen_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), label, F.col("id") % 100 == 0)
+
+
+def op12_max_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return max_score.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
+def op13_best_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_position.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same operator on web pages, where all kinds of evidence occur."""
     got = language_fusion.identify(language_fusion.web_pages(table(spark, sf_dir, "pages")))
@@ -102,6 +116,9 @@ QUERIES = {
     "op8_chosen_path": op8_chosen_path,
     "op9_curriculum": op9_curriculum,
     "op10_language_fusion": op10_language_fusion,
+    "op11_strassen_negatives": op11_strassen_negatives,
+    "op12_max_score": op12_max_score,
+    "op13_best_position": op13_best_position,
     "page_language": page_language,
 }
 
@@ -151,4 +168,47 @@ SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
-ORACLE = {"op4_radix_dedup": _OP4, "op6_chat_rendering": _OP6, "op9_curriculum": _OP9}
+_VECTORS = r"""
+e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(@SCALE * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+      WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)"""
+_PRODUCT = "CAST(list_sum(list_transform(list_zip(q.v, c.v, true), lambda p: p[1] * p[2])) AS BIGINT)"
+
+_OP11 = f"""
+WITH {_VECTORS.replace('@SCALE', '256')},
+r AS (SELECT vec_id, v, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label FROM e WHERE label IS NOT NULL),
+s AS (SELECT q.vec_id AS anchor_id, c.vec_id AS id, q.label = c.label AS same, {_PRODUCT} AS score
+      FROM r q JOIN r c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+pos AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM pos JOIN s USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)
+QUALIFY row_number() OVER w <= 5
+"""
+
+_OP12 = f"""
+WITH {_VECTORS.replace('@SCALE', '1024')},
+s AS (SELECT q.vec_id AS query_id, c.vec_id, {_PRODUCT} AS score FROM e q JOIN e c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM s
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 10
+"""
+
+_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+_OP13 = f"""
+WITH t AS (SELECT doc_id, unnest({_WORDS}) AS term FROM documents),
+f AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+d AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM f GROUP BY doc_id),
+g AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS len FROM d),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * max(docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, g GROUP BY term),
+m AS (SELECT doc_id, 25 + (75 * n * docs) // len AS m FROM d, g),
+i AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_WORDS}) AS term FROM benchmark) GROUP BY ALL),
+s AS (SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+      FROM i JOIN w USING (term) JOIN f USING (term) JOIN m USING (doc_id) GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER o AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0
+WINDOW o AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER o <= 10
+"""
+
+ORACLE = {"op11_strassen_negatives": _OP11, "op12_max_score": _OP12, "op13_best_position": _OP13, "op4_radix_dedup": _OP4, "op6_chat_rendering": _OP6, "op9_curriculum": _OP9}
