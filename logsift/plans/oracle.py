@@ -358,6 +358,14 @@ sw AS (SELECT (ts_us // 3600000000) * 3600000000 AS start_us,
         string_agg(CAST(template_id AS VARCHAR), ',' ORDER BY ts_us, ('0x' || substr(md5(raw_line), 1, 15))::BIGINT) AS template_sequence_str,
         CAST(count(*) AS BIGINT) AS length FROM valid GROUP BY 1)
 SELECT start_us, start_us + 3600000000 AS end_us, template_sequence_str, length FROM sw""",
+    "stream_scores": f"""{BASE},
+{_tw_mem_only(*TIME_WINDOW)},
+train AS (SELECT CAST(count(*) AS DOUBLE) AS x, CAST(count(DISTINCT template_id) AS DOUBLE) AS y FROM mem JOIN valid USING (line_no) GROUP BY k),
+mo AS (SELECT avg(x) AS mx, avg(y) AS my, var_pop(x) AS va, covar_pop(x, y) AS vb, var_pop(y) AS vc FROM train),
+th AS (SELECT quantile_cont(-((x - mx) ** 2 * vc - 2 * (x - mx) * (y - my) * vb + (y - my) ** 2 * va) / (va * vc - vb * vb), {CONTAMINATION}) AS t FROM train, mo),
+sw AS (SELECT (ts_us // 3600000000) * 3600000000 AS start_us, count(*) AS log_count, count(DISTINCT template_id) AS u FROM valid GROUP BY 1),
+sc AS (SELECT start_us, log_count, -((log_count - mx) ** 2 * vc - 2 * (log_count - mx) * (u - my) * vb + (u - my) ** 2 * va) / (va * vc - vb * vb) AS s FROM sw, mo)
+SELECT start_us, CAST(log_count AS BIGINT) AS log_count, round(s, 6) AS anomaly_score, CAST(CASE WHEN s < t THEN 1 ELSE 0 END AS BIGINT) AS is_anomaly FROM sc, th""",
     "stream_block_sessions": f"""{BASE},
 k AS (SELECT *, ('0x' || substr(md5(raw_line), 1, 15))::BIGINT AS tie FROM valid WHERE block_id IS NOT NULL),
 bk AS (SELECT block_id, ts_us, tie, template_id,

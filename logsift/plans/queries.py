@@ -461,37 +461,82 @@ def _drain(spark, stream, name):
     return spark.read.parquet(out)
 
 
+def _stream_folders(spark, name):
+    import uuid
+
+    from logsift.streaming import stream as ST
+    tag = uuid.uuid4().hex
+    return ST.checkpoint_location(spark, f"{name}-out-{tag}"), ST.checkpoint_location(spark, f"{name}-ckpt-{tag}")
+
+
+def _ended(query):
+    """Wait for a stream's end; late rows are an error."""
+    from logsift.streaming import stream as ST
+    query.awaitTermination()
+    if ST.late_rows(query):
+        raise RuntimeError(f"{ST.late_rows(query)} lines came later than the watermark")
+
+
 def q_stream_time_windows(spark, sf_dir):
-    """ST1 + ST2: every window of the input, the last ones included."""
+    """ST1 + ST2: every window of the input, the last ones included, from pieces to ordered sequences."""
     from logsift.streaming import stream as ST
-    res = _drain(spark, ST.window_stream(_stream_parsed(spark, sf_dir), STREAM_WINDOW, watermark=STREAM_WATERMARK), "stw")
-    return res.select(us(F.col("start_time").cast("timestamp_ntz")).alias("start_us"),
-                      us(F.col("end_time").cast("timestamp_ntz")).alias("end_us"),
-                      P.ids_to_string(F.col("template_sequence")).alias("template_sequence_str"),
-                      F.col("length").cast("long").alias("length"))
+    pieces = _drain(spark, ST.window_piece_stream(_stream_parsed(spark, sf_dir), STREAM_WINDOW, watermark=STREAM_WATERMARK), "stw")
+    ordered = ST.ordered_pieces(ST.window_rows(pieces), ["window_id"])
+    start = F.substring_index("window_id", "_", -1).cast("long")
+    return ST.assembled(ordered, ["window_id"]).select(
+        start.alias("start_us"), (start + TIME_WINDOW[0] * 1_000_000).alias("end_us"),
+        P.ids_to_string(F.col("template_sequence")).alias("template_sequence_str"), F.col("length").cast("long").alias("length"))
 
 
 def q_stream_templates(spark, sf_dir):
     """ST4: each line's template from the stateful miner (ids are hashes, so the text stands for them)."""
     from logsift.streaming import stream as ST
     parsed = _stream_parsed(spark, sf_dir).filter(F.col("component") != "end")
-    res = _drain(spark, ST.template_stream(parsed), "stt")
-    return res.groupBy("template_str").agg(F.count(F.lit(1)).alias("lines"), F.min("line_no").alias("first_key"),
-                                           F.count_distinct("template_id").alias("ids"))
+    query, miner = ST.mine_template_stream(parsed, *_stream_folders(spark, "stt"))
+    _ended(query)
+    return miner.lines.read().groupBy("template_str").agg(F.count(F.lit(1)).alias("lines"), F.min("line_no").alias("first_key"),
+                                                          F.count_distinct("template_id").alias("ids"))
+
+
+STREAM_SCORE_COLUMNS = ["log_count", "unique_templates"]
+
+
+def q_stream_scores(spark, sf_dir):
+    """ST5: hourly windows of the stream, scored as they close by a covariance fitted on the batch windows."""
+    from logsift.operators.robust_cov import classical_covariance
+    from logsift.streaming import stream as ST
+    batch = Q.time_windows(ordered_fixture(spark, sf_dir), *TIME_WINDOW).select(
+        "seq_id", F.col("length").alias("log_count"), F.size(F.array_distinct("template_sequence")).alias("unique_templates"))
+    batch = batch.select("seq_id", *[F.col(c).cast("double").alias(c) for c in STREAM_SCORE_COLUMNS])
+    model = classical_covariance(batch, STREAM_SCORE_COLUMNS)
+    threshold = OL.contamination_threshold(model.score(batch), CONTAMINATION)
+
+    def score(windows, pieces):
+        return OL.flag(model.score(windows.select("window_id", *[F.col(c).cast("double").alias(c) for c in STREAM_SCORE_COLUMNS])), threshold)
+
+    pieces = ST.window_piece_stream(_stream_parsed(spark, sf_dir), STREAM_WINDOW, watermark=STREAM_WATERMARK)
+    query, table = ST.score_closed_windows(pieces, score, *_stream_folders(spark, "sts"))
+    _ended(query)
+    return table.read().select(us(F.col("start_time")).alias("start_us"), "log_count", r6(F.col("anomaly_score")).alias("anomaly_score"),
+                               F.col("is_anomaly").cast("long").alias("is_anomaly"))
 
 
 STREAM_GAP_SECONDS = 1800
 
 
 def q_stream_block_sessions(spark, sf_dir):
-    """ST3: block sequences closed after 30 minutes without a log of the block."""
+    """ST3: block sequences closed after 30 minutes without a log of the block: bounds by state, lines joined to them."""
     from logsift.streaming import stream as ST
-    sess = ST.block_session_stream(_stream_parsed(spark, sf_dir), f"{STREAM_GAP_SECONDS} seconds", watermark=STREAM_WATERMARK)
-    res = _drain(spark, sess, "sbs")
-    return res.select("seq_id", us(F.col("start_time")).alias("start_us"),
-                      us(F.col("end_time")).alias("end_us"),
-                      P.ids_to_string(F.col("template_sequence")).alias("template_sequence_str"),
-                      F.col("length").cast("long").alias("length"), r6(F.col("time_span")).alias("time_span"))
+    parsed = _stream_parsed(spark, sf_dir)
+    bounds = _drain(spark, ST.block_session_bounds(parsed, f"{STREAM_GAP_SECONDS} seconds", watermark=STREAM_WATERMARK), "sbs")
+    rows = _drain(spark, ST.block_rows(parsed), "sbr")
+    keys = ["block_id", "start_us"]
+    seqs = ST.assembled(ST.ordered_pieces(ST.session_rows(bounds, rows), keys), keys)
+    ends = bounds.select("block_id", us(F.col("start_time")).alias("start_us"), us(F.col("end_time")).alias("end_us"))
+    return seqs.join(ends, keys).select(
+        F.concat(F.lit("block_"), F.col("block_id")).alias("seq_id"), "start_us", "end_us",
+        P.ids_to_string(F.col("template_sequence")).alias("template_sequence_str"),
+        F.col("length").cast("long").alias("length"), r6((F.col("end_us") - F.col("start_us")) / 1e6).alias("time_span"))
 
 
 def q_mahalanobis_once(spark, sf_dir):
@@ -735,6 +780,7 @@ QUERIES = {
     "labels_last_wins": q_labels_last_wins,
     "window_dataset_roundtrip": q_window_dataset_roundtrip,
     "stream_templates": q_stream_templates,
+    "stream_scores": q_stream_scores,
     "mahalanobis_once": q_mahalanobis_once,
     "robust_cov_embeddings": q_robust_cov_embeddings,
     "lof_leaves": q_lof_leaves,

@@ -5,19 +5,22 @@ stream:
 
 * ST1 ``parse_stream``: the batch parse expressions applied to a streaming
   DataFrame of lines (stateless, shared code).
-* ST2 ``window_stream``: event-time tumbling / sliding windows with a
+* ST2 ``window_piece_stream``: event-time tumbling / sliding windows with a
   watermark, which the caller must choose: rows later than it are dropped, and
-  ``late_rows`` tells how many were.  ``collect_list`` per window, append mode; a
-  finished input closes its last windows with ``write_end_marker``.  Windows are anchored at the epoch -- a stream has no known minimum -- a
-  stated difference from the batch operator, which anchors at the first log.
-* ST3 ``block_session_stream``: a block's sequence closes after ``gap`` of
-  inactivity (``session_window`` per block id).
-* ST4 ``template_stream``: online template mining with durable state:
-  ``applyInPandasWithState`` keyed by leaf (token count + first tokens); the
-  state holds the leaf's templates, the checkpoint replaces a state file; the
-  id is a hash of (leaf, ordinal), stable across restarts.
-* ST5 ``score_closed_windows``: windows from ST2 scored with a fitted feature
-  model and isolation forest inside ``foreachBatch``.
+  ``late_rows`` tells how many were.  A window's lines are collected in pieces, so that a
+  burst window is many rows of state and never one; ``assembled`` makes one ordered row per window of
+  closed pieces where that is wanted (``window_stream`` does so inside the state, for windows known to be small).
+  A finished input closes its last windows with ``write_end_marker``.  Windows are anchored at the epoch -- a
+  stream has no known minimum -- a stated difference from the batch operator, which anchors at the first log.
+* ST3 ``block_session_bounds``: a block's session closes after ``gap`` of inactivity; the state holds its
+  bounds and length only.  ``session_rows`` joins closed sessions with the lines, which a second, stateless query
+  writes (``block_session_stream``: one row with the whole sequence in the state, for small sessions).
+* ST4 ``mine_template_stream``: online template mining.  Each micro-batch is reduced to its distinct patterns
+  first; only patterns never seen before meet the leaf's templates, and lines get their ids by a join on the
+  pattern.  The state is a table of (leaf, pattern, ordinal), an epoch's new rows at a time.
+* ST5 ``score_closed_windows``: closed windows scored by a fitted model, an epoch at a time.
+
+ST4 and ST5 write ``EpochTable``s: an epoch that runs again after a failure changes nothing.
 
 Every query needs a checkpoint location on the shared file system; the
 helpers derive it from the session's ``spark.checkpoint.dir``.
@@ -27,16 +30,21 @@ from __future__ import annotations
 
 import json
 import os
+from collections.abc import Callable
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from logsift.functions import parse as P
+from logsift.operators import order as O
+from logsift.operators import sequences as Q
 from logsift.operators.templates import WILDCARD, masked_tokens
 from logsift.session import checkpoint_dir, ship_package
+from logsift.sources.io import path_exists
 from logsift.sources.logs import parse_lines
+from logsift.streaming.epochs import EpochTable
 
 
 def checkpoint_location(spark: SparkSession, name: str) -> str:
@@ -98,6 +106,46 @@ def with_event_time(parsed: DataFrame) -> DataFrame:
     return (parsed.filter(F.col("timestamp").isNotNull())
             .withColumn(EVENT_TIME, F.col("timestamp").cast("timestamp")))
 
+
+PIECE_SCHEMA = "start_time timestamp_ntz, end_time timestamp_ntz, piece int, items array<struct<timestamp:timestamp_ntz,line_no:bigint,value:int>>, n bigint"
+
+
+def window_piece_stream(parsed: DataFrame, window_size: str = "60 seconds", slide: str | None = None, *,
+                        watermark: str, value_col: str = "template_id", pieces: int = 16) -> DataFrame:
+    """Each window's lines in up to ``pieces`` rows: (start_time, end_time, piece, items, n).
+
+    Emitted once the watermark passes the window end, all pieces of a window in the same epoch.
+    Lines are dealt to the pieces by a seeded draw, which a rerun of a task repeats, so lines that are all alike spread as well.
+    ``watermark``: how far a line may lag behind the latest one; later lines are lost."""
+    w = F.window(EVENT_TIME, window_size, slide) if slide else F.window(EVENT_TIME, window_size)
+    dealt = with_event_time(parsed).withColumn("piece", F.floor(F.rand(11) * pieces).cast("int"))
+    agg = (dealt.withWatermark(EVENT_TIME, watermark).groupBy(w.alias("window"), "piece")
+           .agg(F.sort_array(F.collect_list(F.struct("timestamp", "line_no", F.col(value_col).cast("int").alias("value")))).alias("items"),
+                F.count(F.lit(1)).alias("n")))
+    return agg.select(F.col("window.start").cast("timestamp_ntz").alias("start_time"),
+                      F.col("window.end").cast("timestamp_ntz").alias("end_time"), "piece", "items", "n")
+
+
+def window_rows(pieces: DataFrame) -> DataFrame:
+    """A row per line and window: window_id, the columns of the batch order (``_ts_us``, line_no), template_id."""
+    return (pieces.select(F.concat(F.lit("stream_"), P.epoch_micros(F.col("start_time")).cast("string")).alias("window_id"), F.explode("items").alias("x"))
+            .select("window_id", P.epoch_micros(F.col("x.timestamp")).alias(Q.TS_US), F.col("x.line_no").alias("line_no"), F.col("x.value").alias("template_id")))
+
+
+def ordered_pieces(rows: DataFrame, keys: list[str], rows_per_slice: int = O.ROWS_PER_SLICE) -> DataFrame:
+    """The batch piece table of streamed rows: (keys, slice, ids, n), slices in time order and of bounded size."""
+    plan = O.plan_slices(rows, Q.TS_US, "line_no", rows_per_slice, n_rows=rows.count())
+    return Q.sequence_pieces(O.with_slices(rows, plan, Q.TS_US, "line_no"), keys)
+
+
+def assembled(ordered: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per sequence, (keys, template_sequence, length), from ``ordered_pieces``: on request only, as the row is
+    as large as its sequence."""
+    return ordered.groupBy(*keys).agg(
+        F.flatten(F.transform(F.sort_array(F.collect_list(F.struct(O.B, O.S, "ids"))), lambda s: s["ids"])).alias("template_sequence"),
+        F.sum("n").alias("length"))
+
+
 def window_stream(parsed: DataFrame, window_size: str = "60 seconds", slide: str | None = None, *,
                   watermark: str, value_col: str = "template_id") -> DataFrame:
     """Windowed template sequences, emitted once the watermark passes the window end.
@@ -114,6 +162,33 @@ def window_stream(parsed: DataFrame, window_size: str = "60 seconds", slide: str
                       F.col(f"_it.{value_col}").alias("template_sequence"), "length")
 
 
+def block_session_bounds(parsed: DataFrame, gap: str = "5 minutes", *, watermark: str) -> DataFrame:
+    """(block_id, start_time, end_time, length) of sessions that ``gap`` without a log of the block has closed.
+
+    A hot block's session is one small row of state; its lines combine before the shuffle where
+    ``spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition`` is true."""
+    agg = (with_event_time(parsed.filter(F.col("block_id").isNotNull())).withWatermark(EVENT_TIME, watermark)
+           .groupBy("block_id", F.session_window(EVENT_TIME, gap).alias("session"))
+           .agg(F.count(F.lit(1)).alias("length"), F.min("timestamp").alias("start_time"), F.max("timestamp").alias("end_time")))
+    return agg.select("block_id", "start_time", "end_time", "length")
+
+
+def block_rows(parsed: DataFrame, value_col: str = "template_id") -> DataFrame:
+    """What a stateless query keeps of each block line for ``session_rows``."""
+    return parsed.filter(F.col("block_id").isNotNull() & F.col("timestamp").isNotNull()).select(
+        "block_id", P.epoch_micros(F.col("timestamp")).alias(Q.TS_US), "line_no", F.col(value_col).cast("int").alias("template_id"))
+
+
+def session_rows(bounds: DataFrame, rows: DataFrame) -> DataFrame:
+    """Lines of closed sessions: (block_id, start_us, ``_ts_us``, line_no, template_id).
+
+    A block's sessions don't overlap, so a line finds its own by the block and the last start at or before it.  The
+    join is on the block; a block with a third of all lines is split by AQE."""
+    b = bounds.select("block_id", P.epoch_micros(F.col("start_time")).alias("start_us"), P.epoch_micros(F.col("end_time")).alias("end_us"))
+    return rows.join(b, [rows["block_id"] == b["block_id"], F.col(Q.TS_US).between(F.col("start_us"), F.col("end_us"))]).select(
+        rows["block_id"], "start_us", Q.TS_US, "line_no", "template_id")
+
+
 def block_session_stream(parsed: DataFrame, gap: str = "5 minutes", *, watermark: str,
                          value_col: str = "template_id") -> DataFrame:
     """Block sequences that close after ``gap`` without a new log of the block."""
@@ -131,10 +206,6 @@ def block_session_stream(parsed: DataFrame, gap: str = "5 minutes", *, watermark
 
 # -- ST4 ---------------------------------------------------------------------------
 
-TEMPLATE_OUT = "line_no long, leaf string, ordinal long, template_str string"
-TEMPLATE_STATE = "templates string"
-
-
 def _similarity(template: list[str], tokens: list[str]) -> tuple[float, int]:
     sim = params = 0
     for a, b in zip(template, tokens):
@@ -149,73 +220,157 @@ def _merge(template: list[str], tokens: list[str]) -> list[str]:
     return [a if a == b else WILDCARD for a, b in zip(template, tokens)]
 
 
-def template_stream(parsed: DataFrame, text_col: str = "message", sim_threshold: float = 0.4,
-                    prefix_tokens: int = 2) -> DataFrame:
-    """Online template ids per line; state = the leaf's templates (JSON list).
-
-    The lines of a micro-batch are taken in the order of ``line_no``, so ids don't depend on
-    arrival within it; equal patterns of a batch are matched once."""
-    ship_package(parsed.sparkSession)
-    toks = parsed.withColumn("_tok", masked_tokens(F.col(text_col)))
-    leaf = F.concat_ws("\u0001", F.size("_tok").cast("string"),
-                       F.array_join(F.slice("_tok", 1, prefix_tokens), "\u0001"))
-    keyed = toks.select(leaf.alias("leaf"), "line_no", F.array_join("_tok", " ").alias("_pat"))
-
-    def step(key, batches, state):
-        templates = json.loads(state.get[0]) if state.exists else []
-        pdf = pd.concat(list(batches), ignore_index=True)
-        firsts = pdf.groupby("_pat", sort=False)["line_no"].min().reset_index().sort_values(["line_no", "_pat"])
-        found = {}
-        for pattern in firsts["_pat"]:
-            tk = pattern.split(" ")
+PATTERN_SCHEMA = "leaf string, pattern string, ordinal int"
+TEMPLATE_SCHEMA = "line_no long, template_id long, template_str string"
+#: Epochs after which the pattern table is written whole.
+COMPACT_EVERY = 50
+
+
+def _assigner(sim_threshold: float):
+    """Per leaf: new patterns, in the order of their first lines, join the most similar template or open one."""
+    def assign(new: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        templates: list[list[str]] = []
+        for pattern, ordinal in known.sort_values("ordinal")[["pattern", "ordinal"]].itertuples(index=False):
+            tokens = pattern.split(" ")
+            if ordinal == len(templates):
+                templates.append(tokens)
+            else:
+                templates[ordinal] = _merge(templates[ordinal], tokens)
+        new = new.sort_values(["first", "pattern"])
+        found = []
+        for pattern in new["pattern"]:
+            tokens = pattern.split(" ")
             best, best_key = -1, None
             for ci, tpl in enumerate(templates):
-                s, p = _similarity(tpl, tk)
+                s, p = _similarity(tpl, tokens)
                 if s >= sim_threshold and (best_key is None or (s, p) > best_key):
                     best, best_key = ci, (s, p)
             if best < 0:
-                templates.append(tk)
+                templates.append(tokens)
                 best = len(templates) - 1
             else:
-                templates[best] = _merge(templates[best], tk)
-            found[pattern] = best
-        state.update((json.dumps(templates),))
-        ordinal = pdf["_pat"].map(found)
-        yield pd.DataFrame({"line_no": pdf["line_no"], "leaf": key[0], "ordinal": ordinal,
-                            "template_str": [" ".join(templates[o]) for o in ordinal]})
-
-    out = keyed.groupBy("leaf").applyInPandasWithState(
-        step, TEMPLATE_OUT, TEMPLATE_STATE, "append", GroupStateTimeout.NoTimeout)
-    # a stable id: hash of the leaf and the template's place in it
-    return out.select("line_no", F.xxhash64("leaf", "ordinal").alias("template_id"), "template_str")
+                templates[best] = _merge(templates[best], tokens)
+            found.append(best)
+        return pd.DataFrame({"leaf": new["leaf"], "pattern": new["pattern"], "ordinal": found})
+
+    return assign
+
+
+def template_texts(patterns: DataFrame) -> DataFrame:
+    """(leaf, ordinal, template_str): a template keeps the tokens that all its patterns share at a position."""
+    tokens = patterns.select("leaf", "ordinal", F.posexplode(F.split("pattern", " ")).alias("pos", "token"))
+    kept = tokens.groupBy("leaf", "ordinal", "pos").agg(
+        F.when(F.min("token") == F.max("token"), F.min("token")).otherwise(F.lit(WILDCARD)).alias("t"))
+    return kept.groupBy("leaf", "ordinal").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "t"))), lambda x: x["t"]), " ").alias("template_str"))
+
+
+class TemplateMiner:
+    """Tables of a template stream below ``path``: known patterns, and the lines' templates."""
+
+    def __init__(self, spark: SparkSession, path: str, text_col: str = "message", sim_threshold: float = 0.4, prefix_tokens: int = 2):
+        self.patterns = EpochTable(spark, os.path.join(path, "patterns"), PATTERN_SCHEMA)
+        self.lines = EpochTable(spark, os.path.join(path, "lines"), TEMPLATE_SCHEMA)
+        self.text_col, self.sim_threshold, self.prefix_tokens = text_col, sim_threshold, prefix_tokens
+        ship_package(spark)
+
+    def new_patterns(self, keyed: DataFrame, epoch: int) -> DataFrame:
+        """Distinct patterns of a batch that no earlier epoch had: (leaf, pattern, first), counted before any shuffle of lines."""
+        known = self.patterns.read(epoch - 1)
+        batch = keyed.groupBy("leaf", "pattern").agg(F.min("line_no").alias("first"))
+        return batch.join(known.select("leaf", "pattern"), ["leaf", "pattern"], "left_anti")
+
+    def step(self, parsed: DataFrame, epoch: int) -> None:
+        """One micro-batch.  What an epoch has written before a failure is read back, not decided again."""
+        if self.lines.done(epoch):
+            return
+        tok = masked_tokens(F.col(self.text_col))
+        leaf = F.concat_ws("\u0001", F.size("_tok").cast("string"), F.array_join(F.slice("_tok", 1, self.prefix_tokens), "\u0001"))
+        keyed = parsed.withColumn("_tok", tok).select("line_no", leaf.alias("leaf"), F.array_join("_tok", " ").alias("pattern")).persist(
+            StorageLevel.MEMORY_AND_DISK)
+        if not self.patterns.done(epoch):
+            new = self.new_patterns(keyed, epoch)
+            old = self.patterns.read(epoch - 1).select("leaf", "pattern", "ordinal").join(new.select("leaf").distinct(), "leaf", "left_semi")
+            self.patterns.write(new.groupBy("leaf").cogroup(old.groupBy("leaf")).applyInPandas(_assigner(self.sim_threshold), PATTERN_SCHEMA), epoch)
+        if epoch and epoch % COMPACT_EVERY == 0:
+            self.patterns.compact(epoch)
+        known = self.patterns.read(epoch).drop("epoch")
+        ids = known.join(keyed.select("leaf", "pattern").distinct(), ["leaf", "pattern"], "left_semi")
+        members = known.join(ids.select("leaf", "ordinal").distinct(), ["leaf", "ordinal"], "left_semi")
+        table = ids.join(template_texts(members), ["leaf", "ordinal"])
+        # a stable id: hash of the leaf and the template's place in it
+        self.lines.write(keyed.join(table, ["leaf", "pattern"]).select(
+            "line_no", F.xxhash64("leaf", "ordinal").alias("template_id"), "template_str"), epoch)
+        keyed.unpersist()
+
+
+def _start(stream: DataFrame, step: Callable[[DataFrame, int], None], tables: list[EpochTable], checkpoint: str, trigger_once: bool):
+    """Run ``step`` per epoch.  Epochs are numbered by the checkpoint, so its tables belong to it alone."""
+    spark = stream.sparkSession
+    if any(t.epochs() for t in tables) and not path_exists(spark, os.path.join(checkpoint, "commits")):
+        raise ValueError("the output tables belong to another checkpoint")
+    q = stream.writeStream.outputMode("append").foreachBatch(step).option("checkpointLocation", checkpoint)
+    return (q.trigger(availableNow=True) if trigger_once else q).start()
+
+
+def mine_template_stream(parsed: DataFrame, path: str, checkpoint: str, trigger_once: bool = True, **options):
+    """(query, miner): template ids of a stream's lines, in ``miner.lines`` (line_no, template_id, template_str).
+
+    The text is that of the template when the line's epoch ended.  Patterns of an epoch are taken in the order of
+    their first lines, so ids don't depend on the order within it.  A leaf's lines meet Python as new patterns
+    only; a leaf with a third of all lines costs no more there than its patterns."""
+    miner = TemplateMiner(parsed.sparkSession, path, **options)
+    return _start(parsed, miner.step, [miner.patterns, miner.lines], checkpoint, trigger_once), miner
 
 
 # -- ST5 ---------------------------------------------------------------------------
 
-def score_closed_windows(windows: DataFrame, feature_model, forest, sink_path: str,
-                         checkpoint: str, trigger_once: bool = True):
-    """Score each micro-batch of closed windows (from ``window_stream``) and
-    append (window, score, flag) rows to parquet at ``sink_path``."""
-    from logsift.operators import features as FT
-    from logsift.operators import sequences as Q
+SCORE_SCHEMA = "window_id string, start_time timestamp_ntz, end_time timestamp_ntz, log_count long, anomaly_score double, is_anomaly int"
+
+
+def closed_windows(pieces: DataFrame) -> DataFrame:
+    """(window_id, start_time, end_time, log_count, time_span, unique_templates) of the windows in ``pieces``.
+
+    Distinct templates are counted from the pieces' distinct ids, so no row holds a whole window."""
+    key = F.concat(F.lit("stream_"), P.epoch_micros(F.col("start_time")).cast("string")).alias("window_id")
+    p = pieces.select(key, "start_time", "end_time", "n", F.array_distinct(F.col("items.value")).alias("ids"))
+    totals = p.groupBy("window_id", "start_time", "end_time").agg(F.sum("n").alias("log_count"))
+    kinds = p.select("window_id", F.explode("ids").alias("id")).groupBy("window_id").agg(F.count_distinct("id").cast("int").alias("unique_templates"))
+    return totals.join(kinds, "window_id").withColumn("time_span", P.seconds_between(F.col("start_time"), F.col("end_time")))
+
 
-    ship_package(windows.sparkSession)
+def forest_scorer(feature_model, forest) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    """Scores windows by all their text and metadata features with a fitted isolation forest."""
+    from logsift.operators import features as FT
 
-    def batch(df: DataFrame, epoch: int) -> None:
-        w = (df.withColumn("window_id", F.concat(F.lit("stream_"), F.col("start_time").cast("string")))
-             .withColumn("log_count", F.col("length"))
-             .withColumn("time_span", P.seconds_between(F.col("start_time"), F.col("end_time")))
-             .withColumn("unique_templates", F.size(F.array_distinct("template_sequence"))))
-        ft = FT.feature_table(w, Q.window_pieces(w), "window_id", feature_model)
+    def score(windows: DataFrame, pieces: DataFrame) -> DataFrame:
+        ft = FT.feature_table(windows, ordered_pieces(window_rows(pieces), ["window_id"]), "window_id", feature_model)
         scored = forest.score(ft, "window_id")
-        if forest.offset is not None:
-            scored = forest.predict(scored)
-        scored.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(sink_path)
-
-    q = (windows.writeStream.outputMode("append").foreachBatch(batch)
-         .option("checkpointLocation", checkpoint))
-    q = q.trigger(availableNow=True) if trigger_once else q
-    return q.start()
+        return forest.predict(scored) if forest.offset is not None else scored.withColumn("is_anomaly", F.lit(None).cast("int"))
+
+    return score
+
+
+def score_closed_windows(pieces: DataFrame, score: Callable[[DataFrame, DataFrame], DataFrame], sink_path: str,
+                         checkpoint: str, trigger_once: bool = True):
+    """(query, table): windows of ``window_piece_stream`` scored as they close, an ``EpochTable`` of ``SCORE_SCHEMA``.
+
+    ``score(windows, pieces)`` gives (window_id, anomaly_score, is_anomaly) for the closed windows; it runs per epoch."""
+    spark = pieces.sparkSession
+    table = EpochTable(spark, sink_path, SCORE_SCHEMA)
+    ship_package(spark)
+
+    def step(df: DataFrame, epoch: int) -> None:
+        if table.done(epoch):
+            df.write.format("noop").mode("overwrite").save()  # the window state has to advance all the same
+            return
+        held = df.persist(StorageLevel.MEMORY_AND_DISK)  # the state advances once per epoch, whatever reads it
+        windows = closed_windows(held)
+        scored = score(windows, held).select("window_id", "anomaly_score", "is_anomaly")
+        table.write(windows.join(scored, "window_id").select("window_id", "start_time", "end_time", "log_count", "anomaly_score", "is_anomaly"), epoch)
+        held.unpersist()
+
+    return _start(pieces, step, [table], checkpoint, trigger_once), table
 
 
 def run_to_parquet(df: DataFrame, path: str, checkpoint: str, output_mode: str = "append"):
