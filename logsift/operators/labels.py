@@ -20,12 +20,21 @@ def block_training(block_seqs: DataFrame, labels: DataFrame) -> DataFrame:
     ``anomaly_labels`` NULL, ``anomaly_label`` = -1; labelled blocks have
     ``anomaly_label`` NULL.  Labels are one row per key, so the join does not
     multiply rows; AQE broadcasts the label side when it is small."""
-    j = block_seqs.join(labels, block_seqs["seq_id"] == labels["block_key"], "left")
+    whole = ["template_sequence", P.ids_to_string(F.col("template_sequence")).alias("template_sequence_str")]
+    return _labelled(block_seqs, labels, whole)
+
+
+def block_training_headers(headers: DataFrame, labels: DataFrame) -> DataFrame:
+    """The training set without the ids, which stay in the stored piece table: no row grows with its sequence."""
+    return _labelled(headers, labels, [])
+
+
+def _labelled(seqs: DataFrame, labels: DataFrame, more: list) -> DataFrame:
+    j = seqs.join(labels, seqs["seq_id"] == labels["block_key"], "left")
     return j.select(
         F.col("seq_id").alias("block_id"),
         F.col("length").alias("sequence_length"),
-        "template_sequence",
-        P.ids_to_string(F.col("template_sequence")).alias("template_sequence_str"),
+        *more,
         "start_time", "end_time", "time_span",
         P.label_to_binary(F.col("label")).alias("anomaly_binary_val"),
         F.col("label").alias("anomaly_labels"),

@@ -168,45 +168,78 @@ def running_sum(df: DataFrame, key: str, tie: str, value_col: str, out_col: str
             .drop("_in", "_base", B, S))
 
 
-def order_statistics(df: DataFrame, col: str, ranks,
-                     rows_per_slice: int = ROWS_PER_SLICE) -> tuple[int, dict[int, float]]:
+#: Points of the quantile sketch, its accuracy (ranks are right within n / ACCURACY), and rows of a
+#: bracket that are read as they are.
+GRID, ACCURACY, BRACKET_ROWS = 1000, 10_000, 200_000
+
+
+def order_statistics(df: DataFrame, col: str, ranks, rows_per_slice: int = BRACKET_ROWS,
+                     n: int | None = None) -> tuple[int, dict[int, float]]:
     """(number of non-null values n, {rank: value}) for 0-based ``ranks``: a list, or a function
     of n that gives one.
 
-    Slices of the value give exact counts; a rank that falls in a one-value
-    bucket is that value, otherwise only the slice holding it is sorted.  No
-    single aggregate buffer holds all values."""
+    A mergeable sketch of the column gives a grid of values; the two grid points around a rank bracket it, and one pass
+    counts the values below, at and between the brackets of all ranks.  A rank at one of the two points is
+    found.  Strictly between them lie a few thousandths of the rows at most, however often single values
+    repeat: they are sketched again, until ``rows_per_slice`` or fewer are left to be read as (value, count).
+    No buffer holds all values and nothing is sorted as a whole.  A caller that knows ``n`` saves its count."""
     vals = (df.select(F.col(col).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-            .withColumn("_tie", F.xxhash64("_v")).persist(StorageLevel.MEMORY_AND_DISK))
+            .persist(StorageLevel.MEMORY_AND_DISK))
+    v, grid = F.col("_v"), [i / GRID for i in range(GRID + 1)]
+
+    def within(span):
+        lo, hi = span
+        return (F.lit(True) if lo is None else v > lo) & (F.lit(True) if hi is None else v < hi)
+
     try:
-        plan = plan_slices(vals, "_v", "_tie", rows_per_slice, tie_kind="hash")
-        plan.heavy_buckets = []  # equal values need no order among themselves
-        n = plan.n_rows
-        wanted = sorted({r for r in (ranks(n) if callable(ranks) else ranks) if 0 <= r < n})
-        if not wanted:
-            return n, {}
-        sliced = with_slices(vals, plan, "_v", "_tie")
-        counts = sorted(sliced.groupBy(B).agg(F.count(F.lit(1)).alias("_n"),
-                                              F.min("_v").alias("_a"), F.max("_v").alias("_z"))
-                        .collect(), key=lambda x: x[B])
-        got, acc = {}, 0
-        for row in counts:
-            here = [r for r in wanted if acc <= r < acc + row["_n"]]
-            if here and row["_a"] == row["_z"]:
-                got.update({r: row["_a"] for r in here})
-            elif here:
-                w = Window.partitionBy(B).orderBy("_v")
-                found = (sliced.filter(F.col(B) == row[B]).withColumn("_rn", F.row_number().over(w))
-                         .filter(F.col("_rn").isin([r - acc + 1 for r in here])).collect())
-                got.update({acc + f["_rn"] - 1: f["_v"] for f in found})
-            acc += row["_n"]
+        n = vals.count() if n is None else n
+        wanted = {r for r in (ranks(n) if callable(ranks) else ranks) if 0 <= r < n}
+        got: dict[int, float] = {}
+        at = {r: ((None, None), 0, n) for r in wanted}  # rank -> open interval of its value, rows below it, rows in it
+        while at:
+            spans = {span: (below, inside) for span, below, inside in at.values()}
+            few = [s for s, (_, inside) in spans.items() if inside <= rows_per_slice]
+            for span in few:
+                acc = spans[span][0]
+                for value, count in sorted(tuple(r) for r in vals.filter(within(span)).groupBy("_v").count().collect()):
+                    got.update({r: value for r, x in at.items() if x[0] == span and acc <= r < acc + count})
+                    acc += count
+            at = {r: x for r, x in at.items() if r not in got}
+            wide = [s for s in spans if s not in few]
+            if not wide:
+                break
+            sketch = F.percentile_approx
+            points = vals.agg(*[sketch(F.when(within(s), v), grid, ACCURACY).alias(f"g{i}") for i, s in enumerate(wide)]).first()
+            points = {s: points[f"g{i}"] for i, s in enumerate(wide)}
+            near = {}
+            for r, (span, below, inside) in at.items():
+                i = (r - below) * GRID / inside
+                near[r] = (points[span][max(math.floor(i) - 1, 0)], points[span][min(math.ceil(i) + 1, GRID)])
+            pairs = sorted(set(near.values()))
+            counts = vals.agg(*[F.count_if(c).alias(f"{k}{i}") for i, (p, q) in enumerate(pairs) for k, c in (
+                ("a", v < p), ("b", v == p), ("c", (v > p) & (v < q)), ("d", v == q))]).first()
+            for r, (span, below, inside) in list(at.items()):
+                p, q = near[r]
+                a, b, c, d = (counts[f"{k}{pairs.index((p, q))}"] for k in "abcd")
+                d = d if p < q else 0  # else counted as b
+                if r < a:  # the sketch was off by more than the margin
+                    at[r] = ((span[0], p), below, a - below)
+                elif r < a + b:
+                    got[r] = p
+                elif r < a + b + c:
+                    at[r] = ((p, q), a + b, c)
+                elif r < a + b + c + d:
+                    got[r] = q
+                else:
+                    at[r] = ((q, span[1]), a + b + c + d, below + inside - a - b - c - d)
+            at = {r: x for r, x in at.items() if r not in got}
         return n, got
     finally:
         vals.unpersist()
 
 
 def quantiles_exact(df: DataFrame, col: str, qs: list[float],
-                    rows_per_slice: int = ROWS_PER_SLICE) -> list[float | None]:
+                    rows_per_slice: int = BRACKET_ROWS) -> list[float | None]:
     """Exact quantiles with linear interpolation (numpy's default); None without values."""
     def ranks(n):
         return [f(q * (n - 1)) for q in qs for f in (math.floor, math.ceil)] if n else []
@@ -223,5 +256,5 @@ def quantiles_exact(df: DataFrame, col: str, qs: list[float],
 
 
 def quantile_exact(df: DataFrame, col: str, q: float,
-                   rows_per_slice: int = ROWS_PER_SLICE) -> float | None:
+                   rows_per_slice: int = BRACKET_ROWS) -> float | None:
     return quantiles_exact(df, col, [q], rows_per_slice)[0]

@@ -10,7 +10,7 @@ Spark does the row work; only d x d matrices reach the driver:
   built-in sums (partial aggregation, no Python);
 * distances are a built-in expression with the precision matrix inlined;
 * the C-step cut, the h-th smallest distance, is an exact order statistic from the
-  slice-based selection, never a global sort.
+  sketch-bracketed selection, never a global sort.
 
 Half of the rows can still lie in a plane that all rows together don't (most windows
 hold the same number of logs).  Variances of a subset below ``FLOOR`` of the whole's count as
@@ -120,13 +120,13 @@ class RobustCovModel:
         return scored.withColumn("prediction", normal).withColumn("is_anomaly", 1 - normal)
 
 
-def _c_steps(df, cols, mu, cov, h, max_steps, trace, tol=1e-9):
+def _c_steps(df, n, cols, mu, cov, h, max_steps, trace, tol=1e-9):
     """C-steps from (mu, cov): keep the h rows nearest (all that tie with the h-th),
     refit, repeat while the log-determinant falls."""
     best = (_logdet(cov), mu, cov)
     for _ in range(max_steps):
         scored = df.withColumn("_d2", mahalanobis_sq(cols, mu, _precision(cov)))
-        _, got = order_statistics(scored, "_d2", [h - 1])
+        _, got = order_statistics(scored, "_d2", [h - 1], n=n)
         _, mu2, cov2 = _moments(scored, cols, F.col("_d2") <= F.lit(got[h - 1]))
         if mu2 is None:
             break
@@ -194,15 +194,15 @@ def fit_robust_covariance(df: DataFrame, cols: list[str], contamination: float |
         h = min(n, int(np.ceil((n + d + 1) / 2.0)))
         trace: list[float] = []
         # FastMCD-style: two C-steps from every start, then the best start to convergence
-        cands = [_c_steps(base, zs, mu, cv, h, 2, trace)]
+        cands = [_c_steps(base, n, zs, mu, cv, h, 2, trace)]
         hkey = F.xxhash64(*([F.col(key)] if key else [F.col(c) for c in cols]))
         for s in range(n_starts):
             u = F.pmod(F.xxhash64(hkey, F.lit(seed + s)), F.lit(1 << 30)) / float(1 << 30)
             _, m0, c0 = _moments(base, zs, u < F.lit(0.5))
             if m0 is not None:
-                cands.append(_c_steps(base, zs, m0, c0, h, 2, trace))
+                cands.append(_c_steps(base, n, zs, m0, c0, h, 2, trace))
         _, mu_b, cov_b = min(cands, key=lambda c: c[0])
-        _, raw_mu, raw_cov = _c_steps(base, zs, mu_b, cov_b, h, max_steps, trace)
+        _, raw_mu, raw_cov = _c_steps(base, n, zs, mu_b, cov_b, h, max_steps, trace)
         # consistency correction, then one reweighting step
         d2 = base.withColumn("_d2", mahalanobis_sq(zs, raw_mu, _precision(raw_cov)))
         med = quantile_exact(d2, "_d2", 0.5)

@@ -14,7 +14,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logsift.functions import parse as P
@@ -270,6 +270,46 @@ def block_pieces(ordered: OrderedLogs) -> DataFrame:
     return sequence_pieces(logs, ["seq_id"])
 
 
+#: Ids in a row of the stored piece table.
+PIECE_IDS = 10_000
+
+
+def stored_pieces(pieces: DataFrame, seq_cols: list[str], piece_ids: int = PIECE_IDS) -> DataFrame:
+    """The data set form of sequences: (seq cols, piece, first_position, ids), ``piece_ids`` ids to a row.
+
+    Piece p holds the positions from p * piece_ids on, whatever slices the sequence was built from, so the
+    table is the same for every cluster, and a hot sequence is many rows in many files.  Only (sequence,
+    slice, count) goes through the per-sequence window; the ids get their offset back by a join on the slice."""
+    w = Window.partitionBy(*seq_cols).orderBy(O.B, O.S).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = pieces.select(*seq_cols, O.B, O.S, F.coalesce(F.sum("n").over(w), F.lit(0)).alias("_off"))
+    placed = (pieces.join(offsets, [*seq_cols, O.B, O.S])
+              .select(*seq_cols, "_off", F.posexplode("ids").alias("_i", "_id"))
+              .withColumn("_pos", F.col("_off") + F.col("_i")))
+    return (placed.groupBy(*seq_cols, F.floor(F.col("_pos") / piece_ids).alias("piece"))
+            .agg(F.sort_array(F.collect_list(F.struct("_pos", "_id"))).alias("_x"))
+            .select(*seq_cols, "piece", (F.col("piece") * piece_ids).alias("first_position"), F.col("_x._id").alias("ids")))
+
+
+def block_headers(ordered: OrderedLogs) -> DataFrame:
+    """``block_sequences`` without the ids: seq_id, type, id, length, start_time, end_time, time_span."""
+    seqs = (ordered.df.filter(F.col("block_id").isNotNull()).groupBy("block_id")
+            .agg(F.count(F.lit(1)).alias("length"), F.min(TS_US).alias("_lo"), F.max(TS_US).alias("_hi")))
+    return seqs.select(
+        F.concat(F.lit("block_"), F.col("block_id")).alias("seq_id"), F.lit("block").alias("type"), F.col("block_id").alias("id"), "length",
+        _ts(F.col("_lo")).alias("start_time"), _ts(F.col("_hi")).alias("end_time"), ((F.col("_hi") - F.col("_lo")) / F.lit(1e6)).alias("time_span"))
+
+
+def whole_sequences(headers: DataFrame, stored: DataFrame, key: str = "seq_id") -> DataFrame:
+    """Headers with ``template_sequence``: one row per sequence, on request only, as it is as large as its sequence."""
+    ids = stored.groupBy(key).agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("piece", "ids"))), lambda p: p["ids"])).alias("template_sequence"))
+    return headers.join(ids, key)
+
+
+def feature_pieces(stored: DataFrame, key: str = "seq_id") -> DataFrame:
+    """Stored pieces as the feature operators take them."""
+    return stored.select(key, F.lit(0).alias(O.B), F.col("piece").cast("long").alias(O.S), "ids", F.size("ids").cast("long").alias("n"))
+
+
 def window_pieces(windows: DataFrame, key: str = "window_id") -> DataFrame:
     """Count windows are bounded, so each window is a single piece."""
     return windows.select(key, F.lit(0).alias(O.B), F.lit(0).cast("long").alias(O.S),

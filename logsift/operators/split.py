@@ -54,7 +54,7 @@ def split_sizes(counts: dict, test_size: float = 0.2, validation_size: float = 0
 
 def stratified_split(df: DataFrame, key_col: str, label_col: str, test_size: float = 0.2,
                      validation_size: float = 0.1, seed: int = 42,
-                     rows_per_slice: int = O.ROWS_PER_SLICE) -> DataFrame:
+                     rows_per_slice: int = O.BRACKET_ROWS) -> DataFrame:
     """Adds ``split`` in {train, validation, test}.  Labels must be 0/1 (rows
     with other labels get ``split`` NULL)."""
     y = F.col(label_col).cast("int")

@@ -9,7 +9,7 @@ slice / piece machinery).
 from __future__ import annotations
 
 from logsift.plans.queries import (TIME_WINDOW_DEFAULT, CONTAMINATION, COUNT_WINDOW, COUNT_WINDOW_OVERLAP, MAX_LINES, RULE_CUT,
-                                   RULE_TEMPLATE, TIME_WINDOW, TIME_WINDOW_OVERLAP, TOP_N,
+                                   RULE_TEMPLATE, TIME_WINDOW, TIME_WINDOW_OVERLAP, TOP_N, PIECE_LENGTH,
                                    LOF_NEIGHBORS, STREAM_GAP_SECONDS, VOCAB_TOPK, WINDOW_VOCAB)
 from logsift.sources.fixtures import TEMPLATE_RULE_SQL, oracle_labels_cte, oracle_lines_cte
 
@@ -358,6 +358,16 @@ sw AS (SELECT (ts_us // 3600000000) * 3600000000 AS start_us,
         string_agg(CAST(template_id AS VARCHAR), ',' ORDER BY ts_us, ('0x' || substr(md5(raw_line), 1, 15))::BIGINT) AS template_sequence_str,
         CAST(count(*) AS BIGINT) AS length FROM valid GROUP BY 1)
 SELECT start_us, start_us + 3600000000 AS end_us, template_sequence_str, length FROM sw""",
+    "block_sequences_pieces": f"""{BLOCKS},
+ps AS (SELECT 'block_' || block_id AS seq_id, (row_number() OVER (PARTITION BY block_id ORDER BY ts_us, line_no) - 1) AS pos, template_id
+      FROM valid WHERE block_id IS NOT NULL),
+pc AS (SELECT seq_id, pos // {PIECE_LENGTH} AS piece, string_agg(CAST(template_id AS VARCHAR), ',' ORDER BY pos) AS ids FROM ps GROUP BY ALL)
+SELECT b.seq_id, b.id, b.length, b.start_us, b.end_us, b.time_span, CAST(pc.piece AS BIGINT) AS piece,
+       CAST(pc.piece * {PIECE_LENGTH} AS BIGINT) AS first_position, pc.ids FROM blocks b JOIN pc USING (seq_id)""",
+    "block_training_pieces": f"""{BLOCK_TERMS},
+g AS (SELECT seq_id, CAST(sum(tf) AS BIGINT) AS grams, count(*) AS terms FROM tf GROUP BY seq_id)
+SELECT t.block_id, t.sequence_length, t.time_span, t.anomaly_binary_val, t.anomaly_labels, t.anomaly_label, g.grams, g.terms
+FROM training t JOIN g ON t.block_id = g.seq_id""",
     "stream_scores": f"""{BASE},
 {_tw_mem_only(*TIME_WINDOW)},
 train AS (SELECT CAST(count(*) AS DOUBLE) AS x, CAST(count(DISTINCT template_id) AS DOUBLE) AS y FROM mem JOIN valid USING (line_no) GROUP BY k),

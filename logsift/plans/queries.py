@@ -692,6 +692,42 @@ def q_block_dataset_roundtrip(spark, sf_dir):
                     "anomaly_labels", F.col("anomaly_label").cast("long").alias("anomaly_label"))
 
 
+PIECE_LENGTH = 20
+TRAINING_HEADER = ("block_id string, sequence_length long, start_time timestamp_ntz, end_time timestamp_ntz, time_span double, "
+                   "anomaly_binary_val int, anomaly_labels string, anomaly_label int")
+
+
+def _stored_blocks(spark, sf_dir):
+    o = ordered_fixture(spark, sf_dir, SMALL_SLICE)
+    return o, Q.stored_pieces(Q.block_pieces(o), ["seq_id"], PIECE_LENGTH)
+
+
+def q_block_sequences_pieces(spark, sf_dir):
+    """A1 + SK1 + SC5 without a row that grows: pieces of 20 ids and headers, written as JSON and read back."""
+    from logsift.sources.io import load_pieces, save_pieces
+    o, stored = _stored_blocks(spark, sf_dir)
+    path = save_pieces(Q.block_headers(o), stored, _scratch(spark, "block-pieces"), "json")
+    schema = "seq_id string, type string, id string, length long, start_time timestamp_ntz, end_time timestamp_ntz, time_span double"
+    headers, pieces = load_pieces(spark, path, schema, "json")
+    return headers.join(pieces, "seq_id").select(
+        "seq_id", "id", F.col("length").alias("length"), us(F.col("start_time")).alias("start_us"), us(F.col("end_time")).alias("end_us"),
+        r6(F.col("time_span")).alias("time_span"), "piece", "first_position", P.ids_to_string(F.col("ids")).alias("ids"))
+
+
+def q_block_training_pieces(spark, sf_dir):
+    """A5 + SK1 + SC5: labelled headers and pieces through CSV; n-grams of a block from its stored pieces."""
+    from logsift.sources.io import load_pieces, save_pieces
+    o, stored = _stored_blocks(spark, sf_dir)
+    training = L.block_training_headers(Q.block_headers(o), labels_fixture(spark, sf_dir))
+    path = save_pieces(training, stored.withColumnRenamed("seq_id", "block_id"), _scratch(spark, "training-pieces"), "csv")
+    headers, pieces = load_pieces(spark, path, TRAINING_HEADER, "csv", "block_id")
+    grams = FT.ngram_terms(Q.feature_pieces(pieces, "block_id"), ["block_id"], NGRAMS).groupBy("block_id").agg(
+        F.sum("tf").cast("long").alias("grams"), F.count(F.lit(1)).alias("terms"))
+    return headers.join(grams, "block_id").select(
+        "block_id", "sequence_length", r6(F.col("time_span")).alias("time_span"), F.col("anomaly_binary_val").cast("long").alias("anomaly_binary_val"),
+        "anomaly_labels", F.col("anomaly_label").cast("long").alias("anomaly_label"), "grams", "terms")
+
+
 # -- outlier operators on the embeddings table ------------------------------------
 
 EMB_DIM = 64
@@ -781,6 +817,8 @@ QUERIES = {
     "window_dataset_roundtrip": q_window_dataset_roundtrip,
     "stream_templates": q_stream_templates,
     "stream_scores": q_stream_scores,
+    "block_sequences_pieces": q_block_sequences_pieces,
+    "block_training_pieces": q_block_training_pieces,
     "mahalanobis_once": q_mahalanobis_once,
     "robust_cov_embeddings": q_robust_cov_embeddings,
     "lof_leaves": q_lof_leaves,

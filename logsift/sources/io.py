@@ -109,6 +109,39 @@ def load_window_data(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn("unique_templates", derived)
 
 
+# -- data sets in pieces: rows of bounded size ------------------------------------------
+
+PIECE_CSV_SCHEMA = "{key} string, piece long, first_position long, ids {ids}"
+
+
+def save_pieces(headers: DataFrame, stored: DataFrame, path: str, format: str = "parquet", mode: str = "overwrite") -> str:
+    """SK1 for sequences of any length: ``path``/headers and ``path``/pieces (``stored_pieces``), each a data set of ``format``."""
+    fmt = format.lower()
+    save_dataset(headers, os.path.join(path, f"headers.{fmt}"), fmt, mode)
+    save_dataset(stored, os.path.join(path, f"pieces.{fmt}"), fmt, mode)
+    return path
+
+
+def load_pieces(spark: SparkSession, path: str, header_schema: str, format: str = "parquet", key: str = "seq_id") -> tuple[DataFrame, DataFrame]:
+    """SC5 for such a data set: (headers, pieces).  ``header_schema`` types the headers of CSV and JSON files."""
+    fmt = format.lower()
+    if fmt not in FORMATS:
+        raise ValueError(f"Unsupported file format: {format}")
+    iso = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+    def read(name, schema):
+        r = spark.read.options(**iso) if fmt != "parquet" else spark.read
+        r = r.option("header", True) if fmt == "csv" else r
+        return (r.schema(schema) if fmt != "parquet" else r).format(fmt).load(os.path.join(path, f"{name}.{fmt}"))
+
+    pieces = read("pieces", PIECE_CSV_SCHEMA.format(key=key, ids="string" if fmt == "csv" else "array<int>"))
+    if fmt == "csv":
+        pieces = pieces.withColumn("ids", F.from_json("ids", "array<int>"))
+    headers = read("headers", header_schema)
+    names = [f.name for f in T.StructType.fromDDL(header_schema).fields]
+    return require_columns(headers, names), require_columns(pieces, [key, "piece", "first_position", "ids"])
+
+
 # -- models (SK4 / SK5) ------------------------------------------------------------
 
 def save_models(spark: SparkSession, save_dir: str, feature_model=None, models: dict | None = None,

@@ -134,8 +134,11 @@ def window_rows(pieces: DataFrame) -> DataFrame:
 
 def ordered_pieces(rows: DataFrame, keys: list[str], rows_per_slice: int = O.ROWS_PER_SLICE) -> DataFrame:
     """The batch piece table of streamed rows: (keys, slice, ids, n), slices in time order and of bounded size."""
-    plan = O.plan_slices(rows, Q.TS_US, "line_no", rows_per_slice, n_rows=rows.count())
-    return Q.sequence_pieces(O.with_slices(rows, plan, Q.TS_US, "line_no"), keys)
+    # lines that are all alike share line_no (60 bits of a hash): the sample goes by the row's place in the written table,
+    # and a hot instant is cut by ranges of the hash
+    placed = rows.withColumn("_place", F.monotonically_increasing_id()).withColumn("_tie", (F.col("line_no") - F.lit(1 << 59)) * 16)
+    plan = O.plan_slices(placed, Q.TS_US, "_place", rows_per_slice, n_rows=rows.count(), tie_kind="hash")
+    return Q.sequence_pieces(O.with_slices(placed, plan, Q.TS_US, "_tie"), keys)
 
 
 def assembled(ordered: DataFrame, keys: list[str]) -> DataFrame:

@@ -91,3 +91,16 @@ def test_order_statistics_and_quantiles(spark):
         n, picked = O.order_statistics(df, "v", [0, 799, 1599, 5000], rows)
         assert n == 1600 and picked == {r: sorted(values)[r] for r in (0, 799, 1599)}
     assert O.quantiles_exact(df.filter("v is null"), "v", [0.5]) == [None]
+
+
+def test_order_statistics_by_a_coarse_sketch(spark, monkeypatch):
+    """Several rounds of brackets, ranks at their ends, and a sketch that is off."""
+    rng = np.random.default_rng(6)
+    values = sorted(float(v) for v in np.concatenate([rng.normal(size=1500), np.full(900, -0.5), np.full(900, 0.25), np.repeat([9.0, -9.0], 40)]))
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(5)
+    monkeypatch.setattr(O, "GRID", 8)
+    ranks = [0, 39, 40, 700, 1200, 1699, 1700, 2500, len(values) - 41, len(values) - 1]
+    for accuracy in (3, 1000):
+        monkeypatch.setattr(O, "ACCURACY", accuracy)
+        n, got = O.order_statistics(df, "v", ranks, 5)
+        assert n == len(values) and got == {r: values[r] for r in ranks}
