@@ -50,10 +50,11 @@ def free_name(df: DataFrame, base: str) -> str:
 def with_row_key(docs: DataFrame, row: str, key: str = "doc_id") -> DataFrame:
     """Add a unique, non-null long ``row`` that ascends with ``key`` (nulls last).
 
-    Unique keys serve as they are.  Otherwise the rows are written once in key order and
-    numbered, so that repeated rows stay apart and a rerun of a task sees the same numbers."""
+    Unique keys of an integer type serve as they are.  Otherwise (repeated or null keys, text, fractions) the rows are
+    written once in key order and numbered, so that repeated rows stay apart and a rerun of a task sees the same numbers."""
+    whole = dict(docs.dtypes)[key] in ("tinyint", "smallint", "int", "bigint")
     bad = docs.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) | F.col(key).isNull())
-    if not bad.limit(1).count():
+    if whole and not bad.limit(1).count():
         return docs.withColumn(row, F.col(key).cast("long"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rest = [c for c in docs.columns if c != key and dict(docs.dtypes)[c] in ("string", "bigint", "int", "double")]

@@ -10,6 +10,9 @@ training order.
 Where a source's total would pass ``max_repeat`` times its size, it stops there and the excess
 goes to the others by weight (water filling).
 
+Without a given schedule the sources take ``SHAPES`` in turn: the first source falls off over the training, the
+second peaks half-way, the third grows.  Their means are 1, so targets don't depend on them.
+
 The per-document running sum inside a source is split: documents hash into buckets, bucket
 totals give offsets, and only a bucket is ordered in one task.  The number of buckets of a
 source follows its row count, so a source with a third of all rows has a third of all buckets.
@@ -23,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import NOT_SPACE, free_name, stage, with_row_key
 
 ROWS_PER_BUCKET = 4000
+#: Weight of a source over training time, points (t, w); sources take them in turn.
+SHAPES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 0.5), (0.5, 1.5), (1.0, 0.5)), ((0.0, 0.5), (1.0, 1.5)))
 
 
 def word_size(text: str = "text") -> Column:
@@ -81,7 +86,7 @@ def due(at: Column, s: Column) -> Column:
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, max_repeat: int = 2,
-        schedule: DataFrame | None = None, seed: str = "0") -> tuple[DataFrame, DataFrame, DataFrame]:
+        schedule: DataFrame | None = None, seed: str = "0", shapes: tuple = SHAPES) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, takes, sources) of a mix of ``share`` times all words.
 
     documents: row, doc_id, source_key, size, source_size, target.  takes: row, copy (from 0),
@@ -90,7 +95,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
 
     Size is the number of words; null text has none and is never taken.  Sources go by code
     point, null last (as a key: struct of is-null and name), and take ``weights`` in turn; a
-    source with a row in ``schedule`` (source, t, w) keeps that curve's shape over training time.
+    source with a row in ``schedule`` (source, t, w) keeps that curve's shape over training time, one without is
+    even; with no schedule at all the sources take ``shapes`` in turn.
     A source's documents are taken in the order of an md5 of seed and row: whole passes first, then
     the documents of one more pass that start before the target.  Equal order
     keys fall back on the row, so reruns agree.  Extra columns are ignored; repeated doc_ids are
@@ -125,15 +131,16 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
               # a copy counts when the larger part of it lies before the target
               .filter(F.col("at") + F.col("size") / 2.0 <= F.col("target")))
     if schedule is not None:
-        schedule = schedule.select(F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name")).alias("source_key"),
-                                   F.col("t").cast("double").alias("t"), F.col("w").cast("double").alias("w"))
-        steps = schedule_curve(sources, schedule)
-        line = steps.groupBy("source_key").agg(F.sort_array(F.collect_list(F.struct("d0", "t0", "t1", "w0", "w1", "scale"))).alias("line"))
-        hit = F.element_at(F.filter("line", lambda s: s["d0"] <= F.col("at")), -1)
-        copies = copies.join(line, "source_key").withColumn("hit", hit)
-        pos = due(F.col("at"), F.col("hit"))
-    else:  # constant weights: demand is a straight line to the target
-        pos = F.col("at") / F.col("target")
+        curve = schedule.select(F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name")).alias("source_key"),
+                                F.col("t").cast("double").alias("t"), F.col("w").cast("double").alias("w"))
+    else:
+        points = F.array(*[F.array(*[F.struct(F.lit(float(t)).alias("t"), F.lit(float(w)).alias("w")) for t, w in s]) for s in shapes])
+        curve = sources.select("source_key", F.explode(F.get(points, F.col("rank") % len(shapes))).alias("x")).select("source_key", "x.t", "x.w")
+    steps = schedule_curve(sources, curve)
+    line = steps.groupBy("source_key").agg(F.sort_array(F.collect_list(F.struct("d0", "t0", "t1", "w0", "w1", "scale"))).alias("line"))
+    hit = F.element_at(F.filter("line", lambda s: s["d0"] <= F.col("at")), -1)
+    copies = copies.join(line, "source_key").withColumn("hit", hit)
+    pos = due(F.col("at"), F.col("hit"))
     takes = copies.select("row", "copy", F.col("size").alias("words"), F.least(pos, F.lit(1.0)).alias("position"))
     documents = docs_s.select("row", "doc_id", "source_key", "size", "source_size", "target")
     return documents, takes, sources

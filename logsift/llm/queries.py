@@ -75,9 +75,10 @@ def op8_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, takes, _ = curriculum.mix(table(spark, sf_dir, "documents"))
-    words = takes.groupBy("row").agg(F.sum("words").alias("taken"))
+    position = lambda copy: F.round(F.max(F.when(F.col("copy") == copy, F.col("position"))), 6)
+    words = takes.groupBy("row").agg(F.sum("words").alias("taken"), position(0).alias("first_position"), position(1).alias("second_position"))
     return docs.join(words, "row", "left").select(
-        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_position", "second_position")
 
 
 def op10_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,10 +149,18 @@ last AS (SELECT none, s, capped FROM fill WHERE round = 200),
 tgt AS (SELECT none, s, ssize, CASE WHEN coalesce(capped, true) THEN 2.0 * ssize ELSE weight *
            (total - sum(CASE WHEN capped THEN 2.0 * ssize ELSE 0 END) OVER ()) / sum(CASE WHEN capped THEN 0 ELSE weight END) OVER () END AS target
         FROM last JOIN w USING (none, s)),
-p AS (SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY none, s ORDER BY u, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM d)
-SELECT doc_id, size, CAST(ssize AS BIGINT) AS source_size, CAST(target AS DOUBLE) AS target,
-       CAST(size * ((start + size / 2.0 <= target)::INT + (start + ssize + size / 2.0 <= target)::INT) AS BIGINT) AS taken
-FROM p JOIN tgt USING (none, s)
+p AS (SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY none, s ORDER BY u, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM d),
+k AS (SELECT none, s, (row_number() OVER (ORDER BY none, s) - 1) % 3 AS shape FROM w),
+-- share of its target that a source is due to have given when a copy starts, and the time when its
+-- cumulative weight is that: falling 1.5 t - t^2 / 2, peaking t / 2 + t^2 up to the middle, growing t / 2 + t^2 / 2
+c AS (SELECT doc_id, copy, size, start + copy * ssize + size / 2.0 <= target AND size > 0 AS used, shape, (start + copy * ssize) / target AS due
+      FROM p JOIN tgt USING (none, s) JOIN k USING (none, s) CROSS JOIN (VALUES (0), (1)) AS n(copy)),
+t AS (SELECT *, round(least(CASE shape WHEN 0 THEN 1.5 - sqrt(2.25 - 2 * due) WHEN 2 THEN sqrt(0.25 + 2 * due) - 0.5
+      ELSE CASE WHEN due <= 0.5 THEN (sqrt(0.25 + 4 * due) - 0.5) / 2 ELSE 1 - (sqrt(0.25 + 4 * (1 - due)) - 0.5) / 2 END END, 1.0), 6) AS position FROM c WHERE used),
+m AS (SELECT doc_id, CAST(sum(size) AS BIGINT) AS taken, max(position) FILTER (copy = 0) AS first_position, max(position) FILTER (copy = 1) AS second_position
+      FROM t GROUP BY doc_id)
+SELECT p.doc_id, p.size, CAST(ssize AS BIGINT) AS source_size, CAST(target AS DOUBLE) AS target, coalesce(taken, 0) AS taken, first_position, second_position
+FROM p JOIN tgt USING (none, s) LEFT JOIN m USING (doc_id)
 """
 
 _OP6 = r"""

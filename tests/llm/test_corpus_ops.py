@@ -428,3 +428,24 @@ def test_stages(spark, near, tmp_path):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 100
+
+
+# --- row keys, default schedule ----------------------------------------------------------------
+
+def test_row_keys_of_any_type(spark):
+    for ids, kind in ((["b", "a", "10", "9"], "string"), ([1.2, 1.7, -3.0, 2.0], "double"), ([3, 1, 2, 0], "int")):
+        df = spark.createDataFrame([(i, f"text {i}") for i in ids], f"doc_id {kind}, text string").repartition(3)
+        got = sorted((r.row, r.doc_id) for r in common.with_row_key(df, "row").collect())
+        assert [i for _, i in got] == sorted(ids) and len({r for r, _ in got}) == 4
+        kept = radix_dedup.drop_copies(df.unionAll(df))
+        assert sorted(r.doc_id for r in kept.collect()) == sorted(ids)
+
+
+def test_default_shapes_order_the_sources(spark):
+    rows = [(k, "w " * 10, "en", "abc"[k % 3]) for k in range(900)]
+    docs, takes, _ = curriculum.mix(spark.createDataFrame(rows, DOC), weights=(1,), share=1.0)
+    got = takes.join(docs, "row").groupBy("source_key.name").agg(F.avg("position").alias("p"), F.stddev_pop("position").alias("s"), F.count("*").alias("n")).collect()
+    p = {r.name: r for r in got}
+    # means and spread of densities 1.5 - t, 0.5 + 2 t up to the middle and back, 0.5 + t
+    assert p["a"].p == pytest.approx(0.75 - 1 / 3, abs=0.01) and p["b"].p == pytest.approx(0.5, abs=0.01) and p["c"].p == pytest.approx(0.25 + 1 / 3, abs=0.01)
+    assert p["b"].s == pytest.approx((1 / 16) ** 0.5, abs=0.02) and {r.n for r in got} == {300}
