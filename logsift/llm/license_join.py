@@ -11,8 +11,9 @@ are searched, by exact filters only:
   also at most as many as the block has template words from there on;
 * length: a text of fewer than o words has no such block.
 
-Windows that pass count their shared words exactly.  Matching windows that touch form one place,
-trimmed to the template words of its best window.
+Windows that pass count their shared words exactly.  Of matching windows that overlap the best one gives a
+place, trimmed to its template words; the search goes on before and behind it, so a notice that a text repeats a
+thousand times has a thousand places, and every matching window overlaps one.
 
 Beside the join, phrases are found as consecutive words.  Words are what a pattern on the
 lower-cased (A-Z) text gives; see ``WORD``.
@@ -153,9 +154,12 @@ class Scanner:
             yield from self._stretch(words, t, rank, lo, hi, size)
 
     def _stretch(self, words, t: Template, rank, lo: int, hi: int, size: int) -> Iterator:
+        """Disjoint places in words[lo:hi]: of matching windows that overlap the best one gives a place, and what
+        lies before and behind that place is searched for further ones."""
         ranks = [rank.get(w, -1) for w in words[lo:hi]]
+        size = min(size, len(ranks))
         inside: dict[int, int] = {}
-        best, last = None, None  # best: (shared, window start), of the matches that touch
+        best, done = None, 0  # best: (shared, first word, end); words before ``done`` are settled
         for end, r in enumerate(ranks, 1):
             if r >= 0:
                 inside[r] = inside.get(r, 0) + 1
@@ -164,24 +168,45 @@ class Scanner:
                 inside[old] -= 1
                 if not inside[old]:
                     del inside[old]
-            if (start < 0 and end < len(ranks)) or len(inside) < t.need:  # also the bound by the block's own words
+            if start < 0 or len(inside) < t.need:  # also the bound by the block's own words
                 continue
             if min(inside) > len(t.words) - t.need:  # position filter: too few words left in the order
                 continue
-            start = max(start, 0)
-            if best is not None and start > last + size:
-                yield self._place(t, ranks, lo, best, size)
-                best = None
+            if best is not None and start >= best[2]:
+                yield from self._settle(words, t, rank, lo, done, best, size)
+                best, done = None, best[2]
             if best is None or len(inside) > best[0]:
-                best = (len(inside), start)
-            last = start
+                best = (len(inside), *self._span(t, ranks, max(start, done), end, len(inside)))
         if best is not None:
-            yield self._place(t, ranks, lo, best, size)
+            yield from self._settle(words, t, rank, lo, done, best, size)
+            if t.need <= len(ranks) - best[2] < size:  # no whole window fits behind the last place
+                yield from self._stretch(words, t, rank, lo + best[2], hi, size)
+
+    def _settle(self, words, t: Template, rank, lo: int, done: int, best, size: int) -> Iterator:
+        """The place of the best window, after those before it that it doesn't overlap."""
+        if best[1] - done >= t.need:
+            yield from self._stretch(words, t, rank, lo + done, lo + best[1], size)
+        yield "template", t.label, lo + best[1], lo + best[2], best[0] / len(t.words)
 
     @staticmethod
-    def _place(t: Template, ranks, lo: int, best, size: int):
-        at = [i for i in range(best[1], min(best[1] + size, len(ranks))) if ranks[i] >= 0]
-        return ("template", t.label, lo + at[0], lo + at[-1] + 1, best[0] / len(t.words))
+    def _span(t: Template, ranks, start: int, end: int, shared: int) -> tuple[int, int]:
+        """The shortest block in a window that ends first and holds all its template words, with the template words
+        right before and behind it that the template's length leaves room for."""
+        def reach(places):  # where all shared words have been met
+            seen: set[int] = set()
+            for i in places:
+                if ranks[i] >= 0:
+                    seen.add(ranks[i])
+                    if len(seen) == shared:
+                        return i
+
+        stop = reach(range(start, end)) + 1
+        first = reach(range(stop - 1, start - 1, -1))
+        while first > start and ranks[first - 1] >= 0 and stop - first < t.length:
+            first -= 1
+        while stop < end and ranks[stop] >= 0 and stop - first < t.length:
+            stop += 1
+        return first, stop
 
 
 PLACES = "array<struct<kind:string,label:string,start:bigint,end:bigint,score:double>>"

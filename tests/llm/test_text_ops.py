@@ -268,14 +268,9 @@ def test_scan_finds_every_matching_window(words, threshold):
     for t in templates:
         hits, places = slow_matches(words, t), [p for p in got if p[0] == "template" and p[1] == t.label]
         assert bool(hits) == bool(places)
-        size, runs = min(t.window, len(words)), []
-        for start in sorted(hits):  # matching windows that touch
-            if runs and start <= runs[-1][1] + size:
-                runs[-1][1] = start
-            else:
-                runs.append([start, start])
-        assert len(runs) == len(places)
-        assert all(first <= p[2] and p[3] <= last + size for (first, last), p in zip(runs, sorted(places, key=lambda p: p[2]), strict=True))
+        size, spans = min(t.window, len(words)), sorted((p[2], p[3]) for p in places)
+        assert all(a < b <= c for (a, b), (c, _) in zip(spans, [*spans[1:], (10**9, 0)]))  # disjoint
+        assert all(any(a < start + size and start < b for a, b in spans) for start in hits)  # each matching window overlaps one
         for _, _, a, b, score in places:
             assert score == len(set(words[a:b]) & set(t.words)) / len(t.words) >= t.need / len(t.words)
         if hits:
@@ -283,6 +278,18 @@ def test_scan_finds_every_matching_window(words, threshold):
     assert sorted(p[2] for p in got if p[0] == "base") == [i for i in range(len(words) - 1) if words[i:i + 2] == [b"b", b"c"]]
 
 
+@pytest.mark.parametrize("label, text", [(x, y) for x, y in license_join.TEMPLATES if len(license_join.words_of(y)) > 5])
+@pytest.mark.parametrize("gap", [0, 1, 12])
+def test_repeated_notices_all_count(label, text, gap):
+    notice = license_join.words_of(text)
+    scanner = license_join.Scanner(license_join.ordered_templates([(label, text)], {}, 0.9), [])
+    for times in (1, 2, 3, 50, 1000):
+        words = [b"w"] * 5 + (notice + [b"x"] * gap) * times + [b"w"] * 3
+        got = scanner.scan(words)
+        assert [p[2] for p in got] == [5 + k * (len(notice) + gap) for k in range(times)] and {p[4] for p in got} == {1.0}
+        assert all(p[3] - p[2] == len(notice) for p in got)
+
+
 def test_scan_rows(spark):
     notice = "Hello. This work is licensed under the GNU\nGeneral Public License, version 3. All rights reserved. All rights RESERVED"
     rows = [(1, notice), (2, None), (3, ""), (4, "Licensed under CC BY 4.0"), (5, "released under the mit licence"), (6, "x " * 5000 + "Released under the MIT License.")]
