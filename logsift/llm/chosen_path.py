@@ -19,7 +19,8 @@ yet connected keeps being compared.  The second level goes ``STEPS`` steps at on
 large nodes with several labels are texts that are alike without being linked, such as many that
 share one passage: trees don't part those.  An exact join over these rows ends the search:
 rarest-first prefixes with a position filter, under which shared passages pair nobody.  It first
-links the rows of each prefix hash to one of them, then joins what that left unconnected.
+links the rows of each prefix hash to one of them, to others in further rounds as long as that connects anything,
+then joins what that left unconnected.
 
 Before whole sets are fetched, the two one-bit sketches of 64 coordinates must differ in few
 bits (``max_different``: a pair at the threshold fails once in 1e9).  Links are confirmed on whole sets of 64-bit shingle hashes.
@@ -44,6 +45,8 @@ TREES = 16
 SMALL = 32
 SECOND = 0.35
 LEVELS, STEPS = 2, 4
+#: Rounds of heads at most; the last join is exact whatever they leave.
+HEAD_ROUNDS = 6
 #: Row ids (16 bytes each) that may be broadcast.
 MAX_BROADCAST = 1_000_000
 
@@ -250,15 +253,31 @@ def links(reps: DataFrame, texts: DataFrame, width: int, num: int, den: int) ->
     rest = stage(large.select("row", "sketch", "label").distinct(), "rest")
     if rest.limit(1).count():
         pre = stage(prefixes(rest.select("row", "sketch"), sets, num, den), "prefixes")
-        # first each hash links its rows to one of them, then what isn't connected yet meets in full
-        told = pre.join(rest.select("row", "label"), "row")
-        heads = told.groupBy("token").agg(F.min_by(F.struct("row", "n", "prefix", "pos", "sketch", "label"), F.xxhash64("token", "row")).alias("h")).select("token", "h.*")
-        found.append(stage(confirm(new_pairs(prefix_pairs(told, heads, num, den, near), compared), sets, num, den), "links"))
-        told = pre.join(labelled(rest, found).select("row", "label"), "row")
+        # each hash links its rows to one of them, to another one in each round, as long as that connects anything;
+        # then what isn't connected yet meets in full
+        rest = stage(labelled(rest, found), "rest")
+        labels, before = rest.select("label").distinct().count(), None
+        for turn in range(HEAD_ROUNDS):
+            told = several_labels(pre.join(rest.select("row", "label"), "row"))
+            head = F.min_by(F.struct("row", "n", "prefix", "pos", "sketch", "label"), F.xxhash64("token", "row", F.lit(turn)))
+            heads = told.groupBy("token").agg(head.alias("h")).select("token", "h.*")
+            pairs = new_pairs(prefix_pairs(told, heads, num, den, near), compared)
+            found.append(stage(confirm(pairs, sets, num, den), "links"))
+            rest = stage(labelled(rest, found), "rest")
+            before, labels = labels, rest.select("label").distinct().count()
+            if labels == before:
+                break
+        told = several_labels(pre.join(rest.select("row", "label"), "row"))
         found.append(stage(confirm(new_pairs(prefix_pairs(told, told, num, den, near, once=True), compared), sets, num, den), "links"))
     return union_all(found).distinct()
 
 
+def several_labels(told: DataFrame) -> DataFrame:
+    """The entries of hashes whose rows have more than one label: no other hash can connect anything."""
+    open_ = told.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token")
+    return told.join(open_, "token", "left_semi")
+
+
 def new_pairs(pairs: DataFrame, compared: list[DataFrame]) -> DataFrame:
     """The distinct pairs that no earlier step compared, written and noted as compared."""
     pairs = pairs.distinct()
