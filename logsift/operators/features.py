@@ -116,6 +116,34 @@ def tfidf(terms: DataFrame, model: TfidfModel, seq_cols: list[str]) -> DataFrame
     return w.select(*seq_cols, "term", "feature_idx", (F.col("_w") / norm).alias("tfidf"))
 
 
+# -- a vocabulary without a limit: a table, not a list on the driver -----------------------
+
+def dictionary(terms: DataFrame, n_docs: int, parts: int | None = None) -> DataFrame:
+    """(term, feature_idx, doc_freq, idf) of every term, indices dense and in term order.
+
+    The terms are range-partitioned and sorted once, in a written table; a term's index is its place in its
+    partition behind the partitions before (one count each).  Nothing grows on the driver or in a broadcast."""
+    from logsift.session import staged
+
+    stats = terms.groupBy("term").agg(F.count(F.lit(1)).alias("doc_freq"))
+    parts = parts or int(terms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = F.spark_partition_id()
+    ranged = staged(stats.repartitionByRange(parts, "term").sortWithinPartitions("term").select(
+        "term", "doc_freq", part.alias("_part"), (F.monotonically_increasing_id() - F.shiftleft(part.cast("long"), 33)).alias("_in")), "dictionary")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    offsets = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    idf = F.log((F.lit(1 + n_docs)) / (1 + F.col("doc_freq"))) + 1
+    return ranged.join(offsets, "_part").select("term", (F.col("_off") + F.col("_in")).alias("feature_idx"), "doc_freq", idf.alias("idf"))
+
+
+def tfidf_by_dictionary(terms: DataFrame, vocabulary: DataFrame, seq_cols: list[str]) -> DataFrame:
+    """``tfidf`` with a ``dictionary``: joined on the term, whose hot values AQE splits; the row norm is an
+    aggregate joined back, so no window holds a sequence's terms."""
+    w = terms.join(vocabulary, "term").withColumn("_w", F.col("tf") * F.col("idf"))
+    norm = w.groupBy(*seq_cols).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
+    return w.join(norm, seq_cols).select(*seq_cols, "term", "feature_idx", (F.col("_w") / F.col("_norm")).alias("tfidf"))
+
+
 # -- scaling -------------------------------------------------------------------
 
 @dataclass

@@ -46,15 +46,17 @@ def with_weights(train: DataFrame, label: str, scheme: str) -> DataFrame:
 def train_block_models(train: DataFrame, label: str = "label", features: str = "features",
                        models=MODEL_NAMES, seed: int = 42, gbt_weighting: str = "pos",
                        max_iter_lr: int = 1000, gbt_iters: int = 100, gbt_depth: int = 6,
-                       gbt_step: float = 0.1) -> dict:
-    """Fit the named models on the train split (features = ML vector column)."""
+                       gbt_step: float = 0.1, lr_tol: float = 1e-6) -> dict:
+    """Fit the named models on the train split (features = ML vector column).
+
+    ``lr_tol``: change of the loss at which the logistic regression stops."""
     out = {}
     if "logistic_regression" in models:
         t = with_weights(train, label, "balanced")
         n = t.count()
         lr = LogisticRegression(featuresCol=features, labelCol=label, weightCol="_w",
                                 maxIter=max_iter_lr, regParam=1.0 / max(n, 1), elasticNetParam=0.0,
-                                standardization=False)
+                                standardization=False, tol=lr_tol)
         out["logistic_regression"] = lr.fit(t)
     if "boosted_trees" in models:
         t = with_weights(train, label, gbt_weighting)

@@ -8,10 +8,11 @@ The original tool fed every line to an online prefix-tree miner (similarity
 2. ``groupBy(tokens)`` collapses lines to distinct patterns (map-side combine:
    millions of lines -> few patterns), keeping count and first line;
 3. leaf = (token count, first two tokens) -- what a depth-4 tree routes on;
-4. a leaf's patterns are clustered: taken by falling line count (ties by text), a pattern
-   joins a leader if at least ``sim_threshold`` of its positions hold the leader's token
-   (``<*>`` doesn't count), else it leads a cluster of its own; with several
-   such leaders the one that most positions share takes it;
+4. a leaf's patterns are clustered around leaders; a pattern may follow a leader if at least
+   ``sim_threshold`` of its positions hold the leader's token (``<*>`` doesn't count).  An inverted index
+   holds each pattern under its rarest (position, token) entries, so many that two patterns
+   as similar as that share one.  A pattern that has the most lines (ties by text) under all its entries
+   leads; the others follow the most similar such leader, and those similar to none go into the next round;
 5. per (cluster, position, token) the lines are counted; a token that fewer than
    ``sim_threshold`` of the cluster's lines have at its position is a parameter
    and becomes ``<*>``, any other stays;
@@ -20,8 +21,9 @@ The original tool fed every line to an online prefix-tree miner (similarity
 
 All decisions come from grouped counts of patterns, so the result depends neither on
 arrival order nor on partitioning, and a leaf that holds most lines is spread over
-tasks like any aggregate.  Step 4 takes one round per ``CANDIDATES`` patterns that are
-left, until none is: few, as a round's leaders take all patterns of their kinds.  By design: one final template text per id, mining on
+tasks like any aggregate.  Step 4 compares a pattern with one leader per index entry at most, and a round
+decides every pattern that no undecided one of more lines is indexed with: kinds that are all unlike take
+one round, however many.  By design: one final template text per id, mining on
 ``message`` by default (``text_col='raw_line'`` mines whole lines as the original did).
 """
 
@@ -34,8 +36,6 @@ from logsift.operators import order as O
 from logsift.session import staged
 
 WILDCARD = "<*>"
-#: Patterns of a leaf that a round looks at for new leaders; the rounds go on until every pattern has one.
-CANDIDATES = 256
 
 
 def masked_tokens(text: F.Column) -> F.Column:
@@ -48,32 +48,44 @@ def _with_patterns(parsed: DataFrame, text_col: str) -> DataFrame:
     return lines.withColumn("_pat", F.array_join("_tok", " "))
 
 
+def _indexed(pats: DataFrame, sim_threshold: float) -> DataFrame:
+    """(leaf, pattern, tokens, n, entries): the entries under which a pattern is indexed.
+
+    Of a pattern's fixed (position, token) entries, similarity asks for ``need`` to be shared.  In one order
+    by rarity in the leaf, two such patterns share one of their first size - need + 1 entries; what all
+    patterns of a leaf share stands last.  A pattern with fewer than ``need`` entries is like no other."""
+    need = F.ceil(F.lit(sim_threshold) * F.size("tokens") - F.lit(1e-9)).cast("int")
+    placed = pats.select("leaf", "pattern", F.posexplode("tokens").alias("pos", "token")).filter(F.col("token") != WILDCARD)
+    often = placed.groupBy("leaf", "pos", "token").agg(F.count(F.lit(1)).alias("c"))
+    by_rarity = (placed.join(often, ["leaf", "pos", "token"]).groupBy("pattern")
+                 .agg(F.sort_array(F.collect_list(F.struct("c", "pos", "token"))).alias("e")))
+    kept = F.size("e") - need + 1
+    entries = F.when(kept > 0, F.transform(F.slice("e", 1, F.greatest(kept, F.lit(1))), lambda x: F.struct(x["pos"].alias("pos"), x["token"].alias("token"))))
+    return (pats.select("leaf", "pattern", "tokens", "n").join(by_rarity, "pattern", "left")
+            .select("leaf", "pattern", "tokens", "n", F.coalesce(entries, F.array().cast("array<struct<pos:int,token:string>>")).alias("entries")))
+
+
 def _clustered(pats: DataFrame, sim_threshold: float) -> DataFrame:
-    """(pattern, cluster): the text of the leader that each pattern follows."""
-    def shared(a, b):
-        same = F.zip_with(a, b, lambda x, y: (x == y) & (x != F.lit(WILDCARD)))
-        # a pattern always follows itself, even if it is all parameters
-        return F.when(a == b, F.lit(2.0)).otherwise(F.size(F.filter(same, lambda z: z)) / F.size(a))
-
-    def add(leaders, x):
-        known = F.exists(leaders, lambda a: shared(a, x["tokens"]) >= F.lit(sim_threshold))
-        return F.when(known, leaders).otherwise(F.concat(leaders, F.array(x["tokens"])))
-
-    rank = F.row_number().over(Window.partitionBy("leaf").orderBy(F.desc("n"), "pattern"))
-    left, out = pats.select("leaf", "pattern", "tokens", "n"), None
+    """(pattern, cluster): the text of the leader that each pattern follows (its own, if it leads)."""
+    left, out = staged(_indexed(pats, sim_threshold), "indexed"), None
+    open_ = left.count()
     while True:
-        top = left.withColumn("r", rank).filter(F.col("r") <= CANDIDATES)
-        led = (top.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("r", "tokens"))).alias("c"))
-               .select("leaf", F.aggregate("c", F.array().cast("array<array<string>>"), add).alias("led")))
-        by = F.transform("led", lambda a, i: F.struct(shared(a, F.col("tokens")).alias("s"), (-i).alias("i"), a.alias("a")))
-        near = left.join(led, "leaf").withColumn("b", F.array_max(by))
-        follows = F.when(F.col("b.s") >= F.lit(sim_threshold), F.array_join("b.a", " "))
-        near = staged(near.select("leaf", "pattern", "tokens", "n", follows.alias("cluster")), "clusters")
-        done = near.filter("cluster is not null").select("pattern", "cluster")
+        entry = left.select("leaf", "pattern", "n", F.explode("entries").alias("e")).select("leaf", "pattern", "n", "e.pos", "e.token")
+        top = entry.groupBy("leaf", "pos", "token").agg(F.min(F.struct((-F.col("n")).alias("n"), "pattern"))["pattern"].alias("top"))
+        met = entry.select("leaf", "pattern", "pos", "token").join(top, ["leaf", "pos", "token"]).groupBy("pattern", "top").agg(F.count(F.lit(1)).alias("k"))
+        # a pattern leads if it is the top of all its entries, or has none
+        beaten = met.filter("pattern <> top").select("pattern").distinct()
+        leads = left.join(beaten, "pattern", "left_anti").select(F.col("pattern").alias("top"), F.col("tokens").alias("of"), F.col("n").alias("of_n"))
+        same = F.size(F.filter(F.zip_with("tokens", "of", lambda x, y: (x == y) & (x != F.lit(WILDCARD))), lambda z: z))
+        near = (met.filter("pattern <> top").join(leads, "top").join(left.select("pattern", "tokens"), "pattern")
+                .withColumn("s", same / F.size("tokens")).filter(F.col("s") >= F.lit(sim_threshold))
+                .groupBy("pattern").agg(F.min(F.struct(-F.col("s"), -F.col("of_n"), "top"))["top"].alias("cluster")))
+        done = staged(near.unionAll(leads.select("top", "top")), "clusters")
         out = done if out is None else out.unionAll(done)
-        left = near.filter("cluster is null").drop("cluster")
-        if left.isEmpty():
+        open_ -= done.count()
+        if not open_:
             return out
+        left = staged(left.join(done.select("pattern"), "pattern", "left_anti"), "indexed")
 
 
 def template_table(parsed: DataFrame, text_col: str = "message", sim_threshold: float = 0.4,

@@ -9,7 +9,7 @@ slice / piece machinery).
 from __future__ import annotations
 
 from logsift.plans.queries import (TIME_WINDOW_DEFAULT, CONTAMINATION, COUNT_WINDOW, COUNT_WINDOW_OVERLAP, MAX_LINES, RULE_CUT,
-                                   RULE_TEMPLATE, TIME_WINDOW, TIME_WINDOW_OVERLAP, TOP_N, PIECE_LENGTH,
+                                   RULE_TEMPLATE, TIME_WINDOW, TIME_WINDOW_OVERLAP, TOP_N, PIECE_LENGTH, SAVED_VOCAB,
                                    LOF_NEIGHBORS, STREAM_GAP_SECONDS, VOCAB_TOPK, WINDOW_VOCAB)
 from logsift.sources.fixtures import TEMPLATE_RULE_SQL, oracle_labels_cte, oracle_lines_cte
 
@@ -212,7 +212,68 @@ lf AS (SELECT nb.p, avg(l2.lrd) / any_value(l1.lrd) AS lof FROM nb JOIN lrd l2 O
       JOIN lrd l1 ON nb.p = l1.p GROUP BY nb.p)
 SELECT p AS window_id, round(-lof, 6) AS anomaly_score FROM lf"""
 
+NEWTON_STEPS = 12
+
+
+def _newton_sql() -> str:
+    """Blocks' scaled metadata, split and weight, and the minimum (b0, b1, b2) of the weighted logistic loss + |b|^2 / 2n by Newton steps."""
+    steps = ["b0 AS (SELECT 0.0::DOUBLE AS c, 0.0::DOUBLE AS u, 0.0::DOUBLE AS v)"]
+    for k in range(1, NEWTON_STEPS + 1):
+        steps.append(f"""s{k} AS (SELECT any_value(c) AS c, any_value(u) AS u, any_value(v) AS v, any_value(1.0 / n) AS l,
+        sum(w * (p - y)) / sum(w) AS g0, sum(w * (p - y) * x0) / sum(w) + any_value(u / n) AS g1, sum(w * (p - y) * x1) / sum(w) + any_value(v / n) AS g2,
+        sum(w * p * (1 - p)) / sum(w) AS h00, sum(w * p * (1 - p) * x0) / sum(w) AS h01, sum(w * p * (1 - p) * x1) / sum(w) AS h02,
+        sum(w * p * (1 - p) * x0 * x0) / sum(w) + any_value(1.0 / n) AS h11, sum(w * p * (1 - p) * x0 * x1) / sum(w) AS h12,
+        sum(w * p * (1 - p) * x1 * x1) / sum(w) + any_value(1.0 / n) AS h22
+      FROM (SELECT *, 1 / (1 + exp(-(c + u * x0 + v * x1))) AS p FROM tr, b{k - 1})),
+b{k} AS (SELECT c - (g0 * (h11 * h22 - h12 * h12) - h01 * (g1 * h22 - h12 * g2) + h02 * (g1 * h12 - h11 * g2)) / det AS c,
+        u - (h00 * (g1 * h22 - h12 * g2) - g0 * (h01 * h22 - h12 * h02) + h02 * (h01 * g2 - g1 * h02)) / det AS u,
+        v - (h00 * (h11 * g2 - g1 * h12) - h01 * (h01 * g2 - g1 * h02) + g0 * (h01 * h12 - h11 * h02)) / det AS v
+      FROM (SELECT *, h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02) AS det FROM s{k}))""")
+    return f"""{BLOCKS},
+sp AS (SELECT block_id AS k, anomaly_binary_val AS y, ('0x' || substr(md5('42|' || block_id), 1, 13))::BIGINT AS u
+      FROM training WHERE anomaly_binary_val IN (0, 1)),
+{_SPLIT},
+lx AS (SELECT block_id, anomaly_binary_val AS y, parted.split,
+        coalesce((CAST(sequence_length AS DOUBLE) - avg(sequence_length) OVER ()) / nullif(stddev_pop(sequence_length) OVER (), 0), 0) AS x0,
+        coalesce(((end_us - start_us) / 1e6 - avg((end_us - start_us) / 1e6) OVER ()) / nullif(stddev_pop((end_us - start_us) / 1e6) OVER (), 0), 0) AS x1
+      FROM training JOIN parted ON parted.k = block_id),
+tr AS (SELECT x0, x1, y, count(*) OVER () AS n, count(*) OVER () / (2.0 * count(*) OVER (PARTITION BY y)) AS w FROM lx WHERE split = 'train'),
+{", ".join(steps)}"""
+
+
 ORACLE = {
+    "logreg_coefficients": f"""{_newton_sql()}
+SELECT unnest(['intercept', 'sequence_length', 'time_span']) AS name, round(unnest([c, u, v]), 4) AS value FROM b{NEWTON_STEPS}""",
+    "predictions": f"""{_newton_sql()}
+SELECT block_id, split, CAST(y AS BIGINT) AS y_true, CAST(CASE WHEN c + u * x0 + v * x1 > 0 THEN 1 ELSE 0 END AS BIGINT) AS y_pred,
+       round(1 / (1 + exp(-(c + u * x0 + v * x1))), 4) AS y_proba FROM lx, b{NEWTON_STEPS}""",
+    "training_stats": f"""{BLOCK_TERMS},
+sp AS (SELECT block_id AS k, anomaly_binary_val AS y, ('0x' || substr(md5('42|' || block_id), 1, 13))::BIGINT AS u
+      FROM training WHERE anomaly_binary_val IN (0, 1)),
+{_SPLIT},
+vt AS (SELECT least(1000, count(DISTINCT term)) AS terms FROM tf JOIN parted ON seq_id = k)
+SELECT (SELECT count(*) FROM training) AS total_samples, (SELECT count(*) FROM training) - count(*) AS unlabelled_dropped,
+       count(*) FILTER (split = 'train') AS train_samples, count(*) FILTER (split = 'validation') AS val_samples, count(*) FILTER (split = 'test') AS test_samples,
+       CAST(any_value(terms) + 2 AS BIGINT) AS feature_count, CAST(any_value(terms) AS BIGINT) AS tfidf_features, round(avg(y), 6) AS anomaly_rate
+FROM parted, vt""",
+    "tfidf_unbounded": f"""{BLOCK_TERMS},
+vocab AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS feature_idx, ln((1 + n) / (1 + doc_freq)) + 1 AS idf FROM st, nd),
+tw AS (SELECT tf.seq_id, tf.term, v.feature_idx, tf.tf * v.idf AS w FROM tf JOIN vocab v USING (term))
+SELECT seq_id, term, CAST(feature_idx AS BIGINT) AS feature_idx, round(w / sqrt(sum(w * w) OVER (PARTITION BY seq_id)), 6) AS tfidf FROM tw""",
+    "saved_features": f"""{BLOCK_TERMS},
+top AS (SELECT term, doc_freq FROM st ORDER BY cf DESC, term LIMIT {SAVED_VOCAB}),
+bs AS (SELECT length, (end_us - start_us) / 1e6 AS span FROM blocks)
+SELECT row_number() OVER (ORDER BY term) - 1 AS position, 'tfidf_' || term AS name, CAST(doc_freq AS BIGINT) AS doc_freq,
+       round(ln((1 + n) / (1 + doc_freq)) + 1, 6) AS weight, CAST(NULL AS DOUBLE) AS mean, CAST(n AS BIGINT) AS blocks FROM top, nd
+UNION ALL SELECT (SELECT count(*) FROM top), 'sequence_length_scaled', NULL, round(stddev_pop(length), 6), round(avg(length), 6), CAST(any_value(n) AS BIGINT) FROM bs, nd
+UNION ALL SELECT (SELECT count(*) FROM top) + 1, 'time_span_scaled', NULL, round(stddev_pop(span), 6), round(avg(span), 6), CAST(any_value(n) AS BIGINT) FROM bs, nd""",
+    "feature_vectors": f"""{BLOCK_TERMS},
+{_tfidf_sql("seq_id", SAVED_VOCAB).rsplit("SELECT", 1)[0].rstrip().removesuffix(",")},
+bs AS (SELECT seq_id, (length - avg(length) OVER ()) / stddev_pop(length) OVER () AS a,
+        ((end_us - start_us) / 1e6 - avg((end_us - start_us) / 1e6) OVER ()) / stddev_pop((end_us - start_us) / 1e6) OVER () AS b FROM blocks)
+SELECT seq_id, 'tfidf_' || term AS name, round(w / sqrt(sum(w * w) OVER (PARTITION BY seq_id)), 6) AS value FROM tw
+UNION ALL SELECT seq_id, 'sequence_length_scaled', round(a, 6) FROM bs
+UNION ALL SELECT seq_id, 'time_span_scaled', round(b, 6) FROM bs""",
     "block_sequences_sliced": f"""{BLOCKS}
 SELECT seq_id, id, template_sequence_str, length, start_us, end_us, time_span FROM blocks""",
     "count_windows_sliced": _count_windows_sql(*COUNT_WINDOW),

@@ -290,6 +290,46 @@ def q_scaled_window_metadata(spark, sf_dir):
                                     for c in FT.WINDOW_META])
 
 
+def q_tfidf_unbounded(spark, sf_dir):
+    """T4 without a limit: every n-gram of the blocks, numbered and weighted by a distributed dictionary."""
+    o, terms = _block_terms(spark, sf_dir)
+    vocabulary = FT.dictionary(terms, _n_blocks(o))
+    return FT.tfidf_by_dictionary(terms, vocabulary, ["seq_id"]).select("seq_id", "term", "feature_idx", r6(F.col("tfidf")).alias("tfidf"))
+
+
+SAVED_VOCAB = 12
+
+
+def _saved_features(spark, sf_dir):
+    """A feature model of all blocks, saved and loaded again, with its names and stats."""
+    from logsift.sources.io import load_models, save_models
+    o = ordered_fixture(spark, sf_dir)
+    blocks = Q.block_headers(o).withColumnRenamed("length", "sequence_length")
+    pieces = Q.block_pieces(o)
+    fm = FT.fit_features(blocks, pieces, "seq_id", FT.BLOCK_META, SAVED_VOCAB, NGRAMS)
+    path = save_models(spark, _scratch(spark, "models"), fm, stats={"blocks": fm.tfidf.n_docs})
+    return blocks, pieces, load_models(spark, path)
+
+
+def q_saved_features(spark, sf_dir):
+    """SK4 + SK5 + FE6: names, document frequencies, weights and scaler as they come back from disk."""
+    _, _, got = _saved_features(spark, sf_dir)
+    fm = got["feature_model"]
+    rows = [(d, w, None) for d, w in zip(fm.tfidf.doc_freq, fm.tfidf.idf)] + [(None, s, m) for m, s in zip(fm.scaler.mean, fm.scaler.scale)]
+    rows = [(i, n, d, w, m, int(got["stats"]["blocks"])) for i, (n, (d, w, m)) in enumerate(zip(got["feature_names"], rows, strict=True))]
+    out = spark.createDataFrame(rows, "position long, name string, doc_freq long, weight double, mean double, blocks long")
+    return out.select("position", "name", "doc_freq", r6(F.col("weight")).alias("weight"), r6(F.col("mean")).alias("mean"), "blocks")
+
+
+def q_feature_vectors(spark, sf_dir):
+    """FE5 + FE7: text and metadata features of every block, transformed by the loaded model."""
+    blocks, pieces, got = _saved_features(spark, sf_dir)
+    ft = FT.feature_table(blocks, pieces, "seq_id", got["feature_model"])
+    names = F.array(*[F.lit(n) for n in got["feature_names"]])
+    pairs = ft.select("seq_id", F.explode(F.arrays_zip("feat_idx", "feat_val")).alias("x"))
+    return pairs.select("seq_id", F.get(names, F.col("x.feat_idx")).alias("name"), r6(F.col("x.feat_val")).alias("value"))
+
+
 # -- split / metrics ------------------------------------------------------------
 
 RULE_TEMPLATE, RULE_CUT = 3, 0.2
@@ -411,6 +451,50 @@ def q_logreg(spark, sf_dir):
     return _report_or_empty(spark, _block_run(spark, sf_dir, ("logistic_regression",)))
 
 
+PREDICTION_SCHEMA = "block_id string, split string, y_true long, y_pred long, y_proba double"
+
+
+def _metadata_model(spark, sf_dir):
+    """ML2 on the two scaled metadata columns of the labelled blocks, fitted to the loss's minimum: (rows, models)."""
+    from logsift.operators import supervised as SV
+    from logsift.session import staged
+    t = _training(spark, sf_dir).filter(F.col("anomaly_binary_val").isin(0, 1)).select(
+        "block_id", F.col("anomaly_binary_val").alias("label"), *FT.BLOCK_META)
+    t = FT.scale(SP.stratified_split(t, "block_id", "label"), FT.BLOCK_META)
+    t = t.withColumn("feat_idx", F.array(F.lit(0), F.lit(1))).withColumn("feat_val", F.array(*[F.col(c + "_scaled") for c in FT.BLOCK_META]))
+    t = staged(t.select("block_id", "label", "split", SV.to_vector(2).alias("features")), "metadata-features")
+    train = t.filter("split = 'train'")
+    if train.select("label").distinct().count() < 2:  # D11
+        return t, {}
+    return t, SV.train_block_models(train, models=("logistic_regression",), lr_tol=1e-13)
+
+
+def q_logreg_coefficients(spark, sf_dir):
+    """ML2: the fitted weights, held against Newton steps in SQL."""
+    _, models = _metadata_model(spark, sf_dir)
+    rows = [(n, float(v)) for m in models.values() for n, v in zip(("intercept", *FT.BLOCK_META), (m.intercept, *m.coefficients))]
+    return spark.createDataFrame(rows, "name string, value double").select("name", F.round("value", 4).alias("value"))
+
+
+def q_predictions(spark, sf_dir):
+    """ML4 + ML8: class and probability of every labelled block with the named model."""
+    from logsift.operators import supervised as SV
+    rows, models = _metadata_model(spark, sf_dir)
+    if not models:
+        return spark.createDataFrame([], PREDICTION_SCHEMA)
+    return SV.predict(models, rows, "logistic_regression").select(
+        "block_id", "split", F.col("label").cast("long").alias("y_true"), F.col("prediction").cast("long").alias("y_pred"),
+        F.round("probability", 4).alias("y_proba"))
+
+
+def q_training_stats(spark, sf_dir):
+    """The counts that a training run reports."""
+    from logsift.plans.runs import training_stats
+    stats = training_stats(_block_run(spark, sf_dir, ("logistic_regression",)), spark)
+    whole = ["total_samples", "unlabelled_dropped", "train_samples", "val_samples", "test_samples", "feature_count", "tfidf_features"]
+    return stats.select(*[F.col(c).try_cast("long").alias(c) for c in whole], r6(F.col("anomaly_rate").try_cast("double")).alias("anomaly_rate"))
+
+
 def q_boosted(spark, sf_dir):
     return _report_or_empty(spark, _block_run(spark, sf_dir, ("boosted_trees",)))
 
@@ -817,6 +901,12 @@ QUERIES = {
     "window_dataset_roundtrip": q_window_dataset_roundtrip,
     "stream_templates": q_stream_templates,
     "stream_scores": q_stream_scores,
+    "tfidf_unbounded": q_tfidf_unbounded,
+    "saved_features": q_saved_features,
+    "feature_vectors": q_feature_vectors,
+    "logreg_coefficients": q_logreg_coefficients,
+    "predictions": q_predictions,
+    "training_stats": q_training_stats,
     "block_sequences_pieces": q_block_sequences_pieces,
     "block_training_pieces": q_block_training_pieces,
     "mahalanobis_once": q_mahalanobis_once,

@@ -49,8 +49,34 @@ def test_rare_kinds_beside_a_hot_one_keep_their_words(spark):
         assert {r[0]: r[1] for r in got} == want
 
 
-def test_more_kinds_in_a_leaf_than_candidates_of_a_round(spark, monkeypatch):
-    monkeypatch.setattr("logsift.operators.templates.CANDIDATES", 3)
-    texts = [f"a b {k}c {k}d {k}e {k}f" for k in "hijklmnopq" for _ in range(3)]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "line_no bigint, message string")
-    assert sorted((r["template_str"], r["lines"]) for r in template_table(df).collect()) == sorted((t, 3) for t in set(texts))
+def test_many_unlike_kinds_take_one_round(spark, monkeypatch):
+    """20,000 kinds in one leaf, three patterns each: leaders in one round, their followers in the same."""
+    import logsift.operators.templates as M
+    written = []
+    kept = M.staged
+    monkeypatch.setattr(M, "staged", lambda df, name: (written.append(name), kept(df, name))[1])
+    name = lambda col: f"translate(cast({col} as string), '0123456789', 'abcdefghij')"
+    kind, one = name("id div 3"), name("id % 3")
+    df = spark.range(60000).selectExpr("id AS line_no", f"concat_ws(' ', 'a', 'b', concat('k', {kind}), concat('q', {kind}), concat('r', {kind}), "
+                                       f"concat('v', {one}, {kind}), concat('w', {kind})) AS message")
+    got = template_table(df).groupBy("template_str").agg({"lines": "sum"}).collect()
+    assert len(got) == 20000 and all(r[1] == 3 and r[0].split()[5] == "<*>" and r[0].count("<*>") == 1 for r in got)
+    assert written.count("clusters") == 1
+
+
+def test_clusters_by_brute_force(spark):
+    """Leaders are unlike each other, and every follower is like its leader."""
+    import random
+
+    from logsift.operators.templates import _clustered
+    rnd = random.Random(3)
+    pats = {tuple(["a", "b"] + [rnd.choice(["<*>", "c", "d", "e", "f", "g" + str(k)]) for k in range(4)]) for _ in range(400)}
+    rows = [("leaf", " ".join(p), list(p), rnd.randrange(1, 9)) for p in pats]
+    df = spark.createDataFrame(rows, "leaf string, pattern string, tokens array<string>, n bigint")
+    like = lambda x, y: sum(a == b != "<*>" for a, b in zip(x.split(), y.split())) / 6 >= 0.5
+    one = {r.pattern: r.cluster for r in _clustered(df, 0.5).collect()}
+    assert one.keys() == {" ".join(p) for p in pats} and one == {r.pattern: r.cluster for r in _clustered(df.repartition(7), 0.5).collect()}
+    leaders = {p for p, c in one.items() if p == c}
+    assert set(one.values()) == leaders and 3 < len(leaders) < len(pats)
+    assert all(like(p, c) for p, c in one.items() if p != c)
+    assert not any(like(x, y) for x in leaders for y in leaders if x < y)
