@@ -1,26 +1,32 @@
 """Isolation forest (OD1 fit, OD2 score) as Spark jobs (Liu, Ting, Zhou 2008).
 
 Fit
-  * A hash threshold keeps a pool of about ``n_trees * max_samples`` rows
-    (all rows if fewer) -- the work does not grow with the table.
-  * Each tree takes the ``psi`` pool rows with the lowest
-    ``xxhash64(key, tree, seed)``: a uniform sample without replacement.
-    Only (key, tree, hash) is replicated per tree (``explode``); the chosen
-    <= trees x psi rows get their features back by a join on the key.
-  * ``groupBy(tree).applyInPandas`` grows one tree per group (psi <= 256 rows):
-    random non-constant feature, uniform threshold between its min and max,
-    stop at one row, identical rows, or depth ceil(log2 psi).
-  * The node table (<= n_trees * (2 psi - 1) rows) is the model; it is saved
-    as parquet.
+  * One md5 per row gives a number a < 2^31 - 1; tree t ranks the rows by (a * m_t + c_t) mod (2^31 - 1)
+    and takes the ``psi`` lowest (ties: the rest of the md5, then the key): a uniform sample without
+    replacement.  A row is replicated only for the trees where it lies under a bound that 2 psi
+    rows are expected to meet, and the chosen <= trees x psi rows get their features back by a join.
+  * All trees grow together, level by level: a grouped aggregate over (tree, node, feature) gives
+    each node's size and value ranges, the split feature is the one of the non-constant features whose
+    md5(seed, tree, node, feature) is lowest, and md5(seed, tree, node) places the cut between its minimum
+    and maximum.  A node is a leaf at one row, identical rows, or depth ceil(log2 psi).  Per level
+    one row a node (<= trees x psi) reaches the driver and goes back as a broadcast.
+  * Ranges are taken on a grid of 2^-30, so that rounding in a sum neither makes a feature
+    non-constant nor moves a cut; values beyond +-2^32, and NaN (as the largest), are held to that.
+    Null values count as 0, as do the entries that a sparse row lacks.
+  * The node table (<= n_trees * (2 psi - 1) rows) is the model; it is saved as parquet.
+
+The same seed gives the same forest on every engine and partitioning; no Python worker takes part.
 
 Score
   ``mapInPandas`` over the feature rows with the node table shipped to each
   task: narrow, no shuffle.  Path length h = depth + c(leaf size);
-  score = -2^(-mean h / c(psi)) (lower = more anomalous).
+  score = -2^(-mean h / c(psi)) (lower = more anomalous).  c is held to 2^-32, so sums are exact.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 import math
 from dataclasses import dataclass
 
@@ -29,11 +35,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logsift.session import ship_package
+from logsift.session import ship_package, staged
 
 EULER = 0.5772156649
 NODE_SCHEMA = ("tree int, node int, feature int, threshold double, left int, right int, "
                "size long, depth int")
+#: Modulus of the row draws (a Mersenne prime: products stay within 64 bits), grid of the cuts, largest value.
+PRIME, GRID, LARGEST = (1 << 31) - 1, 1 << 30, float(1 << 32)
+#: Chosen rows up to which their keys are broadcast to the feature rows.
+BROADCAST_ROWS = 1_000_000
 
 
 def c_factor(m):
@@ -43,7 +53,7 @@ def c_factor(m):
     big = m > 2
     out[big] = 2.0 * (np.log(m[big] - 1.0) + EULER) - 2.0 * (m[big] - 1.0) / m[big]
     out[m == 2] = 1.0
-    return out
+    return np.rint(out * (1 << 32)) / (1 << 32)
 
 
 def dense_rows(idx_series: pd.Series, val_series: pd.Series, dim: int) -> np.ndarray:
@@ -59,35 +69,82 @@ def dense_rows(idx_series: pd.Series, val_series: pd.Series, dim: int) -> np.nda
     return x
 
 
-def _grow(x: np.ndarray, rng: np.random.Generator, limit: int):
-    """Grow one isolation tree; returns node rows (node, feature, thr, left, right, size, depth)."""
-    nodes = []
-
-    def build(ix, depth):
-        me = len(nodes)
-        nodes.append(None)
-        m = len(ix)
-        if depth >= limit or m <= 1:
-            nodes[me] = (me, -1, 0.0, -1, -1, m, depth)
-            return me
-        sub = x[ix]
-        lo, hi = sub.min(axis=0), sub.max(axis=0)
-        usable = np.flatnonzero(hi > lo)
-        if usable.size == 0:  # identical rows
-            nodes[me] = (me, -1, 0.0, -1, -1, m, depth)
-            return me
-        q = int(usable[rng.integers(usable.size)])
-        thr = float(rng.uniform(lo[q], hi[q]))
-        if thr <= lo[q]:
-            thr = float(np.nextafter(lo[q], hi[q]))
-        go_left = sub[:, q] < thr
-        left = build(ix[go_left], depth + 1)
-        right = build(ix[~go_left], depth + 1)
-        nodes[me] = (me, q, thr, left, right, m, depth)
-        return me
-
-    build(np.arange(x.shape[0]), 0)
-    return nodes
+def _number(text: str) -> int:
+    """52 bits of the md5 of ``text``."""
+    return int(hashlib.md5(text.encode()).hexdigest()[:13], 16)
+
+
+def _draw(features: DataFrame, key: str, n_trees: int, psi: int, rate: float, seed: int) -> DataFrame:
+    """(tree, key) of the rows that each tree takes."""
+    digest = F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")))
+    a = F.conv(F.substring("_d", 1, 8), 16, 10).cast("bigint") % PRIME
+    trees = F.from_json(F.lit(json.dumps([{"tree": t, "m": 1 + _number(f"{seed}|tree|{t}") % (PRIME - 1),
+                                           "c": _number(f"{seed}|shift|{t}") % PRIME} for t in range(n_trees)])),
+                        "array<struct<tree:int,m:bigint,c:bigint>>")  # a constant
+    ranks = F.transform(trees, lambda k: F.struct(k["tree"].alias("tree"), ((F.col("_a") * k["m"] + k["c"]) % PRIME).alias("h")))
+    rows = (features.select(key, digest.alias("_d")).select(key, F.substring("_d", 9, 24).alias("_b"), a.alias("_a"))
+            .select(key, "_b", F.explode(F.filter(ranks, lambda x: x["h"] < F.lit(rate * PRIME))).alias("_t"))
+            .select(key, "_b", "_t.tree", F.col("_t.h").alias("_h")))
+    w = Window.partitionBy("tree").orderBy("_h", "_b", key)
+    return rows.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= psi).select("tree", key)
+
+
+def _level(rows: DataFrame, seed: int) -> DataFrame:
+    """(tree, node, size, pick): ``pick`` is the split feature with its range, null in a node of identical rows."""
+    ranges = (rows.select("tree", "node", F.inline("cells"))
+              .groupBy("tree", "node", "feature").agg(F.count(F.lit(1)).alias("n"), F.min("g").alias("lo"), F.max("g").alias("hi")))
+    size = F.max(F.when(F.col("feature") == -1, F.col("n"))).over(Window.partitionBy("tree", "node"))
+    ranges = ranges.withColumn("size", size)
+    zero = F.when(F.col("n") < F.col("size"), F.lit(0).cast("bigint"))  # null is left out by least and greatest
+    lo, hi = F.least("lo", zero), F.greatest("hi", zero)
+    order = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in ("tree", "node", "feature")]))
+    pick = F.when((F.col("feature") >= 0) & (hi > lo), F.struct(order.alias("order"), "feature", lo.alias("lo"), hi.alias("hi")))
+    return ranges.groupBy("tree", "node").agg(F.max("size").alias("size"), F.min(pick).alias("pick"))
+
+
+def grow_trees(sample: DataFrame, n_trees: int, limit: int, seed: int) -> pd.DataFrame:
+    """NODE_SCHEMA rows of all trees from (tree, idx, val)."""
+    spark = sample.sparkSession
+    # a tree has psi rows at most, so whole trees share a partition and no level shuffles
+    one = lambda f, v: F.struct(f.cast("int").alias("feature"), v.cast("bigint").alias("g"))
+    grid = lambda v: F.floor(F.greatest(F.least(v.cast("double"), F.lit(LARGEST)), F.lit(-LARGEST)) * F.lit(float(GRID)) + F.lit(0.5))
+    cells = F.concat(F.array(one(F.lit(-1), F.lit(0))),  # one more cell a row counts the node's rows
+                     F.transform(F.arrays_zip(F.col("idx"), F.col("val")), lambda e: one(e["idx"], grid(F.coalesce(e["val"], F.lit(0.0))))))
+    sample = sample.withColumn("cells", cells)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    rows = sample.withColumn("node", F.lit(0)).repartition(min(parts, n_trees), "tree").persist()
+    before = None
+    found: list[tuple] = []  # tree, heap number, feature, threshold, size, depth
+    for depth in range(limit + 1):
+        if depth < limit:
+            level = [(r["tree"], r["node"], r["size"], r["pick"]) for r in _level(rows, seed).collect()]
+        else:
+            level = [(r["tree"], r["node"], r["count"], None) for r in rows.groupBy("tree", "node").count().collect()]
+        if before is not None:
+            before.unpersist()  # the level that was just read holds its rows
+        cuts = []
+        for tree, node, size, pick in level:
+            if pick is None:
+                found.append((tree, node, -1, 0.0, size, depth))
+                continue
+            at = pick["lo"] + 1 + _number(f"{seed}|{tree}|{node}|cut") % (pick["hi"] - pick["lo"])
+            cuts.append((tree, node, pick["feature"], (at - 0.5) / GRID))
+            found.append((*cuts[-1], size, depth))
+        if not cuts:
+            break
+        split = F.broadcast(spark.createDataFrame(cuts, "tree int, node int, feature int, threshold double"))
+        place = F.array_position("idx", F.col("feature")).cast("int")
+        value = F.when(place > 0, F.coalesce(F.try_element_at("val", place), F.lit(0.0))).otherwise(0.0)
+        before = rows
+        rows = rows.join(split, ["tree", "node"]).select(
+            "tree", "idx", "val", "cells", (F.col("node") * 2 + F.when(value < F.col("threshold"), 1).otherwise(2)).alias("node")).persist()
+    rows.unpersist()
+    nodes = pd.DataFrame(found, columns=["tree", "heap", "feature", "threshold", "size", "depth"]).sort_values(["tree", "heap"])
+    nodes["node"] = nodes.groupby("tree").cumcount()
+    number = dict(zip(zip(nodes["tree"], nodes["heap"]), nodes["node"]))
+    for side, step in (("left", 1), ("right", 2)):
+        nodes[side] = [number[t, 2 * h + step] if f >= 0 else -1 for t, h, f in zip(nodes["tree"], nodes["heap"], nodes["feature"])]
+    return nodes[["tree", "node", "feature", "threshold", "left", "right", "size", "depth"]].reset_index(drop=True)
 
 
 @dataclass
@@ -153,32 +210,11 @@ def fit_isolation_forest(features: DataFrame, key: str, dim: int, n_trees: int =
         raise ValueError("no rows to fit")
     psi = min(max_samples, n)
     limit = int(math.ceil(math.log2(max(psi, 2))))
-    # every tree draws from all rows: a row stands for the trees where its hash lies under a bound
-    # that 2 psi rows are expected to meet, and the psi lowest of them are the sample
-    rate = min(1.0, 2.0 * psi / n)
-    draw = lambda t: F.xxhash64(F.col(key).cast("string"), t, F.lit(seed))
-    under = lambda t: draw(t).bitwiseAND(F.lit((1 << 53) - 1)).cast("double") / float(1 << 53) < rate
-    trees = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)), under)
-    per_tree = (features.select(key, F.explode(trees).alias("tree"))
-                .withColumn("_h", draw(F.col("tree")).bitwiseAND(F.lit((1 << 53) - 1))))
-    w = Window.partitionBy("tree").orderBy("_h", key)
-    chosen = per_tree.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= psi)
-    # features join back for the <= trees x psi chosen rows only
-    sample = chosen.join(features.select(key, idx_col, val_col), key)
-
-    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = int(pdf["tree"].iloc[0])
-        pdf = pdf.sort_values("_h")
-        x = dense_rows(pdf[idx_col], pdf[val_col], dim)
-        rng = np.random.default_rng([seed, t])
-        rows = _grow(x, rng, limit)
-        out = pd.DataFrame(rows, columns=["node", "feature", "threshold", "left", "right", "size",
-                                          "depth"])
-        out.insert(0, "tree", t)
-        return out
-
-    nodes = (sample.select("tree", "_h", idx_col, val_col).groupBy("tree")
-             .applyInPandas(grow, NODE_SCHEMA).toPandas())  # <= trees x (2 psi - 1) rows
+    chosen = _draw(features, key, n_trees, psi, min(1.0, 2.0 * psi / n), seed)
+    if n_trees * psi <= BROADCAST_ROWS:  # a bound by parameters: the feature rows need no shuffle
+        chosen = F.broadcast(chosen)
+    sample = features.select(key, F.col(idx_col).alias("idx"), F.col(val_col).alias("val")).join(chosen, key)
+    nodes = grow_trees(staged(sample.select("tree", "idx", "val"), "forest-sample"), n_trees, limit, seed)
     model = IsolationForestModel(nodes, psi, n_trees, dim, contamination or 0.0)
     if contamination:
         scores = model.score(features, key, idx_col, val_col)

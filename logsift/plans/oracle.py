@@ -241,7 +241,57 @@ tr AS (SELECT x0, x1, y, count(*) OVER () AS n, count(*) OVER () / (2.0 * count(
 {", ".join(steps)}"""
 
 
+def _forest_sql(key: str, seed: int = 42, trees: int = 100, psi: int = 256) -> str:
+    """Isolation forest by unrolled levels, after ks(key) and fv(key, feature, value), zeros left out or not."""
+    prime, grid = (1 << 31) - 1, 1 << 30
+    number = lambda text: f"('0x' || substr(md5({text}), 1, 13))::BIGINT"
+    out = [f"""par AS (SELECT n, p, CAST(ceil(log2(greatest(p, 2))) AS INTEGER) AS deep FROM (SELECT count(*) AS n, least({psi}, count(*)) AS p FROM ks)),
+tr AS (SELECT CAST(t AS INTEGER) AS t, 1 + {number(f"'{seed}|tree|' || t")} % {prime - 1} AS m, {number(f"'{seed}|shift|' || t")} % {prime} AS c FROM range({trees}) r(t)),
+kd AS (SELECT key, ('0x' || substr(d, 1, 8))::BIGINT % {prime} AS a, substr(d, 9) AS b FROM (SELECT key, md5('{seed}|' || CAST(key AS VARCHAR)) AS d FROM ks)),
+r0 AS MATERIALIZED (SELECT t, 0 AS node, key FROM (SELECT t, key, row_number() OVER (PARTITION BY t ORDER BY (a * m + c) % {prime}, b, key) AS r FROM kd, tr), par WHERE r <= p),
+q0 AS MATERIALIZED (SELECT t, 0 AS node, key FROM ks, tr)"""]
+    levels = (psi - 1).bit_length()
+    for d in range(levels + 1):
+        out.append(f"""z{d} AS MATERIALIZED (SELECT t, node, count(*) AS m FROM r{d} GROUP BY t, node),
+g{d} AS MATERIALIZED (SELECT t, node, feature, least(lo, CASE WHEN n < m THEN 0 END) AS lo, greatest(hi, CASE WHEN n < m THEN 0 END) AS hi
+      FROM (SELECT t, node, feature, count(*) AS n, min(g) AS lo, max(g) AS hi
+            FROM (SELECT t, node, feature, CAST(floor(value * {grid} + 0.5) AS BIGINT) AS g FROM r{d} JOIN fv USING (key), par WHERE {d} < deep) GROUP BY ALL) s
+      JOIN z{d} USING (t, node)),
+s{d} AS MATERIALIZED (SELECT t, node, feature, (lo + 1 + {number(f"'{seed}|' || t || '|' || node || '|cut'")} % (hi - lo) - 0.5::DOUBLE) / {grid} AS thr
+      FROM (SELECT * FROM g{d} WHERE hi > lo QUALIFY row_number() OVER (PARTITION BY t, node ORDER BY md5('{seed}|' || t || '|' || node || '|' || feature)) = 1)),
+l{d} AS (SELECT q{d}.key, {d} + CASE WHEN m > 2 THEN floor((2 * (ln(m - 1) + 0.5772156649) - 2 * (m - 1) / m) * 4294967296 + 0.5) / 4294967296
+                                    WHEN m = 2 THEN 1 ELSE 0 END AS h
+      FROM q{d} JOIN z{d} USING (t, node) ANTI JOIN s{d} USING (t, node))""")
+        if d < levels:
+            for x in "rq":
+                out.append(f"""{x}{d + 1} AS MATERIALIZED (SELECT {x}.t, 2 * {x}.node + CASE WHEN coalesce(value, 0) < thr THEN 1 ELSE 2 END AS node, {x}.key
+      FROM {x}{d} {x} JOIN s{d} s ON {x}.t = s.t AND {x}.node = s.node LEFT JOIN fv ON fv.key = {x}.key AND fv.feature = s.feature)""")
+    leaves = " UNION ALL ".join(f"SELECT * FROM l{d}" for d in range(levels + 1))
+    out.append(f"""sc AS MATERIALIZED (SELECT key, -pow(2, -(sum(h) / {trees}) / any_value(CASE WHEN p > 2 THEN floor((2 * (ln(p - 1) + 0.5772156649) - 2 * (p - 1) / p) * 4294967296 + 0.5) / 4294967296
+                                                             ELSE 1 END)) AS score FROM ({leaves}) x, par GROUP BY key),
+cut AS (SELECT quantile_cont(score, {CONTAMINATION}) AS cut FROM sc)
+SELECT key AS {key}, round(score, 6) AS anomaly_score, CAST(score < cut AS BIGINT) AS is_anomaly FROM sc, cut""")
+    return ",\n".join(out)
+
+
+_WINDOW_FEATURES = f"""{WINDOW_TERMS},
+vocab AS (SELECT term, ln((1 + n) / (1 + doc_freq)) + 1 AS idf, row_number() OVER (ORDER BY term) - 1 AS feature
+      FROM (SELECT * FROM st ORDER BY cf DESC, term ASC LIMIT 1000) s, nd),
+tw AS (SELECT tf.window_id, v.feature, tf.tf * v.idf AS w FROM tf JOIN vocab v USING (term)),
+wt AS (SELECT 'window_' || CAST(j AS VARCHAR) AS window_id, log_count, (e_us - s_us) / 1e6 AS time_span, unique_templates FROM w),
+ks AS (SELECT window_id AS key FROM wt),
+fv AS MATERIALIZED (SELECT window_id AS key, feature, w / sqrt(sum(w * w) OVER (PARTITION BY window_id)) AS value FROM tw
+      {" ".join(f"""UNION ALL SELECT window_id, (SELECT count(*) FROM vocab) + {i},
+        coalesce((CAST({c} AS DOUBLE) - avg({c}) OVER ()) / nullif(stddev_pop({c}) OVER (), 0), 0) FROM wt"""
+                for i, c in enumerate(("log_count", "time_span", "unique_templates")))})"""
+
+
 ORACLE = {
+    "isolation_forest": f"""{_WINDOW_FEATURES},
+{_forest_sql("window_id")}""",
+    "isolation_forest_embeddings": f"""WITH ks AS (SELECT vec_id AS key FROM embeddings),
+fv AS MATERIALIZED (SELECT vec_id AS key, CAST(unnest(embedding) AS DOUBLE) AS value, generate_subscripts(embedding, 1) - 1 AS feature FROM embeddings),
+{_forest_sql("vec_id")}""",
     "logreg_coefficients": f"""{_newton_sql()}
 SELECT unnest(['intercept', 'sequence_length', 'time_span']) AS name, round(unnest([c, u, v]), 4) AS value FROM b{NEWTON_STEPS}""",
     "predictions": f"""{_newton_sql()}

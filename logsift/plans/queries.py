@@ -427,7 +427,7 @@ def q_evaluate_windows(spark, sf_dir):
 def q_isolation_forest(spark, sf_dir):
     from logsift.plans.runs import run_windows
     run = run_windows(ordered_fixture(spark, sf_dir), labels_fixture(spark, sf_dir), models=("isolation_forest",))
-    return run.scored.select("window_id", "anomaly_score", "is_anomaly")
+    return run.scored.select("window_id", r6(F.col("anomaly_score")).alias("anomaly_score"), F.col("is_anomaly").cast("long").alias("is_anomaly"))
 
 
 def _block_run(spark, sf_dir, models):
@@ -839,7 +839,8 @@ def q_isolation_forest_embeddings(spark, sf_dir):
     feats = e.select("vec_id", F.sequence(F.lit(0), F.lit(EMB_DIM - 1)).alias("feat_idx"),
                      F.col("embedding").cast("array<double>").alias("feat_val"))
     m = fit_isolation_forest(feats, "vec_id", EMB_DIM, contamination=CONTAMINATION)
-    return m.predict(m.score(feats, "vec_id")).select("vec_id", "anomaly_score", "is_anomaly")
+    out = m.predict(m.score(feats, "vec_id"))
+    return out.select("vec_id", r6(F.col("anomaly_score")).alias("anomaly_score"), F.col("is_anomaly").cast("long").alias("is_anomaly"))
 
 
 QUERIES = {

@@ -1,5 +1,6 @@
 """Model properties: isolation forest, template mining, supervised models, I/O."""
 
+import hashlib
 import tempfile
 
 import numpy as np
@@ -145,3 +146,52 @@ def test_lof_and_robust_covariance_see_the_templates_of_a_window(spark):
         low = score_windows(run.models, run.features, "window_id", name).orderBy("anomaly_score").limit(2).collect()
         assert low[0]["window_id"] == "window_20" and low[0]["anomaly_score"] < low[1]["anomaly_score"] - 0.1
     run.release()
+
+
+def test_isolation_forest_trees_by_hand(spark):
+    """Every tree against a row-by-row version, with zeros left out, a null value, equal rows and a constant feature."""
+    rng = np.random.default_rng(5)
+    dense = np.round(rng.normal(size=(40, 3)), 2)
+    dense[:, 1] = np.where(dense[:, 1] > 0.4, dense[:, 1], 0.0)
+    dense[20:26] = dense[0]
+    dense = np.column_stack([dense, np.full(40, 7.0)])
+    rows = [(i, [j for j in range(4) if dense[i, j] != 0], [float(v) for v in dense[i] if v != 0]) for i in range(40)]
+    dense = np.vstack([dense, [0.0, 0.0, 1.0, 7.0]])
+    rows.append((40, [0, 2, 3], [None, 1.0, 7.0]))
+    df = spark.createDataFrame(rows, "id long, idx array<int>, val array<double>").repartition(5)
+    m = IF.fit_isolation_forest(df, "id", 4, n_trees=6, contamination=None, seed=3, idx_col="idx", val_col="val")
+    limit, got = 6, {}
+    for r in m.nodes.itertuples():
+        got.setdefault(r.tree, {})[r.node] = r
+
+    def grow(tree, ids, heap, depth, node):
+        r = got[tree][node]
+        assert (r.size, r.depth) == (len(ids), depth)
+        grid = np.floor(dense[ids] * IF.GRID + 0.5).astype(np.int64)
+        lo, hi = grid.min(0), grid.max(0)
+        free = [f for f in range(4) if hi[f] > lo[f]]
+        if depth == limit or not free:
+            assert r.feature == -1
+            return 1
+        f = min(free, key=lambda f: hashlib.md5(f"3|{tree}|{heap}|{f}".encode()).hexdigest())
+        at = int(lo[f]) + 1 + int(hashlib.md5(f"3|{tree}|{heap}|cut".encode()).hexdigest()[:13], 16) % int(hi[f] - lo[f])
+        assert (r.feature, r.threshold) == (f, (at - 0.5) / IF.GRID)
+        low = [i for i in ids if dense[i, f] < r.threshold]
+        high = [i for i in ids if dense[i, f] >= r.threshold]
+        assert low and high
+        return 1 + grow(tree, low, 2 * heap + 1, depth + 1, r.left) + grow(tree, high, 2 * heap + 2, depth + 1, r.right)
+
+    assert sorted(got) == list(range(6))
+    for tree in got:
+        assert grow(tree, list(range(41)), 0, 0, 0) == len(got[tree])
+
+
+def test_isolation_forest_draws(spark):
+    """Each tree takes psi different rows, trees differ, all rows have their turn; one row alone is a leaf."""
+    df = spark.range(3000).selectExpr("id", "array(0) as feat_idx", "array(double(id % 2)) as feat_val")
+    drawn = IF._draw(df, "id", 100, 256, 512 / 3000, 42).toPandas()
+    assert (drawn.groupby("tree")["id"].nunique() == 256).all() and len(drawn) == 25600
+    turns = drawn["id"].value_counts().reindex(range(3000), fill_value=0)
+    assert abs(turns.mean() - 100 * 256 / 3000) < 1e-9 and 2.0 < turns.std() < 3.8  # binomial: 2.79
+    one = IF.fit_isolation_forest(df.limit(1), "id", 1, n_trees=3, contamination=None)
+    assert list(one.nodes["size"]) == [1, 1, 1] and one.score(df.limit(1), "id").first()[1] == -1.0
