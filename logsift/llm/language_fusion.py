@@ -14,9 +14,12 @@ Scores are whole numbers, summed exactly, so a row's result doesn't depend on it
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -112,29 +115,39 @@ def score(docs: DataFrame, model: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, f"{schema}, n_grams bigint, loglik array<double>")
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once a row, not once for each element that uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _add(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+
+
 def softmax(logs: Column) -> Column:
-    e = F.transform(logs, lambda x: F.exp(x - F.array_max(logs)))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y))
+    shifted = lambda l: _let(F.array_max(l), lambda m: F.transform(l, lambda x: F.exp(x - m)))
+    return _let(logs, lambda l: _let(shifted(l), lambda e: _let(_add(e), lambda s: F.transform(e, lambda x: x / s))))
 
 
-def _sums(size: int) -> list[Column]:
-    return [F.sum(F.col("text_posterior")[i]).alias(f"s{i}") for i in range(size)]
+def _sum(column: str) -> Column:
+    """Sum of arrays, place by place: one aggregate however many languages there are."""
+    return vector_to_array(Summarizer.sum(array_to_vector(F.col(column))))
 
 
-def _array(size: int, prefix: str = "") -> Column:
-    return F.array(*[F.coalesce(F.col(f"{prefix}s{i}"), F.lit(0.0)) for i in range(size)])
+def _total(df: DataFrame, column: str, size: int) -> np.ndarray:
+    r = df.groupBy(F.lit(1)).agg(_sum(column).alias("sums")).first()
+    return np.zeros(size) if r is None else np.array(r["sums"])
 
 
 def _evidence(rows: DataFrame, told: DataFrame, column: str, size: int, out: str) -> DataFrame:
     """``rows`` with log P(value | l) as array ``out``: each value that some told row has is counted, as
     a grouped table that joins back.  Null, or a value no told row has, is no evidence."""
-    sums = told.filter(F.col(column).isNotNull()).groupBy(column).agg(*_sums(size))
-    sums = stage(sums.select(F.col(column).alias("value"), _array(size).alias("n")), "language-values")
-    r = sums.agg(F.count(F.lit(1)).alias("values"), *[F.sum(F.col("n")[i]).alias(f"s{i}") for i in range(size)]).first()
-    nothing = F.array(*[F.lit(0.0)] * size)
-    if not r["values"]:
+    sums = told.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(_sum("text_posterior").alias("n"))
+    sums = stage(sums, "language-values")
+    values, nothing = sums.count(), F.lit(np.zeros(size))
+    if not values:
         return rows.withColumn(out, nothing)
-    total = F.array(*[F.lit((r[f"s{i}"] or 0.0) + r["values"] + 1) for i in range(size)])
+    total = F.lit(_total(sums, "n", size) + values + 1)
     logs = sums.select("value", F.zip_with("n", total, lambda n, t: F.log((n + 1) / t)).alias(out))
     return rows.join(logs, F.col(column) == F.col("value"), "left").drop("value").withColumn(out, F.coalesce(out, nothing))
 
@@ -179,30 +192,28 @@ def identify(docs: DataFrame, languages: list[str] | None = None, min_posterior:
     rows = stage(score(base, train(labelled, languages)).withColumn("text_posterior", softmax(F.col("loglik"))), "language-scores")
 
     told = rows.filter("n_grams > 0")
-    r = told.agg(*_sums(size)).first()
-    total = [(r[f"s{i}"] or 0.0) + 1.0 for i in range(size)]
-    world = F.array(*[F.lit(t / sum(total)) for t in total])
-    hosts = told.groupBy("parent", "host").agg(*_sums(size))
-    parents = hosts.groupBy("parent").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(size)])
-    hosts = (hosts.filter("host is not null").select(F.col("parent").alias("hp"), F.col("host").alias("hh"), _array(size).alias("host_sums"))
-             .join(parents.select(F.col("parent").alias("pp"), _array(size).alias("parent_sums")), F.col("hp").eqNullSafe(F.col("pp"))))
+    total = _total(told, "text_posterior", size) + 1.0
+    world = F.lit(total / total.sum())
+    hosts = told.groupBy("parent", "host").agg(_sum("text_posterior").alias("host_sums"))
+    parents = hosts.groupBy(F.col("parent").alias("pp")).agg(_sum("host_sums").alias("parent_sums"))
+    hosts = (hosts.filter("host is not null").select(F.col("parent").alias("hp"), F.col("host").alias("hh"), "host_sums")
+             .join(parents, F.col("hp").eqNullSafe(F.col("pp"))))
     hosts = hosts.select("hp", "hh", "host_sums", F.when(F.col("hp").isNotNull(), F.col("parent_sums")).alias("parent_sums"))
     known = _evidence(_evidence(rows, told, "declared", size, "d"), told, "suffix", size, "u")
     keyed = known.join(hosts, F.col("parent").eqNullSafe(F.col("hp")) & (F.col("host") == F.col("hh")), "left")
-    nothing = F.array(*[F.lit(0.0)] * size)
+    nothing = F.lit(np.zeros(size))
     own = F.when(F.col("n_grams") > 0, F.col("text_posterior")).otherwise(nothing)
 
     def smoothed(sums: Column, prior: Column) -> Column:
         rest = F.zip_with(F.coalesce(sums, own), own, lambda a, b: F.greatest(a - b, F.lit(0.0)))
-        n = F.aggregate(rest, F.lit(0.0), lambda a, x: a + x)
-        return F.zip_with(rest, prior, lambda a, p: (a + HOST_WEIGHT * p) / (n + HOST_WEIGHT))
+        return _let(rest, lambda r: _let(_add(r), lambda n: F.zip_with(r, prior, lambda a, p: (a + HOST_WEIGHT * p) / (n + HOST_WEIGHT))))
 
     prior = F.when(F.col("host_sums").isNull(), world).otherwise(
         smoothed(F.col("host_sums"), F.when(F.col("parent_sums").isNull(), world).otherwise(smoothed(F.col("parent_sums"), world))))
     text = F.when(F.col("n_grams") > 0, F.col("loglik")).otherwise(nothing)
     keyed = keyed.withColumn("prior", prior).withColumn("t", text)
     logs = F.transform(F.arrays_zip("t", "prior", "d", "u"), lambda x: x["t"] + F.log(x["prior"]) + x["d"] + x["u"])
-    names = F.lit(languages)
+    names = F.from_json(F.lit(json.dumps(languages)), "array<string>")
     best = lambda c: F.element_at(names, F.array_position(c, F.array_max(c)).cast("int"))
     keyed = keyed.withColumn("posteriors", softmax(logs))
     keyed = keyed.withColumn("posterior", F.array_max("posteriors"))
