@@ -33,7 +33,7 @@ RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "
 MAX_RULES = 1000
 FEATURES = 1 << 18
 #: DNS labels have at most 63 characters; longer names aren't host names and stay whole.
-LONGEST_NAME, LONGEST_WORD = 63, 24
+LONGEST_NAME = 63
 SEED_COUNT = 50
 #: Weight, in tokens, of the shares over all urls in a label's own.
 SMOOTH = 10.0
@@ -113,9 +113,9 @@ def segment_names(names: DataFrame, lexicon: DataFrame, seeds=SEEDS) -> DataFram
     total = (counts.agg(F.sum("n").alias("n")).first()["n"] or 0) + 1
     short = names.filter(F.length("name") <= LONGEST_NAME)
     parts = (short.withColumn("at", F.explode(F.sequence(F.lit(1), F.length("name"))))
-             .withColumn("size", F.explode(F.sequence(F.lit(1), F.least(F.lit(LONGEST_WORD), F.length("name") - F.col("at") + 1))))
+             .withColumn("size", F.explode(F.sequence(F.lit(1), F.length("name") - F.col("at") + 1)))
              .select("name", F.col("name").substr(F.col("at"), F.col("size")).alias("word")).distinct())
-    # a name has at most 63 * 24 substrings, so its list of words is short
+    # a name has at most 63 * 64 / 2 substrings, so its list of words is short
     known = parts.join(counts, "word").groupBy("name").agg(F.collect_list(F.struct("word", "n")).alias("known"))
 
     def run(batches: Iterator) -> Iterator:

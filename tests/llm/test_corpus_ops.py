@@ -368,6 +368,23 @@ def test_urls(spark):
     assert url_words.judge(df.filter("false")).count() == 0
 
 
+def test_long_words_are_known(spark):
+    """A word of any length that the pages hold is split off."""
+    long = "incomprehensibilitiesabroad"
+    rows = [(i, f"http://{long}cheap.net/", f"<p>{long} and cheap things</p>") for i in range(30)]
+    got = url_words.judge(spark.createDataFrame(rows, "id bigint, url string, text string")).first()
+    assert len(long) > 24 and got.host_words[:2] == [long, "cheap"]
+
+
+def test_many_languages_in_one_plan(spark):
+    """300 declared values, most of them on one row alone: one result a row, posteriors over all of them."""
+    rows = [(i, f"plain words of text {i % 7}", f"l{i:03d}" if i < 300 else "en", None, f"h{i % 5}.net", "net") for i in range(400)]
+    df = spark.createDataFrame(rows, "id bigint, text string, declared string, suffix string, host string, parent string")
+    got = language_fusion.identify(df).select("id", "language", "posterior", F.size("posteriors").alias("k"),
+                                              F.aggregate("posteriors", F.lit(0.0), lambda a, x: a + x).alias("s")).collect()
+    assert len(got) == 400 and all(r.k == 301 and abs(r.s - 1) < 1e-9 and r.language for r in got)
+
+
 def test_best_split_equals_all_splits():
     words_n = {"the": 50, "there": 20, "re": 5, "cas": 1, "casino": 9, "in": 30, "o": 3}
 
