@@ -422,7 +422,7 @@ def q_evaluate_windows(spark, sf_dir):
                         "total", "actual_positives", "predicted_positives")])
 
 
-# -- models (rows-only checks: library-grade randomness has no SQL twin) -----------
+# -- models -----------------------------------------------------------------------
 
 def q_isolation_forest(spark, sf_dir):
     from logsift.plans.runs import run_windows
