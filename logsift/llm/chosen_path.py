@@ -19,7 +19,9 @@ yet connected keeps being compared.  The second level goes ``STEPS`` steps at on
 large nodes with several labels are texts that are alike without being linked, such as many that
 share one passage: trees don't part those.  An exact join over these rows ends the search:
 rarest-first prefixes with a position filter, under which shared passages pair nobody.  It first
-links the rows of each prefix hash to one of them, then joins what that left unconnected.
+links the rows of each prefix hash to one of them, then joins what that left unconnected.  Both joins
+ask the sets' parity bits: the bits in which two sets differ are never more than the hashes in which they
+do, so near copies that are just not alike enough pair hardly ever, and no link is lost.
 
 Before whole sets are fetched, the two one-bit sketches of 64 coordinates must differ in few
 bits (``max_different``: a pair at the threshold fails once in 1e9).  Links are confirmed on whole sets of 64-bit shingle hashes.
@@ -33,7 +35,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
@@ -44,6 +46,8 @@ TREES = 16
 SMALL = 32
 SECOND = 0.35
 LEVELS, STEPS = 2, 4
+#: Counters of hashes, which order the prefixes of the last join.
+BUCKETS = 1 << 18
 #: Row ids (16 bytes each) that may be broadcast.
 MAX_BROADCAST = 1_000_000
 
@@ -186,32 +190,77 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
+def parity_bits(h: np.ndarray) -> np.ndarray:
+    """64-bit words, four to eight bits a hash of a set; a bit tells whether an odd number of hashes fall on it."""
+    size = 64 << (max(len(h) - 1, 0) // 16).bit_length()
+    odd = np.bincount((h & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def least_different(a: str, b: str) -> Column:
+    """The hashes in which two sets differ at least, by their parity bits; of two lengths, the double one is folded."""
+    differ = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, k: s + k)
+    fold = lambda x, y: F.zip_with(F.slice(x, 1, F.size(y)), F.slice(x, F.size(y) + 1, F.size(y)), lambda p, q: p.bitwiseXOR(q))
+    return (F.when(F.size(a) == F.size(b), differ(a, b)).when(F.size(a) == 2 * F.size(b), differ(fold(a, b), b))
+            .when(F.size(b) == 2 * F.size(a), differ(a, fold(b, a))).otherwise(0))
+
+
 def prefixes(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(row, sketch, n, prefix, pos, token): the first hashes of the sets of (row, sketch), complete for the threshold.
+    """(row, sketch, n, prefix, pos, token, bits): the first hashes of the sets of (row, sketch), complete for the threshold.
+
+    A set's hashes go in the order of how many of these rows' hashes fall into their bucket, of ``BUCKETS``, rare
+    ones first; a hash that has a bucket for itself pairs nobody.  Two sets at the threshold t share one of their
+    first n - ceil(t n) + 1 in any common order.  What many texts share stands late in this one."""
+    spark, mine = sets.sparkSession, sets.join(members.select("row"), "row", "left_semi")
+
+    def count(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-    A set's hashes go in the order of their frequency among these rows, rare ones first.  Two sets at the
-    threshold t share one of their first n - ceil(t n) + 1.  What many texts share stands late in that order."""
-    tokens = members.join(sets, "row").select("row", F.explode("hashes").alias("token"))
-    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c"))
-    by_row = tokens.join(often, "token").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("set"))
-    n = F.size("set")
-    first = (n - F.ceil(F.lit(num) * n / F.lit(den)) + 1).cast("int")
-    by_row = by_row.select("row", n.alias("n"), F.slice("set", 1, first).alias("head"))
-    shared = F.transform(F.filter("head", lambda e: e["c"] > 1), lambda e: e["token"])
-    return (by_row.select("row", "n", shared.alias("prefix"), F.posexplode("head").alias("pos", "e")).filter("e.c > 1")
-            .join(members, "row").select("row", "sketch", "n", "prefix", "pos", F.col("e.token").alias("token")))
+        total = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            flat = batch.column("hashes").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            total += np.bincount((flat % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "c"])
+
+    got = mine.select("hashes").mapInArrow(count, "bucket bigint, c bigint").groupBy("bucket").agg(F.sum("c").alias("c")).toArrow()
+    often = np.zeros(BUCKETS, np.int64)
+    often[got.column("bucket").to_numpy()] = got.column("c").to_numpy()
+    held = spark.sparkContext.broadcast(often)
+
+    def head(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            n, out = [], {"prefix": [], "pos": [], "bits": []}
+            for s in batch.column("hashes"):
+                h = s.values.to_numpy(zero_copy_only=False).view(np.uint64)
+                c = held.value[(h % np.uint64(BUCKETS)).astype(np.int64)]
+                first = np.lexsort((h, c))[:len(h) + num * len(h) // -den + 1]
+                shared = np.flatnonzero(c[first] > 1)
+                n.append(len(h))
+                for name, v in (("prefix", h[first[shared]].view(np.int64)), ("pos", shared), ("bits", parity_bits(h))):
+                    out[name].append(v)
+            lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(x) for x in v]).astype(np.int32)),
+                                              pa.array(np.concatenate([*v, np.zeros(0, np.int64)]))) for v in out.values()]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(n, pa.int64()), *lists], ["row", "n", *out])
+
+    heads = mine.mapInArrow(head, "row bigint, n bigint, prefix array<bigint>, pos array<bigint>, bits array<bigint>")
+    return (heads.join(members, "row").select("row", "sketch", "n", "prefix", "bits", F.explode(F.arrays_zip("pos", F.col("prefix").alias("token"))).alias("e"))
+            .select("row", "sketch", "n", "prefix", F.col("e.pos").alias("pos"), F.col("e.token").alias("token"), "bits"))
 
 
 def prefix_pairs(pre: DataFrame, other: DataFrame, num: int, den: int, near: int, once: bool = False) -> DataFrame:
     """Pairs (u, v) of rows with different labels that share a prefix hash at places that leave room for the
-    overlap that is needed, at the first hash that they share.  Both tables: (row, sketch, n, prefix, pos,
-    token, label)."""
-    other = other.select("token", *[F.col(c).alias(c + "2") for c in ("row", "n", "prefix", "pos", "sketch", "label")])
+    overlap that is needed, at the first hash that they share, and whose parity bits don't differ in too many
+    hashes for it.  Both tables: (row, sketch, n, prefix, pos, token, bits, label)."""
+    other = other.select("token", *[F.col(c).alias(c + "2") for c in ("row", "n", "prefix", "pos", "sketch", "bits", "label")])
     need = F.lit(num) * (F.col("n") + F.col("n2"))  # of (num + den) times the overlap
     room = F.lit(num + den) * F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))
     return (pre.join(other, "token")
             .filter((F.col("row") < F.col("row2") if once else F.col("row") != F.col("row2")) & (F.col("label") != F.col("label2")) & (room >= need)
                     & (F.lit(den) * F.least("n", "n2") >= F.lit(num) * F.greatest("n", "n2")) & (F.bit_count(F.col("sketch").bitwiseXOR(F.col("sketch2"))) <= near)
+                    & (F.lit(num + den) * least_different("bits", "bits2") <= F.lit(den - num) * (F.col("n") + F.col("n2")))
                     & (F.element_at(F.array_intersect("prefix", "prefix2"), 1) == F.col("token")))
             .select(F.least("row", "row2").alias("u"), F.greatest("row", "row2").alias("v")))
 
@@ -252,7 +301,7 @@ def links(reps: DataFrame, texts: DataFrame, width: int, num: int, den: int) ->
         pre = stage(prefixes(rest.select("row", "sketch"), sets, num, den), "prefixes")
         # first each hash links its rows to one of them, then what isn't connected yet meets in full
         told = pre.join(rest.select("row", "label"), "row")
-        heads = told.groupBy("token").agg(F.min_by(F.struct("row", "n", "prefix", "pos", "sketch", "label"), F.xxhash64("token", "row")).alias("h")).select("token", "h.*")
+        heads = told.groupBy("token").agg(F.min_by(F.struct("row", "n", "prefix", "pos", "sketch", "bits", "label"), F.xxhash64("token", "row")).alias("h")).select("token", "h.*")
         found.append(stage(confirm(new_pairs(prefix_pairs(told, heads, num, den, near), compared), sets, num, den), "links"))
         told = pre.join(labelled(rest, found).select("row", "label"), "row")
         found.append(stage(confirm(new_pairs(prefix_pairs(told, told, num, den, near, once=True), compared), sets, num, den), "links"))

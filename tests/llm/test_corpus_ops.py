@@ -131,6 +131,43 @@ def test_near_components_equal_all_pairs(spark, near, monkeypatch):
     assert {i for i, r in got.items() if r.kept} == set(want.values())
 
 
+def test_parity_bits_never_exceed_the_difference(spark):
+    rng = np.random.default_rng(4)
+    sets = [rng.integers(-2**63, 2**63, n) for n in (1, 2, 16, 17, 32, 33, 60, 64, 65, 70, 128, 129, 130, 300)]
+    sets += [np.unique(np.concatenate([s[k:], rng.integers(-2**63, 2**63, k)])) for s in sets for k in (1, len(s) // 5)]
+    words = [chosen_path.parity_bits(np.unique(s).view(np.uint64)).tolist() for s in sets]
+    assert [len(w) for w in words[:6]] == [1, 1, 1, 2, 2, 4]
+    bits = spark.createDataFrame(list(enumerate(words)), "row bigint, bits array<bigint>")
+    other = bits.select(F.col("row").alias("row2"), F.col("bits").alias("bits2"))
+    got = bits.crossJoin(other).select("row", "row2", chosen_path.least_different("bits", "bits2").alias("least")).collect()
+    tight = 0
+    for r in got:
+        differ = len(np.setxor1d(sets[r.row], sets[r.row2]))
+        assert r.least <= differ and (r.row != r.row2 or r.least == 0)
+        tight += r.least >= 0.7 * differ > 0
+    assert tight > 100
+
+
+def test_near_copies_below_the_threshold_pair_hardly_ever(spark):
+    """A dense group: 80 near copies of one text at some 0.8 of each other, and two that are links."""
+    rng = np.random.default_rng(6)
+    base = rng.integers(-2**63, 2**63, 150)
+    sets = []
+    for _ in range(80):
+        s = base.copy()
+        s[rng.choice(150, 9, replace=False)] = rng.integers(-2**63, 2**63, 9)
+        sets.append(np.unique(s))
+    sets.append(np.unique(np.concatenate([sets[0][5:], rng.integers(-2**63, 2**63, 5)])))
+    alike = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+    want = {(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if alike(sets[i], sets[j]) >= 0.85}
+    assert want == {(0, 80)}
+    df = spark.createDataFrame([(i, s.tolist()) for i, s in enumerate(sets)], "row bigint, hashes array<bigint>")
+    members = df.select("row", F.lit(0).cast("long").alias("sketch"))
+    pre = chosen_path.prefixes(members, df, 85, 100).withColumn("label", F.col("row"))
+    got = [(r.u, r.v) for r in chosen_path.prefix_pairs(pre, pre, 85, 100, 64, once=True).collect()]
+    assert want <= set(got) and len(got) == len(set(got)) and len(got) < 40
+
+
 def test_drop_near_keeps_one_of_each(spark, near):
     want = slow_components(slow_sets(near, 5), 80, 100)
     df = clash(spark.createDataFrame(near, "doc_id bigint, text string"))
