@@ -6,20 +6,24 @@ k-nearest neighbours are found with a space partition instead of a cross join:
    a billion times is one row;
 2. a k-d tree is built on the driver from a bounded hash sample of the
    distinct points; its leaves (boxes) hold about ``leaf_size`` points each;
-   points are routed to leaves in ``mapInPandas`` (narrow);
-3. per leaf (``applyInPandas``, bounded by the leaf size) every point gets its
-   k nearest samples inside the leaf and a tentative radius r;
-4. a point whose ball B(p, r) leaves its box asks only the leaves whose boxes
-   meet the ball; those leaves return their points within r;
-5. the k nearest (distance, point) over local and remote candidates are kept
-   with a per-point window (bounded: <= k + candidates inside r);
+   points are routed to leaves in ``mapInPandas`` (narrow); neighbouring leaves
+   form a strip of bounded size, more strips than cores where there are leaves;
+3. per strip (``applyInArrow``) every point gets its k nearest samples inside
+   the strip and a tentative radius r;
+4. a strip asks the leaves outside it whose boxes meet the ball B(p, r) of one
+   of its points; those leaves' points stream past it, and each is compared with
+   the points whose ball, which shrinks meanwhile, meets its leaf's box;
+5. a matrix product rules out most pairs, with room for its rounding; the
+   distances of the others are computed as they always were, and the k nearest
+   (distance, point) are kept;
 6. k-distance, reachability, local reachability density and the factor are
    joins and aggregates.  score = -LOF (lower = more anomalous).
 
-Exact: a neighbour outside every queried box is farther than r.  Work is
-bounded by leaf size and by how many boxes the balls meet, which stays small
-in the low dimensions this is meant for (window metadata); it grows towards
-all pairs only for high-dimensional data.
+Exact: a neighbour outside every asked box is farther than r.  A task holds one
+strip and one batch of other points.  What is shuffled is each leaf once for each
+strip that asks it, which stays near the input in low dimensions (window
+metadata).  In many dimensions without clusters every strip asks every leaf: the
+exact work is all pairs there, a multiplication for each pair and dimension.
 """
 
 from __future__ import annotations
@@ -28,12 +32,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logsift.session import ship_package, staged
 
 EPS = 1e-10
+#: What a strip's points and their neighbours take, about.
+STRIP_BYTES = 16 << 20
 
 
 @dataclass
@@ -97,35 +103,106 @@ def _box_dist(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return np.sqrt((gap ** 2).sum(axis=2))
 
 
-def _knn_rows(pid, x, m, qid, qx, qm, k, radius=None):
-    """Candidate neighbours of queries among points: rows (q, o, d, w).
-
-    Own copies (same point) count m-1 at distance 0.  Each query keeps its k nearest
-    samples (with multiplicity), those within ``radius`` if that is given."""
-    out_q, out_o, out_d, out_w = [], [], [], []
-    for s in range(0, len(qid), 512):
-        dq = np.sqrt(((qx[s:s + 512, None, :] - x[None, :, :]) ** 2).sum(axis=2))
-        for i in range(dq.shape[0]):
-            q = qid[s + i]
-            dist = dq[i]
-            same = pid == q
-            w = m.copy()
-            w[same] = m[same] - 1
-            keep = w > 0
-            if radius is not None:
-                keep &= dist <= radius[s + i]
-            idx = np.flatnonzero(keep)
-            if idx.size == 0:
-                continue
-            order = idx[np.lexsort((pid[idx], dist[idx]))]
-            # k samples are enough, within a radius too: no neighbour can lie beyond them
-            cum = np.cumsum(w[order])
-            order = order[:np.searchsorted(cum, k) + 1]
-            out_q += [q] * len(order)
-            out_o += list(pid[order])
-            out_d += list(dist[order])
-            out_w += list(w[order])
-    return out_q, out_o, out_d, out_w
+class _Nearest:
+    """The k nearest samples (with multiplicity) of some points, as batches of other points come by."""
+
+    def __init__(self, pid, x, k, kept=None):
+        self.pid, self.x, self.k = pid, x, k
+        self.centre = x.mean(axis=0)
+        self.a = x - self.centre
+        self.a2 = (self.a ** 2).sum(axis=1)
+        self.kept = kept or (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
+        self.new, self.waiting = [], 0
+        self.settle()
+
+    def settle(self):
+        """Keep the k nearest of what was kept and what came since; the k-th is the radius."""
+        q, o, d, w = (np.concatenate(c) for c in zip(self.kept, *self.new, strict=True))
+        order = np.lexsort((o, d, q))
+        q, o, d, w = q[order], o[order], d[order], w[order]
+        first = np.flatnonzero(np.diff(q, prepend=-1))
+        before = np.cumsum(w) - w
+        before -= np.repeat(before[first], np.diff(first, append=len(q)))
+        w = np.minimum(w, self.k - before)
+        self.kept = q, o, d, w = tuple(c[w > 0] for c in (q, o, d, w))
+        self.new, self.waiting = [], 0
+        self.r = np.full(len(self.pid), np.inf)
+        last = np.flatnonzero(np.diff(q, append=-1))
+        full = np.bincount(q, w, len(self.pid))[q[last]] >= self.k
+        self.r[q[last[full]]] = d[last[full]]
+
+    def add(self, rows, pid, x, m):
+        """Compare the points number ``rows`` with a batch of points; a point's own copies count m - 1 at distance 0."""
+        if not len(rows) or not len(x):
+            return
+        n, dim = x.shape
+        b = x - self.centre
+        b2 = (b ** 2).sum(axis=1)
+        others = {}
+        step = max(1, (1 << 20) // n)
+        for s in range(0, len(rows), step):
+            at = rows[s:s + step]
+            r2 = self.r[at] ** 2
+            reach = (np.sqrt(self.a2[at].max()) + np.sqrt(b2.max())) ** 2
+            slack = lambda kind: 4 * (dim + 8) * float(np.finfo(kind).eps) * reach
+            kind = np.float32 if reach < 1e30 and slack(np.float32) <= 0.01 * np.median(r2) else np.float64
+            if kind not in others:
+                others[kind] = np.column_stack([b, np.ones(n), b2]).astype(kind)
+            lim = np.minimum(r2, 1e30 if kind == np.float32 else 1e300)
+            mine = np.column_stack([-2 * self.a[at], self.a2[at] - lim - slack(kind), np.ones(len(at))]).astype(kind)
+            near = np.flatnonzero(~((mine @ others[kind].T).ravel() > 0))  # squared distance less squared radius
+            for t in range(0, len(near), 1 << 16):
+                q, o = np.divmod(near[t:t + (1 << 16)], n)
+                q = at[q]
+                dist = np.sqrt(((self.x[q] - x[o]) ** 2).sum(axis=1))
+                w = m[o] - (pid[o] == self.pid[q])
+                keep = (w > 0) & (dist <= self.r[q])
+                self.new.append((q[keep], pid[o[keep]], dist[keep], w[keep]))
+                self.waiting += int(keep.sum())
+            if self.waiting > max(1 << 17, len(self.kept[0]) // 2):
+                self.settle()
+
+
+def _meets(x, r, lo, hi):
+    """Numbers of the points whose ball of radius ``r`` meets the box."""
+    return np.flatnonzero(_box_dist(x, lo[None, :], hi[None, :])[:, 0] <= r)
+
+
+def _points(table, d):
+    """(leaf, pid, m, x) of an Arrow table or batch."""
+    leaf, pid, m = (table.column(c).to_numpy() for c in ("_leaf", "_pid", "_m"))
+    return leaf, pid, m, np.frombuffer(b"".join(table.column("_x").to_pylist()), "<f8").reshape(-1, d)
+
+
+def _strip_neighbours(leaf, pid, m, x, k, lo, hi):
+    """The k nearest inside the strip, first in a point's own leaf, then in the leaves that its ball meets."""
+    own = [(leaf_id, np.flatnonzero(leaf == leaf_id)) for leaf_id in np.unique(leaf)]
+    kept = []
+    for _, rows in own:
+        some, s, size = _Nearest(pid[rows], x[rows], k), 0, 64
+        while s < len(rows):  # a few points give a first radius
+            part = rows[s:s + size]
+            some.add(np.arange(len(rows)), pid[part], x[part], m[part])
+            some.settle()
+            s, size = s + size, 4 * size
+        kept.append((rows[some.kept[0]], *some.kept[1:]))
+    near = _Nearest(pid, x, k, tuple(np.concatenate(c) for c in zip(*kept, strict=True)))
+    for leaf_id, rows in own:
+        asks = _meets(x, near.r, lo[leaf_id], hi[leaf_id])
+        near.add(asks[leaf[asks] != leaf_id], pid[rows], x[rows], m[rows])
+    near.settle()
+    return near
+
+
+def _asked(leaf, x, r, lo, hi):
+    """Leaves outside the strip whose box meets the ball of one of its points."""
+    inside, out = set(leaf.tolist()), []
+    low, high, far = x.min(axis=0), x.max(axis=0), r.max()
+    gap = np.maximum(lo - high, 0) + np.maximum(low - hi, 0)
+    for box in np.flatnonzero(np.sqrt((gap ** 2).sum(axis=1)) <= far).tolist():
+        if box not in inside and any(len(_meets(x[s:s + 1024], r[s:s + 1024], lo[box], hi[box])) for s in range(0, len(x), 1024)):
+            out.append(box)
+    return out
 
 
 @dataclass
@@ -141,6 +218,7 @@ def local_outlier_factor(df: DataFrame, key: str, cols: list[str], n_neighbors:
 
     ``df``: one row per item with numeric ``cols`` (low dimension); a null or NaN
     feature is an error."""
+    from logsift.llm.common import even_keys
     from logsift.operators.order import quantile_exact
 
     spark = df.sparkSession
@@ -167,81 +245,86 @@ def local_outlier_factor(df: DataFrame, key: str, cols: list[str], n_neighbors:
         raise ValueError("point id collision; perturb the seed")
     rate = min(1.0, sample_size / n_distinct)
     u = F.pmod(F.xxhash64("_pid", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
-    sample = np.array(pts.filter(u < rate).select(*cols).collect(), dtype=float).reshape(-1, d)
+    drawn = pts.filter(u < rate).select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(cols)]).toArrow()
+    sample = np.column_stack([c.to_numpy() for c in drawn.columns]).astype(float).reshape(-1, d)
     leaf_sample = max(1, int(leaf_size * len(sample) / max(1, n_distinct)))
     tree = build_kdtree(sample, leaf_sample)
-
-    def assign(batches):
-        for pdf in batches:
-            x = pdf[cols].to_numpy(dtype=float)
-            pdf = pdf.assign(_leaf=route(tree, x))
-            yield pdf
-
-    schema = ", ".join(f"`{c}` double" for c in cols) + ", _m long, _pid long, _leaf long"
-    placed = staged(pts.mapInPandas(assign, schema), "lof-leaves")
-
-    def local(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf[cols].to_numpy(dtype=float)
-        pid, m = pdf["_pid"].to_numpy(), pdf["_m"].to_numpy()
-        q, o, dd, w = _knn_rows(pid, x, m, pid, x, m, k)
-        return pd.DataFrame({"_q": q, "_o": o, "_d": dd, "_w": w})
-
-    cand_schema = "_q long, _o long, _d double, _w long"
-    local_nb = placed.groupBy("_leaf").applyInPandas(local, cand_schema)
-    # tentative radius: distance at which k samples are reached inside the leaf
-    wr = Window.partitionBy("_q").orderBy("_d", "_o").rowsBetween(Window.unboundedPreceding, 0)
-    rad = (local_nb.withColumn("_cum", F.sum("_w").over(wr))
-           .groupBy("_q").agg(F.min(F.when(F.col("_cum") >= k, F.col("_d"))).alias("_r")))
-    probe = placed.join(rad.withColumnRenamed("_q", "_pid"), "_pid", "left")
-
     lo, hi = tree.box_lo, tree.box_hi
+    # a strip's points with their neighbours take some 16 MB; each strip has a partition of its own
+    size = n_distinct * (8 * d + 24 * k)
+    strips = min(len(lo), max(3 * spark.sparkContext.defaultParallelism, -(-size // STRIP_BYTES)))
+    strip_of = np.array(even_keys(spark, strips))[np.arange(len(lo)) * strips // len(lo)]
 
-    def requests(batches):
+    def assign(batches):
         for pdf in batches:
-            x = pdf[cols].to_numpy(dtype=float)
-            r = pdf["_r"].to_numpy(dtype=float)
-            r = np.where(np.isnan(r), np.inf, r)
-            own = pdf["_leaf"].to_numpy()
-            out_p, out_l, out_r = [], [], []
-            for s in range(0, len(x), 256):
-                bd = _box_dist(x[s:s + 256], lo, hi)
-                hit = bd <= r[s:s + 256, None]
-                hit[np.arange(hit.shape[0]), own[s:s + 256]] = False
-                rows, leaves = np.nonzero(hit)
-                out_p += list(pdf["_pid"].to_numpy()[s + rows])
-                out_l += list(leaves)
-                out_r += list(r[s + rows])
-            if out_p:
-                yield pd.DataFrame({"_q": out_p, "_leaf": out_l, "_r": out_r})
-
-    req = probe.mapInPandas(requests, "_q long, _leaf long, _r double")
-    qpts = req.join(placed.select(F.col("_pid").alias("_q"), *[F.col(c).alias(f"_q_{c}") for c in cols],
-                                  F.col("_m").alias("_qm")), "_q")
-    tagged = (placed.select("_leaf", "_pid", *cols, "_m", F.lit(None).cast("double").alias("_r"),
-                            F.lit(0).alias("_isq"))
-              .unionByName(qpts.select("_leaf", F.col("_q").alias("_pid"),
-                                       *[F.col(f"_q_{c}").alias(c) for c in cols],
-                                       F.col("_qm").alias("_m"), "_r", F.lit(1).alias("_isq"))))
-
-    def remote(pdf: pd.DataFrame) -> pd.DataFrame:
-        base = pdf[pdf["_isq"] == 0]
-        qs = pdf[pdf["_isq"] == 1]
-        if qs.empty or base.empty:
-            return pd.DataFrame({"_q": [], "_o": [], "_d": [], "_w": []})
-        q, o, dd, w = _knn_rows(base["_pid"].to_numpy(), base[cols].to_numpy(dtype=float),
-                                base["_m"].to_numpy(), qs["_pid"].to_numpy(),
-                                qs[cols].to_numpy(dtype=float), qs["_m"].to_numpy(), k,
-                                radius=qs["_r"].to_numpy(dtype=float))
-        return pd.DataFrame({"_q": q, "_o": o, "_d": dd, "_w": w})
-
-    remote_nb = tagged.groupBy("_leaf").applyInPandas(remote, cand_schema)
-    cands = local_nb.unionByName(remote_nb)
-    wk = Window.partitionBy("_q").orderBy("_d", "_o")
-    before = F.coalesce(F.sum("_w").over(wk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    nb = staged(cands.withColumn("_before", before)
-                .filter(F.col("_before") < k)
-                .withColumn("_w", F.least(F.col("_w"), F.lit(k) - F.col("_before")))
-                .drop("_before"), "lof-neighbours")
+            x = np.ascontiguousarray(pdf[cols].to_numpy(dtype="<f8"))
+            leaf = route(tree, x)
+            yield pd.DataFrame({"_strip": strip_of[leaf], "_leaf": leaf, "_pid": pdf["_pid"], "_m": pdf["_m"],
+                                "_x": [row.tobytes() for row in x]})
+
+    point = "_strip long, _leaf long, _pid long, _m long, _x binary"
+    placed = staged(pts.mapInPandas(assign, point), "lof-leaves")
+
+    def inside(points):
+        import pyarrow as pa
+
+        leaf, pid, m, x = _points(points, d)
+        near = _strip_neighbours(leaf, pid, m, x, k, lo, hi)
+        q, o, dist, w = near.kept
+        at = pa.array(np.searchsorted(q, np.arange(len(pid) + 1)).astype(np.int32))
+        asks = [_asked(leaf, x, near.r, lo, hi), *[[]] * (len(pid) - 1)]  # with the strip's first point
+        more = {"_asks": pa.array(asks, pa.list_(pa.int64()))} | {
+            c: pa.ListArray.from_arrays(at, pa.array(v)) for c, v in (("_o", o), ("_d", dist), ("_w", w))}
+        return pa.table({c: points.column(c) for c in ("_strip", "_leaf", "_pid", "_m", "_x")} | more)
+
+    lists = ", _asks array<long>, _o array<long>, _d array<double>, _w array<long>"
+    known = staged(placed.repartition(strips, "_strip").groupBy("_strip").applyInArrow(inside, point + lists), "lof-strips")
+    asks = known.select("_strip", F.explode("_asks").alias("_leaf"))
+    sent = placed.drop("_strip").join(asks, "_leaf")
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("_o", "array<long>"), ("_d", "array<double>"), ("_w", "array<long>"))]
+    stream = (known.select("_strip", F.lit(0).alias("_kind"), "_leaf", "_pid", "_m", "_x", "_o", "_d", "_w")
+              .unionByName(sent.select("_strip", F.lit(1).alias("_kind"), "_leaf", "_pid", "_m", "_x", *none))
+              .repartition(strips, "_strip").sortWithinPartitions("_strip", "_kind", "_leaf"))
+
+    def outside(batches):
+        import pyarrow as pa
+
+        def start(parts):
+            t = pa.Table.from_batches(parts)
+            _, pid, _, x = _points(t, d)
+            o, dist, w = (t.column(c).combine_chunks() for c in ("_o", "_d", "_w"))
+            q = np.repeat(np.arange(len(pid)), o.value_lengths().to_numpy(zero_copy_only=False))
+            return _Nearest(pid, x, k, (q, *(c.flatten().to_numpy(zero_copy_only=False) for c in (o, dist, w))))
+
+        def done(near):
+            near.settle()
+            q, o, dist, w = near.kept
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in (near.pid[q], o, dist, w)], ["_q", "_o", "_d", "_w"])
+
+        strip, parts, near = None, [], None
+        for batch in batches:
+            kind, strip_at, leaf_at = (batch.column(c).to_numpy().astype(np.int64) for c in ("_kind", "_strip", "_leaf"))
+            change = np.flatnonzero((np.diff(strip_at, prepend=-1) != 0) | (np.diff(kind, prepend=-1) != 0)
+                                    | ((np.diff(leaf_at, prepend=-1) != 0) & (kind == 1)))
+            if len(batch) and (not len(change) or change[0] != 0):
+                change = np.concatenate([[0], change])
+            for s, e in zip(change, [*change[1:], len(kind)], strict=True):
+                part = batch.slice(s, e - s)
+                if strip_at[s] != strip:
+                    if parts or near:
+                        yield done(near or start(parts))
+                    strip, parts, near = strip_at[s], [], None
+                if kind[s] == 0:
+                    parts.append(part)
+                    continue
+                if near is None:
+                    near, parts = start(parts), []
+                leaf, pid, m, x = _points(part, d)
+                near.add(_meets(near.x, near.r, lo[leaf[0]], hi[leaf[0]]), pid, x, m)
+        if parts or near:
+            yield done(near or start(parts))
+
+    nb = staged(stream.mapInArrow(outside, "_q long, _o long, _d double, _w long"), "lof-neighbours")
     kdist = nb.groupBy("_q").agg(F.max("_d").alias("_kd"))
     reach = (nb.join(kdist.withColumnRenamed("_q", "_o").withColumnRenamed("_kd", "_okd"), "_o")
              .withColumn("_reach", F.greatest(F.col("_okd"), F.col("_d"))))

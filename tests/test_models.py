@@ -116,6 +116,40 @@ def test_lof_multi_leaf_matches_brute_force(spark):
     assert model.offset is not None
 
 
+def test_nearest_by_matrix_product_equals_brute_force():
+    """Ties, copies and points far from zero, as batches come by in any order."""
+    from logsift.operators.lof import _Nearest
+    rng = np.random.default_rng(8)
+    for x in (rng.integers(0, 4, (300, 3)).astype(float), rng.normal(size=(400, 64)), 1e6 + 1e-4 * rng.normal(size=(300, 5))):
+        x = np.unique(x, axis=0)
+        pid, m = rng.permutation(len(x)), rng.integers(1, 4, len(x))
+        near = _Nearest(pid, x, 7)
+        for part in np.array_split(rng.permutation(len(x)), 9):
+            near.add(np.arange(len(x)), pid[part], x[part], m[part])
+        near.settle()
+        for i in range(len(x)):
+            d, w, want, left = np.sqrt(((x - x[i]) ** 2).sum(axis=1)), m - (np.arange(len(x)) == i), [], 7
+            for j in np.lexsort((pid, d)):
+                if w[j] and left:
+                    want.append((pid[j], d[j], min(w[j], left)))
+                    left -= min(w[j], left)
+            at = near.kept[0] == i
+            assert list(zip(*(c[at] for c in near.kept[1:]), strict=True)) == want
+
+
+def test_lof_many_dimensions_and_strips_match_brute_force(spark):
+    from logsift.operators.lof import local_outlier_factor
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(500, 16))
+    x[:4] = x[4]
+    x[-3:] += 4.0
+    cols = [f"c{i}" for i in range(16)]
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id long, " + ", ".join(f"{c} double" for c in cols))
+    out, _ = local_outlier_factor(df, "id", cols, 10, contamination=None, leaf_size=30)
+    got, want = {r["id"]: r["lof"] for r in out.collect()}, _lof_brute(x, 10)
+    assert len(got) == 500 and max(abs(got[i] - want[i]) for i in range(500)) < 1e-6
+
+
 def test_robust_covariance_properties(spark):
     from logsift.operators.robust_cov import fit_robust_covariance
     rng = np.random.default_rng(0)
