@@ -24,7 +24,8 @@ ask the sets' parity bits: the bits in which two sets differ are never more than
 do, so near copies that are just not alike enough pair hardly ever, and no link is lost.
 
 Before whole sets are fetched, the two one-bit sketches of 64 coordinates must differ in few
-bits (``max_different``: a pair at the threshold fails once in 1e9).  Links are confirmed on whole sets of 64-bit shingle hashes.
+bits (``max_different``: a pair at the threshold fails once in 1e9), and the parity bits, kept with the coordinates, in no more
+than a link allows.  Links are confirmed on whole sets of 64-bit shingle hashes, which only the rows of such pairs need.
 
 Equal sets are first collapsed to the smallest row (128-bit digest), so exact copies cost nothing.
 """
@@ -73,7 +74,7 @@ def _functions() -> tuple[np.ndarray, np.ndarray]:
 
 
 def features(rows: DataFrame, width: int) -> DataFrame:
-    """(row, n, digest, sketch, coordinates) of (row, text); coordinates: 64 little-endian 32-bit numbers."""
+    """(row, n, digest, sketch, coordinates, bits) of (row, text); coordinates: 64 little-endian 32-bit numbers; bits: ``parity_bits``."""
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -93,11 +94,13 @@ def features(rows: DataFrame, width: int) -> DataFrame:
                 token = shingles.mix(low.astype(np.uint64) + (np.arange(COORDINATES, dtype=np.uint64) << np.uint64(33))[:, None])
                 sketch = ((token & np.uint64(1)) << np.arange(COORDINATES, dtype=np.uint64)[:, None]).sum(0, dtype=np.uint64).view(np.int64)
                 sig = np.ascontiguousarray(low.T)
+                words = [parity_bits(s) for s in sets]
+                bits = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(w) for w in words]).astype(np.int32)), pa.array(np.concatenate(words)))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("row"), pa.array(n), pa.array(digest, pa.binary()), pa.array(sketch),
-                     pa.array([s.tobytes() for s in sig], pa.binary())], ["row", "n", "digest", "sketch", "coordinates"])
+                     pa.array([s.tobytes() for s in sig], pa.binary()), bits], ["row", "n", "digest", "sketch", "coordinates", "bits"])
 
-    return rows.mapInArrow(run, "row bigint, n bigint, digest binary, sketch bigint, coordinates binary")
+    return rows.mapInArrow(run, "row bigint, n bigint, digest binary, sketch bigint, coordinates binary, bits array<bigint>")
 
 
 def _children(nodes: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -170,13 +173,16 @@ def whole_sets(rows: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(run, "row bigint, hashes array<bigint>")
 
 
+def only(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Those of ``rows`` whose row is in ``ids``.  Where the ids are few enough they are broadcast, and no row is shuffled."""
+    return rows.join(F.broadcast(ids) if ids.count() <= MAX_BROADCAST else ids, "row", "left_semi")
+
+
 def confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (u, v) with den * intersection >= num * union on whole sets, which are intersected in the
     JVM, a pair at a time.  Only sets that are asked for are shuffled, where their ids are few enough to broadcast."""
     def asked(c: str, name: str) -> DataFrame:
-        ids = pairs.select(F.col(c).alias("row")).distinct()
-        some = sets.join(F.broadcast(ids), "row", "left_semi") if ids.count() <= MAX_BROADCAST else sets
-        return some.select(F.col("row").alias(c), F.col("hashes").alias(name))
+        return only(sets, pairs.select(F.col(c).alias("row"))).select(F.col("row").alias(c), F.col("hashes").alias(name))
 
     both = pairs.join(asked("u", "ha"), "u").join(asked("v", "hb"), "v")
     both = both.withColumn("same", F.size(F.array_intersect("ha", "hb")))
@@ -205,6 +211,11 @@ def least_different(a: str, b: str) -> Column:
             .when(F.size(b) == 2 * F.size(a), differ(a, fold(b, a))).otherwise(0))
 
 
+def may_link(num: int, den: int) -> Column:
+    """Whether (n, bits) and (n2, bits2) differ in few enough hashes for a link, as far as their parity bits tell."""
+    return F.lit(num + den) * least_different("bits", "bits2") <= F.lit(den - num) * (F.col("n") + F.col("n2"))
+
+
 def prefixes(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """(row, sketch, n, prefix, pos, token, bits): the first hashes of the sets of (row, sketch), complete for the threshold.
 
@@ -260,18 +271,18 @@ def prefix_pairs(pre: DataFrame, other: DataFrame, num: int, den: int, near: int
     return (pre.join(other, "token")
             .filter((F.col("row") < F.col("row2") if once else F.col("row") != F.col("row2")) & (F.col("label") != F.col("label2")) & (room >= need)
                     & (F.lit(den) * F.least("n", "n2") >= F.lit(num) * F.greatest("n", "n2")) & (F.bit_count(F.col("sketch").bitwiseXOR(F.col("sketch2"))) <= near)
-                    & (F.lit(num + den) * least_different("bits", "bits2") <= F.lit(den - num) * (F.col("n") + F.col("n2")))
+                    & may_link(num, den)
                     & (F.element_at(F.array_intersect("prefix", "prefix2"), 1) == F.col("token")))
             .select(F.least("row", "row2").alias("u"), F.greatest("row", "row2").alias("v")))
 
 
-def links(reps: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Confirmed links (u, v) between the representatives (row, n, sketch, coordinates)."""
+def connected(reps: DataFrame, bits: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """(node, root) of the representatives (row, n, sketch, coordinates) that have a link; bits: their (row, n, bits)."""
     near = max_different(num, den)
     # sizes alone rule out most pairs, sketches most of the rest
     close = lambda s1, s2, n1, n2: ((F.lit(den) * F.least(n1, n2) >= F.lit(num) * F.greatest(n1, n2))
                                     & (F.bit_count(F.col(s1).bitwiseXOR(F.col(s2))) <= near))
-    level, sets, found, compared = roots(reps), None, [], []
+    level, root, compared = roots(reps), None, []
     for depth in range(1, LEVELS + 1):
         order = F.xxhash64("row", F.lit(depth))  # nodes that share members tend to share their pivot
         sizes = level.groupBy("node").agg(F.count(F.lit(1)).alias("members"), F.min(order).alias("first"),
@@ -287,45 +298,59 @@ def links(reps: DataFrame, texts: DataFrame, width: int, num: int, den: int) ->
         pairs = a.join(b, "node").filter((F.col("row") < F.col("r2")) & (F.col("label") != F.col("l2")) & close("sketch", "s2", "n", "n2")).select(F.col("row").alias("u"), F.col("r2").alias("v"))
         stars = large.filter((F.col("label") != F.col("p_label")) & close("sketch", "p_sketch", "n", "p_n")).select(
             F.least("row", "p_row").alias("u"), F.greatest("row", "p_row").alias("v"))
-        pairs = new_pairs(pairs.unionAll(stars), compared)
-        if sets is None:  # whole sets only of rows in pairs or large nodes, once
-            rows = pairs.select(F.explode(F.array("u", "v")).alias("row")).unionAll(large.select("row")).distinct()
-            sets = stage(whole_sets(texts.join(rows, "row"), width), "sets")
-        found.append(stage(confirm(pairs, sets, num, den), "links"))
-        large = open_members(large, found)
+        pairs = new_pairs(alike(pairs.unionAll(stars).distinct(), bits, num, den), compared)
+        # whole sets only of rows in pairs
+        sets = stage(whole_sets(only(texts, pairs.select(F.explode(F.array("u", "v")).alias("row"))), width), "sets")
+        root = widened(root, stage(confirm(pairs, sets, num, den), "links"))
+        large = open_members(large, root)
         if depth < LEVELS:
             level = branch(large.join(reps.select("row", "coordinates"), "row").select("node", "row", "sketch", "n", "label", "coordinates"))
     # nodes that are still large: an exact join over their members
     rest = stage(large.select("row", "sketch", "label").distinct(), "rest")
     if rest.limit(1).count():
+        sets = stage(whole_sets(only(texts, rest.select("row")), width), "sets")
         pre = stage(prefixes(rest.select("row", "sketch"), sets, num, den), "prefixes")
         # first each hash links its rows to one of them, then what isn't connected yet meets in full
         told = pre.join(rest.select("row", "label"), "row")
         heads = told.groupBy("token").agg(F.min_by(F.struct("row", "n", "prefix", "pos", "sketch", "bits", "label"), F.xxhash64("token", "row")).alias("h")).select("token", "h.*")
-        found.append(stage(confirm(new_pairs(prefix_pairs(told, heads, num, den, near), compared), sets, num, den), "links"))
-        told = pre.join(labelled(rest, found).select("row", "label"), "row")
-        found.append(stage(confirm(new_pairs(prefix_pairs(told, told, num, den, near, once=True), compared), sets, num, den), "links"))
-    return union_all(found).distinct()
+        root = widened(root, stage(confirm(new_pairs(prefix_pairs(told, heads, num, den, near).distinct(), compared), sets, num, den), "links"))
+        told = pre.join(labelled(rest, root).select("row", "label"), "row")
+        root = widened(root, stage(confirm(new_pairs(prefix_pairs(told, told, num, den, near, once=True).distinct(), compared), sets, num, den), "links"))
+    return root
+
+
+def alike(pairs: DataFrame, bits: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (u, v) that their parity bits leave: few but the links, and all of these."""
+    other = bits.select(F.col("row").alias("v"), F.col("n").alias("n2"), F.col("bits").alias("bits2"))
+    return pairs.join(bits.withColumnRenamed("row", "u"), "u").join(other, "v").filter(may_link(num, den)).select("u", "v")
 
 
 def new_pairs(pairs: DataFrame, compared: list[DataFrame]) -> DataFrame:
-    """The distinct pairs that no earlier step compared, written and noted as compared."""
-    pairs = pairs.distinct()
+    """Those of the distinct pairs that no earlier step compared, written and noted as compared."""
     if compared:
         pairs = pairs.join(union_all(compared), ["u", "v"], "left_anti")
     compared.append(stage(pairs, "pairs"))
     return compared[-1]
 
 
-def labelled(rows: DataFrame, found: list[DataFrame]) -> DataFrame:
+def widened(root: DataFrame | None, found: DataFrame) -> DataFrame:
+    """The components (node, root) joined further by the links ``found``."""
+    if root is None:
+        return components(found)
+    if not found.limit(1).count():
+        return root
+    return components(found.unionAll(root.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+
+
+def labelled(rows: DataFrame, root: DataFrame) -> DataFrame:
     """``rows`` with the component that the links found so far give each row as its label."""
-    root = components(union_all(found)).select(F.col("node").alias("row"), "root")
+    root = root.withColumnRenamed("node", "row")
     return rows.drop("label").join(root, "row", "left").withColumn("label", F.coalesce("root", "row")).drop("root")
 
 
-def open_members(large: DataFrame, found: list[DataFrame]) -> DataFrame:
+def open_members(large: DataFrame, root: DataFrame) -> DataFrame:
     """(node, row, sketch, n, label) of the nodes whose members links don't all connect by now."""
-    large = labelled(large.select("node", "row", "sketch", "n"), found)
+    large = labelled(large.select("node", "row", "sketch", "n"), root)
     several = large.groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("node")
     return large.join(several, "node", "left_semi")
 
@@ -345,8 +370,7 @@ def classes(docs: DataFrame, width: int = 3, num: int = 85, den: int = 100) -> D
     equal = full.groupBy("digest").agg(F.min("row").alias("rep"))
     same = stage(full.select("row", "digest").join(equal, "digest").select("row", "rep"), "equal-sets")
     reps = stage(feats.join(same.filter("row = rep").select("row"), "row", "left_semi").select("row", "n", "sketch", "coordinates"), "representatives")
-    joined = links(reps, texts, width, num, den)
-    root = components(joined).withColumnRenamed("node", "rep")
+    root = connected(reps, feats.select("row", "n", "bits"), texts, width, num, den).withColumnRenamed("node", "rep")
     placed = same.join(root, "rep", "left").select("row", F.coalesce("root", "rep").alias("root"))
     out = feats.select("row", F.col("n").alias("n_shingles")).join(placed, "row", "left").withColumn("root", F.coalesce("root", "row"))
     # the smallest row has the smallest doc_id, which is the row itself where doc_ids are unique

@@ -101,16 +101,19 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     ``edges`` has long columns u, v.  Large-star and small-star rounds rewire edges to
     the smallest neighbour; each round is two grouped minima and joins, so a hub's edges
-    spread over tasks, and is written to the shared folder.  No edge reaches the driver."""
-    def mark(df):
-        r = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v") % 1000003), F.lit(0)).alias("h")).first()
-        return r["n"], r["h"]
+    spread over tasks, and is written to the shared folder.  Rounds end when the edges are
+    stars: every node has one edge down or only edges up.  No edge reaches the driver."""
+    def unsettled(df):
+        ends = df.select(F.col("u").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionAll(
+            df.select(F.col("v").alias("x"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+        return ends.groupBy("x").agg(F.sum("down").alias("down"), F.max("up").alias("up")).filter("down + up > 1").agg(F.count(F.lit(1)).alias("n")).first()["n"]
 
     cur = stage(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    was = mark(cur)
-    for _ in range(max_rounds):
-        if not was[0]:
-            break
+    rounds = 0
+    while unsettled(cur):
+        if rounds == max_rounds:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        rounds += 1
         sym = cur.select("u", "v").unionAll(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = sym.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = sym.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
@@ -120,14 +123,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
                                            F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
                  .select("e.u", "e.v").filter("u <> v").distinct())
         nxt = stage(small, "edges")
-        now = mark(nxt)
         discard(cur)
         cur = nxt
-        if now == was:
-            break
-        was = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return (cur.select(F.col("u").alias("node"), F.col("v").alias("root"))
             .unionAll(cur.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()))
 

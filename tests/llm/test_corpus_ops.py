@@ -168,6 +168,30 @@ def test_near_copies_below_the_threshold_pair_hardly_ever(spark):
     assert want <= set(got) and len(got) == len(set(got)) and len(got) < 40
 
 
+def test_whole_sets_only_of_rows_that_may_link(spark, monkeypatch):
+    """15 near copies at some 0.78 of each other, which their sketches don't tell from links, and two that are links."""
+    base, rows = words(150, 21), []
+    for i in range(15):
+        w = list(base)
+        for k in (3, 53, 103):
+            w[k + 3 * i] = words(1, 5000 + 1000 * i + k)[0]
+        rows.append((i, " ".join(w)))
+    rows.append((15, rows[0][1] + " end"))
+    want = slow_components(slow_sets(rows, 3), 85, 100)
+    assert len(set(want.values())) == 15
+    stage, read = chosen_path.stage, []
+
+    def noted(df, name, *more):
+        out = stage(df, name, *more)
+        if name == "sets":
+            read.append(out.count())
+        return out
+
+    monkeypatch.setattr(chosen_path, "stage", noted)
+    got = {r.doc_id: r.component_id for r in chosen_path.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == want and read[0] == 2 and sum(read) <= 4
+
+
 def test_drop_near_keeps_one_of_each(spark, near):
     want = slow_components(slow_sets(near, 5), 80, 100)
     df = clash(spark.createDataFrame(near, "doc_id bigint, text string"))
@@ -199,6 +223,17 @@ def test_components(spark):
     assert got == {x: find(x) for a, b in edges if a != b for x in (a, b)}
 
 
+def test_stars_are_settled_at_once(spark, monkeypatch):
+    stage, tables = common.stage, []
+    monkeypatch.setattr(common, "stage", lambda df, name: (tables.append(name), stage(df, name))[1])
+    find = lambda edges: {r.node: r.root for r in common.components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
+    stars = [(0, k) for k in range(1, 60)] + [(100 + k, 100) for k in range(1, 60)] + [(0, 3), (7, 7)]
+    assert find(stars) == {k: k - k % 100 for k in (*range(60), *range(100, 160))} and len(tables) == 1
+    tables.clear()
+    assert find([*stars, (100, 59)]) == dict.fromkeys((*range(60), *range(100, 160)), 0) and len(tables) <= 3
+    assert find([(7, 7)]) == {}
+
+
 # --- 9 ---------------------------------------------------------------------------------------
 
 def slow_targets(sizes, weights, share, most):
