@@ -234,6 +234,16 @@ def test_stars_are_settled_at_once(spark, monkeypatch):
     assert find([(7, 7)]) == {}
 
 
+def test_components_go_on_from_earlier_ones(spark, monkeypatch):
+    pairs = lambda rows: spark.createDataFrame(rows, "u bigint, v bigint")
+    root = chosen_path.widened(None, pairs([(2, 1), (2, 3), (3, 9), (5, 6), (6, 7)]))
+    stage, tables = common.stage, []
+    monkeypatch.setattr(common, "stage", lambda df, name: (tables.append(name), stage(df, name))[1])
+    assert chosen_path.widened(root, pairs([])) is root and not tables
+    got = {r.node: r.root for r in chosen_path.widened(root, pairs([(7, 9), (20, 21)])).collect()}
+    assert got == {**dict.fromkeys((1, 2, 3, 5, 6, 7, 9), 1), 20: 20, 21: 20} and len(tables) <= 4
+
+
 # --- 9 ---------------------------------------------------------------------------------------
 
 def slow_targets(sizes, weights, share, most):
