@@ -49,6 +49,8 @@ SECOND = 0.35
 LEVELS, STEPS = 2, 4
 #: Counters of hashes, which order the prefixes of the last join.
 BUCKETS = 1 << 18
+#: Hashes that a task counts; it sends a row a bucket that it found, BUCKETS at most.
+PER_TASK = 1 << 22
 #: Row ids (16 bytes each) that may be broadcast.
 MAX_BROADCAST = 1_000_000
 
@@ -216,13 +218,12 @@ def may_link(num: int, den: int) -> Column:
     return F.lit(num + den) * least_different("bits", "bits2") <= F.lit(den - num) * (F.col("n") + F.col("n2"))
 
 
-def prefixes(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(row, sketch, n, prefix, pos, token, bits): the first hashes of the sets of (row, sketch), complete for the threshold.
+def bucket_counts(sets: DataFrame) -> np.ndarray:
+    """How many hashes of all sets fall into each of ``BUCKETS`` buckets.
 
-    A set's hashes go in the order of how many of these rows' hashes fall into their bucket, of ``BUCKETS``, rare
-    ones first; a hash that has a bucket for itself pairs nobody.  Two sets at the threshold t share one of their
-    first n - ceil(t n) + 1 in any common order.  What many texts share stands late in this one."""
-    spark, mine = sets.sparkSession, sets.join(members.select("row"), "row", "left_semi")
+    A hash that many sets share has a row in each task that counts it, so each task counts ``PER_TASK`` hashes, however
+    many files hold the sets: the rows are at most a sixteenth of the hashes and BUCKETS more."""
+    hashes = sets.agg(F.sum(F.size("hashes").cast("long")).alias("n")).first()["n"] or 0
 
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -234,10 +235,20 @@ def prefixes(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "c"])
 
-    got = mine.select("hashes").mapInArrow(count, "bucket bigint, c bigint").groupBy("bucket").agg(F.sum("c").alias("c")).toArrow()
+    part = sets.select("hashes").coalesce(-(-hashes // PER_TASK) or 1).mapInArrow(count, "bucket bigint, c bigint")
+    got = part.groupBy("bucket").agg(F.sum("c").alias("c")).toArrow()
     often = np.zeros(BUCKETS, np.int64)
     often[got.column("bucket").to_numpy()] = got.column("c").to_numpy()
-    held = spark.sparkContext.broadcast(often)
+    return often
+
+
+def prefixes(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(row, sketch, n, prefix, pos, token, bits): the first hashes of the sets of (row, sketch), complete for the threshold.
+
+    ``sets``: (row, hashes) of these rows.  A set's hashes go in the order of how many of all hashes fall into their bucket, of
+    ``BUCKETS``, rare ones first; a hash that has a bucket for itself pairs nobody.  Two sets at the threshold t share one of
+    their first n - ceil(t n) + 1 in any common order.  What many texts share stands late in this one."""
+    held = sets.sparkSession.sparkContext.broadcast(bucket_counts(sets))
 
     def head(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -256,7 +267,7 @@ def prefixes(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
                                               pa.array(np.concatenate([*v, np.zeros(0, np.int64)]))) for v in out.values()]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(n, pa.int64()), *lists], ["row", "n", *out])
 
-    heads = mine.mapInArrow(head, "row bigint, n bigint, prefix array<bigint>, pos array<bigint>, bits array<bigint>")
+    heads = sets.mapInArrow(head, "row bigint, n bigint, prefix array<bigint>, pos array<bigint>, bits array<bigint>")
     return (heads.join(members, "row").select("row", "sketch", "n", "prefix", "bits", F.explode(F.arrays_zip("pos", F.col("prefix").alias("token"))).alias("e"))
             .select("row", "sketch", "n", "prefix", F.col("e.pos").alias("pos"), F.col("e.token").alias("token"), "bits"))
 

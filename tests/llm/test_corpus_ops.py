@@ -168,6 +168,46 @@ def test_near_copies_below_the_threshold_pair_hardly_ever(spark):
     assert want <= set(got) and len(got) == len(set(got)) and len(got) < 40
 
 
+def test_shared_hashes_are_counted_once_not_once_a_task(spark, monkeypatch):
+    """Groups of 30 and 90 near copies, dealt over many tasks: the counts have one row a bucket that has hashes."""
+    rng = np.random.default_rng(12)
+    base, frame, made = rng.integers(-2**63, 2**63, 100), type(spark.range(0)), []
+    whole = frame.mapInArrow
+
+    def noted(self, func, schema, *more, **named):
+        out = whole(self, func, schema, *more, **named)
+        made.append((schema, out))
+        return out
+
+    monkeypatch.setattr(frame, "mapInArrow", noted)
+    merge = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(merge)
+    spark.conf.set(merge, "false")  # tables this small would go to one task
+    try:
+        for copies in (30, 90):
+            sets = [np.unique(np.concatenate([base[9:], rng.integers(-2**63, 2**63, 9)])) for _ in range(copies)]
+            rows = [(i, s.tolist()) for i, s in enumerate(sets)]
+            df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 30), "row bigint, hashes array<bigint>")
+            made.clear()
+            chosen_path.prefixes(df.select("row", F.lit(0).cast("long").alias("sketch")), df, 85, 100)
+            bucket = np.concatenate(sets).view(np.uint64) % np.uint64(chosen_path.BUCKETS)
+            want = dict(zip(*(x.tolist() for x in np.unique(bucket, return_counts=True)), strict=True))
+            counts = [x for schema, x in made if schema.startswith("bucket")][0].collect()
+            assert len(counts) == len(want) and {r.bucket: r.c for r in counts} == want
+    finally:
+        spark.conf.set(merge, before)
+
+
+def test_counts_of_several_tasks_add_up(spark, monkeypatch):
+    monkeypatch.setattr(chosen_path, "PER_TASK", 50)
+    rng = np.random.default_rng(13)
+    sets = [np.unique(rng.integers(0, 40, n)) * 7919 for n in rng.integers(1, 30, 60)]
+    rows = [(i, s.tolist()) for i, s in enumerate(sets)]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 30), "row bigint, hashes array<bigint>")
+    want = np.bincount(np.concatenate(sets) % chosen_path.BUCKETS, minlength=chosen_path.BUCKETS)
+    assert (chosen_path.bucket_counts(df) == want).all() and not chosen_path.bucket_counts(df.filter("false")).any()
+
+
 def test_whole_sets_only_of_rows_that_may_link(spark, monkeypatch):
     """15 near copies at some 0.78 of each other, which their sketches don't tell from links, and two that are links."""
     base, rows = words(150, 21), []
