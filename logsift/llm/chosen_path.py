@@ -33,14 +33,14 @@ Equal sets are first collapsed to the smallest row (128-bit digest), so exact co
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import components, free_name, slices, stage, with_row_key
+from .common import components, free_name, slices, small, stage, with_row_key
 
 COORDINATES = 64
 TREES = 16
@@ -51,8 +51,6 @@ LEVELS, STEPS = 2, 4
 BUCKETS = 1 << 18
 #: Hashes that a task counts; it sends a row a bucket that it found, BUCKETS at most.
 PER_TASK = 1 << 22
-#: Row ids (16 bytes each) that may be broadcast.
-MAX_BROADCAST = 1_000_000
 
 
 def max_different(num: int, den: int) -> int:
@@ -177,7 +175,7 @@ def whole_sets(rows: DataFrame, width: int) -> DataFrame:
 
 def only(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """Those of ``rows`` whose row is in ``ids``.  Where the ids are few enough they are broadcast, and no row is shuffled."""
-    return rows.join(F.broadcast(ids) if ids.count() <= MAX_BROADCAST else ids, "row", "left_semi")
+    return rows.join(small(ids), "row", "left_semi")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -301,15 +299,15 @@ def connected(reps: DataFrame, bits: DataFrame, texts: DataFrame, width: int, nu
         # at first every member has its own label
         sizes = sizes.filter("members > 1" if depth == 1 else "lo <> hi").select("node", "members", "first")
         level = stage(level.join(sizes, "node"), f"paths{depth}")
-        large, small = level.filter(F.col("members") > SMALL), level.filter(F.col("members") <= SMALL)
+        large, few = level.filter(F.col("members") > SMALL), level.filter(F.col("members") <= SMALL)
         pivots = large.filter(order == F.col("first")).select("node", F.col("row").alias("p_row"), F.col("sketch").alias("p_sketch"), F.col("n").alias("p_n"), F.col("label").alias("p_label"))
-        large = large.join(pivots.dropDuplicates(["node"]), "node")
-        a = small.select("node", "row", "sketch", "n", "label")
-        b = small.select("node", F.col("row").alias("r2"), F.col("sketch").alias("s2"), F.col("n").alias("n2"), F.col("label").alias("l2"))
+        large = large.join(small(pivots), "node")
+        a = few.select("node", "row", "sketch", "n", "label")
+        b = few.select("node", F.col("row").alias("r2"), F.col("sketch").alias("s2"), F.col("n").alias("n2"), F.col("label").alias("l2"))
         pairs = a.join(b, "node").filter((F.col("row") < F.col("r2")) & (F.col("label") != F.col("l2")) & close("sketch", "s2", "n", "n2")).select(F.col("row").alias("u"), F.col("r2").alias("v"))
         stars = large.filter((F.col("label") != F.col("p_label")) & close("sketch", "p_sketch", "n", "p_n")).select(
             F.least("row", "p_row").alias("u"), F.greatest("row", "p_row").alias("v"))
-        pairs = new_pairs(alike(pairs.unionAll(stars).distinct(), bits, num, den), compared)
+        pairs = new_pairs(pairs.unionAll(stars).distinct(), compared, lambda new: alike(new, bits, num, den))
         # whole sets only of rows in pairs
         sets = stage(whole_sets(only(texts, pairs.select(F.explode(F.array("u", "v")).alias("row"))), width), "sets")
         root = widened(root, stage(confirm(pairs, sets, num, den), "links"))
@@ -322,10 +320,10 @@ def connected(reps: DataFrame, bits: DataFrame, texts: DataFrame, width: int, nu
         sets = stage(whole_sets(only(texts, rest.select("row")), width), "sets")
         pre = stage(prefixes(rest.select("row", "sketch"), sets, num, den), "prefixes")
         # first each hash links its rows to one of them, then what isn't connected yet meets in full
-        told = pre.join(rest.select("row", "label"), "row")
+        told = labelled(pre, root)
         heads = told.groupBy("token").agg(F.min_by(F.struct("row", "n", "prefix", "pos", "sketch", "bits", "label"), F.xxhash64("token", "row")).alias("h")).select("token", "h.*")
         root = widened(root, stage(confirm(new_pairs(prefix_pairs(told, heads, num, den, near).distinct(), compared), sets, num, den), "links"))
-        told = pre.join(labelled(rest, root).select("row", "label"), "row")
+        told = labelled(pre, root)
         root = widened(root, stage(confirm(new_pairs(prefix_pairs(told, told, num, den, near, once=True).distinct(), compared), sets, num, den), "links"))
     return root
 
@@ -336,26 +334,33 @@ def alike(pairs: DataFrame, bits: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.join(bits.withColumnRenamed("row", "u"), "u").join(other, "v").filter(may_link(num, den)).select("u", "v")
 
 
-def new_pairs(pairs: DataFrame, compared: list[DataFrame]) -> DataFrame:
-    """Those of the distinct pairs that no earlier step compared, written and noted as compared."""
+def new_pairs(pairs: DataFrame, compared: list[DataFrame], alike: Callable[[DataFrame], DataFrame] = lambda new: new) -> DataFrame:
+    """Those of the distinct pairs that no earlier step compared and that ``alike`` leaves, written and noted as compared."""
     if compared:
         pairs = pairs.join(union_all(compared), ["u", "v"], "left_anti")
-    compared.append(stage(pairs, "pairs"))
+    compared.append(stage(alike(pairs), "pairs"))
     return compared[-1]
 
 
 def widened(root: DataFrame | None, found: DataFrame) -> DataFrame:
-    """The components (node, root) joined further by the links ``found``."""
+    """The components (node, root) joined further by the links ``found``.
+
+    Links join earlier components, so only these components' smallest rows go on, not all that they hold."""
     if root is None:
         return components(found)
     if not found.limit(1).count():
         return root
-    return components(found.unionAll(root.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+    held = small(root)
+    for c in ("u", "v"):
+        found = found.join(held.select(F.col("node").alias(c), "root"), c, "left").withColumn(c, F.coalesce("root", c)).drop("root")
+    joined = components(stage(found, "links"))
+    later = root.join(small(joined.select(F.col("node").alias("root"), F.col("root").alias("to"))), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return stage(later.unionAll(joined.join(held, "node", "left_anti")), "components")
 
 
 def labelled(rows: DataFrame, root: DataFrame) -> DataFrame:
     """``rows`` with the component that the links found so far give each row as its label."""
-    root = root.withColumnRenamed("node", "row")
+    root = small(root).withColumnRenamed("node", "row")
     return rows.drop("label").join(root, "row", "left").withColumn("label", F.coalesce("root", "row")).drop("root")
 
 

@@ -96,37 +96,41 @@ def even_keys(spark: SparkSession, parts: int) -> list[int]:
     return [key.get(p, p) for p in range(parts)]
 
 
+#: Rows of a few numbers (16 to 40 bytes) that may be broadcast.
+MAX_BROADCAST = 1_000_000
+
+
+def small(rows: DataFrame) -> DataFrame:
+    """``rows``, for a broadcast where they are few enough, so that a join with them shuffles nothing."""
+    return F.broadcast(rows) if rows.count() <= MAX_BROADCAST else rows
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest node id reachable from each node that has an edge: (node, root).
 
-    ``edges`` has long columns u, v.  Large-star and small-star rounds rewire edges to
-    the smallest neighbour; each round is two grouped minima and joins, so a hub's edges
-    spread over tasks, and is written to the shared folder.  Rounds end when the edges are
-    stars: every node has one edge down or only edges up.  No edge reaches the driver."""
-    def unsettled(df):
-        ends = df.select(F.col("u").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionAll(
-            df.select(F.col("v").alias("x"), F.lit(0).alias("down"), F.lit(1).alias("up")))
-        return ends.groupBy("x").agg(F.sum("down").alias("down"), F.max("up").alias("up")).filter("down + up > 1").agg(F.count(F.lit(1)).alias("n")).first()["n"]
-
-    cur = stage(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    rounds = 0
-    while unsettled(cur):
-        if rounds == max_rounds:
-            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-        rounds += 1
-        sym = cur.select("u", "v").unionAll(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = sym.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = sym.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+    ``edges`` has long columns u, v and is read several times: a written table.  Large-star and
+    small-star rounds rewire edges to the smallest neighbour, or to that one's; each round is two
+    grouped minima, which are broadcast where they are few and joined otherwise, so a hub's edges
+    spread over tasks.  The nodes and edges of each round are written to the shared folder.  Rounds end
+    when the edges are stars: every node has one node below it or only nodes above.  No edge reaches the driver."""
+    cur, written = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), []
+    for _ in range(max_rounds + 1):
+        ends = cur.select(F.col("u").alias("node"), F.col("v").alias("end")).unionAll(cur.select(F.col("v").alias("node"), F.col("u").alias("end")))
+        nodes = stage(ends.groupBy("node").agg(F.least(F.min("end"), "node").alias("root"), F.max("end").alias("most")), "nodes")
+        n = nodes.agg(F.count(F.lit(1)).alias("all"), F.count(F.when(F.col("root") < F.least("node", "most"), 1)).alias("open")).first()
+        if not n["open"]:
+            for old in written:
+                discard(old)
+            return nodes.select("node", "root")
+        held = F.broadcast if n["all"] <= MAX_BROADCAST else lambda x: x
+        low = nodes.join(held(nodes.select(F.col("node").alias("root"), F.col("root").alias("m"))), "root").select(F.col("node").alias("v"), "m")
+        large = cur.join(held(low), "v").select("u", F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (large.join(low, "u")
-                 .select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")),
-                                           F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-                 .select("e.u", "e.v").filter("u <> v").distinct())
-        nxt = stage(small, "edges")
-        discard(cur)
-        cur = nxt
-    return (cur.select(F.col("u").alias("node"), F.col("v").alias("root"))
-            .unionAll(cur.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()))
+        cur = stage(large.join(held(low), "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct(), "edges")
+        for old in written:
+            discard(old)
+        written = [nodes, cur]
+    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
 def slices(batch, column: str, max_bytes: int = 8 << 20):

@@ -284,6 +284,46 @@ def test_components_go_on_from_earlier_ones(spark, monkeypatch):
     assert got == {**dict.fromkeys((1, 2, 3, 5, 6, 7, 9), 1), 20: 20, 21: 20} and len(tables) <= 4
 
 
+def test_links_join_components_by_their_smallest_rows_alone(spark, monkeypatch):
+    """Two components of 60 rows and a link between two of their rows: one edge goes on, not 119."""
+    pairs = lambda rows: spark.createDataFrame(rows, "u bigint, v bigint")
+    root = chosen_path.widened(None, pairs([(b, b + k) for b in (0, 100) for k in range(1, 60)]))
+    parts, edges = chosen_path.components, []
+    monkeypatch.setattr(chosen_path, "components", lambda found: (edges.append(found.count()), parts(found))[1])
+    got = [(r.node, r.root) for r in chosen_path.widened(root, pairs([(59, 130), (7, 300)])).collect()]
+    assert edges == [2] and sorted(got) == [(k, 0) for k in (*range(60), *range(100, 160), 300)]
+
+
+def test_linked_stars_settle_in_one_round(spark, monkeypatch):
+    stage, tables = common.stage, []
+    monkeypatch.setattr(common, "stage", lambda df, name: (tables.append(name), stage(df, name))[1])
+    edges = [(b, b + k) for b in (0, 100) for k in range(1, 60)] + [(100, 59)]
+    got = {r.node: r.root for r in common.components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
+    assert got == {b + k: 0 for b in (0, 100) for k in range(60)} and tables.count("edges") == 1
+
+
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_components_without_broadcasts_are_the_same(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "MAX_BROADCAST", most)
+    rng = np.random.default_rng(5)
+    groups = [rng.permutation(np.arange(b, b + 40)).tolist() for b in (0, 40, 80)]
+    edges = [p for g in groups for p in itertools.pairwise(g)] * 2 + [(0, 0), (500, 501), (500, 502)]
+    frame = lambda rows: spark.createDataFrame(rows, "u bigint, v bigint")
+    want = {**{k: k - k % 40 for k in range(120)}, 500: 500, 501: 500, 502: 500}
+    root = common.components(frame(edges))
+    assert sorted((r.node, r.root) for r in root.collect()) == sorted(want.items())
+    want |= {**dict.fromkeys(range(80, 120), 40), 500: 0, 501: 0, 502: 0, 600: 0}
+    got = chosen_path.widened(root, frame([(600, 501), (500, 3), (3, 502), (45, 119)]))
+    assert sorted((r.node, r.root) for r in got.collect()) == sorted(want.items())
+
+
+def test_near_components_without_broadcasts(spark, near, monkeypatch):
+    monkeypatch.setattr(chosen_path, "SMALL", 8)
+    monkeypatch.setattr(common, "MAX_BROADCAST", 0)
+    got = {r.doc_id: r.component_id for r in chosen_path.classes(spark.createDataFrame(near, "doc_id bigint, text string")).collect()}
+    assert got == slow_components(slow_sets(near, 3), 85, 100)
+
+
 # --- 9 ---------------------------------------------------------------------------------------
 
 def slow_targets(sizes, weights, share, most):
