@@ -98,6 +98,8 @@ def even_keys(spark: SparkSession, parts: int) -> list[int]:
 
 #: Rows of a few numbers (16 to 40 bytes) that may be broadcast.
 MAX_BROADCAST = 1_000_000
+#: Edges of ``components`` that a task takes, so that few edges aren't dealt over hundreds of files.
+PER_TASK = 1 << 17
 
 
 def small(rows: DataFrame) -> DataFrame:
@@ -114,19 +116,20 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     spread over tasks.  The nodes and edges of each round are written to the shared folder.  Rounds end
     when the edges are stars: every node has one node below it or only nodes above.  No edge reaches the driver."""
     cur, written = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), []
+    tasks = -(-cur.count() // PER_TASK) or 1  # no round has more edges than the one before
     for _ in range(max_rounds + 1):
         ends = cur.select(F.col("u").alias("node"), F.col("v").alias("end")).unionAll(cur.select(F.col("v").alias("node"), F.col("u").alias("end")))
-        nodes = stage(ends.groupBy("node").agg(F.least(F.min("end"), "node").alias("root"), F.max("end").alias("most")), "nodes")
+        nodes = stage(ends.groupBy("node").agg(F.least(F.min("end"), "node").alias("root"), F.max("end").alias("most")).coalesce(tasks), "nodes")
         n = nodes.agg(F.count(F.lit(1)).alias("all"), F.count(F.when(F.col("root") < F.least("node", "most"), 1)).alias("open")).first()
         if not n["open"]:
             for old in written:
                 discard(old)
             return nodes.select("node", "root")
-        held = F.broadcast if n["all"] <= MAX_BROADCAST else lambda x: x
+        held = (lambda x: F.broadcast(x.coalesce(tasks))) if n["all"] <= MAX_BROADCAST else lambda x: x
         low = nodes.join(held(nodes.select(F.col("node").alias("root"), F.col("root").alias("m"))), "root").select(F.col("node").alias("v"), "m")
         large = cur.join(held(low), "v").select("u", F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        cur = stage(large.join(held(low), "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct(), "edges")
+        cur = stage(large.join(held(low), "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct().coalesce(tasks), "edges")
         for old in written:
             discard(old)
         written = [nodes, cur]
